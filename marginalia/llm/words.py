@@ -69,9 +69,13 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         first = end
 
 
-def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER):
-    """Hashes of all words, their first bytes and end bytes, and per text the index of its first word (and the end)."""
+def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER, heads: tuple[int, ...] = ()):
+    """Hashes of all words, their first bytes and end bytes, and per text the index of its first word (and the end).
+
+    ``heads``: lengths in bytes; the hashes of the words' beginnings of these lengths follow, 0 where a word is not longer.
+    """
     hashes, begins, stops, a, n = [], [], [], 0, len(buf)
+    tops: list[list[np.ndarray]] = [[] for _ in heads]
     while a < n:
         b = min(a + _SEGMENT, n)
         while b < n:  # cut between words: after a separator, or between two texts
@@ -96,18 +100,21 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold
         value += np.uint64(1)
         value *= power[: len(seg)]
         np.cumsum(value, out=value)
-        h = value[e]
-        h[s > 0] -= value[s[s > 0] - 1]
+        h, base = value[e], np.where(s > 0, value[s - 1], np.uint64(0))
+        h -= base
         h *= inverse[s]
         hashes.append(mix(h))
+        for top, m in zip(tops, heads):
+            head = (value[np.minimum(s + (m - 1), len(seg) - 1)] - base) * inverse[s]
+            top.append(np.where(e - s >= m, mix(head + np.uint64(m)), np.uint64(0)))
         begins.append(s + a)
         stops.append(e + (a + 1))
         a = b
     if not hashes:
         empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offs), np.int64), *(np.zeros(0, np.uint64) for _ in heads)
     start = np.concatenate(begins)
-    return np.concatenate(hashes), start, np.concatenate(stops), np.searchsorted(start, offs).astype(np.int64)
+    return np.concatenate(hashes), start, np.concatenate(stops), np.searchsorted(start, offs).astype(np.int64), *(np.concatenate(t) for t in tops)
 
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
