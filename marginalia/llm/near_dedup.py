@@ -8,7 +8,8 @@
    30 samples of improved consistent weighted sampling, in 10 bands of 3: at similarity 0.8 a pair meets with probability 0.999.
 3. Buckets are not expanded into pairs. Each class is verified against the least member of a bucket, and the links give
    components: first with one bucket for each class, then with every bucket whose least member is in another component.
-   Classes that still share a bucket across components are compared by an exact prefix-filtered join, so no cap is needed.
+   In buckets that still hold several components, blocks of the members outside the bucket's largest component are compared with all blocks of
+   the bucket, so no cap is needed, and a group of near copies is never compared within itself.
 
 Cases: null and empty texts, and texts without a word, have no shingles and are in no group. A text of fewer than five words
 is one shingle. A row without an id is grouped but never represents others that have one. Of equal ids with equal texts, ``keep`` returns
@@ -32,6 +33,7 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 3
 CELLS, CHUNKS = 1 << 20, 64
 _BLOCK = 1 << 15
+BLOCK_DOCS, BLOCK_WEIGHT = 64, 100_000.0
 
 
 def _sorted_shingles(column: pa.Array):
@@ -196,21 +198,36 @@ def _similar(idf, least: float):
     return run
 
 
-def _prefixes(idf, least: float):
-    """Per text its rarest shingles, of a little over 1 - least of its weight: two texts of that similarity share one of them."""
+def _across(idf, least: float):
+    """Rows of two blocks of texts to links between texts of different labels, one for each text of the first block and label of the second."""
+
+    def block(column: pa.ListArray, i: int):
+        part = column[i].values
+        s, c, n = [], [], []
+        for *_, own, count, at in _sorted_shingles(part.field("text")):
+            s.append(own)
+            c.append(count)
+            n.append(np.diff(at))
+        return part.field("rep").to_numpy(), part.field("label").to_numpy(), np.concatenate(s), np.concatenate(c), np.concatenate(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value.table
         for batch in batches:
-            for a, b, _, _, s, c, at in _sorted_shingles(batch.column(1)):
-                weight = table[_cell(s)]
-                for i in range(b - a):
-                    own, w, tf = s[at[i] : at[i + 1]], weight[at[i] : at[i + 1]], c[at[i] : at[i + 1]]
-                    order = np.lexsort((own, -w))
-                    before = np.concatenate(([0.0], np.cumsum((w * tf)[order])))[:-1]
-                    take = own[order[before <= (1 - least) * float((w * tf).sum()) + 1e-6]]
-                    row = batch.column(0).slice(a + i, 1)
-                    yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(take), row[0].as_py(), np.int64)), "shingle": pa.array(take.view(np.int64))})
+            for row in range(batch.num_rows):
+                reps, labels, s, c, n = block(batch.column(0), row)
+                reps_b, labels_b, t, d, m = block(batch.column(1), row)
+                begin_b, weight_b = np.cumsum(m) - m, table[_cell(t)]
+                total_b = np.add.reduceat(d * weight_b, begin_b)
+                links = []
+                for rep, label, i, j in zip(reps.tolist(), labels.tolist(), (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
+                    own, count = s[i:j], c[i:j]
+                    total = float((count * table[_cell(own)]).sum())
+                    at = np.minimum(np.searchsorted(own, t), len(own) - 1)
+                    both = np.add.reduceat(np.where(own[at] == t, np.minimum(count[at], d) * weight_b, 0.0), begin_b)
+                    hit = np.flatnonzero((both >= (least - 1e-9) * (total + total_b - both)) & (labels_b != label))
+                    links += [(rep, int(reps_b[hit[k]])) for k in np.unique(labels_b[hit], return_index=True)[1]]
+                if links:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
@@ -251,21 +268,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    # what still shares a bucket across components, by the exact join
+    # what still shares a bucket across components: blocks of the members outside the bucket's largest component against all its blocks
     joint = settle(labelled(members, "rep", labels, "label"), "members")
     mixed = joint.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    open_reps = settle(joint.join(mixed, "bucket", "left_semi").groupBy("rep").agg(F.first("weight").alias("weight"), F.first("label").alias("label")), "open")
-    if not open_reps.isEmpty():
-        keys = bodies.join(open_reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_prefixes(idf, similarity), "rep long, shingle long").join(open_reps, "rep")
-        keys = settle(keys, "prefixes")
-        shared = keys.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle")
-        keys = keys.join(shared, "shingle", "left_semi")
-        left, right = (keys.select("shingle", F.col("rep").alias(k), F.col("weight").alias(f"w{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
-        near = (F.col("la") < F.col("lb")) & (F.least("wa", "wb") >= (similarity - 1e-9) * F.greatest("wa", "wb"))
-        crossing = settle(left.join(right, "shingle").where(near).select("a", "b").distinct(), "pairs")
-        more = verified(crossing)
+    joint = settle(joint.join(mixed, "bucket", "left_semi").select("bucket", "rep", "label", "weight"), "mixed")
+    if not joint.isEmpty():
+        shares = joint.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+        largest = shares.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("g"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+        def n_blocks(n, w):
+            return F.ceil(F.greatest(n / F.lit(BLOCK_DOCS), w / F.lit(BLOCK_WEIGHT))).cast("long")
+
+        largest = largest.select("bucket", F.col("g.label").alias("giant"), n_blocks(F.col("g.n"), F.col("g.w")).alias("in_giant"), n_blocks(F.col("n") - F.col("g.n"), F.col("w") - F.col("g.w")).alias("in_rest"))
+        placed = joint.join(largest, "bucket").withColumn("is_giant", F.col("label") == F.col("giant"))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("is_giant"), F.col("in_giant")).otherwise(F.col("in_rest")))))
+        placed = placed.select("bucket", "is_giant", "block", "rep", "label").join(bodies.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        blocks = settle(placed.groupBy("bucket", "is_giant", "block").agg(F.collect_list(F.struct("rep", "label", "text")).alias("docs")), "blocks")
+        rest = blocks.where(~F.col("is_giant")).select("bucket", F.col("block").alias("block_a"), F.col("docs").alias("docs_a"))
+        others = blocks.select("bucket", "is_giant", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+        opposite = rest.join(others, "bucket").where(F.col("is_giant") | (F.col("block_a") <= F.col("block_b"))).select("docs_a", "docs_b")
+        more = settle(opposite.mapInArrow(_across(idf, similarity), "a long, b long"), "links")
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = components(links.select("a", "b").unionByName(more))
 
     found = labelled(reps.select("k1", "k2", F.col("rep").alias("class_id")), "class_id", labels, "group_id")
     out = signed.select("doc_id", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
