@@ -1 +1,89 @@
-"""To be filled."""
+"""Ranking metrics of dense search, vectors of one label being relevant to each other."""
+
+from pyspark.sql import functions as F
+
+from marginalia.operators import metrics as M
+from marginalia.plans.registry import query
+from marginalia.plans.retrieval import _VEC, dense, vectors
+
+K = 10
+_Q = _VEC + f""", gold AS (SELECT q.vec_id AS query_id, g.vec_id AS key FROM embeddings q JOIN embeddings g USING (label) WHERE q.vec_id % 100 = 0 AND q.vec_id % 200 = 0),
+asked AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0), ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
+r AS (SELECT de.query_id, chunk_id AS key, rank, n_gold, gold.key IS NOT NULL AS rel FROM de JOIN ng USING (query_id) LEFT JOIN gold ON gold.query_id = de.query_id AND gold.key = de.chunk_id WHERE rank <= 100 AND rank <= greatest({K}, n_gold)),
+s AS (SELECT *, sum(rel::int) OVER (PARTITION BY query_id ORDER BY rank) AS so_far, rel AND rank <= {K} AS hit FROM r),
+per AS (SELECT query_id, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN hit THEN rank END) AS first, count(DISTINCT CASE WHEN hit THEN key END) AS found, sum(CASE WHEN hit THEN so_far / rank ELSE 0 END) AS ap, count(DISTINCT CASE WHEN rel AND rank <= n_gold THEN key END) AS r_found FROM s GROUP BY query_id),
+m AS (SELECT query_id, n_gold IS NULL AS skipped, CASE WHEN n_gold IS NULL THEN 'empty_gold' END AS reason, round(dcg / list_sum(list_transform(range(1, least(n_gold, {K}) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, CASE WHEN n_gold IS NOT NULL THEN round(coalesce(1 / first, 0), 6) END AS mrr,
+ round(found / {K}, 6) AS precision, round(found / n_gold, 6) AS recall, round(CASE WHEN found = 0 THEN 0 ELSE 2 * (found / {K}) * (found / n_gold) / (found / {K} + found / n_gold) END, 6) AS f1, (found > 0)::int::double AS hit, round(ap / n_gold, 6)::double AS map, round(r_found / n_gold, 6) AS r_precision FROM asked LEFT JOIN ng USING (query_id) LEFT JOIN per USING (query_id))"""
+
+
+def gold(spark, sf_dir):
+    """Every second question has gold: the vectors of its label."""
+    rows = vectors(spark, sf_dir)
+    asked = rows.where("chunk_id % 200 = 0").select(F.col("chunk_id").alias("query_id"), "label")
+    return asked.join(rows.select("label", F.col("chunk_id").alias("key")), "label").select("query_id", "key")
+
+
+def asked(spark, sf_dir):
+    return vectors(spark, sf_dir).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"))
+
+
+def _ranked(spark, sf_dir, k=100):
+    return dense(spark, sf_dir, k).select("query_id", F.col("chunk_id").alias("key"), "rank")
+
+
+def _questions(spark, sf_dir):
+    return M.questions(_ranked(spark, sf_dir), gold(spark, sf_dir), asked(spark, sf_dir), K)
+
+
+@query(_Q + " SELECT query_id, ndcg FROM m WHERE NOT skipped")
+def metrics_ndcg(spark, sf_dir):
+    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "ndcg")
+
+
+@query(_Q + " SELECT query_id, mrr FROM m WHERE NOT skipped")
+def metrics_mrr(spark, sf_dir):
+    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "mrr")
+
+
+@query(_Q + " SELECT query_id, precision, recall, f1, hit FROM m WHERE NOT skipped")
+def metrics_precision_recall_f1_hit(spark, sf_dir):
+    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "precision", "recall", "f1", "hit")
+
+
+@query(_Q + " SELECT query_id, map FROM m WHERE NOT skipped")
+def metrics_map(spark, sf_dir):
+    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "map")
+
+
+@query(_Q + " SELECT query_id, r_precision FROM m WHERE NOT skipped")
+def metrics_rprecision(spark, sf_dir):
+    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "r_precision")
+
+
+@query(_Q + " SELECT query_id, skipped, coalesce(reason, '') AS reason FROM m")
+def metrics_skipped(spark, sf_dir):
+    return _questions(spark, sf_dir).select("query_id", "skipped", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query(_Q + " SELECT count(*) AS question_count, count_if(NOT skipped)::bigint AS scored_count, count_if(skipped)::bigint AS skipped_count, " + ", ".join(f"round(avg({s}), 6) AS {s}" for s in M.SCORES) + " FROM m")
+def metrics_macro(spark, sf_dir):
+    return M.macro(_questions(spark, sf_dir))
+
+
+@query(_Q + " SELECT query_id, count_if(hit)::bigint AS hits, (max(n_gold) - count_if(hit))::bigint AS misses, coalesce(sum(CASE WHEN hit THEN rank END), 0)::bigint AS rank_sum FROM s GROUP BY query_id")
+def item_artifact(spark, sf_dir):
+    rows = M.item_artifact(_ranked(spark, sf_dir, K), gold(spark, sf_dir), K)
+    return rows.select("query_id", F.size("hits").alias("hits"), F.size("misses").alias("misses"), F.aggregate("ranks", F.lit(0), lambda s, x: s + x).alias("rank_sum"))
+
+
+_CONTEXT = _Q + ", x AS (SELECT query_id, sum(CASE WHEN rel THEN so_far / rank END) AS total, count_if(rel) AS found FROM s WHERE rank <= 10 GROUP BY query_id)"
+
+
+@query(_CONTEXT + " SELECT query_id, round(CASE WHEN found > 0 THEN total / found ELSE 0 END, 6)::double AS context_precision FROM x")
+def context_precision(spark, sf_dir):
+    return M.context(_ranked(spark, sf_dir, K), gold(spark, sf_dir)).select("query_id", "context_precision")
+
+
+@query(_CONTEXT + " SELECT query_id, round(found / n_gold, 6)::double AS context_recall FROM x JOIN ng USING (query_id)")
+def context_recall(spark, sf_dir):
+    return M.context(_ranked(spark, sf_dir, K), gold(spark, sf_dir)).select("query_id", "context_recall")
