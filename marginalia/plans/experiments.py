@@ -1 +1,99 @@
-"""To be filled."""
+"""Chunking and run summaries. Events stand for logged requests, lines of the documents for chunks."""
+
+from pyspark.sql import functions as F
+
+from marginalia.operators import chunking as C, experiments as E
+from marginalia.plans.registry import notes, query, table
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    """Rows only: the splitter is tested against its rules."""
+    rows = C.chunks(notes(spark, sf_dir).select("note_id", "note"), C.Policy(128, 16))
+    return rows.select("note_id", "chunk_index", "section_no", "section_level", "start_offset", "end_offset", "word_count", "token_count", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("SELECT 0::bigint AS invalid")
+def chunk_validity(spark, sf_dir):
+    return C.invalid(C.chunks(notes(spark, sf_dir).select("note_id", "note"), C.Policy(256, 32))).agg(F.count(F.lit(1)).alias("invalid"))
+
+
+_CH = r"""l AS (SELECT doc_id, lang, length(text) AS source_length, unnest(string_split(text, chr(10))) AS text FROM documents), c AS (SELECT lang, source_length, text, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::bigint AS token_count, length(text) AS end_offset FROM l WHERE trim(text) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY token_count) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM c)"""
+
+
+def _line_chunks(spark, sf_dir):
+    from marginalia.functions.text import chunk_token_count
+
+    rows = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("source_length"), F.explode(F.split("text", "\n", -1)).alias("text")).where(F.trim("text") != "")
+    return rows.select("lang", "source_length", "text", chunk_token_count(F.col("text")).alias("token_count"), F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"))
+
+
+@query(f"""WITH {_CH} SELECT lang, count(*) AS chunks_total, max(CASE WHEN i = round_even((n - 1) * 0.5, 0) THEN token_count END) AS median_token_length, max(CASE WHEN i = round_even((n - 1) * 0.95, 0) THEN token_count END) AS p95_token_length, round(avg(token_count), 6) AS mean_token_length,
+ round(avg((token_count < 16)::int), 6) AS short_rate, (count(*) - count(DISTINCT text))::bigint AS duplicate_hash_count, sum(octet_length(encode(text)))::bigint AS storage_bytes, count_if(end_offset > source_length)::bigint AS boundary_violation_count FROM o GROUP BY lang""")
+def chunk_metrics(spark, sf_dir):
+    return C.metrics(_line_chunks(spark, sf_dir), 64, "lang")
+
+
+@query(f"WITH {_CH}, p AS (SELECT unnest([64, 256, 512])::bigint AS chunk_size) SELECT concat('size-', chunk_size) AS policy, count(*) AS sections, count_if(token_count > chunk_size)::bigint AS oversized FROM c, p GROUP BY 1")
+def policy_matrix(spark, sf_dir):
+    policies = spark.createDataFrame([(f"size-{n}", n) for n in (64, 256, 512)], "policy string, chunk_size long")
+    return C.oversized(_line_chunks(spark, sf_dir), policies)
+
+
+_EV = "e AS (SELECT *, event_id % 2 = 0 AS canonical, event_id % 3 = 0 AS hit, event_id % 500 AS tokens, value AS latency_ms FROM events)"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("latency_ms", F.col("value")).withColumn("tokens", F.col("event_id") % 500)
+
+
+@query(f"""WITH {_EV} SELECT count(DISTINCT user_id) AS group_count, count_if(canonical)::bigint AS canonical_count, count_if(NOT canonical)::bigint AS paraphrase_count, count_if(NOT canonical AND hit)::bigint AS paraphrase_hits, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
+ round(quantile_cont(CASE WHEN canonical THEN latency_ms END, 0.5), 6) AS canonical_latency_p50_ms, sum(CASE WHEN canonical THEN tokens ELSE 0 END)::bigint AS pass1_tokens, sum(CASE WHEN NOT canonical THEN tokens ELSE 0 END)::bigint AS pass2_tokens, round(avg(CASE WHEN NOT canonical AND hit THEN latency_ms END), 6) AS hit_avg_latency_ms, round(avg(CASE WHEN NOT canonical AND NOT hit THEN latency_ms END), 6) AS miss_avg_latency_ms,
+ round(count_if(NOT canonical AND hit) / count_if(NOT canonical), 6) AS hit_rate, greatest(sum(CASE WHEN canonical THEN tokens ELSE 0 END) - sum(CASE WHEN NOT canonical THEN tokens ELSE 0 END), 0)::bigint AS tokens_saved FROM e""")
+def cache_summary(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("group_id"), F.when(F.col("event_id") % 2 == 0, "canonical").otherwise("paraphrase").alias("pass"), (F.col("event_id") % 3 == 0).alias("hit"), "latency_ms", F.col("tokens").alias("prompt_tokens"), F.lit(None).cast("long").alias("generated_tokens"))
+    return E.cache_summary(rows)
+
+
+@query("""WITH e AS (SELECT [800, 1200, 1800][(event_id % 3 + 1)::int]::bigint AS budget, event_id % 10 = 0 AS skipped, event_id % 7 = 0 AS refused, event_id % 900 AS pt, value AS lat, event_id % 5 AS packed, (event_id % 100) / 100.0 AS ndcg FROM events)
+SELECT budget, count(*) AS question_count, count_if(NOT skipped AND NOT refused)::bigint AS scored_count, count_if(skipped)::bigint AS skipped_count, count_if(NOT skipped AND refused)::bigint AS refused_count, round(avg(CASE WHEN NOT skipped THEN pt END), 6) AS mean_prompt_tokens, round(quantile_cont(CASE WHEN NOT skipped THEN pt END, 0.5)::double, 6) AS median_prompt_tokens,
+ round(quantile_cont(CASE WHEN NOT skipped THEN pt END, 0.95)::double, 6) AS p95_prompt_tokens, round(avg(CASE WHEN NOT skipped THEN lat END), 6) AS mean_latency_ms, round(quantile_cont(CASE WHEN NOT skipped THEN lat END, 0.5), 6) AS p50_latency_ms, round(quantile_cont(CASE WHEN NOT skipped THEN lat END, 0.95), 6) AS p95_latency_ms, round(avg(CASE WHEN NOT skipped THEN packed END), 6) AS mean_packed_chunks,
+ round(avg(CASE WHEN NOT skipped AND NOT refused THEN ndcg END), 6)::double AS mean_ndcg, round(count_if(NOT skipped AND refused) / count(*), 6) AS refusal_rate FROM e GROUP BY budget""")
+def budget_summary(spark, sf_dir):
+    i = F.col("event_id")
+    rows = _events(spark, sf_dir).select(F.get(F.array(*[F.lit(b).cast("long") for b in (800, 1200, 1800)]), (i % 3).cast("int")).alias("budget"), (i % 10 == 0).alias("skipped"), (i % 7 == 0).alias("refused"), (i % 900).alias("prompt_tokens"), "latency_ms", (i % 5).alias("packed_chunks"), ((i % 100) / 100).alias("ndcg"))
+    return E.budget_summary(rows)
+
+
+@query("""WITH e AS (SELECT *, event_id % 10 = 0 AS skipped FROM events) SELECT count(*) AS question_count, count_if(NOT skipped)::bigint AS scored_count, count_if(skipped)::bigint AS skipped_count, count_if(event_id % 7 = 0)::bigint AS refused_count, round(avg(CASE WHEN NOT skipped THEN (event_id % 11) / 10.0 END), 6)::double AS faithfulness,
+ round(avg(CASE WHEN NOT skipped THEN (event_id % 13) / 12.0 END), 6)::double AS answer_relevancy, round(avg(CASE WHEN NOT skipped THEN (event_id % 17) / 16.0 END), 6)::double AS context_precision, round(avg(CASE WHEN NOT skipped THEN (event_id % 19) / 18.0 END), 6)::double AS context_recall, round(avg(CASE WHEN NOT skipped THEN value END), 6) AS mean_latency_ms,
+ sum(event_id % 500)::bigint AS total_prompt_tokens, round(avg(event_id % 500), 6) AS mean_prompt_tokens, round(median(event_id % 500)::double, 6) AS median_prompt_tokens, sum(event_id % 90)::bigint AS total_generated_tokens, round(avg(event_id % 90), 6) AS mean_generated_tokens, round(median(event_id % 90)::double, 6) AS median_generated_tokens, count(DISTINCT user_id) AS notes_processed FROM e""")
+def generation_summary(spark, sf_dir):
+    i = F.col("event_id")
+    rows = _events(spark, sf_dir).select((i % 10 == 0).alias("skipped"), (i % 7 == 0).alias("refused"), ((i % 11) / 10).alias("faithfulness"), ((i % 13) / 12).alias("answer_relevancy"), ((i % 17) / 16).alias("context_precision"), ((i % 19) / 18).alias("context_recall"), "latency_ms", (i % 500).alias("prompt_tokens"), (i % 90).alias("generated_tokens"), F.array(F.col("user_id").cast("string")).alias("note_paths"))
+    return E.generation_summary(rows)
+
+
+@query("SELECT event_type, count(*) AS requests, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return E.latency_percentiles(_events(spark, sf_dir), "event_type")
+
+
+@query("SELECT event_type AS reason, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1 ORDER BY n DESC, reason LIMIT 3")
+def skip_reasons(spark, sf_dir):
+    return E.skip_reasons(_events(spark, sf_dir).select(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("reason")))
+
+
+@query("SELECT event_type, count(*) AS n, round(stddev_pop(value), 6) AS spread FROM events GROUP BY event_type")
+def score_spread(spark, sf_dir):
+    return E.score_spread(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT event_id, (event_id % 700)::bigint AS est_tokens, (event_id % 9)::bigint AS packed FROM events")
+def gate_traces(spark, sf_dir):
+    from marginalia.functions.policies import gate_packed, gate_tokens
+
+    i = F.col("event_id")
+    trace = F.concat(F.lit("gate: packed="), (i % 9).cast("string"), F.lit(" budget=1200 est_tokens="), (i % 700).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", gate_tokens(trace).alias("est_tokens"), gate_packed(trace).alias("packed"))

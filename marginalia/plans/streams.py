@@ -1 +1,55 @@
-"""To be filled."""
+"""Streaming queries, run over what is available."""
+
+from pyspark.sql import functions as F
+
+from marginalia.plans.registry import query, table
+from marginalia.sources.storage import new_folder
+from marginalia.streaming import cache, ingest, logs
+
+_WINDOWS = "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS start, event_type, count(*) AS requests, round(avg(value), 6) AS mean_latency FROM events GROUP BY ALL"
+
+
+def _stream(spark, sf_dir, name):
+    """The table as a stream of its files; a stream reads folders, so a table of one file is picked from its folder by name."""
+    files = table(spark, sf_dir, name)
+    reader = spark.readStream.schema(files.schema)
+    if files.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query(_WINDOWS)
+def query_log_window(spark, sf_dir):
+    return logs.windows(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query(_WINDOWS)
+def query_log_stream(spark, sf_dir):
+    work, last = new_folder(spark, "log"), {}
+
+    def each(batch, batch_id):
+        last["path"] = f"{work}/{batch_id}"
+        batch.write.mode("overwrite").parquet(last["path"])
+
+    ingest.drain(logs.windows(_stream(spark, sf_dir, "events")), work, each, "complete")
+    return spark.read.parquet(last["path"]).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+@query("SELECT doc_id, source, sha256(text) AS content_hash FROM documents")
+def ingest_stream(spark, sf_dir):
+    rows = _stream(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content_hash"))
+    return spark.read.parquet(ingest.ingest(rows, new_folder(spark, "ingest"), ["doc_id"]))
+
+
+@query("SELECT event_type AS version, user_id AS query, count(*) AS requests FROM events GROUP BY ALL")
+def cache_stream(spark, sf_dir):
+    """Requests served from keyed state; hits are tested on a small stream."""
+    work, parts = new_folder(spark, "cache"), []
+    rows = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("version"), F.col("user_id").cast("string").alias("query"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("answer"))
+
+    def each(batch, batch_id):
+        parts.append(f"{work}/{batch_id}")
+        batch.write.mode("overwrite").parquet(parts[-1])
+
+    ingest.drain(cache.serve(rows, 3_600_000), work, each)
+    return spark.read.parquet(*parts).groupBy("version", F.col("query").cast("long").alias("query")).agg(F.count(F.lit(1)).alias("requests"))
