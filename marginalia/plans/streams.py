@@ -51,5 +51,5 @@ def cache_stream(spark, sf_dir):
         parts.append(f"{work}/{batch_id}")
         batch.write.mode("overwrite").parquet(parts[-1])
 
-    ingest.drain(cache.serve(rows, 3_600_000), work, each)
+    ingest.drain(cache.serve(rows, 3_600_000, forget=False), work, each)
     return spark.read.parquet(*parts).groupBy("version", F.col("query").cast("long").alias("query")).agg(F.count(F.lit(1)).alias("requests"))

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def serve(requests: DataFrame, ttl_ms: int) -> DataFrame:
+def serve(requests: DataFrame, ttl_ms: int, forget: bool = True) -> DataFrame:
     """requests (version, query, at, answer) to (version, query, at, hit, answer), per key in the order of ``at``.
 
-    A request finds the stored answer if it is younger than the time to live by event time; else its own answer is stored. State lives a key at a time, and
-    leaves by processing-time timeout."""
+    A request finds the stored answer if it is younger than the time to live by event time; else its own answer is stored. With
+    ``forget``, as a stream that never ends needs, an idle key leaves the state by processing-time timeout; a run over what is available goes without."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -29,7 +29,8 @@ def serve(requests: DataFrame, ttl_ms: int) -> DataFrame:
                 answer, stored = r.answer, at
             out.append((key[0], key[1], at, hit, answer))
         state.update((answer, stored))
-        state.setTimeoutDuration(ttl_ms)
+        if forget:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["version", "query", "at", "hit", "answer"])
 
-    return requests.groupBy("version", "query").applyInPandasWithState(run, "version string, query string, at long, hit boolean, answer string", "answer string, stored long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("version", "query").applyInPandasWithState(run, "version string, query string, at long, hit boolean, answer string", "answer string, stored long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
