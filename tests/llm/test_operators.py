@@ -1,0 +1,387 @@
+"""Small cases of every operator: nulls, empty and long texts, ties and repeats, empty tables, clashing columns; brute force."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, sharding, token_store, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, rank long, salt int, size long, key string, bucket long, label string, n long, shard string, rep long, part int, `range` string"
+_RNG = random.Random(5)
+WORDS = ["".join(_RNG.choice("abcdefghij") for _ in range(_RNG.randint(3, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def row(i, text, lang="en", source="a"):
+    return (i, text, lang, source, None, "x", 1, 2, 3, "k", 4, "l", 5, "s", 6, 7, "r")
+
+
+LONG = prose(30_000, 99)
+HARD = [row(1, None), row(2, ""), row(3, " \n\t"), row(4, LONG), row(5, LONG), row(6, prose(60, 1)), row(6, prose(60, 1)), row(7, prose(60, 1).upper(), None, None), row(8, "one two"), row(9, "one  two ", "fr", "b"), row(None, "one two"), row(10, "***", "de", "b"), row(11, "x" * 200_000), row(12, "é Ñ ß 漢字", "es", "c")]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame(HARD, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, prose(40, 7)), (2, None), (3, ""), (None, prose(30, 8)), (4, "alpha beta gamma"), (5, prose(40, 7))], "item_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, 1, i % 2) for i in range(1, 13)] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# exact deduplication
+
+
+def test_exact_dedup_against_brute_force(hard):
+    got = rows(exact_dedup.annotate(hard))
+    assert len(got) == len(HARD)
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = {}
+    for r in HARD:
+        groups.setdefault(bare(r[1]), []).append((-len(r[1] or ""), r[0] if r[0] is not None else 1 << 62, r[0]))
+    want = sorted((r[0] or -1, min(groups[bare(r[1])])[2] or -1, len(groups[bare(r[1])])) for r in HARD)
+    assert sorted((g["doc_id"] or -1, g["keep_id"] or -1, g["group_size"]) for g in got) == want
+    assert all(g["kept"] == (g["doc_id"] == g["keep_id"]) for g in got)
+
+
+def test_exact_dedup_keep_returns_one_row_per_text_and_id(hard, empty):
+    kept = rows(exact_dedup.keep(hard))
+    texts = [re.sub(r"\s", "", r["text"] or "") for r in kept]
+    assert len(texts) == len(set(texts)) and exact_dedup.keep(hard).columns == hard.columns
+    assert exact_dedup.annotate(empty).count() == 0
+
+
+def test_exact_dedup_does_not_depend_on_salts(hard):
+    assert sorted(map(str, rows(exact_dedup.annotate(hard, salts=1)))) == sorted(map(str, rows(exact_dedup.annotate(hard, salts=7))))
+
+
+# near deduplication
+
+
+def edit(text, n, seed):
+    r, w = random.Random(seed), text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = "changed" + str(r.randrange(1000))
+    return " ".join(w)
+
+
+def shingle_set(text):
+    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_dedup_groups_against_brute_force(spark):
+    docs, n = [], 0
+    for g in range(12):
+        base = prose(200, 100 + g)
+        for c in range(6):
+            docs.append((n, edit(base, c % 3, n)))
+            n += 1
+    docs += [(n + i, prose(120, 500 + i)) for i in range(40)]
+    got = {r["doc_id"]: r["group_id"] for r in rows(near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")))}
+    sets = {i: shingle_set(t) for i, t in docs}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j:
+                s = len(a & b) / len(a | b)
+                if s >= 0.85:
+                    assert got[i] == got[j]
+                elif s < 0.3:
+                    assert got[i] != got[j]
+
+
+def test_near_dedup_large_group_of_copies_with_outliers(spark):
+    base = prose(60, 3)
+    docs = [(i, edit(base, i % 7, i)) for i in range(300)]
+    got = {r["doc_id"]: r["group_id"] for r in rows(near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")))}
+    sets = {i: shingle_set(t) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.87:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(got[i] == got[find(i)] for i in sets)
+
+
+def test_near_dedup_edge_cases(hard, empty):
+    got = rows(near_dedup.groups(hard))
+    assert len(got) == len(HARD)
+    by = {g["doc_id"]: g for g in got}
+    assert by[1]["group_id"] == 1 and by[2]["group_id"] == 2 and by[3]["kept"] and by[10]["kept"]
+    assert by[5]["group_id"] == 4 and by[7]["group_id"] == 6 and by[9]["group_id"] == 8
+    kept = rows(near_dedup.keep(hard))
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 3, 4, 6, 8, 10, 11, 12]
+    assert near_dedup.groups(empty).count() == 0 and near_dedup.keep(hard).columns == hard.columns
+
+
+def test_weighted_sampling_agrees_with_weighted_similarity():
+    rng = np.random.default_rng(0)
+    s = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    w = rng.uniform(1, 4, 300)
+    v = w * rng.uniform(0.5, 1.5, 300)
+    sampler = near_dedup.Sampler(2000)
+    a, b = (sampler(s, np.log(x).astype(np.float32), np.array([0]))[:, 0] for x in (w, v))
+    assert abs((a == b).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
+
+
+# token files
+
+
+def test_token_files_round_trip(spark, hard, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.tokenizer_path())
+    t.encode_special_tokens = True
+    ordered = sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0))
+    want, start = [], 0
+    for r in ordered:
+        ids = np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows(token_store.round_trip(hard))]
+    assert sorted(got, key=lambda r: r[1]) == want
+    assert token_store.round_trip(empty).count() == 0
+
+
+def test_token_ids_and_damage(spark):
+    from marginalia.sources.storage import new_folder
+
+    docs = spark.createDataFrame([(i, prose(50, i)) for i in range(40)], "doc_id long, text string")
+    folder = new_folder(spark, "tokens")
+    token_store.write(docs, folder)
+    got = {r["doc_id"]: r["ids"] for r in rows(token_store.read_ids(spark, folder))}
+    assert len(got) == 40 and all(x[-1] == 1 for x in got.values())
+    data = bytearray(spark.read.parquet(folder).first()["data"])
+    data[-40] ^= 255
+    with pytest.raises(ValueError):
+        token_store.unpack(bytes(data))
+
+
+# decontamination
+
+
+def test_decontamination(spark, items, hard, empty):
+    leak, w = prose(40, 7), prose(40, 7).split()
+    docs = spark.createDataFrame(
+        [(1, prose(100, 21) + " " + leak + " " + prose(80, 22)), (2, prose(100, 23)), (3, leak.upper().replace(" ", ",\n")), (4, " ".join(w[:20] + ["other"] + w[21:])), (5, " ".join(w[:20])), (6, "see alpha, beta gamma."), (7, None), (8, "")], "doc_id long, text string"
+    )
+    got = {r["doc_id"]: r for r in rows(decontaminate.annotate(docs, items))}
+    assert got[1]["item_ids"] == [1, 5] and got[1]["first_words"] == [100, 100] and got[1]["similarities"] == [1.0, 1.0]
+    assert got[3]["item_ids"] == [1, 5] and got[4]["item_ids"] == [1, 5] and got[6]["item_ids"] == [4]
+    assert not any(got[i]["contaminated"] for i in (2, 5, 7, 8))
+    blocks = {r["doc_id"]: sorted(r["item_ids"]) for r in rows(decontaminate.annotate(docs, items, block_bytes=100))}
+    assert blocks == {i: sorted(r["item_ids"]) for i, r in got.items()}
+    assert sorted(r["doc_id"] for r in rows(decontaminate.keep(docs, items))) == [2, 5, 7, 8]
+    assert decontaminate.annotate(hard, items).count() == len(HARD) and decontaminate.annotate(empty, items).count() == 0
+    assert decontaminate.keep(docs, items.where("false")).count() == 8
+
+
+def test_hamming_blocks_find_every_fingerprint_within_radius():
+    rng = random.Random(1)
+    items = decontaminate.Items(list(range(50)), [prose(30, 900 + i) for i in range(50)])
+    for f in items.fingerprints.tolist():
+        for d in (0, 5, decontaminate.RADIUS):
+            g = f
+            for b in rng.sample(range(64), d):
+                g ^= 1 << b
+            want = [i for i, x in enumerate(items.fingerprints.tolist()) if bin(x ^ g).count("1") <= decontaminate.RADIUS]
+            assert items.candidates(g).tolist() == want
+
+
+# licenses
+
+
+def test_license_places_against_brute_force(spark, hard, empty):
+    texts = ["MIT License and mit license", "Licensed under the Apache License, Version 2.0", "GNU General Public License v3 or MIT", None, "", "mitlicense", "mit  license general public\nlicense", "SPDX-License-Identifier: BSD-3-Clause"]
+    got = {r["doc_id"]: r for r in rows(license_scan.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
+        g = got[i]
+        assert (g["n_words"], g["n_base"], g["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
+        assert (g["first_word"], g["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(filter(None, g["base_labels"].split(","))) <= set(g["labels"].split(",")) and 0 <= g["score"] <= 1
+    assert got[1]["labels"] == "apache,apache-2.0" and got[7]["labels"] == "bsd-3-clause"
+    assert license_scan.annotate(hard).count() == len(HARD) and license_scan.annotate(empty).count() == 0
+
+
+def test_license_suppression_prefers_the_longer_signature():
+    found = license_scan.detect("licensed under the gnu lesser general public license", {"general", "gnu", "lesser", "license"})
+    assert [d.label for d in found] == ["lgpl"]
+    assert len(license_scan.RULES) > 200
+
+
+# language
+
+
+def test_language_identification(spark, hard, empty):
+    r = random.Random(2)
+    alphabets = {"aa": "abcdef ", "bb": "uvwxyz ", "cc": "éèàùç "}
+    docs = [(i, "".join(r.choice(alphabets[k]) for _ in range(r.randint(30, 900))), k) for i, k in enumerate(list(alphabets) * 60)]
+    got = rows(language_id.annotate(spark.createDataFrame(docs, "doc_id long, text string, lang string")))
+    by = {g["doc_id"]: g for g in got}
+    held = [i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and all(by[i]["held_out"] for i in held) and sum(by[i]["lang_pred"] == docs[i][2] for i in held) >= 0.95 * len(held)
+    edge = {r["doc_id"]: r for r in rows(language_id.annotate(hard))}
+    assert all(edge[i]["lang_pred"] == "und" and edge[i]["score"] == 0 for i in (1, 2, 3, 10)) and edge[12]["lang_pred"] != "und"
+    assert language_id.annotate(empty).count() == 0
+    assert {r["lang_pred"] for r in rows(language_id.annotate(hard.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
+
+
+# toxicity
+
+
+def test_toxicity_learns_words_and_pairs(spark, hard, labels, empty):
+    r = random.Random(3)
+    docs, marks = [], []
+    for i in range(600):
+        words, toxic = [r.choice(WORDS) for _ in range(60)], int(i % 4 == 0)
+        if toxic:
+            words[r.randrange(60)] = "insultword"
+        docs.append((i, " ".join(words)))
+        marks.append((i, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = rows(toxicity.annotate(docs, marks).join(marks, "doc_id"))
+    held = [g for g in got if g["held_out"]]
+    assert held and all(g["predicted"] == g["toxic"] for g in held) and all(0 <= g["score"] <= 1 for g in got)
+    assert toxicity.keep(docs, marks).count() == 450
+    assert toxicity.annotate(hard, labels).count() == len(HARD) and toxicity.annotate(empty, labels).count() == 0
+    assert toxicity.annotate(hard, labels.where("false")).where("predicted = 1").count() == 0
+
+
+def test_factorization_machine_learns_an_interaction():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
+    docs = [np.array([1] * x + [2] * y + [3 + int(k)], np.int64) for x, y, k in zip(a, b, rng.integers(0, 5, 2000))]
+    m = toxicity.Machine.fit((a & b).astype(float), docs)
+    at = {int(t): i for i, t in enumerate(m.terms)}
+
+    def score(*terms):
+        i = [at[t] for t in terms]
+        v = m.factors[i]
+        return m.bias + m.weights[i].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum())
+
+    assert score(1, 2) > 0 > max(score(1), score(2))
+
+
+# mixing
+
+
+def test_mixing_against_brute_force(spark, empty):
+    r = random.Random(4)
+    docs = [(i, prose(r.randint(0, 80), i) if i % 9 else None, None if i % 5 == 0 else "src%d" % (i % 4)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("size", F.lit(1)).withColumn("taken", F.lit(1)).repartition(5)
+    got = rows(mixing.plan(df, range_rows=7))
+    assert len(got) == 300 and sorted(map(str, got)) == sorted(map(str, rows(mixing.plan(df, range_rows=1000))))
+    size = {i: len((t or "").split()) for i, t, _ in docs}
+    source = {i: s for i, _, s in docs}
+    totals = {}
+    for i, s in source.items():
+        totals[s] = totals.get(s, 0) + size[i]
+    order = sorted((s for s in totals if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(totals.values()), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * totals[s]}
+        for s in full or open_:
+            target[s] = 2.0 * totals[s] if s in full else level * weight[s]
+            left -= target[s] if s in full else 0
+        open_ = open_ - full if full else set()
+    for s in order:
+        own = [g for g in got if source[g["doc_id"]] == s]
+        assert abs(sum(g["taken"] for g in own) - target[s]) <= 1 and all(abs(g["target"] - target[s]) < 1e-6 for g in own)
+    assert all(g["size"] == size[g["doc_id"]] and g["taken"] <= 2 * g["size"] for g in got)
+    mixed = mixing.mix(df)
+    n = {x["source"]: x["n"] for x in rows(mixed.groupBy("source").agg(F.sum(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), 1))).alias("n")))}
+    assert mixed.columns == df.columns and all(abs(n[s] - target[s]) <= 80 for s in order)
+    assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_mixing_edge_cases(hard):
+    got = rows(mixing.plan(hard))
+    assert len(got) == len(HARD) and all(g["taken"] <= 2 * g["size"] for g in got)
+    assert mixing.mix(hard).columns == hard.columns
+
+
+# sharding
+
+
+@pytest.mark.parametrize("limit", [1, 500, 5_000, 1 << 30])
+def test_shards_keep_their_limit(spark, hard, limit):
+    docs = spark.createDataFrame([(i, prose(i % 50, i)) for i in range(400)], "doc_id long, text string")
+    got = rows(sharding.assign(docs, limit))
+    sums, counts = {}, {}
+    for g in got:
+        sums[g["shard"]] = sums.get(g["shard"], 0) + g["n_bytes"]
+        counts[g["shard"]] = counts.get(g["shard"], 0) + 1
+    assert len(got) == 400 and all(s <= limit or counts[k] == 1 for k, s in sums.items())
+    assert all(g["shard_bytes"] == sums[g["shard"]] and g["shard_docs"] == counts[g["shard"]] for g in got)
+    for g in got:  # only what did not fit has split: the parent bucket is too large
+        if g["depth"]:
+            depth, prefix = map(int, g["shard"].split("-"))
+            parent = sum(s for k, s in sums.items() for d, p in [map(int, k.split("-"))] if d >= depth - 1 and p >> (d - depth + 1) == prefix >> 1)
+            assert parent > limit
+    assert sharding.assign(hard, limit).count() == len(HARD)
+
+
+def test_sharding_of_one_repeated_id_and_of_nothing(spark, hard, empty):
+    docs = spark.createDataFrame([(1, "x" * 100)] * 50, "doc_id long, text string")
+    got = rows(sharding.assign(docs, 1000))
+    assert len(got) == 50 and all(g["shard_bytes"] <= 1000 for g in got)
+    assert sharding.assign(empty).count() == 0
+    out = sharding.shard(hard)
+    assert out.columns == [*hard.columns, "shard_id"] and out.count() == len(HARD)
+
+
+# pages
+
+
+def test_pages(spark):
+    page = (
+        "<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a href=1>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Title &amp; more</h1><p>First   para\ngraph with <a href=x>a link</a>.</p><p>Second<script>var a='</p>';</script> one"
+        "<ul><li>item<li>other</ul><form><input>Search</form><aside>Side</aside><div id='comments'><p>Reader</p></div></article><div class='sidebar'>Links</div><footer>&copy; foot</footer>"
+    )
+    rows_in = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "just text"), (4, "w", "just text"), (None, "x", "<p>a<br>b"), (5, "y", "<" * 1000 + "<div>" * 3000 + "deep")]
+    df = spark.createDataFrame(rows_in, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    got = rows(html_text.annotate(df))
+    assert len(got) == len(rows_in)
+    by = {g["page_id"]: g for g in got}
+    assert by[1]["text"] == "Title & more\nFirst para graph with a link.\nSecond one\nitem\nother" and by[1]["n_chars"] == len(by[1]["text"])
+    assert by[2]["text"] == by[3]["text"] == "" and by[4]["text"] == "just text" and by[None]["text"] == "a\nb" and by[5]["text"].endswith("deep")
+    assert html_text.annotate(df.where("false")).count() == 0
+
+
+def test_density_finds_the_text_without_article_tags():
+    page = "<body><div id=top>" + "<a href=x>link</a> " * 30 + "</div><div><div><p>" + prose(80, 1) + "</p><p>" + prose(60, 2) + "</p></div></div><div>" + "<a href=y>more links here</a> " * 20 + "</div></body>"
+    assert html_text.extract(page) == prose(80, 1) + "\n" + prose(60, 2)
