@@ -22,7 +22,7 @@ from marginalia.llm import words as wd
 from marginalia.llm.util import crc32_mod
 
 HEADS = (4, 5, 6)
-TERM_BITS, SAMPLE, FEATURES, FACTORS = 28, 12_000, 400, 4
+TERM_BITS, SAMPLE, FEATURES, FACTORS = 28, 6_000, 400, 4
 LEAST_RATIO, LEAST_DOCS = 15.0, 4
 REJECT = 0.7
 
@@ -48,9 +48,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(doc, kind="stable")
             cut = np.searchsorted(doc[order], np.arange(b - a + 1))
             s, _, at = wd.shingles(h, first)
-            lists = [np.unique(term[order[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+            lists = [np.unique(term[order[i:j]]).astype(np.int32) for i, j in zip(cut[:-1], cut[1:])]
             marks = [int(s[i:j].min().view(np.int64)) if j > i else 0 for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_pydict({"label": batch.column(0).slice(a, b - a), "terms": pa.array(lists, pa.list_(pa.int64())), "mark": pa.array(marks, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"label": batch.column(0).slice(a, b - a), "terms": pa.array(lists, pa.list_(pa.int32())), "mark": pa.array(marks, pa.int64())})
 
 
 class Machine:
@@ -60,31 +60,41 @@ class Machine:
         self.gate[terms >> (TERM_BITS - 20)] = True
 
     @classmethod
-    def fit(cls, labels: np.ndarray, docs: list[np.ndarray], steps: int = 800, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+    def fit(cls, labels: np.ndarray, docs: list[np.ndarray], steps: int = 600, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
         n, n1 = len(labels), int(labels.sum())
         share = (n1 + 1) / (n + 2)
         constant = cls(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
         if n1 in (0, n):
             return constant
-        term, inverse = np.unique(np.concatenate(docs), return_inverse=True)
-        row = np.repeat(np.arange(n), [len(d) for d in docs])
-        k1 = np.bincount(inverse, weights=labels[row], minlength=len(term))
-        k0 = np.bincount(inverse, minlength=len(term)) - k1
-        p, p1, p0 = (k1 + k0) / n, (k1 + 0.5) / (n1 + 1), (k0 + 0.5) / (n - n1 + 1)
-        p = np.clip(p, 1e-9, 1 - 1e-9)
+        every = np.concatenate(docs)
+        every.sort()
+        at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        term, k = every[at], np.diff(np.append(at, len(every)))
+        del every
+        enough = k >= LEAST_DOCS
+        term, k = term[enough], k[enough].astype(np.float64)
+        if not len(term):
+            return constant
+        k1 = np.zeros(len(term))
+        for d in (docs[i] for i in np.flatnonzero(labels)):
+            place = np.minimum(np.searchsorted(term, d), len(term) - 1)
+            k1[place[term[place] == d]] += 1
+        k0 = k - k1
+        p, p1, p0 = np.clip(k / n, 1e-9, 1 - 1e-9), (k1 + 0.5) / (n1 + 1), (k0 + 0.5) / (n - n1 + 1)
         ratio = 2 * (k1 * np.log(p1 / p) + (n1 - k1) * np.log((1 - p1) / (1 - p)) + k0 * np.log(p0 / p) + (n - n1 - k0) * np.log((1 - p0) / (1 - p)))
-        ratio[(k1 + k0 < LEAST_DOCS) | (ratio < LEAST_RATIO)] = 0
+        ratio[ratio < LEAST_RATIO] = 0
         best = np.sort(np.argsort(-ratio, kind="stable")[:FEATURES])
         best = best[ratio[best] > 0]
         if not len(best):
             return constant
-        place = np.full(len(term), -1)
-        place[best] = np.arange(len(best))
-        hit = place[inverse] >= 0
+        chosen = term[best].astype(np.int64)
         x = np.zeros((n, len(best)), np.float32)
-        x[row[hit], place[inverse[hit]]] = 1
+        for i, d in enumerate(docs):
+            place = np.minimum(np.searchsorted(chosen, d), len(chosen) - 1)
+            x[i, place[chosen[place] == d]] = 1
         rng = np.random.default_rng(seed)
-        values = [np.array([constant.bias]), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), FACTORS))]
+        labels = labels.astype(np.float32)
+        values = [np.array([constant.bias], np.float32), np.zeros(len(best), np.float32), rng.normal(0, 0.05, (len(best), FACTORS)).astype(np.float32)]
         first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         for step in range(1, steps + 1):
             b, w, v = values
@@ -97,7 +107,7 @@ class Machine:
                 s += 0.01 * (slope**2 - s)
                 value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
         b, w, v = values
-        return cls(term[best], float(b[0]), w, v)
+        return cls(chosen, float(b[0]), w.astype(np.float64), v.astype(np.float64))
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.full(len(column), self.bias)
@@ -127,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(crc32_mod("id", folds) != hold).groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    found = rows.join(F.broadcast(known), "id").select("label", "text").mapInArrow(_features, "label int, terms array<long>, mark long").toArrow()
+    found = rows.join(F.broadcast(known), "id").select("label", "text").mapInArrow(_features, "label int, terms array<int>, mark long").toArrow()
     kinds, marks = found.column("label").to_numpy(), found.column("mark").to_numpy()
     order = np.lexsort((kinds, marks))
     first = order[np.concatenate(([True], np.diff(marks[order]) != 0))] if len(order) else order
