@@ -3,10 +3,11 @@
 A segment's ids are cut in blocks of equal length that are coded independently: each starts from fresh models and has its own code
 bytes and CRC-32. All blocks of a segment advance together, one id a step, so that every operation is a numpy operation over blocks.
 
-An id is coded bit by bit from the top. For the bits of its upper byte, three models predict: order 0 (the bits so far), order 1
-(with the id before) and order 2 (with the two ids before). Their predictions, as log-odds, are mixed with weights that learn from each
-bit; the mix drives a binary arithmetic coder with 32-bit bounds. The bits of the lower bytes are predicted from the upper byte and the
-bits so far. Arithmetic is on integers and single floats, element by element, so every machine decodes the same.
+Three models predict an id. Order 2 and order 1 remember the id that last followed the two ids, or the one id, before, and how
+often in a row they were right. Their two confidences together choose adaptive probabilities for "order 2 is right", "order 1 is right" and "neither",
+so the mixture learns how far to trust each. Order 0 gives the distribution of an id that neither predicts: counts of its upper byte, and of the
+lower bytes within eight groups of upper bytes, turned into cumulative frequencies at fixed steps. Each choice is one step of a range coder with
+32-bit bounds without carries. All arithmetic is on whole numbers, so every machine decodes the same.
 """
 
 from __future__ import annotations
@@ -15,69 +16,85 @@ import zlib
 
 import numpy as np
 
-CONTEXT_BITS = 12
-_SIZE = 1 << CONTEXT_BITS
-_P = (np.arange(65536) + 0.5) / 65536
-_STRETCH = np.log(_P / (1 - _P)).astype(np.float32)
-_SQUASH_STEP, _SQUASH_MOST = 64, 8
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(2 * _SQUASH_MOST * _SQUASH_STEP + 1) / _SQUASH_STEP - _SQUASH_MOST)))), 1, 4095).astype(np.uint32)
-_CENTER = np.float32(_SQUASH_MOST * _SQUASH_STEP)
-_PROBABILITY = (_SQUASH.astype(np.float32) / np.float32(4096))
-_RATES = (5, 4, 4)
-_LEARN = np.float32(0.02)
-_TOP, _MASK = np.uint32(0xFF000000), np.uint32(_SIZE - 1)
+CONTEXT_BITS, BITS = 12, 15
+_ONE, _SIZE, _U = 1 << BITS, 1 << CONTEXT_BITS, np.uint32
+_MOST, _LEAST, _TURN = 16_000, 32, 5  # bounds and pace of the flags' probabilities
+_STEP, _FULL = 24, 60_000  # weight of one count, and the sum at which counts are halved
+
+
+class _Cumulative:
+    """Adaptive frequencies of a byte in each block and group: counts at once, cumulative frequencies when rebuilt."""
+
+    def __init__(self, n: int, groups: int):
+        self.counts = np.ones((n * groups, 256), np.uint16)
+        self.table = np.empty((n * groups, 257), np.uint16)
+        self.rebuild()
+
+    def rebuild(self) -> None:
+        sums = np.cumsum(self.counts, axis=1, dtype=np.uint32)
+        full = sums[:, -1] > _FULL
+        if full.any():
+            self.counts[full] = (self.counts[full] >> 1) | 1
+            sums[full] = np.cumsum(self.counts[full], axis=1, dtype=np.uint32)
+        total = sums[:, -1:].copy()
+        sums *= _U(_ONE - 256)
+        sums //= total
+        sums += np.arange(1, 257, dtype=np.uint32)
+        self.table[:, 0], self.table[:, 1:] = 0, sums
+        self.flat = self.table.reshape(-1)
+
+    def span(self, row: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = row * 257 + byte
+        cum = self.flat.take(at).astype(_U)
+        return cum, self.flat.take(at + 1).astype(_U) - cum
+
+    def find(self, row: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The byte whose span holds the target."""
+        base, byte = row * 257, np.zeros(len(row), np.int64)
+        for half in (128, 64, 32, 16, 8, 4, 2, 1):
+            byte += half * (self.flat.take(base + byte + half) <= target)
+        return byte
+
+    def learn(self, row: np.ndarray, byte: np.ndarray) -> None:
+        self.counts[row, byte] += np.uint16(_STEP)
 
 
 class _Models:
-    """Predictions for one bit in each block, and their update."""
+    def __init__(self, n: int, n_bytes: int):
+        self.n, self.n_bytes = n, n_bytes
+        kind = np.uint16 if n_bytes == 2 else np.uint32
+        self.ids = [np.zeros(n * _SIZE, kind) for _ in range(2)]
+        self.sure = [np.zeros(n * _SIZE, np.uint8) for _ in range(2)]
+        self.trust = [np.full(n * 64, 2000, np.int32) for _ in range(2)]  # order 2, order 1
+        self.base, self.base64 = np.arange(n, dtype=np.int64) << CONTEXT_BITS, np.arange(n, dtype=np.int64) << 6
+        self.upper = _Cumulative(n, 1)
+        self.lower = [_Cumulative(n, 8) for _ in range(n_bytes - 1)]
 
-    def __init__(self, n: int):
-        self.n = n
-        self.order0 = np.full(n * 256, 32768, np.uint16)
-        self.order1, self.order2, self.low = (np.full(n * _SIZE, 32768, np.uint16) for _ in range(3))
-        self.weights = [np.full(n, w, np.float32) for w in (0.4, 0.3, 0.3)]
-        self.at0 = np.arange(n, dtype=np.int64) << 8
-        self.at1 = np.arange(n, dtype=np.int64) << CONTEXT_BITS
-
-    def begin(self, before: np.ndarray, before2: np.ndarray) -> None:
-        self.hash1 = before * np.uint32(0x9E3779B1)
-        self.hash2 = (self.hash1 ^ (before2 * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-
-    def predict_high(self, node: np.ndarray, m: int) -> np.ndarray:
-        mixed = node * np.uint32(0x27D4EB2F)
-        self.places = (self.at0[:m] + node, self.at1[:m] + ((self.hash1[:m] + mixed) >> np.uint32(32 - CONTEXT_BITS)), self.at1[:m] + ((self.hash2[:m] + mixed) >> np.uint32(32 - CONTEXT_BITS)))
-        self.p = [t.take(i) for t, i in zip((self.order0, self.order1, self.order2), self.places)]
-        self.x = [_STRETCH.take(p) for p in self.p]
-        z = self.weights[0][:m] * self.x[0]
-        z += self.weights[1][:m] * self.x[1]
-        z += self.weights[2][:m] * self.x[2]
-        z *= np.float32(_SQUASH_STEP)
-        z += _CENTER
-        np.clip(z, 0, 2 * _CENTER, out=z)
-        self.cell = z.astype(np.int64)
-        return _SQUASH.take(self.cell)
-
-    def learn_high(self, bit: np.ndarray, m: int) -> None:
-        error = bit.astype(np.float32)
-        error -= _PROBABILITY.take(self.cell)
-        error *= _LEARN
-        target = bit.astype(np.int32) * np.int32(65535)
-        for w, x, table, place, p, rate in zip(self.weights, self.x, (self.order0, self.order1, self.order2), self.places, self.p, _RATES):
-            x *= error
-            w[:m] += x
-            q = p.astype(np.int32)
-            q += (target - q) >> rate
-            table[place] = q
-
-    def predict_low(self, upper: np.ndarray, node: np.ndarray, m: int) -> np.ndarray:
-        self.place = self.at1[:m] + ((upper * np.uint32(0x9E3779B1) + node * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CONTEXT_BITS))
-        self.q = self.low.take(self.place).astype(np.int32)
-        return np.maximum(self.q >> 4, 1).astype(np.uint32)
-
-    def learn_low(self, bit: np.ndarray) -> None:
-        q = self.q
-        q += (bit.astype(np.int32) * np.int32(65535) - q) >> 4
-        self.low[self.place] = q
+    def begin(self, step: int) -> None:
+        power = step & (step - 1) == 0
+        if step and (step % 32 == 0 or power and step >= 8):
+            self.upper.rebuild()
+        if step and (step % 128 == 0 or power and step >= 16):
+            for t in self.lower:
+                t.rebuild()
+
+    def predict(self, before: np.ndarray, before2: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+        """The ids of order 2 and order 1, and the probabilities that they are right."""
+        h = before[:m] * _U(0x9E3779B1)
+        h2 = (h ^ (before2[:m] * _U(0x85EBCA77))) * _U(0xC2B2AE3D)
+        self.at = [self.base[:m] + (x >> _U(32 - CONTEXT_BITS)) for x in (h2, h)]
+        self.guess = [t.take(i) for t, i in zip(self.ids, self.at)]
+        self.k = [t.take(i) for t, i in zip(self.sure, self.at)]
+        self.context = self.base64[:m] + ((self.k[0] << 3) | self.k[1])
+        self.p = [t.take(self.context) for t in self.trust]
+        return *self.guess, *(p.astype(_U) for p in self.p)
+
+    def learn(self, value: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
+        for trust, p, right in zip(self.trust, self.p, (right2, right1)):
+            trust[self.context] = p + ((np.where(right, _MOST, _LEAST) - p) >> _TURN)
+        for ids, sure, at, guess, k in zip(self.ids, self.sure, self.at, self.guess, self.k):
+            sure[at] = np.where(value == guess, np.minimum(k + 1, 7), 0)
+            ids[at] = value
 
 
 def _layout(n_ids: int, length: int) -> np.ndarray:
@@ -89,7 +106,79 @@ def _layout(n_ids: int, length: int) -> np.ndarray:
 
 def block_length(n_ids: int) -> int:
     """Enough blocks for numpy to work on, of 256 to 4096 ids."""
-    return int(min(4096, max(256, n_ids // 1024)))
+    return int(min(4096, max(256, n_ids // 2048)))
+
+
+def _flag(a: np.ndarray, b: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The span of a flag: order 2 is right, order 1 is right, neither."""
+    both = a + b
+    cum = np.where(right2, _U(0), np.where(right1, a, both))
+    return cum, np.where(right2, a, np.where(right1, b, _U(_ONE) - both))
+
+
+class _Bounds:
+    """Lower bound and range of each block's coder."""
+
+    def __init__(self, n: int):
+        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFF, _U)
+
+    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
+        """Take a span in the blocks ``lanes`` and shift out the bytes that are settled."""
+        r = self.range[lanes] >> _U(BITS)
+        low, span = self.low[lanes] + cum * r, freq * r
+        self.low[lanes], self.range[lanes] = low, span
+        due = np.flatnonzero(((low ^ (low + span)) < _U(1 << 24)) | (span < _U(1 << 16)))
+        at = due if isinstance(lanes, slice) else lanes[due]
+        while len(at):
+            low, span = self.low[at], self.range[at]
+            span = np.where((low ^ (low + span)) < _U(1 << 24), span, (_U(0) - low) & _U(0xFFFF))
+            self.shift(at, low)
+            low, span = low << _U(8), span << _U(8)
+            self.low[at], self.range[at] = low, span
+            at = at[((low ^ (low + span)) < _U(1 << 24)) | (span < _U(1 << 16))]
+
+    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
+        raise NotImplementedError
+
+
+class _Writer(_Bounds):
+    def __init__(self, n: int, room: int):
+        super().__init__(n)
+        self.out, self.used = np.zeros((n, room), np.uint8), np.zeros(n, np.int64)
+
+    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.out[at, self.used[at]] = low >> _U(24)
+        self.used[at] += 1
+
+    def make_room(self, most: int) -> None:
+        if self.used.max() + most > self.out.shape[1]:
+            self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
+
+    def codes(self) -> list[bytes]:
+        return [self.out[i, :u].tobytes() + int(x).to_bytes(4, "big") for i, (u, x) in enumerate(zip(self.used.tolist(), self.low.tolist()))]
+
+
+class _Reader(_Bounds):
+    def __init__(self, codes: list[bytes]):
+        super().__init__(len(codes))
+        begins = np.concatenate(([0], np.cumsum([len(c) + 8 for c in codes])))[:-1]
+        self.data = np.frombuffer(b"".join(c + bytes(8) for c in codes), np.uint8)
+        self.code = np.zeros(len(codes), _U)
+        for k in range(4):
+            self.code = (self.code << _U(8)) | self.data[begins + k]
+        self.used = begins + 4
+
+    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
+        self.code[at] = (self.code[at] << _U(8)) | self.data[np.minimum(self.used[at], len(self.data) - 1)]
+        self.used[at] += 1
+
+    def target(self, lanes) -> np.ndarray:
+        r = np.maximum(self.range[lanes] >> _U(BITS), _U(1))
+        return np.minimum((self.code[lanes] - self.low[lanes]) // r, _U(_ONE - 1))
+
+
+def _bytes(n_bytes: int):
+    return range(8 * (n_bytes - 2), -1, -8)
 
 
 def encode(ids: np.ndarray, length: int, n_bytes: int) -> tuple[list[bytes], list[int]]:
@@ -98,96 +187,75 @@ def encode(ids: np.ndarray, length: int, n_bytes: int) -> tuple[list[bytes], lis
         return [], []
     sizes = _layout(len(ids), length)
     n = len(sizes)
-    grid = np.zeros(n * length, np.uint32)
+    grid = np.zeros(n * length, _U)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(n, length).T)
-    models = _Models(n)
-    low, high = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-    out, used = np.zeros((n, 2 * length + 256), np.uint8), np.zeros(n, np.int64)
-    before = before2 = np.zeros(n, np.uint32)
+    models, coder = _Models(n, n_bytes), _Writer(n, 2 * length + 256)
+    before = before2 = np.zeros(n, _U)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
-        if step % 16 == 0 and used.max() + 16 * 16 * n_bytes // 4 + 64 > out.shape[1]:
-            out = np.concatenate((out, np.zeros_like(out)), axis=1)
+        if step % 16 == 0:
+            coder.make_room(16 * 4 * (n_bytes + 1) + 64)
         value = grid[step, :m]
-        models.begin(before, before2)
-        node, shift = np.ones(m, np.uint32), 8 * n_bytes
-        for k in range(8 * n_bytes):
-            if k % 8 == 0:
-                node = np.ones(m, np.uint32)
-                above = value >> np.uint32(shift - k) if k else None
-            bit = (value >> np.uint32(shift - 1 - k)) & np.uint32(1)
-            p = models.predict_high(node, m) if k < 8 else models.predict_low(above, node, m)
-            lo, hi = low[:m], high[:m]
-            middle = lo + ((hi - lo) >> np.uint32(12)) * p
-            one = bit.view(np.int32).astype(bool)
-            np.copyto(hi, middle, where=one)
-            np.copyto(lo, middle + np.uint32(1), where=~one)
-            models.learn_high(bit, m) if k < 8 else models.learn_low(bit)
-            node = node + node + bit
-            same = np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))
-            while len(same):
-                a, b = lo[same], hi[same]
-                out[same, used[same]] = b >> np.uint32(24)
-                used[same] += 1
-                a <<= np.uint32(8)
-                b = (b << np.uint32(8)) | np.uint32(255)
-                lo[same], hi[same] = a, b
-                same = same[(a ^ b) < np.uint32(1 << 24)]
-        before2, before = before, (value if m == n else np.append(value, np.uint32(0)))
-    codes = []
-    for i in range(n):
-        codes.append(out[i, : used[i]].tobytes() + int(high[i]).to_bytes(4, "big"))
-    data = ids.astype("<u4")
-    return codes, [zlib.crc32(data[i * length : i * length + s].tobytes()) for i, s in enumerate(sizes.tolist())]
+        models.begin(step)
+        two, one, a, b = models.predict(before, before2, m)
+        right2 = value == two
+        right1 = (value == one) & ~right2
+        coder.narrow(slice(0, m), *_flag(a, b, right2, right1))
+        models.learn(value, right2, right1)
+        rest = np.flatnonzero(~(right2 | right1))
+        if len(rest):
+            own = value[rest].astype(np.int64)
+            first = own >> (8 * (n_bytes - 1))
+            coder.narrow(rest, *models.upper.span(rest, first))
+            models.upper.learn(rest, first)
+            group = rest * 8 + (first >> 5)
+            for table, shift in zip(models.lower, _bytes(n_bytes)):
+                byte = (own >> shift) & 255
+                coder.narrow(rest, *table.span(group, byte))
+                table.learn(group, byte)
+        before2, before = before, (value if m == n else np.append(value, _U(0)))
+    plain = ids.astype("<u4")
+    return coder.codes(), [zlib.crc32(plain[i * length : i * length + s].tobytes()) for i, s in enumerate(sizes.tolist())]
 
 
 def decode(codes: list[bytes], checks: list[int], n_ids: int, length: int, n_bytes: int) -> np.ndarray:
     """The ids of all blocks; ValueError if a block's checksum does not hold."""
     if not n_ids:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, _U)
     sizes = _layout(n_ids, length)
     n = len(sizes)
-    grid = np.zeros((length, n), np.uint32)
-    models = _Models(n)
-    low, high = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-    begins = np.concatenate(([0], np.cumsum([len(c) + 8 for c in codes])))[:-1]
-    data = np.frombuffer(b"".join(c + bytes(8) for c in codes), np.uint8)
-    code = np.zeros(n, np.uint32)
-    for k in range(4):
-        code = (code << np.uint32(8)) | data[begins + k]
-    used = begins + 4
-    before = before2 = np.zeros(n, np.uint32)
+    grid = np.zeros((length, n), _U)
+    models, coder = _Models(n, n_bytes), _Reader(codes)
+    before = before2 = np.zeros(n, _U)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
-        models.begin(before, before2)
-        value = np.zeros(m, np.uint32)
-        for k in range(8 * n_bytes):
-            if k % 8 == 0:
-                node, above = np.ones(m, np.uint32), value
-            p = models.predict_high(node, m) if k < 8 else models.predict_low(above, node, m)
-            lo, hi, now = low[:m], high[:m], code[:m]
-            middle = lo + ((hi - lo) >> np.uint32(12)) * p
-            one = now <= middle
-            bit = one.astype(np.uint32)
-            np.copyto(hi, middle, where=one)
-            np.copyto(lo, middle + np.uint32(1), where=~one)
-            models.learn_high(bit, m) if k < 8 else models.learn_low(bit)
-            node = node + node + bit
-            value = value + value + bit
-            same = np.flatnonzero((lo ^ hi) < np.uint32(1 << 24))
-            while len(same):
-                a, b = lo[same] << np.uint32(8), (hi[same] << np.uint32(8)) | np.uint32(255)
-                now[same] = (now[same] << np.uint32(8)) | data[used[same]]
-                used[same] += 1
-                lo[same], hi[same] = a, b
-                same = same[(a ^ b) < np.uint32(1 << 24)]
+        models.begin(step)
+        two, one, a, b = models.predict(before, before2, m)
+        target = coder.target(slice(0, m))
+        right2 = target < a
+        right1 = (target < a + b) & ~right2
+        coder.narrow(slice(0, m), *_flag(a, b, right2, right1))
+        value = np.where(right2, two, one).astype(_U)
+        rest = np.flatnonzero(~(right2 | right1))
+        if len(rest):
+            first = models.upper.find(rest, coder.target(rest))
+            coder.narrow(rest, *models.upper.span(rest, first))
+            models.upper.learn(rest, first)
+            own, group = first, rest * 8 + (first >> 5)
+            for table in models.lower:
+                byte = table.find(group, coder.target(rest))
+                coder.narrow(rest, *table.span(group, byte))
+                table.learn(group, byte)
+                own = (own << 8) | byte
+            value[rest] = own
+        models.learn(value, right2, right1)
         grid[step, :m] = value
-        before2, before = before, (value if m == n else np.append(value, np.uint32(0)))
+        before2, before = before, (value if m == n else np.append(value, _U(0)))
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids]
     plain = ids.astype("<u4")
     for i, (s, check) in enumerate(zip(sizes.tolist(), checks)):

@@ -29,7 +29,7 @@ from marginalia.llm import range_coder, words as wd
 from marginalia.llm.util import new_folder, texts
 
 MAGIC, HEAD = b"MTS1", struct.Struct("<IQIBII")
-SEGMENT_IDS, RANGE_BYTES = 8 << 20, 20 << 20
+SEGMENT_IDS, RANGE_BYTES = 4 << 20, 10 << 20
 NULL_ID = -(1 << 63)
 SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_ids long, data binary"
 
