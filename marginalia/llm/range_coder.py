@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-CONTEXT_BITS, BITS = 12, 15
+CONTEXT_BITS, BITS = 10, 15
 _ONE, _SIZE, _U = 1 << BITS, 1 << CONTEXT_BITS, np.uint32
 _MOST, _LEAST, _TURN = 16_000, 32, 5  # bounds and pace of the flags' probabilities
 _STEP, _FULL = 24, 60_000  # weight of one count, and the sum at which counts are halved
@@ -62,9 +62,7 @@ class _Cumulative:
 class _Models:
     def __init__(self, n: int, n_bytes: int):
         self.n, self.n_bytes = n, n_bytes
-        kind = np.uint16 if n_bytes == 2 else np.uint32
-        self.ids = [np.zeros(n * _SIZE, kind) for _ in range(2)]
-        self.sure = [np.zeros(n * _SIZE, np.uint8) for _ in range(2)]
+        self.seen = [np.zeros(n * _SIZE, np.uint32) for _ in range(2)]  # an id and, in its three lowest bits, how often in a row it was right
         self.trust = [np.full(n * 64, 2000, np.int32) for _ in range(2)]  # order 2, order 1
         self.base, self.base64 = np.arange(n, dtype=np.int64) << CONTEXT_BITS, np.arange(n, dtype=np.int64) << 6
         self.upper = _Cumulative(n, 1)
@@ -74,7 +72,7 @@ class _Models:
         power = step & (step - 1) == 0
         if step and (step % 32 == 0 or power and step >= 8):
             self.upper.rebuild()
-        if step and (step % 128 == 0 or power and step >= 16):
+        if step and (step % 256 == 0 or power and step >= 32):
             for t in self.lower:
                 t.rebuild()
 
@@ -83,18 +81,17 @@ class _Models:
         h = before[:m] * _U(0x9E3779B1)
         h2 = (h ^ (before2[:m] * _U(0x85EBCA77))) * _U(0xC2B2AE3D)
         self.at = [self.base[:m] + (x >> _U(32 - CONTEXT_BITS)) for x in (h2, h)]
-        self.guess = [t.take(i) for t, i in zip(self.ids, self.at)]
-        self.k = [t.take(i) for t, i in zip(self.sure, self.at)]
-        self.context = self.base64[:m] + ((self.k[0] << 3) | self.k[1])
+        held = [t.take(i) for t, i in zip(self.seen, self.at)]
+        self.guess, self.k = [x >> _U(3) for x in held], [x & _U(7) for x in held]
+        self.context = self.base64[:m] + ((self.k[0] << _U(3)) | self.k[1])
         self.p = [t.take(self.context) for t in self.trust]
         return *self.guess, *(p.astype(_U) for p in self.p)
 
     def learn(self, value: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
         for trust, p, right in zip(self.trust, self.p, (right2, right1)):
             trust[self.context] = p + ((np.where(right, _MOST, _LEAST) - p) >> _TURN)
-        for ids, sure, at, guess, k in zip(self.ids, self.sure, self.at, self.guess, self.k):
-            sure[at] = np.where(value == guess, np.minimum(k + 1, 7), 0)
-            ids[at] = value
+        for seen, at, guess, k in zip(self.seen, self.at, self.guess, self.k):
+            seen[at] = (value << _U(3)) | np.where(value == guess, np.minimum(k + _U(1), _U(7)), _U(0))
 
 
 def _layout(n_ids: int, length: int) -> np.ndarray:
