@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import words as wd
-from marginalia.llm.util import crc32_mod
+from marginalia.llm.util import crc32_mod, hash_sample
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 SAMPLE, SAMPLE_CHARS = 4_000, 600
@@ -141,11 +141,12 @@ class Network:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, hold: int = 2, sample: int = SAMPLE) -> Network | None:
     """Train on documents outside fold ``hold``: up to SAMPLE_CHARS characters from a hash-random place of each sampled text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     rows = rows.where(F.coalesce(crc32_mod("id", folds), F.lit(0)) != hold)
-    chosen = rows.select("lang", "text", F.xxhash64(F.lit(1), "id").alias("key")).orderBy("key", "text").limit(sample)
-    start = (F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1).cast("int")
-    found = chosen.select("lang", F.expr("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    total = rows.count()
+    start = (F.pmod(F.xxhash64(F.lit(12), "id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1).cast("int")
+    parts = rows.where("length(text) > 0").select("id", "lang", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
+    found = hash_sample(parts, "id", sample, total).collect()
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return None

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.llm import words as wd
-from marginalia.llm.util import crc32_mod
+from marginalia.llm.util import crc32_mod, hash_sample
 
 HEADS = (4, 5, 6)
 TERM_BITS, SAMPLE, FEATURES, FACTORS = 28, 6_000, 400, 4
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on documents outside fold ``hold``."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(crc32_mod("id", folds) != hold).groupBy("id").agg(F.max("label").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = hash_sample(known, "id", sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     found = rows.join(F.broadcast(known), "id").select("label", "text").mapInArrow(_features, "label int, terms array<int>, mark long").toArrow()
     kinds, marks = found.column("label").to_numpy(), found.column("mark").to_numpy()

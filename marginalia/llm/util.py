@@ -15,3 +15,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def crc32_mod(id_col: str, n: int):
     """The fold of a row: crc32 of its id as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:
+    """At most ``n`` rows, by a hash of the key, in hash order.
+
+    A threshold on the hash first leaves about 1.2 ``n`` rows of all tasks together, so what the tasks send for the ordered limit does not
+    grow with their number."""
+    total = df.count() if total is None else total
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(key)), 1)
+    if total > n:
+        df = df.where(place < F.lit(int(min(1.0, (1.2 * n + 100) / total) * (2**63 - 1))))
+    return df.orderBy(place, key).limit(n)
