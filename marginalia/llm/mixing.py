@@ -89,5 +89,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(half & (F.col("rest") > F.col("before")), 1).otherwise(0)).cast("int")
     counts = settle(counts.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).alias("__copies")), "copies").where("__copies > 0")
     columns = [docs[c] for c in docs.columns]
-    joined = docs.join(counts, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
+    joined = docs.join(counts.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id")))  # alike at every size
     return joined.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")

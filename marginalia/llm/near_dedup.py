@@ -246,7 +246,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     buckets = placed.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(placed.join(buckets, "bucket"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    bodies = settle(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    # texts are sorted to their ids at every size; a broadcast where the ids happen to be few would make the plan another one at scale
+    bodies = settle(rows.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (bodies.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
@@ -301,5 +302,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all columns of ``docs``."""
     stay = settle(groups(docs, id_col, text_col, similarity).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    out = docs.join(stay.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
     return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col])

@@ -64,7 +64,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     name = "shard" if "shard" not in docs.columns else "shard_id"
     places = assign(docs, limit, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("shard").alias("__shard"))
     columns = [docs[c] for c in docs.columns]
-    return docs.join(places, docs[id_col].cast("long").eqNullSafe(F.col("__id"))).select(*columns, F.col("__shard").alias(name))
+    return docs.join(places.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id"))).select(*columns, F.col("__shard").alias(name))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, **options) -> None:
