@@ -6,8 +6,8 @@ bytes and CRC-32. All blocks of a segment advance together, one id a step, so th
 Three models predict an id. Order 2 and order 1 remember the id that last followed the two ids, or the one id, before, and how
 often in a row they were right. Their two confidences together choose adaptive probabilities for "order 2 is right", "order 1 is right" and "neither",
 so the mixture learns how far to trust each. Order 0 gives the distribution of an id that neither predicts: counts of its upper byte, and of the
-lower bytes within eight groups of upper bytes, turned into cumulative frequencies at fixed steps. Each choice is one step of a range coder with
-32-bit bounds without carries. All arithmetic is on whole numbers, so every machine decodes the same.
+lower bytes within four groups of upper bytes, turned into cumulative frequencies at fixed steps. Each choice narrows the range of a coder with
+64-bit bounds without carries; settled bytes are shifted out once an id. All arithmetic is on whole numbers, so every machine decodes the same.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import zlib
 import numpy as np
 
 CONTEXT_BITS, BITS = 10, 15
-_ONE, _SIZE, _U = 1 << BITS, 1 << CONTEXT_BITS, np.uint32
+_ONE, _SIZE, _U, _L = 1 << BITS, 1 << CONTEXT_BITS, np.uint32, np.uint64
+_TOP, _BOTTOM, _GROUP_SHIFT = _L(1 << 56), _L(1 << 48), 6
 _MOST, _LEAST, _TURN = 16_000, 32, 5  # bounds and pace of the flags' probabilities
 _STEP, _FULL = 24, 60_000  # weight of one count, and the sum at which counts are halved
 
@@ -41,7 +42,7 @@ class _Cumulative:
         sums //= total
         sums += np.arange(1, 257, dtype=np.uint32)
         self.table[:, 0], self.table[:, 1:] = 0, sums
-        self.flat = self.table.reshape(-1)
+        self.flat, self.flat_counts = self.table.reshape(-1), self.counts.reshape(-1)
 
     def span(self, row: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = row * 257 + byte
@@ -56,7 +57,8 @@ class _Cumulative:
         return byte
 
     def learn(self, row: np.ndarray, byte: np.ndarray) -> None:
-        self.counts[row, byte] += np.uint16(_STEP)
+        at = row * 256 + byte
+        self.flat_counts[at] = self.flat_counts.take(at) + np.uint16(_STEP)
 
 
 class _Models:
@@ -66,7 +68,7 @@ class _Models:
         self.trust = [np.full(n * 64, 2000, np.int32) for _ in range(2)]  # order 2, order 1
         self.base, self.base64 = np.arange(n, dtype=np.int64) << CONTEXT_BITS, np.arange(n, dtype=np.int64) << 6
         self.upper = _Cumulative(n, 1)
-        self.lower = [_Cumulative(n, 8) for _ in range(n_bytes - 1)]
+        self.lower = [_Cumulative(n, 4) for _ in range(n_bytes - 1)]
 
     def begin(self, step: int) -> None:
         power = step & (step - 1) == 0
@@ -114,25 +116,28 @@ def _flag(a: np.ndarray, b: np.ndarray, right2: np.ndarray, right1: np.ndarray)
 
 
 class _Bounds:
-    """Lower bound and range of each block's coder."""
+    """Lower bound and range of each block's coder. Between two calls of ``settle`` there is room for a flag and two bytes."""
 
     def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFF, _U)
+        self.low, self.range = np.zeros(n, _L), np.full(n, 0xFFFFFFFFFFFFFFFF, _L)
 
     def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
-        """Take a span in the blocks ``lanes`` and shift out the bytes that are settled."""
-        r = self.range[lanes] >> _U(BITS)
-        low, span = self.low[lanes] + cum * r, freq * r
-        self.low[lanes], self.range[lanes] = low, span
-        due = np.flatnonzero(((low ^ (low + span)) < _U(1 << 24)) | (span < _U(1 << 16)))
-        at = due if isinstance(lanes, slice) else lanes[due]
+        r = self.range[lanes] >> _L(BITS)
+        self.low[lanes] += r * cum
+        self.range[lanes] = r * freq
+
+    def settle(self, m: int) -> None:
+        """Shift out the bytes that are settled, in the first m blocks."""
+        low, span = self.low[:m], self.range[:m]
+        at = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+        low, span = low[at], span[at]
         while len(at):
-            low, span = self.low[at], self.range[at]
-            span = np.where((low ^ (low + span)) < _U(1 << 24), span, (_U(0) - low) & _U(0xFFFF))
+            span = np.where((low ^ (low + span)) < _TOP, span, (_L(0) - low) & (_BOTTOM - _L(1)))
             self.shift(at, low)
-            low, span = low << _U(8), span << _U(8)
+            low, span = low << _L(8), span << _L(8)
             self.low[at], self.range[at] = low, span
-            at = at[((low ^ (low + span)) < _U(1 << 24)) | (span < _U(1 << 16))]
+            more = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+            at, low, span = at[more], low[more], span[more]
 
     def shift(self, at: np.ndarray, low: np.ndarray) -> None:
         raise NotImplementedError
@@ -144,34 +149,36 @@ class _Writer(_Bounds):
         self.out, self.used = np.zeros((n, room), np.uint8), np.zeros(n, np.int64)
 
     def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        self.out[at, self.used[at]] = low >> _U(24)
-        self.used[at] += 1
+        used = self.used[at]
+        self.out[at, used] = low >> _L(56)
+        self.used[at] = used + 1
 
     def make_room(self, most: int) -> None:
         if self.used.max() + most > self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
 
     def codes(self) -> list[bytes]:
-        return [self.out[i, :u].tobytes() + int(x).to_bytes(4, "big") for i, (u, x) in enumerate(zip(self.used.tolist(), self.low.tolist()))]
+        return [self.out[i, :u].tobytes() + int(x).to_bytes(8, "big") for i, (u, x) in enumerate(zip(self.used.tolist(), self.low.tolist()))]
 
 
 class _Reader(_Bounds):
     def __init__(self, codes: list[bytes]):
         super().__init__(len(codes))
-        begins = np.concatenate(([0], np.cumsum([len(c) + 8 for c in codes])))[:-1]
-        self.data = np.frombuffer(b"".join(c + bytes(8) for c in codes), np.uint8)
-        self.code = np.zeros(len(codes), _U)
-        for k in range(4):
-            self.code = (self.code << _U(8)) | self.data[begins + k]
-        self.used = begins + 4
+        begins = np.concatenate(([0], np.cumsum([len(c) + 16 for c in codes])))[:-1]
+        self.data = np.frombuffer(b"".join(c + bytes(16) for c in codes), np.uint8)
+        self.code = np.zeros(len(codes), _L)
+        for k in range(8):
+            self.code = (self.code << _L(8)) | self.data[begins + k]
+        self.used = begins + 8
 
     def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        self.code[at] = (self.code[at] << _U(8)) | self.data[np.minimum(self.used[at], len(self.data) - 1)]
-        self.used[at] += 1
+        used = self.used[at]
+        self.code[at] = (self.code[at] << _L(8)) | self.data[np.minimum(used, len(self.data) - 1)]
+        self.used[at] = used + 1
 
     def target(self, lanes) -> np.ndarray:
-        r = np.maximum(self.range[lanes] >> _U(BITS), _U(1))
-        return np.minimum((self.code[lanes] - self.low[lanes]) // r, _U(_ONE - 1))
+        r = np.maximum(self.range[lanes] >> _L(BITS), _L(1))
+        return np.minimum((self.code[lanes] - self.low[lanes]) // r, _L(_ONE - 1)).astype(_U)
 
 
 def _bytes(n_bytes: int):
@@ -208,11 +215,14 @@ def encode(ids: np.ndarray, length: int, n_bytes: int) -> tuple[list[bytes], lis
             first = own >> (8 * (n_bytes - 1))
             coder.narrow(rest, *models.upper.span(rest, first))
             models.upper.learn(rest, first)
-            group = rest * 8 + (first >> 5)
-            for table, shift in zip(models.lower, _bytes(n_bytes)):
+            group = rest * 4 + (first >> _GROUP_SHIFT)
+            for k, (table, shift) in enumerate(zip(models.lower, _bytes(n_bytes))):
+                if k:
+                    coder.settle(m)
                 byte = (own >> shift) & 255
                 coder.narrow(rest, *table.span(group, byte))
                 table.learn(group, byte)
+        coder.settle(m)
         before2, before = before, (value if m == n else np.append(value, _U(0)))
     plain = ids.astype("<u4")
     return coder.codes(), [zlib.crc32(plain[i * length : i * length + s].tobytes()) for i, s in enumerate(sizes.tolist())]
@@ -243,13 +253,16 @@ def decode(codes: list[bytes], checks: list[int], n_ids: int, length: int, n_byt
             first = models.upper.find(rest, coder.target(rest))
             coder.narrow(rest, *models.upper.span(rest, first))
             models.upper.learn(rest, first)
-            own, group = first, rest * 8 + (first >> 5)
-            for table in models.lower:
+            own, group = first, rest * 4 + (first >> _GROUP_SHIFT)
+            for k, table in enumerate(models.lower):
+                if k:
+                    coder.settle(m)
                 byte = table.find(group, coder.target(rest))
                 coder.narrow(rest, *table.span(group, byte))
                 table.learn(group, byte)
                 own = (own << 8) | byte
             value[rest] = own
+        coder.settle(m)
         models.learn(value, right2, right1)
         grid[step, :m] = value
         before2, before = before, (value if m == n else np.append(value, _U(0)))
