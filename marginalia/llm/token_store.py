@@ -66,7 +66,7 @@ class Encoder:
         new = np.flatnonzero(self.known[at] != unique) if len(self.known) else np.arange(len(unique))
         if len(new):
             some = [buf[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(start[where[new]].tolist(), stop[where[new]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            ids = [e.ids for k in range(0, len(some), 2048) for e in self.tokenizer.encode_batch(some[k : k + 2048], add_special_tokens=False)]  # the library's results are large
             length = np.array([len(x) for x in ids], np.int64)
             begin = len(self.pool) + np.concatenate(([0], np.cumsum(length)))[:-1]
             self.pool = np.concatenate((self.pool, np.array([y for x in ids for y in x], np.uint32)))
