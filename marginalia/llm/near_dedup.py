@@ -12,8 +12,9 @@
    the bucket, so no cap is needed, and a group of near copies is never compared within itself.
 
 Cases: null and empty texts, and texts without a word, have no shingles and are in no group. A text of fewer than five words
-is one shingle. A row without an id is grouped but never represents others that have one. Of equal ids with equal texts, ``keep`` returns
-one row. An empty table gives an empty table. Columns other than id and text are not read.
+is one shingle. A row without an id is grouped but never represents others that have one. Rows are known by id and a hash of the text, so two texts of one
+id, or of no id, are decided each on its own. Of equal ids with equal texts, ``keep`` returns one row; rows without an id and without a word all stay.
+An empty table gives an empty table. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sampler = idf.value.table, Sampler(BANDS * ROWS)
         for batch in batches:
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(2)
             for a, b, h, first, s, count, at in _sorted_shingles(batch.column(1)):
                 n = b - a
                 weight = count * table[_cell(s)]
@@ -172,7 +173,7 @@ def _signatures(idf):
                         bands[band, full[i:j]] = key
                     i = j
                 k1, k2 = wd.text_key(h, first)
-                columns = {"doc_id": ids.slice(a, n), "n": pa.array(np.diff(at), pa.int64()), "weight": pa.array(total), "k1": pa.array(k1), "k2": pa.array(k2)}
+                columns = {"doc_id": ids.slice(a, n), "mark": marks.slice(a, n), "n": pa.array(np.diff(at), pa.int64()), "weight": pa.array(total), "k1": pa.array(k1), "k2": pa.array(k2)}
                 yield pa.RecordBatch.from_pydict(columns | {f"b{k}": pa.array(bands[k].view(np.int64)) for k in range(BANDS)})
 
     return run
@@ -232,25 +233,33 @@ def _across(idf, least: float):
     return run
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least id of equal word sequence), group_id (least id of the component), kept."""
+def _mark(doc_id, text):
+    """A hash of the text, another one where there is no id: with the id (0 for none) it tells rows apart."""
+    return F.xxhash64(doc_id.isNull(), text)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The columns of ``groups``, and id (0 for none), mark and lone (no word) of each row.
+
+    A class is numbered (``rep``) once, when the classes are written; its representative row is ``rep_id`` and ``rep_mark``."""
     rows = texts(docs, id_col, text_col)
+    rows = rows.withColumn("mark", _mark(F.col("doc_id"), F.col("text")))
     sc = docs.sparkSession.sparkContext
     idf = sc.broadcast(Idf.fit(rows))
-    schema = "doc_id long, n long, weight double, k1 long, k2 long, " + ", ".join(f"b{k} long" for k in range(BANDS))
+    schema = "doc_id long, mark long, n long, weight double, k1 long, k2 long, " + ", ".join(f"b{k} long" for k in range(BANDS))
     signed = settle(rows.mapInArrow(_signatures(idf), schema), "signatures")
 
     bands = [f"b{k}" for k in range(BANDS)]
-    reps = settle(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), *[F.first(b).alias(b) for b in bands]), "classes")
-    placed = reps.where("rep IS NOT NULL").select("rep", "weight", F.explode(F.array(*bands)).alias("bucket"))
+    reps = settle(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("rep_mark"), F.first("weight").alias("weight"), *[F.first(b).alias(b) for b in bands]).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    placed = reps.select("rep", "weight", F.explode(F.array(*bands)).alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(placed.join(buckets, "bucket"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = members.select("rep").distinct().join(reps.select("rep", F.coalesce("rep_id", F.lit(0)).alias("id"), F.col("rep_mark").alias("mark")), "rep")
     # texts are sorted to their ids at every size; a broadcast where the ids happen to be few would make the plan another one at scale
-    bodies = settle(rows.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bodies")
+    bodies = settle(rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted.hint("merge"), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("rep", "text"), "bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (bodies.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        left, right = (bodies.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return settle(joined.mapInArrow(_similar(idf, similarity), "a long, b long, similarity double"), "links")
 
@@ -283,7 +292,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         largest = largest.select("bucket", F.col("g.label").alias("giant"), n_blocks(F.col("g.n"), F.col("g.w")).alias("in_giant"), n_blocks(F.col("n") - F.col("g.n"), F.col("w") - F.col("g.w")).alias("in_rest"))
         placed = joint.join(largest, "bucket").withColumn("is_giant", F.col("label") == F.col("giant"))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("is_giant"), F.col("in_giant")).otherwise(F.col("in_rest")))))
-        placed = placed.select("bucket", "is_giant", "block", "rep", "label").join(bodies.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        placed = placed.select("bucket", "is_giant", "block", "rep", "label").join(bodies, "rep")
         blocks = settle(placed.groupBy("bucket", "is_giant", "block").agg(F.collect_list(F.struct("rep", "label", "text")).alias("docs")), "blocks")
         rest = blocks.where(~F.col("is_giant")).select("bucket", F.col("block").alias("block_a"), F.col("docs").alias("docs_a"))
         others = blocks.select("bucket", "is_giant", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
@@ -292,15 +301,34 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         if not more.isEmpty():
             labels = components(links.select("a", "b").unionByName(more))
 
-    found = labelled(reps.select("k1", "k2", F.col("rep").alias("class_id")), "class_id", labels, "group_id")
-    out = signed.select("doc_id", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
+    # a component is represented by the representative of least id among its classes, those without an id last
+    linked = labels.join(reps.select(F.col("rep").alias("node"), "rep_id", "rep_mark"), "node")
+    heads = linked.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("missing"), "rep_id", "rep_mark")).alias("head"))
+    heads = labels.join(heads, "label").select(F.col("node").alias("rep"), "head")
+    own = F.struct(F.col("rep_id").isNull().alias("missing"), "rep_id", "rep_mark")
+    found = reps.select("rep", "k1", "k2", "rep_id", "rep_mark").join(heads, "rep", "left").select("k1", "k2", F.col("rep_id").alias("class_id"), F.coalesce("head", own).alias("head"))
+    out = signed.select("doc_id", "mark", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
     lone = F.col("n") == 0
-    out = out.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    out = out.select(
+        "doc_id", "mark", lone.alias("lone"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(lone, F.col("doc_id")).otherwise(F.col("head.rep_id")).alias("group_id"), F.when(lone, F.col("mark")).otherwise(F.col("head.rep_mark")).alias("group_mark"),
+    )
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark")))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (least id of equal word sequence), group_id (least id of the component), kept, group_mark.
+
+    ``group_mark``, a hash of the representative's text, tells components of equal group_id apart: those of several texts of one id, or without an id."""
+    return _decided(docs, id_col, text_col, similarity).select("doc_id", "class_id", "group_id", "kept", "group_mark")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all columns of ``docs``."""
-    stay = settle(groups(docs, id_col, text_col, similarity).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(stay.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
+    stay = _decided(docs, id_col, text_col, similarity).where("kept")
+    stay = settle(stay.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("mark").alias("__mark")).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("doc_id").isNull() & F.col("lone")).alias("__free")), "kept")
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__mark": _mark(doc_id, text)}).join(stay.hint("merge"), ["__id", "__mark"])
+    if not stay.where("__n > 1 AND NOT __free").isEmpty():
+        out = out.withColumn("__row", F.when(F.col("__free"), F.monotonically_increasing_id())).dropDuplicates(["__id", "__mark", "__row"])
+    return out.select(*docs.columns)

@@ -143,6 +143,17 @@ def test_near_dedup_edge_cases(hard, empty):
     assert near_dedup.groups(empty).count() == 0 and near_dedup.keep(hard).columns == hard.columns
 
 
+def test_near_dedup_keeps_different_texts_of_one_id_and_of_no_id(spark):
+    near, a, b = prose(200, 61), prose(60, 62), prose(60, 63)
+    docs = [(None, prose(60, 64)), (None, prose(60, 65)), (None, near), (None, prose(60, 65)), (5, a), (5, b), (5, a), (6, edit(b, 0, 1).upper()), (7, edit(near, 1, 2)), (8, edit(prose(200, 66), 1, 3)), (None, prose(200, 66)), (9, "***"), (9, "---"), (None, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in rows(near_dedup.keep(df))]
+    want = [(None, prose(60, 64)), (None, prose(60, 65)), (5, a), (5, b), (7, edit(near, 1, 2)), (8, edit(prose(200, 66), 1, 3)), (9, "***"), (9, "---"), (None, ""), (None, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    parts = {(g["group_id"], g["group_mark"]) for g in rows(near_dedup.groups(df)) if g["group_id"] == 5}
+    assert len(parts) == 2
+
+
 def test_weighted_sampling_agrees_with_weighted_similarity():
     rng = np.random.default_rng(0)
     s = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
