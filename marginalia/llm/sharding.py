@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.llm.util import settle
 
@@ -21,12 +21,15 @@ LIMIT = 1 << 20
 BITS, ID_BITS = 60, 40
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, size=None) -> DataFrame:
+def _place(id_col: str) -> Column:
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     by_id = F.conv(F.substring(digest, 1, ID_BITS // 4), 16, 10).cast("long")
     by_row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << (BITS - ID_BITS)))
-    n_bytes = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") if size is None else size.cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.shiftleft(by_id, BITS - ID_BITS) + by_row).alias("hash"), n_bytes.alias("n_bytes"))
+    return F.shiftleft(by_id, BITS - ID_BITS) + by_row
+
+
+def _bytes(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
 
 
 def _split(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
@@ -38,33 +41,42 @@ def _split(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return found.groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes", "shard_docs"), "depth").alias("s")).select("cell", "s.*")
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, shard (depth and prefix bits, as text), depth, shard_bytes, shard_docs."""
-    rows = settle(_placed(docs, id_col, text_col), "places")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+def _sharded(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (settled, with __hash and __bytes) with a struct __s: depth, prefix, shard_bytes, shard_docs."""
+    total = rows.agg(F.sum("__bytes")).first()[0] or 0
     bits = min(ID_BITS, max(0, math.ceil(math.log2(max(1, total / limit))) + 3))
-    coarse = rows.withColumn("cell", F.shiftleft(F.shiftright("hash", BITS - bits), BITS - bits)) if bits else rows.withColumn("cell", F.lit(0).cast("long"))
-    cells = coarse.groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs"))
-    first = settle(_split(cells, 0, bits, limit), "directory")
-    placed = coarse.join(first, "cell")
+    cell = F.shiftleft(F.shiftright("__hash", BITS - bits), BITS - bits) if bits else F.lit(0).cast("long")
+    sums = [F.sum("__bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs")]
+    first = settle(_split(rows.groupBy(cell.alias("cell")).agg(*sums), 0, bits, limit), "directory")
+    found = F.struct("depth", "prefix", "shard_bytes", "shard_docs")
+    placed = rows.withColumn("__cell", cell).join(first.select(F.col("cell").alias("__cell"), found.alias("__s")), "__cell")
     done = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") <= 1)
-    columns = ["doc_id", "n_bytes", F.concat_ws("-", F.col("depth").cast("string"), F.col("prefix").cast("string")).alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs"]
     if first.where(~done).isEmpty():
-        return placed.select(*columns)
-    deep = placed.where(~done).select("doc_id", "n_bytes", F.col("hash").alias("cell"))
-    fine = deep.groupBy("cell").agg(F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs"))
+        return placed
+    crowded = first.where(~done).select(F.col("cell").alias("__cell"))
+    fine = rows.select(cell.alias("__cell"), "__hash", "__bytes").join(crowded, "__cell", "left_semi").groupBy(F.col("__hash").alias("cell")).agg(*sums)
     second = settle(_split(fine, bits + 1, BITS, limit), "directory")
-    return placed.where(done).select(*columns).unionByName(deep.join(second, "cell").select(*columns))
+    placed = placed.join(second.select(F.col("cell").alias("__hash"), found.alias("__deep")), "__hash", "left")
+    return placed.withColumn("__s", F.coalesce("__deep", "__s"))
+
+
+def _name() -> Column:
+    return F.concat_ws("-", F.col("__s.depth").cast("string"), F.col("__s.prefix").cast("string"))
+
+
+def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, shard (depth and prefix bits, as text), depth, shard_bytes, shard_docs."""
+    rows = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), _place(id_col).alias("__hash"), _bytes(text_col).alias("__bytes")), "places")
+    return _sharded(rows, limit).select("doc_id", F.col("__bytes").alias("n_bytes"), _name().alias("shard"), F.col("__s.depth").cast("int").alias("depth"), "__s.shard_bytes", "__s.shard_docs")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their shard in a column ``shard`` (``shard_id`` where docs has one of that name).
 
-    Rows meet their shard by id; rows of one id keep together here."""
+    Each row is written once with its place and gets the shard of that place, so rows of one id part where the limit asks for it."""
     name = "shard" if "shard" not in docs.columns else "shard_id"
-    places = assign(docs, limit, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("shard").alias("__shard"))
-    columns = [docs[c] for c in docs.columns]
-    return docs.join(places.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id"))).select(*columns, F.col("__shard").alias(name))
+    rows = settle(docs.withColumns({"__hash": _place(id_col), "__bytes": _bytes(text_col)}), "places")
+    return _sharded(rows, limit).select(*docs.columns, _name().alias(name))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, **options) -> None:

@@ -375,6 +375,17 @@ def test_sharding_of_one_repeated_id_and_of_nothing(spark, hard, empty):
     assert out.columns == [*hard.columns, "shard_id"] and out.count() == len(HARD)
 
 
+def test_shard_keeps_the_limit_for_rows_of_repeated_and_missing_ids(spark):
+    docs = [(i // 2, "x" * 700) for i in range(40)] + [(None, "y" * (300 + i)) for i in range(30)] + [(99, "z" * 100)] * 30
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = rows(sharding.shard(df, 1000))
+    sums = {}
+    for g in got:
+        sums.setdefault(g["shard"], []).append(len(g["text"]))
+    assert sorted((str(g["doc_id"]), g["text"]) for g in got) == sorted((str(i), t) for i, t in docs)
+    assert all(sum(x) <= 1000 or len(x) == 1 for x in sums.values())
+
+
 # pages
 
 
