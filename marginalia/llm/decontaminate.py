@@ -1,16 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, searched by multi-index Hamming blocks, verified exactly.
+"""Benchmark decontamination: windows of the items' length, bounded by shared shingle weight, verified exactly.
 
 A document is contaminated by an item when a window of as many words as the item holds at least 0.8 of the weight of the item's
-five-word shingles (an item of fewer words is one shingle).
+five-word shingles (an item of fewer words is one shingle). A shingle weighs log(1 + items / items that have it), over all items.
 
-1. A window of such similarity shares a shingle with the item, and at least one shared shingle gives it its place. So the windows
-   of a document that can match at all are those that a shingle of an item points to; all others are left out without loss.
-2. Each window gets a 64-bit SimHash of its words. Fingerprints within radius 19 agree with the item's in at least one of 20 blocks
-   of bits; the blocks' tables give the candidates, and the full distance then holds for each.
-3. A candidate is verified by exact weighted similarity of shingles. A shingle weighs log(1 + items / items that have it).
+1. An index of the items' shingles gives, for each document and item, the shared shingles and their places. An item whose shared weight in the
+   whole document is below 0.8 of its own matches no window of it.
+2. A window that begins at its first shared shingle holds all that an earlier begin would hold; so windows begin at shared shingles, and where a
+   shared shingle would put the item's first word (that is the place reported). Windows whose shared places weigh too little are left out: a bound from above.
+3. The rest are verified by exact weighted similarity, so nothing is lost against a search of all windows.
+
+A SimHash of the words within radius 19 (``Items.candidates``, in 20 Hamming blocks) does not decide: it counts all words alike, and windows that hold 0.8 of
+the weight can be farther away.
 
 Benchmarks are read in blocks of at most about 8 MB of text, each broadcast to one pass over all documents, so no item table
-grows without bound. The decision for a document needs only its own text: there is no shuffle.
+grows without bound. The decision for a document needs only its own text: there is no shuffle of documents.
 
 Cases: null and empty texts and texts without words are clean; null, empty or wordless items match nothing; repeated documents get
 the same result, repeated items each their own id; an item of null id is not matched. Other columns are not read.
@@ -18,14 +21,19 @@ the same result, repeated items each their own id; an item of null id is not mat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.llm import words as wd
+from marginalia.llm.util import settle
 
 SIMILARITY, SHINGLE, RADIUS = 0.8, 5, 19
 BLOCK_BYTES = 8 << 20
+_PAIRS = 1 << 20
 _WIDTHS = [3] * 16 + [4] * 4  # RADIUS + 1 blocks, 64 bits
 _STARTS = np.concatenate(([0], np.cumsum(_WIDTHS)))[:-1]
 RESULT = "struct<item_ids: array<long>, similarities: array<double>, first_words: array<long>>"
@@ -40,10 +48,29 @@ def _blocks(fingerprint: int) -> list[int]:
     return [(fingerprint >> int(s)) & ((1 << w) - 1) for s, w in zip(_STARTS, _WIDTHS)]
 
 
+def item_shingles(words: np.ndarray) -> np.ndarray:
+    k = min(SHINGLE, len(words))
+    return wd.chain(words, k)[: len(words) - k + 1]
+
+
+def _runs(size: np.ndarray):
+    """Runs of places that have about _PAIRS entries together."""
+    upto, x = np.cumsum(size), 0
+    while x < len(size):
+        y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + _PAIRS, "right")))
+        yield x, y
+        x = y
+
+
+class _Slice(list):
+    """The same hits, for a call that has some of the items."""
+
+
 class Items:
     """The items of one block of the benchmark."""
 
-    def __init__(self, ids: list[int], bodies: list[str], similarity: float = SIMILARITY):
+    def __init__(self, ids: list[int], bodies: list[str], similarity: float = SIMILARITY, n_items: int | None = None, shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """``n_items`` and ``shared`` (shingles, sorted, and the items that have them): counts over all items, where these are one block of them."""
         self.similarity = similarity
         (_, _, buf, offs), *_ = wd.text_slices(pa.array(bodies, pa.large_string()), 1 << 62)
         h, _, _, first = wd.words(buf, offs)
@@ -53,29 +80,35 @@ class Items:
         parts = [h[first[i] : first[i + 1]] for i in has]
         self.n_words = self.n_words[has]
         self.fingerprints = np.array([simhash(p) for p in parts], np.uint64)
-        self.tables = [np.zeros((1 << w, len(parts)), bool) for w in _WIDTHS]
-        for i, f in enumerate(self.fingerprints.tolist()):
-            for table, value in zip(self.tables, _blocks(f)):
-                table[value, i] = True
         # shingles of each item by length (items of one to four words have one shingle of that length)
         self.own: list[tuple[np.ndarray, np.ndarray]] = []
         places: dict[int, list] = {}
         for i, p in enumerate(parts):
-            k = min(SHINGLE, len(p))
-            s = wd.chain(p, k)[: len(p) - k + 1]
-            places.setdefault(k, []).append((s, np.full(len(s), i), np.arange(len(s))))
+            s = item_shingles(p)
+            places.setdefault(min(SHINGLE, len(p)), []).append((s, np.full(len(s), i), np.arange(len(s))))
             self.own.append(np.unique(s, return_counts=True))
         every, df = np.unique(np.concatenate([s for s, _ in self.own]) if parts else np.zeros(0, np.uint64), return_counts=True)
-        self.every, self.weight = every, np.log(1 + len(parts) / np.maximum(df, 1))
+        if shared is not None and len(shared[0]) and len(every):
+            at = np.minimum(np.searchsorted(shared[0], every), len(shared[0]) - 1)
+            df = np.where(shared[0][at] == every, shared[1][at], df)
+        self.every, self.weight = every, np.log(1 + (len(parts) if n_items is None else n_items) / np.maximum(df, 1))
         self.total = [float((c * self._weigh(s)).sum()) for s, c in self.own]
         self.places = {}
         for k, found in places.items():
             s, item, offset = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(s, kind="stable")
+            order = np.lexsort((offset, item, s))
             gate = np.zeros(1 << 20, bool)
             gate[(s >> np.uint64(44)).view(np.int64)] = True
             self.places[k] = (s[order], item[order], offset[order], gate)
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        tables = [np.zeros((1 << w, len(self.ids)), bool) for w in _WIDTHS]
+        for i, f in enumerate(self.fingerprints.tolist()):
+            for table, value in zip(tables, _blocks(f)):
+                table[value, i] = True
+        return tables
+
     def _weigh(self, s: np.ndarray) -> np.ndarray:
         return self.weight[np.searchsorted(self.every, s)]
 
@@ -96,37 +129,86 @@ class Items:
         _, x, y = np.intersect1d(own, s, assume_unique=True, return_indices=True)
         return float((np.minimum(tf[x], c[y]) * self._weigh(own[x])).sum()) / self.total[item]
 
+    def _match(self, h, first, k, at, lo, hi, doc, hits) -> None:
+        """Matches of some documents with the items whose shingles have k words. ``lo``, ``hi``: entries of the index with the shingle at ``at``."""
+        table, item, offset, _ = self.places[k]
+        size, n_ids = hi - lo, len(self.ids)
+        slices = min(n_ids, int(size.sum()) // (4 * _PAIRS) + 1)
+        if slices > 1 and lo.size and not isinstance(hits, _Slice):  # a long document of very common shingles: some items at a time
+            rank = np.concatenate(([0], np.cumsum(table[1:] != table[:-1])))
+            key, base = rank * n_ids + item, rank[lo] * n_ids
+            edges = np.linspace(0, n_ids, slices + 1).astype(np.int64)
+            for u, v in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                self._match(h, first, k, at, np.searchsorted(key, base + u), np.searchsorted(key, base + v), doc, _Slice(hits))
+            return
+        m = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - lo, size)
+        place, pair, entry = np.repeat(at, size), np.repeat(doc, size) * len(self.ids) + item[m], table[m]
+        once = np.ones(len(m), bool)  # an item that repeats a shingle has an entry for each, side by side
+        once[1:] = (place[1:] != place[:-1]) | (pair[1:] != pair[:-1])
+        weight = np.where(once, self._weigh(entry), 0.0)
+        pairs, group = np.unique(pair, return_inverse=True)
+        # an item's whole weight is the most that a shared place can be worth; the least needed tells which pairs can match
+        need = (self.similarity - 1e-9) * np.array(self.total)[pairs % len(self.ids)]
+        able = np.bincount(group, weight, len(pairs)) >= need * (1 - 1e-9)
+        order = np.flatnonzero(able[group])
+        order = order[np.argsort(group[order], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+            g = group[part[0]]
+            d, i = divmod(int(pairs[g]), len(self.ids))
+            begin, end, n = int(first[d]), int(first[d + 1]), int(self.n_words[i])
+            p, w = place[part], np.concatenate(([0.0], np.cumsum(weight[part])))
+            starts = np.unique(np.concatenate((p, np.maximum(begin, p - offset[m[part]]))))
+            bound = w[np.searchsorted(p, starts + n - k, "right")] - w[np.searchsorted(p, starts, "left")]
+            fit = bound >= need[g] * (1 - 1e-9) - 1e-9
+            starts, bound = starts[fit], bound[fit] / self.total[i] + 1e-9
+            best = None
+            for j in np.lexsort((starts, -bound)).tolist():
+                start = int(starts[j])
+                if best is not None and (bound[j] < best[0] or best[0] >= 1 - 1e-9 and start > best[1]):
+                    continue
+                sim = self.similar(i, h[start : min(end, start + n)])
+                if sim >= self.similarity - 1e-9 and (best is None or (-sim, start) < (-best[0], best[1])):
+                    best = (sim, start)
+            if best is not None:
+                hits[d][i] = best
+
     def search(self, column: pa.Array) -> pa.Array:
         found: list[dict[int, tuple[float, int]]] = []
         for a, b, buf, offs in wd.text_slices(column):
             h, _, _, first = wd.words(buf, offs)
             hits: list[dict[int, tuple[float, int]]] = [{} for _ in range(b - a)]
-            windows = set()
             for k, (table, item, offset, gate) in self.places.items():
                 s = wd.chain(h, k)
                 at = np.flatnonzero(gate[(s >> np.uint64(44)).view(np.int64)])
                 lo, hi = np.searchsorted(table, s[at], "left"), np.searchsorted(table, s[at], "right")
-                at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
                 doc = np.searchsorted(first, at, "right") - 1
-                inside = at + k <= first[doc + 1]
-                for p, d, i, j in zip(at[inside].tolist(), doc[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
-                    begin, end = int(first[d]), int(first[d + 1])
-                    for m in range(i, j):
-                        start = p - int(offset[m])
-                        windows.add((d, max(begin, start), min(end, start + int(self.n_words[item[m]]))))
-            for d, start, end in windows:
-                window = h[start:end]
-                for i in self.candidates(simhash(window)).tolist():
-                    sim = self.similar(i, window)
-                    best = hits[d].get(i)
-                    if sim >= self.similarity - 1e-9 and (best is None or (-sim, start) < (-best[0], best[1])):
-                        hits[d][i] = (sim, start)
+                inside = (hi > lo) & (at + k <= first[doc + 1])
+                at, lo, hi, doc = at[inside], lo[inside], hi[inside], doc[inside]
+                for x, y in _runs(hi - lo):
+                    # runs end between documents, unless one document alone is longer
+                    x = int(np.searchsorted(doc, doc[x], "left")) if x else x
+                    y = int(np.searchsorted(doc, doc[y], "left")) if y < len(doc) else y
+                    if x < y:
+                        self._match(h, first, k, at[x:y], lo[x:y], hi[x:y], doc[x:y], hits)
             for d, x in enumerate(hits):
                 found.append({int(self.ids[i]): (sim, start - int(first[d])) for i, (sim, start) in x.items()})
         rows = [sorted(x.items()) for x in found]
         return pa.array([{"item_ids": [i for i, _ in r], "similarities": [s for _, (s, _) in r], "first_words": [w for _, (_, w) in r]} for r in rows], pa.struct([("item_ids", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float64())), ("first_words", pa.list_(pa.int64()))]))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, text) to (block, shingle, items): a row for each shingle of an item, and one that counts the items with words."""
+    for batch in batches:
+        blocks = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b, buf, offs in wd.text_slices(batch.column(1)):
+            h, _, _, first = wd.words(buf, offs)
+            for i in range(b - a):
+                if first[i] < first[i + 1]:
+                    s = np.unique(item_shingles(h[first[i] : first[i + 1]])).view(np.int64)
+                    n = len(s)
+                    yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(n + 1, blocks[a + i])), "shingle": pa.array([*s.tolist(), None], pa.int64()), "items": pa.array([0] * n + [1], pa.int64())})
+
+
 def finder(items: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES):
     """A function from a text column to the column of its matches (RESULT)."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND length(text) > 0")
@@ -134,10 +216,23 @@ def finder(items: DataFrame, id_col: str = "item_id", text_col: str = "text", si
     n_blocks = size // block_bytes + 1
     sc = items.sparkSession.sparkContext
     functions = []
+    n_items = counts = None
+    if n_blocks > 1:  # weights are counted once, over all items; a shingle of one item alone needs no row
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
+        every = settle(rows.select("block", "text").mapInArrow(_shingles, "block long, shingle long, items long"), "item_shingles")
+        n_items = every.agg(F.sum("items")).first()[0] or 0
+        df = every.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        counts = settle(every.join(df, "shingle").select("block", "shingle", "n").distinct(), "item_counts")
     for block in range(n_blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id").collect()  # about block_bytes
         if part:
-            shared = sc.broadcast(Items([r["item_id"] for r in part], [r["text"] for r in part], similarity))
+            common = None
+            if counts is not None:
+                found = counts.where(F.col("block") == block).collect()  # at most the shingles of the block
+                common = np.array([r["shingle"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+                order = np.argsort(common[0])
+                common = common[0][order], common[1][order]
+            shared = sc.broadcast(Items([r["item_id"] for r in part], [r["text"] for r in part], similarity, n_items, common))
             functions.append(_search(shared))
 
     def matches(text: Column) -> Column:

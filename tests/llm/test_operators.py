@@ -228,6 +228,39 @@ def test_hamming_blocks_find_every_fingerprint_within_radius():
             assert items.candidates(g).tolist() == want
 
 
+def test_decontamination_search_against_all_windows(monkeypatch):
+    import pyarrow as pa
+
+    from marginalia.llm import words as wd
+
+    r, instruction = random.Random(8), prose(24, 70)
+    bodies = [instruction + " " + prose(36, 700 + i) for i in range(60)] + [prose(3, 71), prose(20, 72) + " " + prose(20, 72), prose(12, 73)]
+    items = decontaminate.Items(list(range(len(bodies))), bodies)
+    docs = [prose(30, 800 + i) + " " + prose(36, 700 + i) + " " + prose(40, 850 + i) for i in range(20)]  # the items without their instruction
+    docs += [prose(36, 700 + i) + " " + instruction for i in range(20, 24)] + [" ".join(bodies[24].split()[30:] + bodies[24].split()[:30]) + " " + prose(9, 1)]
+    docs += [edit(b, r.randint(0, 4), i) + " " + prose(20, i) for i, b in enumerate(bodies)] + [" ".join([instruction] * 5), prose(20, 72), ""]
+    hashes = [wd.words(buf, offs)[0] for d in docs for _, _, buf, offs in wd.text_slices(pa.array([d], pa.large_string()))]
+    want = []
+    for h in hashes:
+        sims = {i: max((items.similar(i, h[a : a + n]) for a in range(len(h))), default=0.0) for i, n in enumerate(items.n_words.tolist())}
+        want.append({i: round(x, 9) for i, x in sims.items() if x >= items.similarity - 1e-9})
+    assert sum(map(len, want)) > 60
+    for pairs in (1 << 20, 10):
+        monkeypatch.setattr(decontaminate, "_PAIRS", pairs)
+        got = items.search(pa.array(docs, pa.large_string())).to_pylist()
+        assert [dict(zip(g["item_ids"], (round(x, 9) for x in g["similarities"]))) for g in got] == want
+    far = [bin(decontaminate.simhash(h[30:90]) ^ int(items.fingerprints[i])).count("1") for i, h in enumerate(hashes[:20])]
+    assert max(far) > decontaminate.RADIUS and all(i in want[i] for i in range(20))
+
+
+def test_decontamination_weighs_shingles_over_all_blocks(spark):
+    shared = prose(20, 90)
+    items = spark.createDataFrame([(i, shared + " " + prose(20, 900 + i)) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(20, 900 + i)) for i in range(12)] + [(50, shared + " " + prose(20, 903))], "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], sorted(zip(r["item_ids"], [round(x, 9) for x in r["similarities"]]))) for r in rows(decontaminate.annotate(docs, items, block_bytes=b, similarity=0.5))) for b in (1 << 20, 600))
+    assert one == many and sum(len(x) for _, x in one) == 13
+
+
 # licenses
 
 
