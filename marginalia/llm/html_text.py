@@ -8,7 +8,8 @@ For every node of the page's tree: characters, characters in links, tags and lin
 on the path from the body to the node of the largest density sum is the threshold: the main content is the subtree of the largest density sum
 among the nodes that reach it. Elements that are never article text (scripts, forms, menus,
 headers and footers of the page, and elements whose class, id or role says advert, sidebar, notice, comment and the like) are left out
-before counting; an explicit ``article`` or ``main`` element bounds the search.
+before counting. An explicit ``article`` or ``main`` element is the text as a whole, whatever part of it has the largest density sum, with the page's other
+elements of its name that are not inside one; density takes out of them the lists of links (most characters in two links or more, density below the threshold).
 
 Blocks: text between block-level tags or line breaks, white space as one space, trimmed, empty ones dropped, joined by one line feed.
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LISTS = frozenset("article div section ul ol dl table center main".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("br body html td th tr tbody thead tfoot option".split())
@@ -146,7 +148,8 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
+def main_nodes(root: Node) -> list[Node]:
+    """The nodes that hold the main text, in the page's order."""
     nodes = _walk(root)
     for node in reversed(nodes):
         for c in node.children:
@@ -181,7 +184,21 @@ def main_node(root: Node) -> Node:
     found = max(reach, key=lambda n: n.total) if reach else top
     while found is not top and found.parent is not None and found.tag not in ("article", "main", "div", "section", "td", "body"):
         found = found.parent  # a paragraph or an unclosed inline tag is part of a text, not the text
-    return top if top.tag in ("article", "main") and found is not top else found
+    if top.tag not in ("article", "main"):
+        return [found]
+    # the element's text and that of the page's other outermost elements of its name, without lists of links that do not reach the threshold
+    within = {id(n) for body in bodies for n in _walk(body)[1:]}
+    parts = [n for n in bodies if n is top or n.tag == top.tag and id(n) not in within and n.chars and not _links(n, threshold)]
+    for part in parts:
+        for node in _walk(part)[1:]:
+            if node.tag in LISTS and _links(node, threshold):
+                node.skip = True
+    return parts
+
+
+def _links(node: Node, threshold: float) -> bool:
+    """Whether a node is a list of links: two links or more, most of its characters in them, and less dense than the text."""
+    return node.link_tags > 1 and 2 * node.link_chars > node.chars and node.density < threshold and not any(n.tag == "h1" for n in _walk(node))
 
 
 def blocks(node: Node) -> list[str]:
@@ -210,7 +227,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract(page: str) -> str:
-    return "\n".join(blocks(main_node(parse(page)))) if page else ""
+    return "\n".join(line for node in main_nodes(parse(page)) for line in blocks(node)) if page else ""
 
 
 @F.arrow_udf(StringType())

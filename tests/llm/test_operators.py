@@ -440,3 +440,11 @@ def test_pages(spark):
 def test_density_finds_the_text_without_article_tags():
     page = "<body><div id=top>" + "<a href=x>link</a> " * 30 + "</div><div><div><p>" + prose(80, 1) + "</p><p>" + prose(60, 2) + "</p></div></div><div>" + "<a href=y>more links here</a> " * 20 + "</div></body>"
     assert html_text.extract(page) == prose(80, 1) + "\n" + prose(60, 2)
+
+
+def test_density_decides_inside_articles_and_joins_their_siblings():
+    links = "".join(f"<li><a href=x{i}>read story number {i} of today</a></li>" for i in range(12))
+    a, b = prose(80, 3), prose(60, 4)
+    assert html_text.extract(f"<main><h1>Head</h1><div><p>{a}</p></div><p>Short.</p><div class=more><ul>{links}</ul></div><div><p>{b}</p></div></main>") == f"Head\n{a}\nShort.\n{b}"
+    page = f"<div><article><h2>One</h2><p>{a}</p></article><article><ul>{links}</ul></article><article><h2>Two</h2><p>{b}</p><p>End.</p></article></div>"
+    assert html_text.extract(page) == f"One\n{a}\nTwo\n{b}\nEnd."
