@@ -6,9 +6,10 @@ For every node of the page's tree: characters, characters in links, tags and lin
 
 (C characters, LC link characters, T tags, LT link tags; zero counts as one). A node's density sum is that of its children. The least density
 on the path from the body to the node of the largest density sum is the threshold: the main content is the subtree of the largest density sum
-among the nodes that reach it. Elements that are never article text (scripts, forms, menus,
+among the nodes that reach it. Elements that are never article text (scripts, menus,
 headers and footers of the page, and elements whose class, id or role says advert, sidebar, notice, comment and the like) are left out
-before counting. An explicit ``article`` or ``main`` element is the text as a whole, whatever part of it has the largest density sum, with the page's other
+before counting. A name that only states something (has-sidebar, comments-open) is none of these, and an element left out by its name, or a form, comes back
+if it holds most of the page's characters outside links. An explicit ``article`` or ``main`` element is the text as a whole, whatever part of it has the largest density sum, with the page's other
 elements of its name that are not inside one; density takes out of them the lists of links (most characters in two links or more, density below the threshold).
 
 Blocks: text between block-level tags or line breaks, white space as one space, trimmed, empty ones dropped, joined by one line feed.
@@ -32,8 +33,12 @@ LISTS = frozenset("article div section ul ol dl table center main".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("br body html td th tr tbody thead tfoot option".split())
-NEVER = frozenset("head script style noscript template iframe object embed svg canvas audio video form button select textarea input label nav footer aside menu dialog title".split())
+NEVER = frozenset("head script style noscript template iframe object embed svg canvas audio video button select textarea input label nav footer aside menu dialog title".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|side-?bar|aside|nav(?:bar|igation)?|menu|bread-?crumbs?|header|masthead|footer|cookies?|consent|notices?|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|comment-?list|replies|respond|disqus|discussion|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|toolbar|skip-?link|copyright|legal)(?=$|[\s_-])", re.I)
+#: Words that state what a page has, and are no name of a part: has-sidebar, comments-open
+STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|no|not|with|without|is|hide|show)[_-]\S+|\S+[_-](?:open|opened|closed|enabled|disabled|allowed|active|on|off))(?=$|\s)", re.I)
+#: An element that is left out by its name comes back if it holds more than this share of the page's characters outside links
+NAMED, PARTLY_NAMED = 0.9, 0.5
 #: The head of the article itself
 OWN_HEAD = re.compile(r"(?:article|post|entry|content|story)[-_]?(?:header|title|head)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -46,32 +51,38 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "skip", "share", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent, skip: bool):
-        self.tag, self.parent, self.children, self.skip = tag, parent, [], skip
+    def __init__(self, tag: str, parent, share: float | None):
+        self.tag, self.parent, self.children, self.skip, self.share = tag, parent, [], share is not None, share or 0.0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noisy(tag: str, attributes: str, in_article: bool) -> bool:
+def _noisy(tag: str, attributes: str, in_article: bool) -> float | None:
+    """None for an element that stays, else the share of the page's characters above which it comes back (1 for never)."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return 1.0
+    found = PARTLY_NAMED if tag == "form" else None
     if "=" in attributes and tag not in ("body", "html", "article", "main"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), values[0] or values[1] or values[2]
-            if name in ("class", "id") and NOISE.search(OWN_HEAD.sub(" ", value)) or name == "role" and value.lower() in ROLES:
-                return True
+            if name in ("class", "id"):
+                value = STATE.sub(" ", OWN_HEAD.sub(" ", value))
+                if NOISE.search(value):
+                    found = max(found or 0.0, NAMED if any(NOISE.fullmatch(word) for word in value.split()) else PARTLY_NAMED)
+            elif name == "role" and value.lower() in ROLES:
+                found = NAMED if value.lower() != "form" else PARTLY_NAMED
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return 1.0
     elif attributes.strip().lower() == "hidden":
-        return True
-    return False
+        return 1.0
+    return found
 
 
 def parse(page: str) -> Node:
     """The page's tree, children being nodes and decoded texts."""
-    root = node = Node("html", None, False)
+    root = node = Node("html", None, None)
     at, articles = 0, 0
 
     def add(text: str) -> None:
@@ -105,7 +116,7 @@ def parse(page: str) -> Node:
             if look.parent is not None and not (tag not in BLOCK and any(True for _ in _blocks_between(node, look))):
                 close(look)
             elif tag == "p" or tag == "br":
-                node.children.append(Node("br", node, False))
+                node.children.append(Node("br", node, None))
             continue
         if tag in CLOSES_P:  # a block ends an open paragraph and what is open in it
             look = node
@@ -123,7 +134,7 @@ def parse(page: str) -> Node:
         node.children.append(child)
         if tag in RAW:  # its content is not markup
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if not child.skip:
+            if child.share < 1:
                 child.children.append(entities.unescape(page[at : end.start() if end else len(page)]))
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
@@ -148,8 +159,32 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _restore(root: Node) -> None:
+    """Bring back elements that were left out by their name and hold the page's text; if nothing else has text, all that were left out by a part of a name."""
+    nodes, named, stack = [], [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        if node.skip:
+            named.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and c.share < 1)
+    if not named:
+        return
+    plain: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(_SPACE.sub(" ", c).strip()) if isinstance(c, str) else plain.get(id(c), 0) for c in node.children)
+        plain[id(node)] = own if node.tag != "a" else 0
+    total = plain[id(root)]
+    for node in named:
+        node.skip = plain[id(node)] <= node.share * total
+    if total and not any(isinstance(c, str) and c.strip() for node in _walk(root) for c in node.children):
+        for node in named:
+            node.skip = node.skip and node.share > PARTLY_NAMED
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The nodes that hold the main text, in the page's order."""
+    _restore(root)
     nodes = _walk(root)
     for node in reversed(nodes):
         for c in node.children:

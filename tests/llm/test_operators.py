@@ -448,3 +448,10 @@ def test_density_decides_inside_articles_and_joins_their_siblings():
     assert html_text.extract(f"<main><h1>Head</h1><div><p>{a}</p></div><p>Short.</p><div class=more><ul>{links}</ul></div><div><p>{b}</p></div></main>") == f"Head\n{a}\nShort.\n{b}"
     page = f"<div><article><h2>One</h2><p>{a}</p></article><article><ul>{links}</ul></article><article><h2>Two</h2><p>{b}</p><p>End.</p></article></div>"
     assert html_text.extract(page) == f"One\n{a}\nTwo\n{b}\nEnd."
+
+
+@pytest.mark.parametrize("start", ["<div id=content class='has-sidebar'>", "<div class='no-sidebar'>", "<div class='content-sidebar-wrap'>", "<div class='post comments-open'>", "<div class='with-header'>", "<div class='share-enabled'>", "<form id=aspnetForm>", "<div class='widget'>"])
+def test_pages_whose_text_is_in_an_element_named_like_noise(start):
+    text, noise = prose(80, 5), "<div class='sidebar'>Links of the side</div><div id=comments><p>Reader says</p></div><form><input>Search</form>"
+    end = start[: start.index(" ")].replace("<", "</") + ">"
+    assert html_text.extract(f"<body>{start}<h1>Head</h1><p>{text}</p>{noise}{end}</body>") == f"Head\n{text}"
