@@ -94,9 +94,9 @@ LICENSES = [
     ("openrail", "openrail|bigscience openrail m|creativeml openrail m", "(?:creativeml |bigscience )?open ?rail(?: m| [+]{2}m)? license|responsible ai license", "huggingface co spaces [a-z ]*license"),
 ]
 
-#: Phrases of license bodies and notices: label, keyword, pattern
+#: Phrases of license bodies and notices: label, keyword (a word of every match), pattern
 PHRASES = [
-    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -106,7 +106,7 @@ PHRASES = [
     ("bsd-4-clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("apache-2.0", "apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at (?:http|https) www apache org licenses license 2 0"),
-    ("apache-2.0", "conditions", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     ("gpl", "foundation", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl-2.0-or-later", "option", "either version 2 of the license or at your option any later version"),
     ("gpl-3.0-or-later", "option", "either version 3 of the license or at your option any later version"),
@@ -121,7 +121,7 @@ PHRASES = [
     ("proprietary", "reserved", "(?:copyright |c )?(?:[0-9]{4} )?(?:[a-z0-9]+ ){0,4}all rights reserved"),
     ("proprietary", "confidential", "(?:confidential and proprietary|proprietary and confidential)"),
     ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) (?:of this [a-z]+ )?(?:via any medium )?is strictly prohibited"),
-    ("ofl-1.1", "ofl", "licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "sil", "licensed under the sil open font license version 1 1"),
     ("cc", "creativecommons", "creativecommons org licenses"),
     ("cc", "creative", "(?:this|the) (?:work|article|text|content) is licensed under (?:a|the) creative commons"),
     ("dual", "dual", "dual licensed under"),
