@@ -35,6 +35,13 @@ def _questions(spark, sf_dir):
     return M.questions(_ranked(spark, sf_dir), gold(spark, sf_dir), asked(spark, sf_dir), K)
 
 
+def _whole_questions(spark, sf_dir):
+    """Ranks up to the largest gold, which R-precision reads; its SQL stops at rank 100, so they agree up to 100 gold vectors a question."""
+    wanted = gold(spark, sf_dir)
+    most = wanted.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    return M.questions(_ranked(spark, sf_dir, max(K, most)), wanted, asked(spark, sf_dir), K)
+
+
 @query(_Q + " SELECT query_id, ndcg FROM m WHERE NOT skipped")
 def metrics_ndcg(spark, sf_dir):
     return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "ndcg")
@@ -57,7 +64,7 @@ def metrics_map(spark, sf_dir):
 
 @query(_Q + " SELECT query_id, r_precision FROM m WHERE NOT skipped")
 def metrics_rprecision(spark, sf_dir):
-    return _questions(spark, sf_dir).where("NOT skipped").select("query_id", "r_precision")
+    return _whole_questions(spark, sf_dir).where("NOT skipped").select("query_id", "r_precision")
 
 
 @query(_Q + " SELECT query_id, skipped, coalesce(reason, '') AS reason FROM m")
@@ -67,7 +74,7 @@ def metrics_skipped(spark, sf_dir):
 
 @query(_Q + " SELECT count(*) AS question_count, count_if(NOT skipped)::bigint AS scored_count, count_if(skipped)::bigint AS skipped_count, " + ", ".join(f"round(avg({s}), 6) AS {s}" for s in M.SCORES) + " FROM m")
 def metrics_macro(spark, sf_dir):
-    return M.macro(_questions(spark, sf_dir))
+    return M.macro(_whole_questions(spark, sf_dir))
 
 
 @query(_Q + " SELECT query_id, count_if(hit)::bigint AS hits, (max(n_gold) - count_if(hit))::bigint AS misses, coalesce(sum(CASE WHEN hit THEN rank END), 0)::bigint AS rank_sum FROM s GROUP BY query_id")

@@ -191,3 +191,13 @@ def test_streams(spark):
     assert spark.read.parquet(path).count() == 2
     day = logs.windows(spark.createDataFrame([(1, "x", 2.0), (2, "x", 4.0)], "n int, event_type string, value double").withColumn("ts", F.timestamp_seconds("n")))
     assert rows(day)[0]["mean_latency"] == 3.0
+
+
+def test_r_precision_reads_ranks_up_to_the_gold(spark, tmp_path):
+    from marginalia.plans import metrics as queries
+
+    vectors = [(i, [1.0 + (i % 7)] + [0.0] * 63, 3) for i in range(600)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["query_id"]: r["r_precision"] for r in queries.metrics_rprecision(spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 200: 1.0, 400: 1.0}
+    assert queries.metrics_macro(spark, str(tmp_path)).first()["r_precision"] == 1.0
