@@ -1,272 +1,329 @@
 """Adaptive context-mixing range coder for token ids.
 
-A segment's ids are cut in blocks of equal length that are coded independently: each starts from fresh models and has its own code
-bytes and CRC-32. All blocks of a segment advance together, one id a step, so that every operation is a numpy operation over blocks.
-
-Three models predict an id. Order 2 and order 1 remember the id that last followed the two ids, or the one id, before, and how
-often in a row they were right. Their two confidences together choose adaptive probabilities for "order 2 is right", "order 1 is right" and "neither",
-so the mixture learns how far to trust each. Order 0 gives the distribution of an id that neither predicts: counts of its upper byte, and of the
-lower bytes within four groups of upper bytes, turned into cumulative frequencies at fixed steps. Each choice narrows the range of a coder with
-64-bit bounds without carries; settled bytes are shifted out once an id. All arithmetic is on whole numbers, so every machine decodes the same.
+A segment's ids are cut in blocks of equal length that are coded independently: each starts from the segment's vocabulary and fresh models, and
+has its own code bytes and CRC-32. Up to ``LANES`` blocks advance together, one id a step, so that every operation is a numpy operation over blocks.
+
+Three models predict an id, and their mixture is coded:
+
+- order 2 and order 1 remember the id that last followed the two ids, or the one id, before, and how often in a row they were right. The two
+  confidences together choose the mixture's weights, which adapt by how often each order was right with these confidences;
+- order 0 has the rest of the weight: counts of 512 classes of ids, that adapt within the block. Nearly all ids that are frequent in the segment are a class of
+  their own; rare ids share classes, and within one their shares are the segment's.
+
+A block's counts begin at the segment's shares (``Vocabulary``, stored once a segment), so short blocks need not learn them again. The coder has
+64-bit bounds, shifts out 32 bits at a time and carries into what it has written. All arithmetic is on whole numbers, so every machine decodes the same.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 
-CONTEXT_BITS, BITS = 10, 15
-_ONE, _SIZE, _U, _L = 1 << BITS, 1 << CONTEXT_BITS, np.uint32, np.uint64
-_TOP, _BOTTOM, _GROUP_SHIFT = _L(1 << 56), _L(1 << 48), 6
-_MOST, _LEAST, _TURN = 16_000, 32, 5  # bounds and pace of the flags' probabilities
-_STEP, _FULL = 24, 60_000  # weight of one count, and the sum at which counts are halved
-
-
-class _Cumulative:
-    """Adaptive frequencies of a byte in each block and group: counts at once, cumulative frequencies when rebuilt."""
-
-    def __init__(self, n: int, groups: int):
-        self.counts = np.ones((n * groups, 256), np.uint16)
-        self.table = np.empty((n * groups, 257), np.uint16)
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        sums = np.cumsum(self.counts, axis=1, dtype=np.uint32)
-        full = sums[:, -1] > _FULL
-        if full.any():
-            self.counts[full] = (self.counts[full] >> 1) | 1
-            sums[full] = np.cumsum(self.counts[full], axis=1, dtype=np.uint32)
-        total = sums[:, -1:].copy()
-        sums *= _U(_ONE - 256)
-        sums //= total
-        sums += np.arange(1, 257, dtype=np.uint32)
-        self.table[:, 0], self.table[:, 1:] = 0, sums
-        self.flat, self.flat_counts = self.table.reshape(-1), self.counts.reshape(-1)
-
-    def span(self, row: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = row * 257 + byte
-        cum = self.flat.take(at).astype(_U)
-        return cum, self.flat.take(at + 1).astype(_U) - cum
-
-    def find(self, row: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The byte whose span holds the target."""
-        base, byte = row * 257, np.zeros(len(row), np.int64)
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            byte += half * (self.flat.take(base + byte + half) <= target)
-        return byte
-
-    def learn(self, row: np.ndarray, byte: np.ndarray) -> None:
-        at = row * 256 + byte
-        self.flat_counts[at] = self.flat_counts.take(at) + np.uint16(_STEP)
+LANES = 2048
+CLASSES, SHARED = 512, 64  # classes of order 0, and how many of them are shared by rare ids
+_CONTEXT, _WEIGHT, _COUNT, _WITHIN = 8, 12, 18, 22  # bits: slots of a context table, mixture weights, class frequencies, frequencies within a class
+_STEP, _PRIOR = 32, 16_000  # what an id adds to its class, and the sum of the counts that a block begins with
+_TURN, _LEAST, _MOST = 5, 64, 30_000  # pace and bounds of the mixture's weights, in 1/65536
+_L, _TOP = np.uint64, np.uint64(1 << 32)
+
+
+class Vocabulary:
+    """The different ids of a segment by their frequency, with counts rounded to four bits."""
+
+    HEAD = struct.Struct("<II")
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((ids, -counts))
+        self.ids, self.counts = ids[order].astype(np.uint32), counts[order].astype(np.int64)
+        n = len(ids)
+        own = n if n <= CLASSES else CLASSES - SHARED
+        self.of_rank = np.arange(n)
+        if n > own:
+            upto = np.cumsum(self.counts[own:])
+            self.of_rank[own:] = own + (upto - 1) * SHARED // upto[-1]
+        self.first = np.searchsorted(self.of_rank, np.arange(CLASSES + 1))
+        share = np.concatenate(([0], np.cumsum(self.counts)))
+        mass = share[self.first[1:]] - share[self.first[:-1]]
+        self.prior = (1 + mass * _PRIOR // max(1, share[-1])).astype(np.int64)
+        # cumulative frequencies within each class, rising from class << _WITHIN on over all ranks
+        size, total = np.diff(self.first)[self.of_rank], mass[self.of_rank]
+        inner = share[:-1] - share[self.first[self.of_rank]]
+        begin = np.arange(n) - self.first[self.of_rank]
+        room = (1 << _WITHIN) - size
+        self.cum = (self.of_rank << _WITHIN) + begin + (inner * room // np.maximum(total, 1))
+        self.cum = np.append(self.cum, (self.of_rank[-1] + 1 if n else 0) << _WITHIN)
+        after = np.append(self.cum[1:], self.cum[-1:])[:n]
+        last = np.append(self.of_rank[1:] != self.of_rank[:-1], True)[:n]
+        self.freq = np.where(last, (self.of_rank + 1) << _WITHIN, after) - self.cum[:-1]
+        self.shared_from = own if n > own else CLASSES
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Vocabulary:
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        different = np.flatnonzero(counts)
+        counts = counts[different]
+        cut = np.maximum(np.frexp(counts)[1] - 4, 0)
+        return cls(different, counts >> cut << cut)
+
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        table = np.zeros(int(self.ids.max()) + 1 if len(self.ids) else 0, np.int32)
+        table[self.ids] = np.arange(len(self.ids))
+        return table[ids]
+
+    def pack(self) -> bytes:
+        order = np.argsort(self.ids)
+        ids, counts = self.ids[order], self.counts[order]
+        body = zlib.compress(np.diff(ids, prepend=np.uint32(0)).astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes() + counts.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes())
+        return self.HEAD.pack(len(ids), len(body)) + body
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple[Vocabulary, int]:
+        """The vocabulary, and how many bytes it has in ``data``."""
+        n, size = cls.HEAD.unpack_from(data)
+        end = cls.HEAD.size + size
+        raw = np.frombuffer(zlib.decompress(data[cls.HEAD.size : end]), np.uint8).reshape(2, 4, n)
+        gaps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw)
+        return cls(np.cumsum(gaps, dtype=np.uint64).astype(np.uint32), counts.astype(np.int64)), end
 
 
 class _Models:
-    def __init__(self, n: int, n_bytes: int):
-        self.n, self.n_bytes = n, n_bytes
-        self.seen = [np.zeros(n * _SIZE, np.uint32) for _ in range(2)]  # an id and, in its three lowest bits, how often in a row it was right
-        self.trust = [np.full(n * 64, 2000, np.int32) for _ in range(2)]  # order 2, order 1
-        self.base, self.base64 = np.arange(n, dtype=np.int64) << CONTEXT_BITS, np.arange(n, dtype=np.int64) << 6
-        self.upper = _Cumulative(n, 1)
-        self.lower = [_Cumulative(n, 4) for _ in range(n_bytes - 1)]
-
-    def begin(self, step: int) -> None:
-        power = step & (step - 1) == 0
-        if step and (step % 32 == 0 or power and step >= 8):
-            self.upper.rebuild()
-        if step and (step % 256 == 0 or power and step >= 32):
-            for t in self.lower:
-                t.rebuild()
-
-    def predict(self, before: np.ndarray, before2: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
-        """The ids of order 2 and order 1, and the probabilities that they are right."""
-        h = before[:m] * _U(0x9E3779B1)
-        h2 = (h ^ (before2[:m] * _U(0x85EBCA77))) * _U(0xC2B2AE3D)
-        self.at = [self.base[:m] + (x >> _U(32 - CONTEXT_BITS)) for x in (h2, h)]
-        held = [t.take(i) for t, i in zip(self.seen, self.at)]
-        self.guess, self.k = [x >> _U(3) for x in held], [x & _U(7) for x in held]
-        self.context = self.base64[:m] + ((self.k[0] << _U(3)) | self.k[1])
-        self.p = [t.take(self.context) for t in self.trust]
-        return *self.guess, *(p.astype(_U) for p in self.p)
-
-    def learn(self, value: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
-        for trust, p, right in zip(self.trust, self.p, (right2, right1)):
-            trust[self.context] = p + ((np.where(right, _MOST, _LEAST) - p) >> _TURN)
-        for seen, at, guess, k in zip(self.seen, self.at, self.guess, self.k):
-            seen[at] = (value << _U(3)) | np.where(value == guess, np.minimum(k + _U(1), _U(7)), _U(0))
-
-
-def _layout(n_ids: int, length: int) -> np.ndarray:
-    sizes = np.full(-(-n_ids // length), length)
-    if len(sizes):
-        sizes[-1] = n_ids - length * (len(sizes) - 1)
-    return sizes
-
-
-def block_length(n_ids: int) -> int:
-    """Enough blocks for numpy to work on, of 256 to 4096 ids."""
-    return int(min(4096, max(256, n_ids // 2048)))
-
-
-def _flag(a: np.ndarray, b: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The span of a flag: order 2 is right, order 1 is right, neither."""
-    both = a + b
-    cum = np.where(right2, _U(0), np.where(right1, a, both))
-    return cum, np.where(right2, a, np.where(right1, b, _U(_ONE) - both))
-
-
-class _Bounds:
-    """Lower bound and range of each block's coder. Between two calls of ``settle`` there is room for a flag and two bytes."""
-
-    def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, _L), np.full(n, 0xFFFFFFFFFFFFFFFF, _L)
-
-    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
-        r = self.range[lanes] >> _L(BITS)
-        self.low[lanes] += r * cum
-        self.range[lanes] = r * freq
-
-    def settle(self, m: int) -> None:
-        """Shift out the bytes that are settled, in the first m blocks."""
-        low, span = self.low[:m], self.range[:m]
-        at = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-        low, span = low[at], span[at]
-        while len(at):
-            span = np.where((low ^ (low + span)) < _TOP, span, (_L(0) - low) & (_BOTTOM - _L(1)))
-            self.shift(at, low)
-            low, span = low << _L(8), span << _L(8)
-            self.low[at], self.range[at] = low, span
-            more = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-            at, low, span = at[more], low[more], span[more]
-
-    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        raise NotImplementedError
-
+    """Models of n blocks, side by side."""
+
+    def __init__(self, n: int, vocabulary: Vocabulary):
+        self.n = n
+        self.class_of = vocabulary.of_rank
+        self.seen = [np.zeros(n << _CONTEXT, np.int32) for _ in range(2)]  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
+        start = np.array([1_500, 20_000, 30_000, 36_000, 42_000, 46_000, 50_000, 54_000])
+        grid = np.arange(64)
+        self.trust = [np.tile(start[k] // 2, n).astype(np.int32) for k in (grid >> 3, grid & 7)]
+        self.slots, self.weights, self.classes = (np.arange(n) << bits for bits in (_CONTEXT, 6, CLASSES.bit_length() - 1))
+        self.lane = self.lanes = (np.arange(n) << _COUNT).astype(np.int32)
+        self.counts = np.tile(vocabulary.prior.astype(np.int32), (n, 1))
+        self.flat_counts = self.counts.reshape(-1)
+        self.cum = np.zeros(n * CLASSES + 1, np.int32)
+        self.cum[-1] = n << _COUNT
+        self.before = [np.zeros(n, np.uint32)] * 2
+        self.m = n
+
+    def begin(self, step: int, m: int) -> None:
+        if step % 256 == 0 or step in (32, 64, 128):
+            sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
+            pace = ((1 << _COUNT) - CLASSES << 24) // sums[:, -1:]
+            sums *= pace
+            sums >>= 24
+            sums += np.arange(1, CLASSES + 1)
+            table = self.cum[:-1].reshape(self.n, CLASSES)
+            table[:, 0] = self.lanes
+            table[:, 1:] = sums[:, :-1] + self.lanes[:, None]
+        if m < self.m:
+            self.before = [x[:m] for x in self.before]
+            self.slots, self.weights, self.classes, self.lane = self.slots[:m], self.weights[:m], self.classes[:m], self.lane[:m]
+            self.m = m
+
+    def predict(self) -> None:
+        """Guesses of order 2 and order 1, and the mixture's weights."""
+        one, two = self.before
+        h = one * np.uint32(0x9E3779B1)
+        h2 = (h ^ (two * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+        self.at = [self.slots + (h2 >> (32 - _CONTEXT)), self.slots + (h >> (32 - _CONTEXT))]
+        held = [table.take(at) for table, at in zip(self.seen, self.at)]
+        self.guess, self.times = [x >> 3 for x in held], [x & 7 for x in held]
+        self.context = self.weights + ((self.times[0] << 3) | self.times[1])
+        self.p = [table.take(self.context) for table in self.trust]
+        self.w2, w1 = (x >> (16 - _WEIGHT) for x in self.p)
+        self.both = self.w2 + w1
+        self.rest = (1 << _WEIGHT) - self.both
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """Where in ``cum`` the part begins that holds the target."""
+        at, half = self.classes, CLASSES // 2
+        while half:
+            at = at + half * (self.cum[half:].take(at) <= target)
+            half //= 2
+        return at
+
+    def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray, at: np.ndarray) -> None:
+        """``right2`` and ``right1``: 1 where order 2 is right, and where order 1 is and order 2 is not; 0 elsewhere."""
+        for table, p, hit in zip(self.trust, self.p, (right2, right1)):
+            p += (hit * (_MOST - _LEAST) + _LEAST - p) >> _TURN
+            table[self.context] = p
+        slots = rank << 3
+        for table, slot, guess, times in zip(self.seen, self.at, self.guess, self.times):
+            table[slot] = slots + np.minimum(times + 1, 7) * (rank == guess)
+        self.flat_counts[at] = self.flat_counts.take(at) + _STEP
+        self.before = [rank.view(np.uint32), self.before[0]]
+
+    def span(self, right2: np.ndarray, right1: np.ndarray, miss: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the mixture's part, in 2**-(_WEIGHT + _COUNT)."""
+        rest = self.rest * miss  # all parts are below 2**(_WEIGHT + _COUNT)
+        cum = rest * low + ((self.w2 * right1 + self.both * miss) << _COUNT)
+        return cum.astype(_L), (rest * size + ((self.w2 * right2 + (self.both - self.w2) * right1) << _COUNT)).astype(_L)
+
+
+class _Writer:
+    """Lower bounds and ranges of the blocks' coders, and what they have written, in words of 32 bits."""
 
-class _Writer(_Bounds):
     def __init__(self, n: int, room: int):
-        super().__init__(n)
-        self.out, self.used = np.zeros((n, room), np.uint8), np.zeros(n, np.int64)
-
-    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        used = self.used[at]
-        self.out[at, used] = low >> _L(56)
-        self.used[at] = used + 1
+        self.low, self.range = np.zeros(n, _L), np.full(n, (1 << 64) - 1, _L)
+        self.out, self.used = np.zeros((n, room), np.uint32), np.zeros(n, np.int64)
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        at = self.used[lanes] - 1
+        while len(lanes):
+            self.out[lanes, at] += np.uint32(1)
+            more = self.out[lanes, at] == 0
+            lanes, at = lanes[more], at[more] - 1
+
+    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        low, r = self.low[lanes], self.range[lanes] >> _L(bits)
+        after = low + r * cum
+        r *= freq
+        over, short = after < low, r < _TOP
+        self.low[lanes], self.range[lanes] = after, r
+        if over.any():
+            self._carry(np.flatnonzero(over) if isinstance(lanes, slice) else lanes[over])
+        if short.any():
+            at = np.flatnonzero(short) if isinstance(lanes, slice) else lanes[short]
+            self.out[at, self.used[at]] = self.low[at] >> _L(32)
+            self.used[at] += 1
+            self.low[at] <<= _L(32)
+            self.range[at] <<= _L(32)
 
     def make_room(self, most: int) -> None:
         if self.used.max() + most > self.out.shape[1]:
             self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
 
     def codes(self) -> list[bytes]:
-        return [self.out[i, :u].tobytes() + int(x).to_bytes(8, "big") for i, (u, x) in enumerate(zip(self.used.tolist(), self.low.tolist()))]
-
+        """The words written and as many bytes of a value within the last range as tell it from others."""
+        whole = self.low + (self.range >> _L(1))
+        over = np.flatnonzero(whole < self.low)
+        if len(over):
+            self._carry(over)
+        plain = self.out.astype(">u4")
+        return [(plain[i, :u].tobytes() + int(x).to_bytes(8, "big")[:5]).rstrip(b"\0") for i, (u, x) in enumerate(zip(self.used.tolist(), whole.tolist()))]
 
-class _Reader(_Bounds):
-    def __init__(self, codes: list[bytes]):
-        super().__init__(len(codes))
-        begins = np.concatenate(([0], np.cumsum([len(c) + 16 for c in codes])))[:-1]
-        self.data = np.frombuffer(b"".join(c + bytes(16) for c in codes), np.uint8)
-        self.code = np.zeros(len(codes), _L)
-        for k in range(8):
-            self.code = (self.code << _L(8)) | self.data[begins + k]
-        self.used = begins + 8
 
-    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        used = self.used[at]
-        self.code[at] = (self.code[at] << _L(8)) | self.data[np.minimum(used, len(self.data) - 1)]
-        self.used[at] = used + 1
+class _Reader:
+    """The codes' distance from the lower bound, and the ranges."""
 
-    def target(self, lanes) -> np.ndarray:
-        r = np.maximum(self.range[lanes] >> _L(BITS), _L(1))
-        return np.minimum((self.code[lanes] - self.low[lanes]) // r, _L(_ONE - 1)).astype(_U)
+    def __init__(self, codes: list[bytes]):
+        size = [len(c) // 4 * 4 + 16 for c in codes]
+        begins = np.concatenate(([0], np.cumsum(size)))[:-1] // 4
+        self.data = np.frombuffer(b"".join(c.ljust(s, b"\0") for c, s in zip(codes, size)), ">u4").astype(_L)
+        self.range = np.full(len(codes), (1 << 64) - 1, _L)
+        self.code = (self.data[begins] << _L(32)) | self.data[begins + 1]
+        self.used = begins + 2
+
+    def target(self, lanes, bits: int) -> np.ndarray:
+        r = self.range[lanes] >> _L(bits)
+        return np.minimum(self.code[lanes] // r, _L((1 << bits) - 1)).view(np.int64)
+
+    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        r = self.range[lanes] >> _L(bits)
+        self.code[lanes] -= r * cum
+        r *= freq
+        short = r < _TOP
+        self.range[lanes] = r
+        if short.any():
+            at = np.flatnonzero(short) if isinstance(lanes, slice) else lanes[short]
+            used = self.used[at]
+            self.code[at] = (self.code[at] << _L(32)) | self.data[np.minimum(used, len(self.data) - 1)]
+            self.range[at] <<= _L(32)
+            self.used[at] = used + 1
+
+
+def _sizes(n_ids: int, length: int) -> np.ndarray:
+    sizes = np.full(-(-n_ids // length), length)
+    if len(sizes):
+        sizes[-1] = n_ids - length * (len(sizes) - 1)
+    return sizes
 
 
-def _bytes(n_bytes: int):
-    return range(8 * (n_bytes - 2), -1, -8)
+def block_length(n_ids: int) -> int:
+    """Enough blocks for numpy to work on, of 256 to 2048 ids."""
+    return int(min(2048, max(256, n_ids // LANES)))
 
 
-def encode(ids: np.ndarray, length: int, n_bytes: int) -> tuple[list[bytes], list[int]]:
-    """Code bytes and CRC-32 of each block."""
-    if not len(ids):
-        return [], []
-    sizes = _layout(len(ids), length)
+def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocabulary) -> list[bytes]:
     n = len(sizes)
-    grid = np.zeros(n * length, _U)
-    grid[: len(ids)] = ids
+    grid = np.zeros(n * length, np.int32)
+    grid[: len(ranks)] = ranks
     grid = np.ascontiguousarray(grid.reshape(n, length).T)
-    models, coder = _Models(n, n_bytes), _Writer(n, 2 * length + 256)
-    before = before2 = np.zeros(n, _U)
+    models, coder = _Models(n, vocabulary), _Writer(n, length // 2 + 64)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
         if step % 16 == 0:
-            coder.make_room(16 * 4 * (n_bytes + 1) + 64)
-        value = grid[step, :m]
-        models.begin(step)
-        two, one, a, b = models.predict(before, before2, m)
-        right2 = value == two
-        right1 = (value == one) & ~right2
-        coder.narrow(slice(0, m), *_flag(a, b, right2, right1))
-        models.learn(value, right2, right1)
-        rest = np.flatnonzero(~(right2 | right1))
-        if len(rest):
-            own = value[rest].astype(np.int64)
-            first = own >> (8 * (n_bytes - 1))
-            coder.narrow(rest, *models.upper.span(rest, first))
-            models.upper.learn(rest, first)
-            group = rest * 4 + (first >> _GROUP_SHIFT)
-            for k, (table, shift) in enumerate(zip(models.lower, _bytes(n_bytes))):
-                if k:
-                    coder.settle(m)
-                byte = (own >> shift) & 255
-                coder.narrow(rest, *table.span(group, byte))
-                table.learn(group, byte)
-        coder.settle(m)
-        before2, before = before, (value if m == n else np.append(value, _U(0)))
-    plain = ids.astype("<u4")
-    return coder.codes(), [zlib.crc32(plain[i * length : i * length + s].tobytes()) for i, s in enumerate(sizes.tolist())]
-
-
-def decode(codes: list[bytes], checks: list[int], n_ids: int, length: int, n_bytes: int) -> np.ndarray:
-    """The ids of all blocks; ValueError if a block's checksum does not hold."""
-    if not n_ids:
-        return np.zeros(0, _U)
-    sizes = _layout(n_ids, length)
-    n = len(sizes)
-    grid = np.zeros((length, n), _U)
-    models, coder = _Models(n, n_bytes), _Reader(codes)
-    before = before2 = np.zeros(n, _U)
+            coder.make_room(64)
+        rank = grid[step, :m]
+        models.begin(step, m)
+        models.predict()
+        kind = models.class_of.take(rank)
+        at = models.classes + kind
+        low = models.cum.take(at)
+        size = models.cum[1:].take(at) - low
+        right2 = (rank == models.guess[0]).astype(np.int32)
+        right1 = (rank == models.guess[1]) & (right2 ^ 1)
+        miss = (right2 | right1) ^ 1
+        coder.narrow(slice(0, m), *models.span(right2, right1, miss, low - models.lane, size), _WEIGHT + _COUNT)
+        rare = np.flatnonzero((kind >= vocabulary.shared_from) & miss) if vocabulary.shared_from < CLASSES else ()
+        if len(rare):
+            own = rank[rare]
+            coder.narrow(rare, (vocabulary.cum[own] - (kind[rare] << _WITHIN)).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
+        models.learn(rank, right2, right1, at)
+    return coder.codes()
+
+
+def _decode(codes: list[bytes], length: int, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    n, last = len(sizes), len(vocabulary.ids) - 1
+    first = np.minimum(vocabulary.first, last).astype(np.int32)
+    grid = np.zeros((length, n), np.int32)
+    models, coder = _Models(n, vocabulary), _Reader(codes)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
-        models.begin(step)
-        two, one, a, b = models.predict(before, before2, m)
-        target = coder.target(slice(0, m))
-        right2 = target < a
-        right1 = (target < a + b) & ~right2
-        coder.narrow(slice(0, m), *_flag(a, b, right2, right1))
-        value = np.where(right2, two, one).astype(_U)
-        rest = np.flatnonzero(~(right2 | right1))
-        if len(rest):
-            first = models.upper.find(rest, coder.target(rest))
-            coder.narrow(rest, *models.upper.span(rest, first))
-            models.upper.learn(rest, first)
-            own, group = first, rest * 4 + (first >> _GROUP_SHIFT)
-            for k, table in enumerate(models.lower):
-                if k:
-                    coder.settle(m)
-                byte = table.find(group, coder.target(rest))
-                coder.narrow(rest, *table.span(group, byte))
-                table.learn(group, byte)
-                own = (own << 8) | byte
-            value[rest] = own
-        coder.settle(m)
-        models.learn(value, right2, right1)
-        grid[step, :m] = value
-        before2, before = before, (value if m == n else np.append(value, _U(0)))
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids]
+        models.begin(step, m)
+        models.predict()
+        target = coder.target(slice(0, m), _WEIGHT + _COUNT).astype(np.int32)
+        right2 = (target < models.w2 << _COUNT).astype(np.int32)
+        beyond = target - (models.both << _COUNT)
+        miss = (beyond >= 0).astype(np.int32)
+        right1 = (right2 | miss) ^ 1
+        at = models.find(models.lane + beyond * miss // models.rest)
+        kind = at - models.classes
+        rank = first.take(kind) * miss + models.guess[0] * right2 + models.guess[1] * right1
+        low = models.cum.take(at)
+        coder.narrow(slice(0, m), *models.span(right2, right1, miss, low - models.lane, models.cum[1:].take(at) - low), _WEIGHT + _COUNT)
+        rare = np.flatnonzero((kind >= vocabulary.shared_from) & miss) if vocabulary.shared_from < CLASSES else ()
+        if len(rare):
+            base = kind[rare] << _WITHIN
+            own = vocabulary.cum.searchsorted(base + coder.target(rare, _WITHIN), "right") - 1
+            own = np.minimum(own, last)
+            coder.narrow(rare, (vocabulary.cum[own] - base).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
+            rank[rare] = own
+        models.learn(rank, right2, right1, models.classes + models.class_of.take(rank))
+        grid[step, :m] = rank
+    return np.ascontiguousarray(grid.T).reshape(-1)
+
+
+def encode(ids: np.ndarray, length: int, vocabulary: Vocabulary) -> tuple[list[bytes], list[int]]:
+    """Code bytes and CRC-32 of each block."""
+    sizes, ranks, plain, codes = _sizes(len(ids), length), vocabulary.ranks(ids), ids.astype("<u4"), []
+    for a in range(0, len(sizes), LANES):
+        codes += _encode(ranks[a * length : (a + LANES) * length], length, sizes[a : a + LANES], vocabulary)
+    return codes, [zlib.crc32(plain[i * length : i * length + s].tobytes()) for i, s in enumerate(sizes.tolist())]
+
+
+def decode(codes: list[bytes], checks: list[int], n_ids: int, length: int, vocabulary: Vocabulary) -> np.ndarray:
+    """The ids of all blocks; ValueError if a block's checksum does not hold."""
+    sizes, parts = _sizes(n_ids, length), []
+    for a in range(0, len(sizes), LANES):
+        parts.append(_decode(codes[a : a + LANES], length, sizes[a : a + LANES], vocabulary))
+    ids = vocabulary.ids[np.concatenate(parts)[:n_ids]] if parts else np.zeros(0, np.uint32)
     plain = ids.astype("<u4")
     for i, (s, check) in enumerate(zip(sizes.tolist(), checks)):
         if zlib.crc32(plain[i * length : i * length + s].tobytes()) != check:

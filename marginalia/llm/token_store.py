@@ -2,21 +2,22 @@
 
 Format of a segment (one binary value; the files are Parquet tables of segments, so that Spark reads and writes them in any store):
 
-    magic "MTS1", then little-endian: n_docs u32, n_ids u64, block length u32, bytes per id u8, lengths of the two tables u32 each
+    magic "MTS2", then little-endian: n_docs u32, n_ids u64, block length u32, lengths of the two tables u32 each
     zlib-compressed document table: doc_id i64 each (the least i64 stands for null), then n_tokens u64 each
     zlib-compressed block table: code length u32 each, then CRC-32 u32 each
-    the blocks' codes (see range_coder)
+    the vocabulary (its size and length u32 each, then zlib-compressed ids and counts), and the blocks' codes (see range_coder)
 
 Documents are dealt by ranges of doc_id and sorted within a range; a range's documents fill segments of whole documents. Offsets are sums over
 segments. The ids of a word (a run without ASCII white space, which this tokenizer's pre-tokenizer never joins across) are looked up once in
-a task and reused; the tokenizer library encodes every different word.
+a task and reused, by the word's bytes; the tokenizer library encodes every different word.
 
 Cases: a null or empty text has only the end id; a null doc_id sorts first; repeated rows are stored each; an empty table gives an empty
-folder table; strings of special tokens inside a text are ordinary text.
+folder table; strings of special tokens inside a text get their ids, as the library gives them by default.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from marginalia.llm import range_coder, words as wd
 from marginalia.llm.util import new_folder, texts
 
-MAGIC, HEAD = b"MTS1", struct.Struct("<IQIBII")
+MAGIC, HEAD = b"MTS2", struct.Struct("<IQIII")
 SEGMENT_IDS, RANGE_BYTES = 4 << 20, 10 << 20
 NULL_ID = -(1 << 63)
+_MARKS = np.isin(np.arange(256), list(b",.;:!?"))
 SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_ids long, data binary"
 
 
@@ -41,78 +43,122 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of many texts, word by word, with the words seen so far."""
+    """Ids of many texts, word by word, with the words seen so far. Words are told apart by their bytes, less the case of A-Z, which this tokenizer folds.
 
-    MOST = 400_000  # words kept
+    Words are cut where it always cuts them, between a letter and one of ``,.;:!?``. Many new words go to the library as one line; the bytes of the
+    tokens tell where each word ends, and a line where they do not (words that the library normalises) is encoded word by word."""
+
+    MOST, LINE = 400_000, 64  # words kept, words in a line
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.n_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 3
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():  # a character of a token stands for a byte
+            self.n_bytes[i] = len(token.removesuffix(suffix)) if suffix else len(token)
+        self.added = sorted({t.content[:2].encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.begin, self.length, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, lines: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in lines], add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids, and how many each word has."""
+        ids, counts = [], np.zeros(len(words), np.int64)
+        lines = [slice(k, k + self.LINE) for k in range(0, len(words), self.LINE)]
+        for k in range(0, len(lines), 16):  # the library's results are large
+            some = lines[k : k + 16]
+            bodies = [b" ".join(words[x]) for x in some]
+            for part, body, found in zip(some, bodies, self._ids(bodies)):
+                own = words[part]
+                upto, ends = np.cumsum(self.n_bytes[found]), np.cumsum([len(w) for w in own])
+                last = np.searchsorted(upto, ends)
+                if len(found) and last[-1] == len(found) - 1 and (upto[last] == ends).all() and not any(x in body for x in self.added):
+                    counts[part] = np.diff(last, prepend=-1)
+                    ids.append(found)
+                else:
+                    single = self._ids(own)
+                    counts[part] = [len(x) for x in single]
+                    ids += single
+        return ids, counts
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, with new ones encoded."""
+        if len(self.known) > self.MOST:
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            new.sort(key=bytes.isascii)  # words that the library may normalise share their lines
+            ids, length = self._encode(new)
+            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
+            self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(length) - length))
+            self.length, self.pool = np.concatenate((self.length, length)), np.concatenate((self.pool, *ids))
+        return np.array([self.known[w] for w in words], np.int64)
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of texts, each with the end id, and their counts."""
-        h, start, stop, first = wd.words(buf, offs, wd.NOT_BLANK, None)
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.MOST:
-            self._forget()
-        at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != unique) if len(self.known) else np.arange(len(unique))
-        if len(new):
-            some = [buf[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(start[where[new]].tolist(), stop[where[new]].tolist())]
-            ids = [e.ids for k in range(0, len(some), 2048) for e in self.tokenizer.encode_batch(some[k : k + 2048], add_special_tokens=False)]  # the library's results are large
-            length = np.array([len(x) for x in ids], np.int64)
-            begin = len(self.pool) + np.concatenate(([0], np.cumsum(length)))[:-1]
-            self.pool = np.concatenate((self.pool, np.array([y for x in ids for y in x], np.uint32)))
-            known = np.concatenate((self.known, unique[new]))
-            order = np.argsort(known, kind="stable")
-            self.known, self.begin, self.length = known[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.length, length))[order]
-            at = np.searchsorted(self.known, unique)
         n_docs = len(offs) - 1
-        if not len(h):
+        body, sizes, first = wd.spans(buf, offs, wd.NOT_BLANK, wd.LETTER, _MARKS)
+        if not len(sizes):
             return np.full(n_docs, end_id, np.uint32), np.ones(n_docs, np.int64)
-        begin, length = self.begin[at][inverse], self.length[at][inverse]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+        plain, body = body, wd.LOWER[body]
+        for a, b in self.added:  # an added token is told by case
+            at = np.searchsorted(ends, np.flatnonzero((body[:-1] == a) & (body[1:] == b)), "right") - 1
+            for i, j in zip(ends[at].tolist(), ends[at + 1].tolist()):
+                body[i:j] = plain[i:j]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+        at = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        begin, length = self.begin[at], self.length[at]
         ends = np.cumsum(length)
         plain = self.pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
-        total = np.concatenate(([0], ends))[first]
-        counts = np.diff(total) + 1
+        counts = np.diff(np.concatenate(([0], ends))[first]) + 1
         out = np.empty(len(plain) + n_docs, np.uint32)
         last = np.cumsum(counts) - 1
-        body = np.ones(len(out), bool)
-        body[last] = False
-        out[body], out[last] = plain, end_id
+        inner = np.ones(len(out), bool)
+        inner[last] = False
+        out[inner], out[last] = plain, end_id
         return out, counts
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, n_bytes: int) -> bytes:
-    length = range_coder.block_length(len(ids))
-    codes, checks = range_coder.encode(ids, length, n_bytes)
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    length, vocabulary = range_coder.block_length(len(ids)), range_coder.Vocabulary.of(ids)
+    codes, checks = range_coder.encode(ids, length, vocabulary)
     docs = zlib.compress(doc_ids.astype("<i8").tobytes() + counts.astype("<u8").tobytes())
     blocks = zlib.compress(np.array([len(c) for c in codes] + checks, "<u4").tobytes())
-    return MAGIC + HEAD.pack(len(doc_ids), len(ids), length, n_bytes, len(docs), len(blocks)) + docs + blocks + b"".join(codes)
+    return MAGIC + HEAD.pack(len(doc_ids), len(ids), length, len(docs), len(blocks)) + docs + blocks + vocabulary.pack() + b"".join(codes)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, counts and ids of a segment; ValueError if it is damaged."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    n_docs, n_ids, length, n_bytes, n_doc_table, n_block_table = HEAD.unpack_from(data, 4)
+    try:
+        return _unpack(data)
+    except (zlib.error, struct.error, IndexError) as error:
+        raise ValueError("damaged segment") from error
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n_docs, n_ids, length, n_doc_table, n_block_table = HEAD.unpack_from(data, 4)
     at = 4 + HEAD.size
     table = zlib.decompress(data[at : at + n_doc_table])
     doc_ids, counts = np.frombuffer(table, "<i8", n_docs), np.frombuffer(table, "<u8", n_docs, 8 * n_docs).astype(np.int64)
     at += n_doc_table
     table = np.frombuffer(zlib.decompress(data[at : at + n_block_table]), "<u4")
     at += n_block_table
+    vocabulary, size = range_coder.Vocabulary.unpack(data[at:])
     n = len(table) // 2
-    ends = at + np.cumsum(table[:n].astype(np.int64))
+    ends = at + size + np.cumsum(table[:n].astype(np.int64))
     codes = [data[e - s : e] for e, s in zip(ends.tolist(), table[:n].tolist())]
-    return doc_ids, counts, range_coder.decode(codes, table[n:].tolist(), n_ids, length, n_bytes)
+    return doc_ids, counts, range_coder.decode(codes, table[n:].tolist(), n_ids, length, vocabulary)
 
 
 def _segments(path: str, end_id: int):
@@ -121,7 +167,7 @@ def _segments(path: str, end_id: int):
 
         def row() -> pa.RecordBatch:
             doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
-            data = pack(doc_ids, counts, ids, encoder.n_bytes)
+            data = pack(doc_ids, counts, ids)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "data": pa.array([data], pa.binary())})
 
         for batch in batches:

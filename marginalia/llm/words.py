@@ -20,6 +20,7 @@ _digit = (_code >= 48) & (_code <= 57)
 _upper = (_code >= 65) & (_code <= 90)
 _lower = (_code >= 97) & (_code <= 122)
 IS_WORD = _digit | _upper | _lower | (_code >= 128)
+LETTER = _upper | _lower
 LOWER = np.where(_upper, _code + 32, _code).astype(np.uint8)
 NOT_BLANK = ~((_code == 32) | ((_code >= 9) & (_code <= 13)))
 
@@ -69,6 +70,29 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         first = end
 
 
+def _edges(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of ``inside``; a text that begins at one of ``edges`` begins a new run."""
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    before[0], before[1:] = False, inside[:-1]
+    after[-1], after[:-1] = False, inside[1:]
+    before[edges] = False
+    after[edges[edges > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+
+
+def spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words end to end, the words' lengths, and per text the index of its first word (and the end).
+
+    Words are cut between a byte of ``left`` and one of ``right``."""
+    if not len(buf):
+        return buf, np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    inside, edges = is_word[buf], offs[offs < len(buf)]
+    if left is not None:
+        edges = np.concatenate((edges, np.flatnonzero(left[buf[:-1]] & right[buf[1:]]) + 1))
+    start, last = _edges(inside, edges)
+    return buf[inside], last - start + 1, np.searchsorted(start, offs).astype(np.int64)
+
+
 def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER, heads: tuple[int, ...] = ()):
     """Hashes of all words, their first bytes and end bytes, and per text the index of its first word (and the end).
 
@@ -89,13 +113,7 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold
         seg = buf[a:b]
         power, inverse = _Tables.upto(len(seg))
         inside = is_word[seg]
-        before, after = np.empty_like(inside), np.empty_like(inside)
-        before[0], before[1:] = False, inside[:-1]
-        after[-1], after[:-1] = False, inside[1:]
-        edges = offs[np.searchsorted(offs, a, "left") : np.searchsorted(offs, b, "left")] - a
-        before[edges] = False
-        after[edges[edges > 0] - 1] = False
-        s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+        s, e = _edges(inside, offs[np.searchsorted(offs, a, "left") : np.searchsorted(offs, b, "left")] - a)
         value = (seg if fold is None else fold[seg]).astype(np.uint64)
         value += np.uint64(1)
         value *= power[: len(seg)]

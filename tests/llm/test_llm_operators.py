@@ -171,7 +171,6 @@ def test_token_files_round_trip(spark, hard, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_store.tokenizer_path())
-    t.encode_special_tokens = True
     ordered = sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0))
     want, start = [], 0
     for r in ordered:
@@ -183,6 +182,23 @@ def test_token_files_round_trip(spark, hard, empty):
     assert token_store.round_trip(empty).count() == 0
 
 
+def test_token_ids_are_those_of_the_library(spark):
+    """Special tokens, punctuation, words that the library normalises, and words that a polynomial hash modulo 2**64 confuses."""
+    from tokenizers import Tokenizer
+
+    from marginalia.sources.storage import new_folder
+
+    t = Tokenizer.from_file(token_store.tokenizer_path())
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    bodies = [morse, morse.translate({97: "b", 98: "a"}), "a <|endoftext|> b", "x<|endoftext|>y, <|STARTOFTEXT|>", "I'm, we'll; don't. A.B,C:d!e?f", "İstanbul e\u0301cole ﬁn ΑΣ x\u00a0y a\u200bb \x1c\x85", "1,000.5 a1.b2", "日本語、テスト。🙂", prose(300, 4).title()]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").coalesce(1)
+    folder = new_folder(spark, "tokens")
+    token_store.write(docs, folder)
+    got = {r["doc_id"]: r["ids"] for r in rows(token_store.read_ids(spark, folder))}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate(bodies)}
+    assert got[0] != got[1] and 49407 in got[2]
+
+
 def test_token_ids_and_damage(spark):
     from marginalia.sources.storage import new_folder
 

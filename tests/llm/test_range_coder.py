@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -5,30 +7,66 @@ from hypothesis import given, settings, strategies as st
 from marginalia.llm import range_coder as rc
 
 
+def coded(ids, length):
+    vocabulary = rc.Vocabulary.of(ids)
+    packed = vocabulary.pack()
+    again, size = rc.Vocabulary.unpack(packed + b"more")
+    assert size == len(packed) and (again.ids == vocabulary.ids).all() and (again.cum == vocabulary.cum).all()
+    return *rc.encode(ids, length, vocabulary), again
+
+
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 49407), max_size=700), st.sampled_from([1, 7, 64]))
+@given(st.lists(st.integers(0, 49407), max_size=700), st.sampled_from([1, 7, 64, 300]))
 def test_round_trip(ids, length):
     ids = np.array(ids, np.uint32)
-    codes, checks = rc.encode(ids, length, 2)
-    assert (rc.decode(codes, checks, len(ids), length, 2) == ids).all()
+    codes, checks, vocabulary = coded(ids, length)
+    assert (rc.decode(codes, checks, len(ids), length, vocabulary) == ids).all()
 
 
 def test_three_bytes_and_growth():
     ids = np.random.default_rng(0).integers(0, 1 << 24, 3000).astype(np.uint32)
-    codes, checks = rc.encode(ids, 256, 3)
-    assert (rc.decode(codes, checks, 3000, 256, 3) == ids).all()
+    codes, checks, vocabulary = coded(ids, 256)
+    assert (rc.decode(codes, checks, 3000, 256, vocabulary) == ids).all()
+
+
+def test_more_blocks_than_lanes(monkeypatch):
+    monkeypatch.setattr(rc, "LANES", 4)
+    ids = np.random.default_rng(1).integers(0, 600, 5000).astype(np.uint32)
+    codes, checks, vocabulary = coded(ids, 300)
+    assert len(codes) == 17 and (rc.decode(codes, checks, 5000, 300, vocabulary) == ids).all()
 
 
 def test_repetition_is_compressed_and_blocks_are_independent():
     ids = np.tile(np.array([5, 900, 31000], np.uint32), 1000)
-    codes, checks = rc.encode(ids, 1000, 2)
+    codes, checks, vocabulary = coded(ids, 1000)
     assert sum(map(len, codes)) < len(ids) * 2 / 4
-    middle = rc.decode(codes[1:2], checks[1:2], 1000, 1000, 2)
+    middle = rc.decode(codes[1:2], checks[1:2], 1000, 1000, vocabulary)
     assert (middle == ids[1000:2000]).all()
 
 
+def test_every_order_helps():
+    """An order-0 source costs little more than its entropy (guesses keep their share of order 0, which costs most where ids are few); what follows from one id or two before is learned within a block."""
+    rng = np.random.default_rng(2)
+    plain = rng.choice(16, 180_000, p=np.arange(1, 17) / 136)
+    least = -(np.bincount(plain) / len(plain) * np.log2(np.bincount(plain) / len(plain))).sum()
+
+    def bits(ids):
+        codes, _, vocabulary = coded(ids.astype(np.uint32), 2048)
+        return 8 * (sum(map(len, codes)) + len(vocabulary.pack())) / len(ids)
+
+    assert bits(plain) < 1.12 * least
+    one, two = plain.copy(), plain.copy()
+    one[1::2] = (5 * one[::2] + 3) % 16  # every second id follows from the one before
+    two[2::3] = (7 * two[::3] + two[1::3]) % 16  # every third from the two before
+    for ids, part in ((one, 0.75), (two, 0.9)):
+        assert bits(ids) < part * least
+        assert bits(ids) < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
 def test_checksum():
     ids = np.arange(500, dtype=np.uint32)
-    codes, checks = rc.encode(ids, 250, 2)
+    codes, checks, vocabulary = coded(ids, 250)
+    with pytest.raises(ValueError):
+        rc.decode(codes, [checks[0], checks[1] ^ 1], 500, 250, vocabulary)
     with pytest.raises(ValueError):
-        rc.decode(codes, [checks[0], checks[1] ^ 1], 500, 250, 2)
+        rc.decode([codes[0], codes[1][:4] + b"xyz" + codes[1][7:]], checks, 500, 250, vocabulary)
