@@ -25,7 +25,7 @@ LANES = 2048
 CLASSES, SHARED = 512, 64  # classes of order 0, and how many of them are shared by rare ids
 _CONTEXT, _WEIGHT, _COUNT, _WITHIN = 8, 12, 18, 22  # bits: slots of a context table, mixture weights, class frequencies, frequencies within a class
 _STEP, _PRIOR = 32, 16_000  # what an id adds to its class, and the sum of the counts that a block begins with
-_TURN, _LEAST, _MOST = 5, 64, 30_000  # pace and bounds of the mixture's weights, in 1/65536
+_TURN, _LEAST, _MOST = 5, 64, 64_000  # pace and bounds of the mixture's weights, in 1/65536
 _L, _TOP = np.uint64, np.uint64(1 << 32)
 
 
@@ -97,7 +97,7 @@ class _Models:
         self.seen = [np.zeros(n << _CONTEXT, np.int32) for _ in range(2)]  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
         start = np.array([1_500, 20_000, 30_000, 36_000, 42_000, 46_000, 50_000, 54_000])
         grid = np.arange(64)
-        self.trust = [np.tile(start[k] // 2, n).astype(np.int32) for k in (grid >> 3, grid & 7)]
+        self.trust = [np.tile(start[k], n).astype(np.int32) for k in (grid >> 3, grid & 7)]
         self.slots, self.weights, self.classes = (np.arange(n) << bits for bits in (_CONTEXT, 6, CLASSES.bit_length() - 1))
         self.lane = self.lanes = (np.arange(n) << _COUNT).astype(np.int32)
         self.counts = np.tile(vocabulary.prior.astype(np.int32), (n, 1))
@@ -132,8 +132,8 @@ class _Models:
         self.guess, self.times = [x >> 3 for x in held], [x & 7 for x in held]
         self.context = self.weights + ((self.times[0] << 3) | self.times[1])
         self.p = [table.take(self.context) for table in self.trust]
-        self.w2, w1 = (x >> (16 - _WEIGHT) for x in self.p)
-        self.both = self.w2 + w1
+        self.w2 = self.p[0] >> (16 - _WEIGHT)
+        self.both = self.w2 + 1 + ((((1 << _WEIGHT) - self.w2) * self.p[1]) >> 16)
         self.rest = (1 << _WEIGHT) - self.both
 
     def find(self, target: np.ndarray) -> np.ndarray:
@@ -146,9 +146,9 @@ class _Models:
 
     def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray, at: np.ndarray) -> None:
         """``right2`` and ``right1``: 1 where order 2 is right, and where order 1 is and order 2 is not; 0 elsewhere."""
-        for table, p, hit in zip(self.trust, self.p, (right2, right1)):
-            p += (hit * (_MOST - _LEAST) + _LEAST - p) >> _TURN
-            table[self.context] = p
+        p2, p1 = self.p  # that of order 1 is for ids that order 2 has not guessed
+        self.trust[0][self.context] = p2 + ((right2 * (_MOST - _LEAST) + _LEAST - p2) >> _TURN)
+        self.trust[1][self.context] = p1 + ((right1 * (_MOST - _LEAST) + _LEAST - p1) >> _TURN) * (right2 ^ 1)
         slots = rank << 3
         for table, slot, guess, times in zip(self.seen, self.at, self.guess, self.times):
             table[slot] = slots + np.minimum(times + 1, 7) * (rank == guess)
