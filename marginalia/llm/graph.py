@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.llm.util import settle
+from marginalia.llm.util import settle, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, label): label is the least node of the component.
 
     Each round takes the least label of a node and its neighbours, then the label of that label, until nothing changes;
-    the number of rounds grows with the logarithm of the longest path. A node with very many edges is pre-aggregated
-    where it is the group and split by adaptive execution where it is the join key.
+    the number of rounds grows with the logarithm of the longest path. A node with very many edges, or a label of very many nodes, is pre-aggregated
+    where it is the group and dealt to many places where it is the join key.
     """
     edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         parents = labels.select(F.col("node").alias("label"), F.col("label").alias("parent"))
-        after = settle(nearer.join(parents, "label").select("node", "old", F.least("label", "parent").alias("label")), "labels")
+        after = settle(spread_join(nearer, parents, "label", "node").select("node", "old", F.least("label", "parent").alias("label")), "labels")
         labels = after.select("node", "label")
         if after.where("old <> label").isEmpty():
             return labels

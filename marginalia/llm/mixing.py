@@ -8,15 +8,15 @@ its exact budget. A budget above the source's size repeats whole epochs first.
 Targets: sources in code-point order, null last, take the weights in turn. They share ``share`` of all sizes by weight; no
 target exceeds ``epochs`` times its source, and the excess is shared again by weight among the others until none is above.
 
-Cases: a null or empty text has size 0 and takes no words. Repeated rows are separate documents of equal key. A source of size 0
-has target 0. An empty table gives an empty table.
+Cases: a null or empty text has size 0 and takes no words. Rows of one id, or of no id, are separate documents of equal key, in the order of a hash of their
+texts; equal rows are alike, so reruns agree. A source of size 0 has target 0. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marginalia.llm.util import settle, texts
+from marginalia.llm.util import field, numbered, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2.0
@@ -25,10 +25,13 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 _HEX = "0123456789abcdef"
 
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), size.alias("size"))
+def _sizes(rows: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """``rows`` (row, doc) to row, doc_id, source, size and place: a row's key, then hashes of its text and of its number, in hexadecimal digits."""
+    doc_id, text, source = (F.col("doc").getField(c) for c in (id_col, text_col, source_col))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    place = F.concat(key, *[F.lpad(F.lower(F.hex(x)), 16, "0") for x in (F.xxhash64(text.cast("string")), F.xxhash64("row"))])
+    size = F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
+    return rows.select("row", doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source"), place.alias("place"), size.alias("size"))
 
 
 def _place(sources: DataFrame) -> DataFrame:
@@ -59,35 +62,55 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return sources.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("most")).alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, before (words of the source that precede it)."""
-    sizes = settle(_sizes(docs, id_col, text_col, source_col, seed), "sizes")
+def _ranges(sizes: DataFrame, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``sizes`` with the range of each row, a beginning of its place, and the ranges' sums. Ranges hold about ``range_rows`` rows. Where one holds far more,
+    as rows of one id have one key, its rows get longer beginnings: the whole key, then digits of the text's hash, then of the row number's hash."""
     digits = 0
     while 16**digits * range_rows < sizes.count() and digits < 8:
         digits += 1
-    rows = sizes.withColumn("range", F.substring("key", 1, digits) if digits else F.lit(""))
+    rows, more = sizes.withColumn("range", F.substring("place", 1, digits) if digits else F.lit("")), max(1, digits)
+    for length in (32, 32 + more, 48, 48 + more, None):
+        sums = settle(rows.groupBy("source", "range").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("n_rows")), "ranges")
+        crowded = sums.where(F.col("n_rows") > 4 * range_rows).select(F.col("source").alias("c_source"), F.col("range").alias("c_range"))
+        if length is None or crowded.isEmpty():
+            break
+        # at most one for each 4 * range_rows rows
+        same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("range") == F.col("c_range"))
+        rows = rows.join(F.broadcast(crowded), same, "left").withColumn("range", F.when(F.col("c_range").isNotNull(), F.substring("place", 1, length)).otherwise(F.col("range"))).drop("c_source", "c_range")
+    return rows, sums
+
+
+def _plan(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs: float, range_rows: int) -> DataFrame:
+    sizes = settle(sizes, "sizes")
+    rows, sums = _ranges(sizes, range_rows)
     earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("n")).select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    own = W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    ranges = sums.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    own = W.partitionBy("source", "range").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).select("doc_id", "source", "size", (F.col("offset") + F.col("inner")).alias("before"))
+    placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).select("row", "doc_id", "source", "size", (F.col("offset") + F.col("inner")).alias("before"))
     goals = targets(sizes, weights, share, epochs).select(F.col("source").alias("t_source"), "source_size", "target")
     joined = placed.join(goals, F.col("source").eqNullSafe(F.col("t_source")))
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return joined.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + cut).cast("long").alias("taken"), "before", whole.alias("epochs"), rest.cast("long").alias("rest"))
+    return joined.select("row", "doc_id", "size", "source_size", "target", (whole * F.col("size") + cut).cast("long").alias("taken"), "before", whole.alias("epochs"), rest.cast("long").alias("rest"))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, before (words of the source that precede it), epochs, rest."""
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[field(c).alias(c) for c in dict.fromkeys((id_col, text_col, source_col))]).alias("doc"))
+    return _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows).drop("row")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mixture itself: rows of ``docs``, each as often as its source's epochs say. A document that the budget cuts is whole
     in the mixture when at least half of it lies before the cut, so a source ends within half a document of its target. A
     document of no words stays once."""
-    counts = plan(docs, id_col, text_col, source_col, **options)
+    packed = numbered(docs)
+    counts = _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows)
     half = (F.col("rest") - F.col("before")) * 2 >= F.col("size")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(half & (F.col("rest") > F.col("before")), 1).otherwise(0)).cast("int")
-    counts = settle(counts.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).alias("__copies")), "copies").where("__copies > 0")
-    columns = [docs[c] for c in docs.columns]
-    joined = docs.join(counts.hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("__id")))  # alike at every size
-    return joined.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+    counts = settle(counts.select("row", copies.alias("copies")), "copies").where("copies > 0")
+    joined = packed.join(counts.hint("merge"), "row")  # alike at every size
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

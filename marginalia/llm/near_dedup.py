@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import words as wd
 from marginalia.llm.graph import components
-from marginalia.llm.util import settle, texts
+from marginalia.llm.util import numbered, settle, spread_join, texts
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 3
@@ -253,7 +253,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     reps = settle(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("rep_mark"), F.first("weight").alias("weight"), *[F.first(b).alias(b) for b in bands]).withColumn("rep", F.monotonically_increasing_id()), "classes")
     placed = reps.select("rep", "weight", F.explode(F.array(*bands)).alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = settle(placed.join(buckets, "bucket"), "members")
+    members = settle(spread_join(placed, buckets, "bucket", "rep"), "members")
     wanted = members.select("rep").distinct().join(reps.select("rep", F.coalesce("rep_id", F.lit(0)).alias("id"), F.col("rep_mark").alias("mark")), "rep")
     # texts are sorted to their ids at every size; a broadcast where the ids happen to be few would make the plan another one at scale
     bodies = settle(rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark", "text").join(wanted.hint("merge"), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("rep", "text"), "bodies")
@@ -263,25 +263,25 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return settle(joined.mapInArrow(_similar(idf, similarity), "a long, b long, similarity double"), "links")
 
-    def labelled(table: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    def labelled(table: DataFrame, column: str, by: str, labels: DataFrame, name: str) -> DataFrame:
         named = labels.select(F.col("node").alias(column), F.col("label").alias(name))
-        return table.join(named, column, "left").withColumn(name, F.coalesce(name, column))
+        return spread_join(table, named, column, by, "left").withColumn(name, F.coalesce(name, column))
 
     # one bucket for each class
     tried = settle(members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("a <> b"), "pairs")
     links = verified(tried)
     labels = components(links)
     # every bucket whose least member is in another component
-    pairs = labelled(labelled(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct(), "a", labels, "la"), "b", labels, "lb")
+    pairs = labelled(labelled(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct(), "a", "b", labels, "la"), "b", "a", labels, "lb")
     pairs = settle(pairs.where("la <> lb").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
     more = verified(pairs)
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
     # what still shares a bucket across components: blocks of the members outside the bucket's largest component against all its blocks
-    joint = settle(labelled(members, "rep", labels, "label"), "members")
+    joint = settle(labelled(members, "rep", "bucket", labels, "label"), "members")
     mixed = joint.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    joint = settle(joint.join(mixed, "bucket", "left_semi").select("bucket", "rep", "label", "weight"), "mixed")
+    joint = settle(spread_join(joint, mixed, "bucket", "rep").select("bucket", "rep", "label", "weight"), "mixed")
     if not joint.isEmpty():
         shares = joint.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
         largest = shares.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("g"), F.sum("n").alias("n"), F.sum("w").alias("w"))
@@ -290,7 +290,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
             return F.ceil(F.greatest(n / F.lit(BLOCK_DOCS), w / F.lit(BLOCK_WEIGHT))).cast("long")
 
         largest = largest.select("bucket", F.col("g.label").alias("giant"), n_blocks(F.col("g.n"), F.col("g.w")).alias("in_giant"), n_blocks(F.col("n") - F.col("g.n"), F.col("w") - F.col("g.w")).alias("in_rest"))
-        placed = joint.join(largest, "bucket").withColumn("is_giant", F.col("label") == F.col("giant"))
+        placed = spread_join(joint, largest, "bucket", "rep").withColumn("is_giant", F.col("label") == F.col("giant"))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("is_giant"), F.col("in_giant")).otherwise(F.col("in_rest")))))
         placed = placed.select("bucket", "is_giant", "block", "rep", "label").join(bodies, "rep")
         blocks = settle(placed.groupBy("bucket", "is_giant", "block").agg(F.collect_list(F.struct("rep", "label", "text")).alias("docs")), "blocks")
@@ -325,10 +325,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all columns of ``docs``."""
-    stay = _decided(docs, id_col, text_col, similarity).where("kept")
-    stay = settle(stay.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("mark").alias("__mark")).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("doc_id").isNull() & F.col("lone")).alias("__free")), "kept")
-    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumns({"__id": F.coalesce(doc_id, F.lit(0)), "__mark": _mark(doc_id, text)}).join(stay.hint("merge"), ["__id", "__mark"])
-    if not stay.where("__n > 1 AND NOT __free").isEmpty():
-        out = out.withColumn("__row", F.when(F.col("__free"), F.monotonically_increasing_id())).dropDuplicates(["__id", "__mark", "__row"])
-    return out.select(*docs.columns)
+    packed = numbered(docs)
+    id_of, text_of = F.col("doc").getField(id_col).cast("long"), F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit(""))
+    known = packed.select("row", F.coalesce(id_of, F.lit(0)).alias("id"), _mark(id_of, text_of).alias("mark"), id_of.isNull().alias("free"))
+    stay = _decided(packed.select(id_of.alias("doc_id"), text_of.alias("text")), "doc_id", "text", similarity).where("kept")
+    stay = stay.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark").agg(F.max("lone").alias("lone"))
+    found = known.join(stay.hint("merge"), ["id", "mark"])
+    # of rows that are equal in id and text one stays; rows without an id and without a word all stay
+    rows = found.groupBy("id", "mark", F.when(F.col("free") & F.col("lone"), F.col("row")).alias("own")).agg(F.min("row").alias("row"))
+    return packed.join(rows.select("row").hint("merge"), "row").select("doc.*")

@@ -12,6 +12,31 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def field(name: str):
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """(row, doc): a number for each row, and its columns in a struct, where no name can clash. It is written once, so a number stays with its row."""
+    return settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[field(c) for c in docs.columns]).alias("doc")), name)
+
+
+def numbered_texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text) of ``numbered`` rows."""
+    return rows.select("row", F.col("doc").getField(id_col).cast("long").alias("doc_id"), F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def spread_join(rows: DataFrame, single: DataFrame, key: str, by: str, how: str = "inner", salts: int = 256) -> DataFrame:
+    """``rows`` with the columns of ``single``, which has one row for each key, where a key may hold a third of all rows.
+
+    The rows of a key are dealt to ``salts`` places by the column ``by``; ``single`` meets the places that a key has (at most ``salts`` rows for a
+    key, combined in the tasks), and then each place its rows."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(17), by), F.lit(salts)).cast("int"))
+    places = salted.select(key, "salt").distinct().join(single, key)
+    return salted.join(places, [key, "salt"], how).drop("salt")
+
+
 def crc32_mod(id_col: str, n: int):
     """The fold of a row: crc32 of its id as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

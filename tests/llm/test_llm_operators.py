@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, sharding, token_store, toxicity
 
+CLASH = ["__id", "__mark", "__row", "__n", "__copies", "__copy", "__keep_id", "__shard", "__hash", "row", "doc", "cell", "depth", "mark", "id"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, body string, rank long, salt int, size long, key string, bucket long, label string, n long, shard string, rep long, part int, `range` string"
 _RNG = random.Random(5)
 WORDS = ["".join(_RNG.choice("abcdefghij") for _ in range(_RNG.randint(3, 8))) for _ in range(400)]
@@ -74,6 +75,14 @@ def test_exact_dedup_keep_returns_one_row_per_text_and_id(hard, empty):
     assert exact_dedup.annotate(empty).count() == 0
 
 
+def test_exact_dedup_keep_loses_no_text(spark):
+    docs = [(None, "a b"), (None, "c"), (None, "ab"), (1, "d"), (1, "e"), (1, "d "), (2, "e"), (3, "f"), (3, "f")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH}).repartition(3)
+    kept = exact_dedup.keep(df)
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(kept)), key=repr) == sorted([(None, "a b"), (None, "c"), (1, "d "), (1, "e"), (3, "f")], key=repr)
+    assert kept.columns == df.columns
+
+
 def test_exact_dedup_does_not_depend_on_salts(hard):
     assert sorted(map(str, rows(exact_dedup.annotate(hard, salts=1)))) == sorted(map(str, rows(exact_dedup.annotate(hard, salts=7))))
 
@@ -146,7 +155,7 @@ def test_near_dedup_edge_cases(hard, empty):
 def test_near_dedup_keeps_different_texts_of_one_id_and_of_no_id(spark):
     near, a, b = prose(200, 61), prose(60, 62), prose(60, 63)
     docs = [(None, prose(60, 64)), (None, prose(60, 65)), (None, near), (None, prose(60, 65)), (5, a), (5, b), (5, a), (6, edit(b, 0, 1).upper()), (7, edit(near, 1, 2)), (8, edit(prose(200, 66), 1, 3)), (None, prose(200, 66)), (9, "***"), (9, "---"), (None, ""), (None, None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH}).repartition(3)
     got = [(r["doc_id"], r["text"]) for r in rows(near_dedup.keep(df))]
     want = [(None, prose(60, 64)), (None, prose(60, 65)), (5, a), (5, b), (7, edit(near, 1, 2)), (8, edit(prose(200, 66), 1, 3)), (9, "***"), (9, "---"), (None, ""), (None, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -154,6 +163,26 @@ def test_near_dedup_keeps_different_texts_of_one_id_and_of_no_id(spark):
     assert len(parts) == 2
 
 
+def test_components_of_a_long_chain_a_hub_and_pairs(spark):
+    from marginalia.llm.graph import components
+
+    chain = [(i, i + 1) for i in range(0, 300)]
+    hub = [(5000, 5001 + i) for i in range(2000)] + [(5000, 5000), (7000, 6000)]
+    pairs = [(10_000 + 2 * i + 1, 10_000 + 2 * i) for i in range(50)] * 2
+    got = {r["node"]: r["label"] for r in rows(components(spark.createDataFrame(chain + hub + pairs, "a long, b long").repartition(4)))}
+    want = {i: 0 for i in range(301)} | {i: 5000 for i in range(5000, 7001)} | {10_000 + i: 10_000 + i // 2 * 2 for i in range(100)}
+    assert got == want
+
+
+def test_joins_that_spread_a_key(spark):
+    from marginalia.llm.util import spread_join
+
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 0), (None, 1)], "k long, v long").repartition(3)
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, w string")
+    for how in ("inner", "left"):
+        assert sorted(map(repr, rows(spread_join(left, right, "k", "v", how)))) == sorted(map(repr, rows(left.join(right, "k", how))))
+
+
 def test_weighted_sampling_agrees_with_weighted_similarity():
     rng = np.random.default_rng(0)
     s = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
@@ -434,6 +463,24 @@ def test_mixing_edge_cases(hard):
     assert mixing.mix(hard).columns == hard.columns
 
 
+def test_mixing_of_one_id_in_two_sources_and_of_crowded_ids(spark):
+    """400 rows of 100 ids, each id in both sources with other texts; then one id, and no id, with a third of all rows each."""
+    docs = [(i % 100, prose(5 + i % 37, i), "ab"[i % 200 // 100]) for i in range(400)]
+    docs += [(7, prose(1 + i % 9, 1000 + i), "c") for i in range(300)] + [(None, "same text here", "c")] * 150 + [(None, prose(1 + i % 9, 2000 + i), None) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in CLASH})
+    size = {}
+    for _, t, s in docs:
+        size[s] = size.get(s, 0) + len(t.split())
+    plans = [sorted(map(repr, rows(mixing.plan(df.repartition(n), range_rows=k)))) for n, k in ((1, 10_000), (3, 4), (5, 30))]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) == len(docs)
+    target = {r["source_size"]: r["target"] for r in rows(mixing.plan(df))}
+    mixed = mixing.mix(df.repartition(3), range_rows=4)
+    n = {r["source"]: 0 for r in rows(mixed)}
+    for r in rows(mixed):
+        n[r["source"]] += len(r["text"].split())
+    assert mixed.columns == df.columns and all(abs(n[s] - target[size[s]]) <= 45 for s in size)
+
+
 # sharding
 
 
@@ -475,6 +522,29 @@ def test_shard_keeps_the_limit_for_rows_of_repeated_and_missing_ids(spark):
     assert all(sum(x) <= 1000 or len(x) == 1 for x in sums.values())
 
 
+def test_shards_are_written_and_the_directory_names_them(spark, monkeypatch):
+    from marginalia.sources.storage import new_folder
+
+    monkeypatch.setattr(sharding, "STRIDE", 3)
+    docs = [(i, "x" * (1 + i * 7 % 90)) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH}).repartition(3)
+    folder = new_folder(spark, "shards")
+    sharding.write(df, folder, 900)
+    back = rows(spark.read.parquet(folder))
+    sums = {}
+    for r in back:
+        n, k = sums.get(r["shard"], (0, 0))
+        sums[r["shard"]] = n + len(r["text"]), k + 1
+    assert sorted((r["doc_id"], r["text"]) for r in back) == docs and all(n <= 900 for n, _ in sums.values())
+    leaves = rows(sharding.directory(df, 900))
+    assert {r["shard"]: (r["shard_bytes"], r["shard_docs"]) for r in leaves} == sums
+    for monkey in (1, 60):
+        monkeypatch.setattr(sharding, "STRIDE", monkey)
+        assert sorted(map(repr, rows(sharding.directory(df, 900)))) == sorted(map(repr, leaves))
+    monkeypatch.setattr(sharding, "SMALL", 0)
+    assert sorted(map(repr, rows(sharding.directory(df, 900)))) == sorted(map(repr, leaves))
+
+
 # pages
 
 
