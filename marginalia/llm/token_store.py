@@ -9,7 +9,7 @@ Format of a segment (one binary value; the files are Parquet tables of segments,
 
 Documents are dealt by ranges of doc_id and sorted within a range; a range's documents fill segments of whole documents. Offsets are sums over
 segments. The ids of a word (a run without ASCII white space, which this tokenizer's pre-tokenizer never joins across) are looked up once in
-a task and reused, by the word's bytes; the tokenizer library encodes every different word.
+a worker and reused, by the word's bytes; the tokenizer library encodes every different word.
 
 Cases: a null or empty text has only the end id; a null doc_id sorts first; repeated rows are stored each; an empty table gives an empty
 folder table; strings of special tokens inside a text get their ids, as the library gives them by default.
@@ -48,7 +48,7 @@ class Encoder:
     Words are cut where it always cuts them, between a letter and one of ``,.;:!?``. Many new words go to the library as one line; the bytes of the
     tokens tell where each word ends, and a line where they do not (words that the library normalises) is encoded word by word."""
 
-    MOST, LINE = 400_000, 64  # words kept, words in a line
+    MOST, LINE = 1_000_000, 64  # words kept, words in a line
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -128,6 +128,16 @@ class Encoder:
         return out, counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: later tasks of a worker know the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     length, vocabulary = range_coder.block_length(len(ids)), range_coder.Vocabulary.of(ids)
     codes, checks = range_coder.encode(ids, length, vocabulary)
@@ -163,7 +173,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, n, segment = Encoder(path), [], 0, 0
+        encoder, held, n, segment = _encoder(path), [], 0, 0
 
         def row() -> pa.RecordBatch:
             doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
