@@ -4,13 +4,14 @@ For every node of the page's tree: characters, characters in links, tags and lin
 
     density = C/T * log_b((C/LC) * (T/LT)),   b = ln(C * LC / (C - LC) + C_body * LC_body / C_body + e)
 
-(C characters, LC link characters, T tags, LT link tags; zero counts as one). A node's density sum is that of its children. The least density
+(C characters, LC link characters, T tags, LT link tags; zero counts as one). A node's density sum is that of its children, texts among them. The least density
 on the path from the body to the node of the largest density sum is the threshold: the main content is the subtree of the largest density sum
-among the nodes that reach it. Elements that are never article text (scripts, menus,
-headers and footers of the page, and elements whose class, id or role says advert, sidebar, notice, comment and the like) are left out
-before counting. A name that only states something (has-sidebar, comments-open) is none of these, and an element left out by its name, or a form, comes back
-if it holds most of the page's characters outside links. An explicit ``article`` or ``main`` element is the text as a whole, whatever part of it has the largest density sum, with the page's other
-elements of its name that are not inside one; density takes out of them the lists of links (most characters in two links or more, density below the threshold).
+among the nodes that reach it. Where that subtree is part of an ``article`` or ``main`` element, the innermost such element is the text, so that its heading and short last
+lines stay, with the page's other elements of its name that reach the threshold. Out of the text come the lists of links (most characters in two links or more, density below the threshold).
+
+Elements that are never article text (scripts, menus, headers and footers of the page, hidden elements, and elements whose class, id or role says advert, sidebar, notice,
+comment and the like) are left out before counting. Inside an article names that may be the article's own (header, legal, discussion, widget ...) do not count. A name that only states something
+(has-sidebar, comments-open) is none of these, and an element left out by its name, or a form, comes back if it holds most of the page's characters outside links.
 
 Blocks: text between block-level tags or line breaks, white space as one space, trimmed, empty ones dropped, joined by one line feed.
 
@@ -39,6 +40,10 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|ad
 STATE = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|no|not|with|without|is|hide|show)[_-]\S+|\S+[_-](?:open|opened|closed|enabled|disabled|allowed|active|on|off))(?=$|\s)", re.I)
 #: An element that is left out by its name comes back if it holds more than this share of the page's characters outside links
 NAMED, PARTLY_NAMED = 0.9, 0.5
+#: Names of parts of a page that may also be parts of an article: inside one they leave nothing out
+OWN = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner|widget|overlay|toolbar|legal|copyright|discussion|respond|replies|alert|social|promo(?:tion)?|side-?bar-?body)(?=$|[\s_-])", re.I)
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 #: The head of the article itself
 OWN_HEAD = re.compile(r"(?:article|post|entry|content|story)[-_]?(?:header|title|head)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -63,20 +68,21 @@ def _noisy(tag: str, attributes: str, in_article: bool) -> float | None:
     """None for an element that stays, else the share of the page's characters above which it comes back (1 for never)."""
     if tag in NEVER or (tag == "header" and not in_article):
         return 1.0
+    if "hidden" in attributes.lower() and HIDDEN.search(_QUOTED.sub("", attributes)):
+        return 1.0
     found = PARTLY_NAMED if tag == "form" else None
     if "=" in attributes and tag not in ("body", "html", "article", "main"):
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), values[0] or values[1] or values[2]
             if name in ("class", "id"):
                 value = STATE.sub(" ", OWN_HEAD.sub(" ", value))
+                value = OWN.sub(" ", value) if in_article else value
                 if NOISE.search(value):
                     found = max(found or 0.0, NAMED if any(NOISE.fullmatch(word) for word in value.split()) else PARTLY_NAMED)
             elif name == "role" and value.lower() in ROLES:
                 found = NAMED if value.lower() != "form" else PARTLY_NAMED
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return 1.0
-    elif attributes.strip().lower() == "hidden":
-        return 1.0
     return found
 
 
@@ -182,48 +188,68 @@ def _restore(root: Node) -> None:
             node.skip = node.skip and node.share > PARTLY_NAMED
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The nodes that hold the main text, in the page's order."""
-    _restore(root)
-    nodes = _walk(root)
+def _density(chars: int, link_chars: int, tags: int, link_tags: int, share: float) -> float:
+    """Link-adjusted characters a tag. ``share``: characters in links of all characters of the body."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    ratio = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return chars / max(1, tags) * math.log(max(1.0, ratio)) / math.log(max(base, 1.1))
+
+
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags, densities and density sums of nodes (parents first)."""
+    texts: dict[int, list[int]] = {}
+    linked = set()
+    for node in nodes:
+        if node.tag == "a" or id(node.parent) in linked:
+            linked.add(id(node))
     for node in reversed(nodes):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(_SPACE.sub(" ", c).strip())
+                n = len(_SPACE.sub(" ", c).strip())
+                node.chars += n
+                texts.setdefault(id(node), []).append(n)
             elif not c.skip:
                 node.chars += c.chars
                 node.link_chars += c.link_chars
                 node.tags += c.tags + 1
                 node.link_tags += c.link_tags + (c.tag == "a")
-        if node.tag == "a":
-            node.link_chars, node.link_tags = node.chars, max(1, node.link_tags)
-    bodies = [n for n in nodes if n.tag in ("article", "main")]
-    top = max(bodies, key=lambda n: n.chars) if bodies else root
-    if top.chars < root.chars * 0.1:
-        top = root
-    share = root.link_chars / root.chars if root.chars else 0.0
-    for node in nodes:
-        c, t = node.chars, max(1, node.tags)
-        if c:
-            lc, lt, plain = max(1, node.link_chars), max(1, node.link_tags), max(1, c - node.link_chars)
-            base = math.log(c / plain * node.link_chars + share * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / math.log(max(base, 1.1) + 1e-9) if base > 0 else 0.0
-    inside = _walk(top)
-    for node in inside:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.skip) + (node.density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0)
-    best = max(inside, key=lambda n: n.total)
+        if id(node) in linked:
+            node.link_chars = node.chars
+    body = nodes[0]
+    share = body.link_chars / body.chars if body.chars else 0.0
+    for node in reversed(nodes):
+        node.density = _density(node.chars, node.link_chars, node.tags, node.link_tags, share)
+        own = sum(_density(n, n if id(node) in linked else 0, 1, 1, share) for n in texts.get(id(node), ()))
+        node.total = own + sum(c.density for c in node.children if isinstance(c, Node) and not c.skip)
+
+
+def densest(nodes: list[Node]) -> tuple[Node, float]:
+    """The subtree of the largest density sum among those that reach the threshold, and the threshold."""
+    best = max(nodes, key=lambda n: n.total)
     threshold, look = best.density, best
-    while look is not None and look is not top.parent:
+    while look is not None:
         threshold, look = min(threshold, look.density), look.parent
-    reach = [n for n in inside if n.density >= threshold]
-    found = max(reach, key=lambda n: n.total) if reach else top
-    while found is not top and found.parent is not None and found.tag not in ("article", "main", "div", "section", "td", "body"):
-        found = found.parent  # a paragraph or an unclosed inline tag is part of a text, not the text
-    if top.tag not in ("article", "main"):
-        return [found]
-    # the element's text and that of the page's other outermost elements of its name, without lists of links that do not reach the threshold
-    within = {id(n) for body in bodies for n in _walk(body)[1:]}
-    parts = [n for n in bodies if n is top or n.tag == top.tag and id(n) not in within and n.chars and not _links(n, threshold)]
+    return max((n for n in nodes if n.density >= threshold), key=lambda n: n.total, default=nodes[0]), threshold
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The nodes that hold the main text, in the page's order."""
+    _restore(root)
+    nodes = _walk(root)
+    _count(nodes)
+    found, threshold = densest(nodes)
+    top = found
+    while top is not None and top.tag not in ("article", "main"):
+        top = top.parent
+    if top is None:
+        while found.parent is not None and found.tag not in ("div", "section", "td", "body"):
+            found = found.parent  # a paragraph or an unclosed inline tag is part of a text, not the text
+        parts = [found]
+    else:
+        within = {id(n) for body in nodes if body.tag == top.tag for n in _walk(body)[1:]}
+        parts = [n for n in nodes if n is top or n.tag == top.tag and id(n) not in within and n.chars and n.density >= threshold]
     for part in parts:
         for node in _walk(part)[1:]:
             if node.tag in LISTS and _links(node, threshold):

@@ -581,3 +581,106 @@ def test_pages_whose_text_is_in_an_element_named_like_noise(start):
     text, noise = prose(80, 5), "<div class='sidebar'>Links of the side</div><div id=comments><p>Reader says</p></div><form><input>Search</form>"
     end = start[: start.index(" ")].replace("<", "</") + ">"
     assert html_text.extract(f"<body>{start}<h1>Head</h1><p>{text}</p>{noise}{end}</body>") == f"Head\n{text}"
+
+
+def test_names_inside_an_article_and_hidden_elements():
+    a, b = prose(80, 3), prose(60, 4)
+    page = f"<body><article><h1>Head</h1><p>{a}</p><div class='legal'>The law says so.</div><div id='discussion'>What it means.</div><div hidden class=x>Unseen</div><p class=y hidden>Unseen too</p><p data-x='hidden' aria-hidden=false>{b}</p><div class='newsletter'>Join us</div><section id=comments><p>Reader says</p></section></article></body>"
+    assert html_text.extract(page) == f"Head\n{a}\nThe law says so.\nWhat it means.\n{b}"
+    side = "<article><a href=1>Other story</a><a href=2>One more story</a></article>"
+    assert html_text.extract(f"<body><div><h1>Head</h1><p>{a}</p><p>{b}</p></div><div>{side * 3}</div></body>") == f"Head\n{a}\n{b}"
+
+
+def test_density_against_a_recursive_form():
+    import math
+
+    def counted(x, in_link=False):
+        """chars, link chars, tags, link tags of a tree (tag, children)"""
+        if isinstance(x, str):
+            return len(x), len(x) if in_link else 0, 0, 0
+        parts = [counted(c, in_link or x[0] == "a") for c in x[1]]
+        own = [sum(p[k] for p in parts) for k in range(4)]
+        own[2] += sum(not isinstance(c, str) for c in x[1])
+        own[3] += sum(not isinstance(c, str) and c[0] == "a" for c in x[1])
+        return tuple(own)
+
+    def density(c, lc, t, lt, share):
+        if not c:
+            return 0.0
+        base = max(1.1, math.log(c * lc / max(1, c - lc) + share * c + math.e))
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)), base)
+
+    def html(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(html, x[1]))}</{x[0]}>"
+
+    r = random.Random(11)
+
+    def tree(depth, in_link=False):
+        tag = r.choice(["div", "section", "div", "span"] + ["a"] * (not in_link))
+        children = [prose(r.randint(1, 30), r.random()) if depth > 3 or r.random() < 0.3 else tree(depth + 1, in_link or tag == "a") for _ in range(r.randint(1, 4))]
+        return tag, [c for k, c in enumerate(children) if not k or not isinstance(c, str) or not isinstance(children[k - 1], str)]
+
+    for _ in range(40):
+        own = ("html", [("div", [tree(1), tree(1), tree(1)])])
+        c, lc, *_ = counted(own)
+        share, want = lc / c, []
+
+        def visit(x, path, in_link=False):
+            a = in_link or x[0] == "a"
+            c, lc, t, lt = counted(x, in_link)
+            d = density(c, lc, t, max(lt, a), share)
+            total = 0.0
+            path = path + [d]
+            for k in x[1]:
+                if isinstance(k, str):
+                    total += density(len(k), len(k) if a else 0, 1, 1, share)
+                else:
+                    total += visit(k, path, a)
+            want.append((total, d, min(path), html(x)))
+            return d
+
+        visit(own, [])
+        nodes = html_text._walk(html_text.parse(html(own)))
+        html_text._count(nodes)
+        found, threshold = html_text.densest(nodes)
+        best = max(want)
+        assert abs(threshold - best[2]) < 1e-9 * max(1, threshold)
+        assert abs(found.total - max(w[0] for w in want if w[1] >= best[2] - 1e-9)) < 1e-6
+        assert sorted(round(n.total, 6) for n in nodes) == sorted(round(w[0], 6) for w in want)
+
+
+def test_pages_against_a_second_rule():
+    """All pages of a generated table: the blocks of the article as the standard library's parser sees them."""
+    import os
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    path = os.environ.get("PAGES", "/root/testdata/sf0.01/pages.parquet")
+    if not os.path.exists(path):
+        pytest.skip("no pages")
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.inside = [""], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag not in ("b", "a", "i"):
+                self.lines.append("")
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.lines.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+
+    for page in pq.read_table(path).column("html").to_pylist():
+        if page:
+            second = Article()
+            second.feed(page)
+            assert html_text.extract(page) == "\n".join(x for x in (" ".join(s.split()) for s in second.lines) if x)
