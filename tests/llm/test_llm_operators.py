@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,45 @@ def test_factorization_machine_learns_an_interaction():
     assert score(1, 2) > 0 > max(score(1), score(2))
 
 
+def test_terms_that_tell_only_in_pairs_are_learned(spark):
+    """Label 1 where exactly one of two words stands: neither word alone tells anything. And texts that share a line are all learned from."""
+    r = random.Random(12)
+    docs, marks = [], []
+    for i in range(1500):
+        x, y = r.random() < 0.5, r.random() < 0.5
+        words = [r.choice(WORDS) for _ in range(25)] + ["firstword"] * x + ["secondword"] * y
+        r.shuffle(words)
+        docs.append((i, "one line that stands in all of the texts of this corpus before others come " + " ".join(words)))
+        marks.append((i, int(x != y)))
+    docs, marks = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = rows(toxicity.annotate(docs, marks).join(marks, "doc_id"))
+    held = [g for g in got if g["held_out"]]
+    assert sum((g["score"] >= 0.5) == g["toxic"] for g in held) > 0.95 * len(held)
+    again = rows(toxicity.annotate(docs.repartition(7), marks.repartition(2)))
+    assert {g["doc_id"]: g["score"] for g in again} == {g["doc_id"]: g["score"] for g in got}
+
+
+def test_toxicity_scores_against_a_naive_form(spark):
+    import math
+
+    docs = spark.createDataFrame([(i, prose(30, i) + (" insult group" if i % 3 == 0 else " insult" if i % 3 == 1 else " group")) for i in range(300)], "doc_id long, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    machine = toxicity.fit(docs, marks)
+    bodies = [r["text"] for r in docs.collect()] + ["", "Insult", "GROUP insult " + prose(4000, 3)]
+    got = machine.score(pa.array(bodies))
+
+    def term(word):
+        parts = toxicity._terms(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+        return {int(t) for ts, _ in parts for t in ts}
+
+    known = {int(t): i for i, t in enumerate(machine.terms)}
+    for text, score in zip(bodies, got):
+        have = sorted({known[t] for w in text.lower().split() for t in term(w) if t in known})
+        total = machine.bias + sum(machine.weights[i] for i in have)
+        total += sum(float(machine.factors[i] @ machine.factors[j]) for i in have for j in have if i < j)
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
+
+
 # mixing
 
 
