@@ -242,8 +242,9 @@ def _sizes(n_ids: int, length: int) -> np.ndarray:
 
 
 def block_length(n_ids: int) -> int:
-    """Enough blocks for numpy to work on, of 256 to 2048 ids."""
-    return int(min(2048, max(256, n_ids // LANES)))
+    """Of 256 to 2048 ids, so that few lanes stay empty."""
+    rounds = -(-n_ids // (LANES * 2048))
+    return int(max(256, -(-n_ids // (LANES * max(1, rounds)))))
 
 
 def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocabulary) -> list[bytes]:
