@@ -29,14 +29,26 @@ def language(word: Column) -> Column:
     return F.when(~word.rlike(r"\p{L}"), "unknown").when(cyrillic & latin, "mixed_or_other").when(cyrillic, "russian").when(latin, "english").otherwise("mixed_or_other")
 
 
-def language_counts(found: Column) -> list[Column]:
-    """Four columns of counts over an array of words."""
-    kinds = F.transform(found, language)
-    return [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"{k}_word_count") for k in LANGUAGES]
+_OTHER = r"_:\p{Nd}²³¹⁰-⁹₀-₉"  # what no natural word holds; a URL has a colon
 
 
-def _is(kind: str):
-    return lambda x: x == kind
+def word_line(text: Column) -> Column:
+    """All words of a text in lower case, technical ones too, parted by single spaces: a line that regular expressions count words in."""
+    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " "))
+
+
+def _count(line: Column, none_of: str, one_of: str = "") -> Column:
+    """Words of a line without a character of ``none_of`` and, where given, with one of ``one_of``."""
+    ahead = f"(?=[^ {one_of}]*[{one_of}])" if one_of else ""
+    return F.regexp_count(line, F.lit(f"(?<![^ ]){ahead}[^ {none_of}]++(?![^ ])")).cast("long")
+
+
+def language_counts(line: Column) -> list[Column]:
+    """word_count and four columns of counts by language over a ``word_line``."""
+    every, counts = _count(line, _OTHER), [_count(line, _OTHER + "a-z", "а-я"), _count(line, _OTHER + "а-я", "a-z"), _count(line, _OTHER + r"\p{L}")]
+    russian, english, unknown = counts
+    named = dict(zip(LANGUAGES, (russian, english, every - russian - english - unknown, unknown)))
+    return [every.alias("word_count")] + [c.alias(f"{k}_word_count") for k, c in named.items()]
 
 
 def analysis_text(text: Column) -> Column:

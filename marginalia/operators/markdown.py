@@ -105,9 +105,9 @@ def paragraphs(found: DataFrame) -> DataFrame:
     def lines_like(pattern: str) -> Column:
         return F.size(F.filter(F.split("block", "\n"), lambda x: x.rlike(pattern))).cast("long")
 
-    found_words = T.words(F.col("block"))
+    line = T.word_line(F.col("block"))
     return rows.select(
-        "note_id", "section_no", "level", "block_no", F.size(found_words).cast("long").alias("word_count"), F.length("block").cast("long").alias("character_count"), F.octet_length("block").cast("long").alias("byte_count"), *T.language_counts(found_words),
+        "note_id", "section_no", "level", "block_no", F.length("block").cast("long").alias("character_count"), F.octet_length("block").cast("long").alias("byte_count"), *T.language_counts(line),
         F.regexp_count("block", F.lit(WIKILINK)).cast("long").alias("wikilink_count"), F.regexp_count("block", F.lit(IMAGE)).cast("long").alias("image_embed_count"), F.floor(lines_like(FENCE) / 2).alias("code_block_count"),
         lines_like(LIST_ITEM).alias("list_item_count"), lines_like(QUOTE).alias("blockquote_line_count"),
     )

@@ -11,8 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from marginalia.sources.storage import settle
+
 K1, B, AVERAGE_WORDS, RRF_K = 1.2, 0.75, 191.0, 60
 QUERY_BLOCK_BYTES = 8 << 20
+TERM_SALTS = 16
+BROADCAST_TERMS = 200_000  # different terms of queries that are broadcast
 
 
 def terms(text: Column) -> Column:
@@ -28,20 +32,25 @@ def top_k(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score"
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """term, chunk_id, tf, n_terms: the inverted index."""
     rows = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.col(text_col)).alias("terms")).withColumn("n_terms", F.size("terms"))
-    return rows.select("chunk_id", "n_terms", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
+    # an outer explode: before an inner one Spark filters by the array, and splits the text once more
+    return rows.select("chunk_id", "n_terms", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_chunks: DataFrame, average: float = AVERAGE_WORDS) -> DataFrame:
     """query_id, chunk_id, score (4 digits). ``queries``: query_id, text; ``n_chunks``: one row with n.
 
-    Postings are cut to the queries' terms before anything else is counted, so only these terms' rows are shuffled."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    found = index.join(asked.select("term").distinct(), "term", "left_semi")
+    Postings are cut to the queries' terms before anything else is counted, so only these terms' rows are shuffled; they are written once, for their
+    counts and for the scores. A frequent term's postings are dealt to many places where they meet the queries that ask for it."""
+    asked = settle(queries.select("query_id", F.explode_outer(F.array_distinct(terms(F.col("text")))).alias("term")).where("term IS NOT NULL"), "asked")
+    wanted = asked.select("term").distinct()
+    found = settle(index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi"), "postings")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(n_chunks).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / average))
-    scored = asked.join(idf, "term").join(found, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 4).alias("score"))
-    return scored
+    salts = F.array(*[F.lit(i) for i in range(TERM_SALTS)])
+    asked = asked.join(idf, "term").withColumn("salt", F.explode(salts))
+    scored = asked.join(found.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int")), ["term", "salt"])
+    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 4).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -10,9 +10,9 @@ from marginalia.functions import text as T
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: sizes, words by language, content hash, anomaly."""
     body = T.unix_lines(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), "source", body.alias("body"), T.analysis_text(body).alias("plain")).withColumn("words", T.words(F.col("plain")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", body.alias("body"), T.analysis_text(body).alias("plain")).withColumn("line", T.word_line(F.col("plain")))
     anomaly = F.when(F.trim("body") == "", "empty_document").when(F.trim("plain") == "", "no_text_after_structure")
-    return rows.select("doc_id", "source", F.octet_length("body").cast("long").alias("file_size_bytes"), F.length("body").cast("long").alias("character_count"), F.size("words").cast("long").alias("word_count"), *T.language_counts(F.col("words")), T.content_hash(F.col("body")).alias("content_hash"), anomaly.alias("anomaly"))
+    return rows.select("doc_id", "source", F.octet_length("body").cast("long").alias("file_size_bytes"), F.length("body").cast("long").alias("character_count"), *T.language_counts(F.col("line")), T.content_hash(F.col("body")).alias("content_hash"), anomaly.alias("anomaly"))
 
 
 def distribution(value: Column) -> list[Column]:

@@ -62,8 +62,9 @@ def inventory_summary(spark, sf_dir):
 
 @query(f"WITH w AS (SELECT unnest({_WORDS.format(t='text')}) AS word FROM documents) SELECT {_LANGUAGE.format(w='word')} AS language, count(*) AS words, count(DISTINCT word) AS different FROM w GROUP BY 1")
 def language_mix(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word"))
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).groupBy(T.language(F.col("word")).alias("language")).agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("different"))
+    rows = _docs(spark, sf_dir).select(F.explode_outer(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))).alias("word"))
+    words = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(~F.col("word").rlike(T.TECHNICAL))  # rules are tried once a different word
+    return words.groupBy(T.language(F.col("word")).alias("language")).agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("different"))
 
 
 @query(f"WITH {STATS} SELECT source, round(CASE WHEN sum(word_count) = 0 THEN 0 ELSE sum(english_word_count) / sum(word_count) END, 6)::double AS english_share, round(CASE WHEN sum(english_word_count) = 0 THEN NULL ELSE sum(russian_word_count) / sum(english_word_count) END, 6)::double AS russian_to_english FROM stats GROUP BY source")
