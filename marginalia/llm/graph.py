@@ -10,18 +10,28 @@ from marginalia.llm.util import settle, spread_join
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, label): label is the least node of the component.
 
-    Each round takes the least label of a node and its neighbours, then the label of that label, until nothing changes;
-    the number of rounds grows with the logarithm of the longest path. A node with very many edges, or a label of very many nodes, is pre-aggregated
-    where it is the group and dealt to many places where it is the join key.
+    Each round points every node to its least neighbour, if that is less, follows the pointers to their ends (twice as far with each join), and
+    goes on with the edges between different ends. A group of copies that all point to one node is done in one round; the number of rounds
+    and joins grows with the logarithm of the longest path. A node of very many edges is pre-aggregated where it is the group and dealt to many
+    places where it is the join key.
     """
-    edges = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        parents = labels.select(F.col("node").alias("label"), F.col("label").alias("parent"))
-        after = settle(spread_join(nearer, parents, "label", "node").select("node", "old", F.least("label", "parent").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "ends")
+        moved = True
+        while moved:
+            further = ends.select(F.col("node").alias("label"), F.col("label").alias("end"))
+            after = settle(spread_join(ends, further, "label", "node").select("node", F.col("label").alias("old"), F.col("end").alias("label")), "ends")
+            ends, moved = after.select("node", "label"), not after.where("old <> label").isEmpty()
+        if labels is None:
+            labels = ends
+        else:
+            renamed = ends.select(F.col("node").alias("label"), F.col("label").alias("end"))
+            labels = settle(spread_join(labels, renamed, "label", "node", "left").select("node", F.coalesce("end", "label").alias("label")), "labels")
+        low, high = (ends.select(F.col("node").alias(k), F.col("label").alias(f"end_{k}")) for k in "ab")
+        joined = spread_join(spread_join(edges, low, "a", "b"), high, "b", "a").where("end_a <> end_b")
+        edges = settle(joined.select(F.least("end_a", "end_b").alias("a"), F.greatest("end_a", "end_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return labels
