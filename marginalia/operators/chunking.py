@@ -6,6 +6,8 @@ The splitter walks a text and cannot be an expression over rows; it runs on Arro
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,131 +38,147 @@ class Policy:
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_LIST_MARK = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
+
+
+class _Section:
+    """A section's span of its note, cut into spans of it. Nothing is copied or searched: a chunk is a begin and an end, so its place is known."""
+
+    def __init__(self, text: str, policy: Policy):
+        self.text, self.policy = text, policy
+        self.tokens = [m.start() for m in _TOKEN.finditer(text)]
+        self.whole = [(a, b) for kind, a, b in blocks(text) if getattr(policy, f"preserve_{kind}_blocks") and self.size(a, b) <= policy.chunk_size]
+
+    def size(self, a: int, b: int) -> int:
+        """Tokens that begin in a span."""
+        return bisect_left(self.tokens, b) - bisect_left(self.tokens, a)
+
+    def inside(self, at: int) -> bool:
+        """Whether a block that stays whole begins before a place and ends after it."""
+        k = bisect_left(self.whole, (at, 0)) - 1
+        return k >= 0 and self.whole[k][1] > at
+
+    def trimmed(self, a: int, b: int) -> tuple[int, int]:
+        body = self.text[a:b]
+        return a + len(body) - len(body.lstrip()), a + len(body.rstrip())
+
+    def parts(self, a: int, b: int, separator: str) -> list[tuple[int, int]]:
+        """The span cut before each separator that is not within a block that stays whole."""
+        if separator:
+            cuts = [m.start() for m in re.finditer(re.escape(separator), self.text[a:b])]
+        else:
+            cuts = range(b - a)
+        inner = [a + c for c in cuts if c and not self.inside(a + c)]
+        edges = [a, *inner, b]
+        return list(zip(edges, edges[1:]))
+
+    def spans(self, a: int, b: int, level: int = 0) -> list[tuple[int, int]]:
+        """Spans of at most the policy's tokens where its separators allow that, in order; each begins with as many last parts of the one before as fit the overlap."""
+        most, overlap, separators = self.policy.chunk_size, self.policy.chunk_overlap, self.policy.separators
+        if self.size(a, b) <= most:
+            return [(a, b)]
+        if level == len(separators):
+            return [(a, b)]
+        out: list[tuple[int, int]] = []
+        run: deque[tuple[int, int]] = deque()  # adjoining parts of the next span
+        for x, y in self.parts(a, b, separators[level]):
+            n = self.size(x, y)
+            if run and self.size(run[0][0], run[-1][1]) + n > most:
+                out.append((run[0][0], run[-1][1]))
+                while run and (self.size(run[0][0], run[-1][1]) > overlap or self.size(run[0][0], run[-1][1]) + n > most):
+                    run.popleft()
+            if n > most:
+                out += self.spans(x, y, level + 1)
+                run.clear()
+            else:
+                run.append((x, y))
+        if run:
+            out.append((run[0][0], run[-1][1]))
+        return out
 
 
 def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """The parts of a text, each but the first with its separator before it."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in [first, *(separator + r for r in rest)] if p]
-
-
 def split(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most ``size`` tokens where the separators allow it, merged from parts in order; a chunk begins with as many
-    last parts of the one before as fit the overlap. A part that is too long is split by the separators after."""
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    rest, out, held = separators[at + 1 :], [], []
-
-    def flush() -> None:
-        body = "".join(p for p, _ in held).strip()
-        if body:
-            out.append(body)
-
-    total = 0
-    for part in _pieces(text, separators[at]):
-        n = count_tokens(part)
-        if n > size and rest:
-            flush()
-            held.clear()
-            total = 0
-            out.extend(split(part, size, overlap, rest))
-            continue
-        if held and total + n > size:
-            flush()
-            while held and (total > overlap or total + n > size):
-                total -= held.pop(0)[1]
-        held.append((part, n))
-        total += n
-    flush()
+    """A plain text's chunks."""
+    whole = _Section(text, Policy(size, overlap, separators, False, False, False))
+    return [text[a:b] for a, b in (whole.trimmed(*s) for s in whole.spans(0, len(text))) if a < b]
+
+
+def blocks(text: str) -> list[tuple[str, int, int]]:
+    """Kind, begin and end of the code, list and table blocks of a text: a fence with what it holds, and runs of list items or table rows."""
+    out: list[tuple[str, int, int]] = []
+    at, fence = 0, None
+    for line in text.splitlines(keepends=True):
+        end, bare = at + len(line.rstrip("\n")), line.strip()
+        if bare[:3] in ("```", "~~~"):
+            if fence is None:
+                fence = at
+            else:
+                out.append(("code", fence, end))
+                fence = None
+        elif fence is None:
+            kind = "list" if _LIST_MARK.match(line) else "table" if len(bare) > 1 and bare[0] == bare[-1] == "|" else None
+            if kind == "table" and out and out[-1][0] == kind and out[-1][2] == at - 1:
+                out[-1] = (kind, out[-1][1], end)
+            elif kind:
+                out.append((kind, at, end))
+        at += len(line)
     return out
 
 
-def chunk_section(level: int | None, title: str | None, body: str, blocks: list[tuple[str, str]], source: str, policy: Policy) -> list[tuple[str, int, int]]:
-    """(text, start, end) of a section's chunks; offsets are within ``source``, the section's span of the note.
+def chunk_section(level: int | None, title: str | None, source: str, policy: Policy) -> list[tuple[str, int, int]]:
+    """(text, begin, end) of a section's chunks; ``source`` is the section's span of the note, its heading line included.
 
-    Small code, list and table blocks stand as one token each while splitting. Every chunk of a headed section begins with its heading."""
+    Code, list items and tables that fit a chunk are not cut. Every chunk of a headed section begins with its heading; a section that has only a heading is one chunk."""
+    section = _Section(source, policy)
+    head = 0 if level is None else (source.find("\n") + 1 or len(source))
     heading = "" if level is None else f"{'#' * level} {title or ''}".strip()
-    page = f"{heading}\n\n{body}".strip() if heading else body.strip()
-    wanted = {"code": policy.preserve_code_blocks, "list": policy.preserve_list_blocks, "table": policy.preserve_table_blocks}
-    kept: dict[str, str] = {}
-    for n, (kind, block) in enumerate(blocks):
-        if wanted.get(kind) and block in page and count_tokens(block) <= policy.chunk_size:
-            name = f"__STRUCTURAL_BLOCK_{n}__"
-            page, kept[name] = page.replace(block, name, 1), block
-    found, at = [], 0
-    for text in split(page, policy.chunk_size, policy.chunk_overlap if count_tokens(page) > policy.chunk_size else 0, policy.separators):
-        for name, block in kept.items():
-            text = text.replace(name, block)
-        start = source.find(text, at)
-        if start < 0:
-            start = _approximate(source, text, at, page)
-        found.append((text if not heading or text.startswith(heading) else f"{heading}\n\n{text}", start, min(len(source), start + len(text))))
-        at = max(at, start)
+    found = []
+    for span in section.spans(0, len(source)):
+        a, b = section.trimmed(*span)
+        if a < b:
+            own = source[max(a, head) : b].strip() if a < head else source[a:b]
+            found.append(("\n\n".join(x for x in (heading, own) if x), a, b))
     return found
 
 
-def _approximate(source: str, text: str, at: int, page: str) -> int:
-    """Where a chunk is whose white space differs: by the text with single spaces, else in proportion."""
-    near = " ".join(source.split()).find(" ".join(text.split()))
-    if near >= 0:
-        return min(len(source), at + near)
-    share = page.find(text) / len(page) if page else 0
-    return min(len(source), max(at, int(len(source) * share)))
-
-
-def _blocks(text: str) -> list[tuple[str, str]]:
-    """Code, list and table blocks of a section body, in order."""
-    out, fence = [], None
-    for line in text.split("\n"):
-        s = line.strip()
-        if s.startswith(("```", "~~~")):
-            if fence is None:
-                fence = [line]
-            else:
-                out.append(("code", "\n".join([*fence, line]).strip()))
-                fence = None
-        elif fence is not None:
-            fence.append(line)
-        elif s.startswith(("- ", "* ", "+ ")) or s[:2].isdigit() and s[2:3] == ".":
-            out.append(("list", s))
-        elif s.startswith("|") and s.endswith("|") and s:
-            out.append(("table", s))
-    return out
-
-
 SCHEMA = "note_id long, chunk_index int, section_no long, section_title string, section_level int, section_path array<string>, start_offset long, end_offset long, text string"
 
 
-def chunks(notes: DataFrame, policy: Policy = Policy(), version: str = "v1") -> DataFrame:
-    """The chunks of notes (note_id, note): SCHEMA, with word_count, token_count and chunking_version; numbered through each note."""
-    sections = M.sections(M.lines(notes))
-    bodies = notes.select("note_id", T.unix_lines(F.col("note")).alias("note"))
-    whole = sections.join(bodies, "note_id").select("note_id", "section_no", "level", "title", "path", "body", "start_offset", F.substring(F.col("note"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")).alias("source"))
+def chunks(notes: DataFrame, policy: Policy = Policy(), version: str = "v1", parser_version: str = "p1") -> DataFrame:
+    """The chunks of notes (note_id, note): SCHEMA, numbered through each note, with word_count, token_count, chunking_version, parser_version, source_content_hash and source_length."""
+    whole = M.sections(M.lines(notes)).select("note_id", "section_no", "level", "title", "path", "start_offset", "source")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
                 level = None if pd.isna(r.level) else int(r.level)
-                for k, (text, a, b) in enumerate(chunk_section(level, r.title, r.body, _blocks(r.body), r.source, policy)):
+                for k, (text, a, b) in enumerate(chunk_section(level, r.title, r.source, policy)):
                     rows.append((r.note_id, k, r.section_no, r.title, level, list(r.path), r.start_offset + a, r.start_offset + b, text))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"section_level": "Int32"})
 
     made = whole.mapInPandas(run, SCHEMA)
     order = F.row_number().over(M.W.partitionBy("note_id").orderBy("section_no", "chunk_index")) - 1
-    return made.withColumn("chunk_index", order).withColumn("word_count", T.chunk_word_count(F.col("text"))).withColumn("token_count", T.chunk_token_count(F.col("text"))).withColumn("chunking_version", F.lit(version))
+    counted = made.withColumn("chunk_index", order).withColumns({"word_count": T.chunk_word_count(F.col("text")), "token_count": T.chunk_token_count(F.col("text"))})
+    body = T.unix_lines(F.col("note"))
+    known = notes.select("note_id", T.content_hash(body).alias("source_content_hash"), F.length(body).cast("long").alias("source_length"))
+    return counted.withColumns({"chunking_version": F.lit(version), "parser_version": F.lit(parser_version)}).join(known, "note_id")
 
 
 def invalid(rows: DataFrame) -> DataFrame:
-    """Chunks that break a rule, with the rules' names."""
+    """Chunks that break one of the nine rules, with the rules' names."""
+
+    def missing(name: str):
+        return F.col(name).isNull() | (F.trim(name) == "")
+
     rules = {
-        "note_id": F.col("note_id").isNull(), "chunk_index": F.col("chunk_index") < 0, "section_level": F.col("section_level").isNotNull() & ~F.col("section_level").between(1, 6), "offsets": (F.col("start_offset") < 0) | (F.col("end_offset") < F.col("start_offset")),
-        "counts": (F.col("word_count") < 0) | (F.col("token_count") < 0), "text": F.col("text").isNull() | (F.trim("text") == ""), "version": F.col("chunking_version").isNull() | (F.trim("chunking_version") == ""),
+        "note_id": F.col("note_id").isNull() | (F.col("note_id") < 0), "chunk_index": F.col("chunk_index").isNull() | (F.col("chunk_index") < 0), "text": F.col("text").isNull() | ~F.col("text").rlike(r"\S"),
+        "offsets": F.col("start_offset").isNull() | F.col("end_offset").isNull() | (F.col("start_offset") < 0) | (F.col("end_offset") < F.col("start_offset")), "word_count": ~F.col("word_count").eqNullSafe(T.chunk_word_count(F.col("text"))),
+        "token_count": ~F.col("token_count").eqNullSafe(T.chunk_token_count(F.col("text"))), "parser_version": missing("parser_version"), "source_content_hash": missing("source_content_hash"), "chunking_version": missing("chunking_version"),
     }
     return rows.withColumn("broken", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).where(F.size("broken") > 0)
 

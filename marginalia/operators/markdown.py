@@ -64,12 +64,13 @@ def links(rows: DataFrame, pattern: str = WIKILINK) -> DataFrame:
 
 def sections(rows: DataFrame) -> DataFrame:
     """One row per section: section_no (0 before the first heading), level, title, start_line, end_line (direct), full_end_line, parent_line,
-    path, direct body. A section without a heading exists only where there are lines before the first heading."""
+    path, direct body, and source (all its direct lines). A section without a heading exists only where there are lines before the first heading."""
     numbered = rows.withColumn("section_no", F.count("heading_level").over(_so_far()))
-    pieces = F.array_sort(F.collect_list(F.when(F.col("heading_level").isNull(), F.struct("line", "text"))))
+    every = F.array_sort(F.collect_list(F.struct("line", "text", "heading_level")))
+    pieces = F.filter(every, lambda x: x["heading_level"].isNull())
     base = numbered.groupBy("note_id", "section_no").agg(
         F.min("line").alias("line"), F.max("line").alias("end_line"), F.max("heading_level").alias("level"), F.max("heading").alias("title"), F.min("start").alias("start_offset"),
-        F.max(F.col("start") + F.length("text")).alias("end_offset"), stripped(F.array_join(F.transform(pieces, lambda x: x["text"]), "\n")).alias("body"),
+        F.max(F.col("start") + F.length("text")).alias("end_offset"), F.array_join(F.transform(every, lambda x: x["text"]), "\n").alias("source"), stripped(F.array_join(F.transform(pieces, lambda x: x["text"]), "\n")).alias("body"),
     )
     named = F.when(F.col("level").isNotNull(), F.when(F.col("title") == "", EMPTY_HEADING).otherwise(F.col("title")))
     base = base.withColumn("name", named).withColumn("last_line", F.max("end_line").over(W.partitionBy("note_id")))
@@ -86,7 +87,7 @@ def sections(rows: DataFrame) -> DataFrame:
     parent = F.greatest(F.lit(0), *[F.when(live(k), F.col(f"l{k}")).otherwise(0) for k in range(1, 7)])
     path = F.concat(*[F.when(live(k), F.array(F.col(f"n{k}"))).otherwise(F.array().cast("array<string>")) for k in range(1, 7)], F.array("name"))
     full = F.coalesce(F.when(F.col("level").isNotNull(), F.get(F.array(*[F.col(f"e{k}") for k in range(1, 7)]), F.col("level") - 1)) - 1, F.when(F.col("level").isNull(), F.col("end_line")), F.col("last_line"))
-    return wide.select("note_id", "section_no", "level", "title", F.col("line").alias("start_line"), "end_line", full.alias("full_end_line"), F.when(parent > 0, parent).alias("parent_line"), F.when(F.col("level").isNotNull(), path).otherwise(F.array().cast("array<string>")).alias("path"), "start_offset", "end_offset", "body")
+    return wide.select("note_id", "section_no", "level", "title", F.col("line").alias("start_line"), "end_line", full.alias("full_end_line"), F.when(parent > 0, parent).alias("parent_line"), F.when(F.col("level").isNotNull(), path).otherwise(F.array().cast("array<string>")).alias("path"), "start_offset", "end_offset", "source", "body")
 
 
 def siblings(found: DataFrame) -> DataFrame:
