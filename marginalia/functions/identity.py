@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
-
 #: The URL namespace of RFC 4122
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -38,21 +36,20 @@ def note_path(source: Column, name: Column) -> Column:
     return F.concat(source, F.lit("/"), name.cast("string"), F.lit(".md"))
 
 
-def note_title(path: Column) -> Column:
-    """The file stem of a path."""
-    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+def note_title(path: Column, chunk_id: Column | None = None) -> Column:
+    """The file stem of a path; ``chunk-<id>`` where there is no path and an id is given."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return stem if chunk_id is None else F.coalesce(F.when(stem != "", stem), F.concat(F.lit("chunk-"), chunk_id.cast("string")))
 
 
-@F.udf(StringType())
-def _casefold(x):
-    return None if x is None else x.casefold()
+def casefold(text: Column) -> Column:
+    """A text without the case of any alphabet: upper case first, which writes out letters such as the German sharp s; both sigmas are one."""
+    return F.lower(F.translate(F.upper(text), "Σ", "σ"))
 
 
-def path_key(path: Column, full: bool = False) -> Column:
-    """The key under which links find a path: without ``.md``, in one case. ``full`` folds all of Unicode (by a Python function);
-    lower case is enough for keys without letters such as the German sharp s."""
-    bare = F.regexp_replace(path, r"(?i)\.md$", "")
-    return _casefold(bare) if full else F.lower(bare)
+def path_key(path: Column) -> Column:
+    """The key under which links find a path: without ``.md``, in one case."""
+    return casefold(F.regexp_replace(path, r"(?i)\.md$", ""))
 
 
 def link_base(reference: Column) -> Column:

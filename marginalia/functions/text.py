@@ -43,6 +43,10 @@ def _count(line: Column, none_of: str, one_of: str = "") -> Column:
     return F.regexp_count(line, F.lit(f"(?<![^ ]){ahead}[^ {none_of}]++(?![^ ])")).cast("long")
 
 
+def natural_word_count(text: Column) -> Column:
+    return _count(word_line(text), _OTHER)
+
+
 def language_counts(line: Column) -> list[Column]:
     """word_count and four columns of counts by language over a ``word_line``."""
     every, counts = _count(line, _OTHER), [_count(line, _OTHER + "a-z", "а-я"), _count(line, _OTHER + "а-я", "a-z"), _count(line, _OTHER + r"\p{L}")]

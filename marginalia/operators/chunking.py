@@ -132,7 +132,8 @@ def blocks(text: str) -> list[tuple[str, int, int]]:
 def chunk_section(level: int | None, title: str | None, source: str, policy: Policy) -> list[tuple[str, int, int]]:
     """(text, begin, end) of a section's chunks; ``source`` is the section's span of the note, its heading line included.
 
-    Code, list items and tables that fit a chunk are not cut. Every chunk of a headed section begins with its heading; a section that has only a heading is one chunk."""
+    Code, list items and tables that fit a chunk are not cut. Every chunk of a headed section begins with its heading; the heading is a chunk of its own where the first
+    paragraph is too long for one."""
     section = _Section(source, policy)
     head = 0 if level is None else (source.find("\n") + 1 or len(source))
     heading = "" if level is None else f"{'#' * level} {title or ''}".strip()
@@ -205,3 +206,45 @@ def metrics(rows: DataFrame, chunk_size: int, *by: str, short: float = SHORT_FRA
 def oversized(sections: DataFrame, policies: DataFrame) -> DataFrame:
     """Per policy (policy, chunk_size): sections over its size. The policies are a short configuration table, so they are exploded beside each section."""
     return sections.crossJoin(F.broadcast(policies)).groupBy("policy").agg(F.count(F.lit(1)).alias("sections"), F.count_if(F.col("token_count") > F.col("chunk_size")).alias("oversized"))
+
+
+def count_by_version(rows: DataFrame, version: str) -> DataFrame:
+    """One row: how many chunks of a version are stored."""
+    if not version.strip():
+        raise ValueError("a version is not blank")
+    return rows.where(F.col("chunking_version") == version).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def generation(rows: DataFrame, version: str, *note_ids: int) -> DataFrame:
+    """The chunks of some notes in one version, in their order."""
+    return rows.where((F.col("chunking_version") == version) & F.col("note_id").isin(*note_ids)).orderBy("note_id", "chunk_index")
+
+
+def delete_generations(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """What stays when whole generations (note_id, chunking_version) are deleted."""
+    return rows.join(gone.select("note_id", "chunking_version").distinct(), ["note_id", "chunking_version"], "left_anti")
+
+
+def materialise(notes: DataFrame, folder: str, policy: Policy, version: str) -> DataFrame:
+    """Replace all stored chunks by those of one policy; the stored table."""
+    chunks(notes, policy, version).write.mode("overwrite").parquet(folder)
+    return notes.sparkSession.read.parquet(folder)
+
+
+def experiment(notes: DataFrame, policies: dict[str, Policy], short: float = SHORT_FRACTION) -> DataFrame:
+    """The notes chunked under each policy, and its metrics: one row a policy. A section is too large when its text has more tokens than a chunk may have."""
+    parts = []
+    sizes = M.section_documents(M.sections(M.lines(notes))).select(T.chunk_token_count(F.col("page")).alias("tokens"))
+    for name, policy in policies.items():
+        made = chunks(notes, policy, name)
+        fields = ("section_path", "parser_version", "source_content_hash", "chunking_version")
+        there = sum((F.col(f).isNotNull().cast("long") for f in fields), F.lit(0))
+        complete = made.agg(F.round(F.coalesce(F.sum(there) / (F.count(F.lit(1)) * len(fields)), F.lit(1.0)), 6).alias("metadata_completeness"))
+        large = sizes.agg(F.count_if(F.col("tokens") > policy.chunk_size).alias("oversized_sections_total"))
+        row = metrics(made, policy.chunk_size, short=short).crossJoin(complete).crossJoin(large)  # one row each
+        overlap = (F.lit(policy.chunk_overlap > 0) & (F.col("oversized_sections_total") > 0)).cast("long")
+        parts.append(row.select(F.lit(name).alias("policy"), F.lit(max(1, int(policy.chunk_size * short))).cast("long").alias("short_threshold"), overlap.alias("overlap_enabled"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from marginalia.functions import policies as P
+from marginalia.operators import metrics as X, serving as S
 
 
 def _r(c: Column) -> Column:
@@ -72,3 +75,52 @@ def score_spread(rows: DataFrame, by: str, value: str) -> DataFrame:
 def run_metrics(summary: DataFrame, duration: Column) -> DataFrame:
     """Adds questions_per_second (null without a duration) and scored_ratio."""
     return summary.withColumn("questions_per_second", F.when(duration > 0, _r(F.col("question_count") / duration))).withColumn("scored_ratio", _r(F.when(F.col("question_count") > 0, F.col("scored_count") / F.col("question_count")).otherwise(0.0)))
+
+
+SCORES = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def score_generation(rows: DataFrame) -> DataFrame:
+    """One row a question with its four scores, or skipped with a reason. ``rows``: query_id, call_error, refused, refusal_reason, answer, judge_error, and the scores.
+
+    In this order a failed call, a refusal or empty answer, a failed judge, and a score that is no number from 0 to 1 make a question a skipped one."""
+    empty = F.col("answer").isNull() | (P.stripped(F.col("answer")) == "")
+    bad = F.lit(False)
+    for s in SCORES:
+        bad = bad | P.unit_score(F.col(s)).isNull()
+    reason = F.when(F.col("call_error").isNotNull(), F.col("call_error")).when(F.coalesce("refused", F.lit(False)) | empty, F.coalesce("refusal_reason", F.lit("refused or empty answer")))
+    reason = reason.when(F.col("judge_error").isNotNull(), F.col("judge_error")).when(bad, "a score is not from 0 to 1")
+    return rows.withColumn("reason", reason).select("query_id", F.col("reason").isNotNull().alias("skipped"), "reason", *[F.when(F.col("reason").isNull(), F.col(s)).alias(s) for s in SCORES])
+
+
+def budget_grid(ranked: DataFrame, gold: DataFrame, budgets: list[int], k: int) -> DataFrame:
+    """Every question under every token budget: query_id, budget, packed_chunks, est_tokens, ndcg and mrr at k of the packed notes, each counted once.
+
+    ``ranked``: query_id, rank, key (the note), text; ``gold``: query_id, key. Budgets are a few settings, exploded beside each ranked chunk."""
+    wide = ranked.withColumn("budget", F.explode(F.array(*[F.lit(b).cast("long") for b in budgets])))
+    packed = S.pack(wide, F.col("budget").cast("int"), ("query_id", "budget"))
+    each = F.struct("query_id", "budget").alias("query_id")
+    asked = wide.select("query_id", "budget").distinct()
+    own = W.partitionBy("query_id").orderBy("first")
+    notes = packed.select(each, "key", "rank").groupBy("query_id", "key").agg(F.min("rank").alias("first")).withColumn("rank", F.row_number().over(own)).drop("first")
+    wanted = gold.distinct().join(asked, "query_id").select(each, "key")
+    scores = X.questions(notes, wanted, asked.select(each), k).select("query_id.query_id", "query_id.budget", "ndcg", "mrr")
+    sizes = packed.groupBy("query_id", "budget").agg(F.count(F.lit(1)).alias("packed_chunks"), F.sum("tokens").alias("est_tokens"))
+    return scores.join(sizes, ["query_id", "budget"], "left").na.fill(0, ["packed_chunks", "est_tokens"])
+
+
+def two_pass(canonical: DataFrame, paraphrases: DataFrame, threshold: float) -> DataFrame:
+    """All canonical queries first, which fill the cache, then all paraphrases against it: group_id, query_id, pass, hit, entry_id, similarity. Both: group_id, query_id, vector."""
+    hits = S.cache_lookup(paraphrases.select("query_id", "vector"), canonical.select(F.col("query_id").alias("entry_id"), "vector"), threshold)
+    first = canonical.select("group_id", "query_id", F.lit("canonical").alias("pass"), F.lit(False).alias("hit"), F.lit(None).cast("long").alias("entry_id"), F.lit(None).cast("double").alias("similarity"))
+    second = paraphrases.select("group_id", "query_id").join(hits, "query_id", "left").select("group_id", "query_id", F.lit("paraphrase").alias("pass"), F.col("entry_id").isNotNull().alias("hit"), "entry_id", "similarity")
+    return first.unionByName(second)
+
+
+def query_artifacts(rows: DataFrame, run: str, *order: str) -> DataFrame:
+    """A record for each query of a run: its step (from 0) in the run's order, and its hit as 0 or 1. ``rows``: run, order, hit, ..."""
+    return rows.withColumn("step", F.row_number().over(W.partitionBy(run).orderBy(*order)) - 1).withColumn("hit", F.coalesce(F.col("hit").cast("int"), F.lit(0)))
+
+
+def prompt_hash(prompt: Column) -> Column:
+    return F.substring(F.sha2(prompt, 256), 1, 16)

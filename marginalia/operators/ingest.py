@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions import identity as I
 
@@ -96,8 +96,36 @@ def dedup_links(links: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     """target_note_id of each link: the only note of that path, else the only one of that title, else null. ``notes``: note_id, relative_path, title."""
     by_path = notes.groupBy(I.path_key(F.col(KEY)).alias("pk")).agg(F.count(F.lit(1)).alias("n_path"), F.max("note_id").alias("path_note"))
-    by_title = notes.groupBy(F.lower("title").alias("tk")).agg(F.count(F.lit(1)).alias("n_title"), F.max("note_id").alias("title_note"))
-    keyed = links.withColumn("base", I.link_base(F.col("target"))).withColumn("pk", F.lower("base")).withColumn("tk", F.lower(F.element_at(F.split("base", "/"), -1)))
+    by_title = notes.groupBy(I.casefold(F.col("title")).alias("tk")).agg(F.count(F.lit(1)).alias("n_title"), F.max("note_id").alias("title_note"))
+    keyed = links.withColumn("base", I.link_base(F.col("target"))).withColumn("pk", I.casefold(F.col("base"))).withColumn("tk", I.casefold(F.element_at(F.split("base", "/"), -1)))
     joined = keyed.join(by_path, "pk", "left").join(by_title, "tk", "left")
     target = F.when(F.col("n_path") == 1, F.col("path_note")).when(F.col("n_title") == 1, F.col("title_note"))
     return joined.select(*links.columns, target.alias("target_note_id"))
+
+
+def new_note_id(path: Column) -> Column:
+    """The id of a note that is not stored yet: 62 bits of a hash of its path, so no task needs a counter and a rerun gives the same."""
+    return F.shiftrightunsigned(F.xxhash64(path), 2)
+
+
+def run(found: DataFrame, stored: DataFrame, links: DataFrame, run_id: int, corpus_scope: str, scope: list[str] | None = None) -> dict[str, DataFrame]:
+    """One ingestion run over all discovered files; what it leaves behind: notes, states, links, run.
+
+    ``found``: relative_path, source_directory, title, content_hash, parse_status (parsed or failed), parser_version, error_type, error_message. ``stored``: note_id, these columns without the
+    errors, last_status. ``links``: relative_path, target, alias, line, place of parsed files.
+
+    A file that cannot be read or parsed does not end the run: if its path is new it gets a note row with status failed, else the stored row stays; the state holds the error.
+    Notes of the scope that were not found are stale and stay stored. Links of every parsed file are replaced and resolved against the notes after the run."""
+    columns = [KEY, "source_directory", "title", "content_hash", "parse_status", "parser_version"]
+    decided = decide(found, stored).join(stored.select(KEY, "note_id"), KEY, "left")
+    decided = decided.withColumn("known", F.col("note_id").isNotNull()).withColumn("note_id", F.coalesce("note_id", new_note_id(F.col(KEY))))
+    written = decided.where(F.col("should_process") | ~F.col("known")).select("note_id", *columns)
+    notes = upsert(stored.select("note_id", *columns), written, [KEY])
+    gone = stale(found, stored, scope)
+    seen = decided.select("note_id", KEY, F.col("decision").alias("status"), "reason", "content_hash", "parser_version", "error_type", "error_message")
+    missed = gone.select("note_id", KEY, F.lit("stale").alias("status"), F.lit("not_discovered").alias("reason"), "content_hash", "parser_version", F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_message"))
+    own = dedup_links(links.join(decided.where("decision <> 'failed'").select(KEY, "note_id"), KEY).drop(KEY))
+    return {
+        "notes": notes, "states": seen.unionByName(missed).withColumn("run_id", F.lit(run_id)), "links": resolve_links(own, notes),
+        "run": counters(decided, gone).select(F.lit(run_id).alias("run_id"), F.lit(corpus_scope).alias("corpus_scope"), "*"),
+    }

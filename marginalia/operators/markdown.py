@@ -164,3 +164,39 @@ def _frontmatter(note: str) -> tuple[str, dict[str, str]]:
     if not isinstance(value, dict):
         return "not_a_mapping", {}
     return "ok", {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in value.items()}
+
+
+def heading_statistics(found: DataFrame) -> DataFrame:
+    """Per note, view and level (null before the first heading): sections, mean and median of their words. The direct body ends at the next heading, the full span at the next
+    heading of the same or a higher level and holds its headings. ``found``: sections."""
+    rows = found.select("note_id", "section_no", "level", "end_line", "full_end_line", T.natural_word_count(F.col("body")).alias("direct"), T.natural_word_count(F.col("source")).alias("own"))
+    rows = rows.withColumn("upto", F.sum("own").over(W.partitionBy("note_id").orderBy("section_no")))
+    ends = rows.select("note_id", F.col("end_line").alias("full_end_line"), F.col("upto").alias("through"))
+    views = F.array(F.struct(F.lit("direct_body").alias("view"), F.col("direct").alias("words")), F.struct(F.lit("full_span").alias("view"), (F.col("through") - F.col("upto") + F.col("own")).alias("words")))
+    both = rows.join(ends, ["note_id", "full_end_line"]).select("note_id", "level", F.explode(views).alias("v"))
+    return both.groupBy("note_id", "v.view", "level").agg(F.count(F.lit(1)).alias("sections"), F.round(F.avg("v.words"), 6).alias("mean_words"), F.round(F.median("v.words"), 6).alias("median_words"))
+
+
+def section_rows(statistics: DataFrame) -> DataFrame:
+    """Per level and view: notes that have it, the first note's mean and median, and the mean of all notes' means."""
+    first = F.min_by(F.struct("mean_words", "median_words"), "note_id")
+    return statistics.groupBy("level", "view").agg(F.count(F.lit(1)).alias("documents"), first.alias("f"), F.round(F.avg("mean_words"), 6).alias("average_mean")).select("level", "view", "documents", F.col("f.mean_words").alias("first_mean"), F.col("f.median_words").alias("first_median"), "average_mean")
+
+
+def section_documents(found: DataFrame) -> DataFrame:
+    """Each section as one text, its heading, a blank line and its body, with what is known of it."""
+    heading = F.when(F.col("level").isNotNull(), F.trim(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.coalesce("title", F.lit("")))))
+    page = F.concat_ws("\n\n", F.when(heading != "", heading), F.when(F.col("body") != "", F.col("body")))
+    return found.select("note_id", "section_no", page.alias("page"), F.struct("level", "title", "path", "start_offset", "end_offset").alias("metadata"))
+
+
+def sectionization(found: DataFrame, blocks: DataFrame, *metadata: str) -> DataFrame:
+    """One row over sections and their typed blocks (start_offset, end_offset): how many, how deep, what is empty or has bad offsets, and the share of ``metadata`` that is there."""
+    bad = F.col("start_offset") > F.col("end_offset")
+    there = sum((F.col(c).isNotNull().cast("long") for c in metadata), F.lit(0))
+    whole = found.agg(
+        F.count_distinct("note_id").alias("documents_processed"), F.count(F.lit(1)).alias("sections_total"), F.coalesce(F.max(F.size("path")), F.lit(0)).alias("max_tree_depth"), F.count_if(F.col("level").isNotNull() & (F.col("title") == "")).alias("empty_heading_count"),
+        F.count_if(F.col("level").isNull()).alias("pre_heading_count"), F.count_if(bad).alias("bad_sections"), F.round(F.coalesce(F.sum(there) / (F.count(F.lit(1)) * max(1, len(metadata))), F.lit(1.0)) if metadata else F.lit(1.0), 6).alias("metadata_completeness"),
+    )
+    parts = blocks.agg(F.count(F.lit(1)).alias("blocks_total"), F.count_if(bad).alias("bad_blocks"))
+    return whole.crossJoin(parts).select("documents_processed", "sections_total", "blocks_total", "max_tree_depth", "empty_heading_count", "pre_heading_count", (F.col("bad_sections") + F.col("bad_blocks")).alias("invalid_offset_count"), "metadata_completeness")  # one row each

@@ -134,7 +134,31 @@ def model_score(f: Callable[[list[str], list[str]], list[float]]) -> Callable[[C
     return score
 
 
+def search(method: str, top_k: int, dense_hits: Callable[[int], DataFrame], lexical_hits: Callable[[int], DataFrame], candidate_k: int = 20) -> DataFrame:
+    """Ranked hits by dense, bm25 or hybrid search. Each part gives its k best; a fusion draws on ``candidate_k`` of each, and on no fewer than it returns."""
+    if method == "dense":
+        return dense_hits(top_k)
+    if method == "bm25":
+        return lexical_hits(top_k)
+    if method != "hybrid":
+        raise ValueError(f"no search method {method!r}")
+    most = max(candidate_k, top_k)
+    return fuse(dense_hits(most), lexical_hits(most), k=top_k)
+
+
+def query_filters(configured: dict, source_path: str | None = None, note_id: int | None = None, version: str | None = None, lexical: bool = False) -> dict:
+    """The filters of a query: those of the configuration, then path and note where given; lexical search also keeps to one chunking version."""
+    own = {"source_path": source_path, "note_id": note_id, "chunking_version": version if lexical else None}
+    return configured | {k: v for k, v in own.items() if v is not None}
+
+
+def without_note(ranked: DataFrame, note_col: str = "note_id") -> DataFrame:
+    """Queries that hit a chunk of no note, with the reason why they are skipped."""
+    return ranked.where(F.col(note_col).isNull()).select("query_id", F.lit("missing_note_id").alias("reason")).distinct()
+
+
 def collapse(ranked: DataFrame, note_col: str = "note_id") -> DataFrame:
-    """The first chunk of each note, renumbered."""
-    first = ranked.where(F.col(note_col).isNotNull()).groupBy("query_id", note_col).agg(F.min("rank").alias("chunk_rank"))
+    """The first chunk of each note, renumbered. A query with a chunk of no note has no ranking (see ``without_note``)."""
+    missing = F.max(F.col(note_col).isNull()).over(W.partitionBy("query_id"))
+    first = ranked.withColumn("missing", missing).where(~F.col("missing")).groupBy("query_id", note_col).agg(F.min("rank").alias("chunk_rank"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_rank", note_col)))

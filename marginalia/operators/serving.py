@@ -41,7 +41,8 @@ def prompt(asked: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:
-    """query_id, answer, citations (known chunk ids, first mentions), confidence, error. ``raw``: query_id, reply, allowed (array of ids).
+    """query_id, answer, citations (chunk_id and note_path of known chunks, first mentions), confidence, error. ``raw``: query_id, reply, allowed (array of ids),
+    and, where paths are wanted, note_paths (map of these ids to paths).
 
     Replies may be fenced, wrapped in prose, or hold backslashes that JSON does not allow: these need a parser in Python."""
 
@@ -50,7 +51,10 @@ def parse_answers(raw: DataFrame) -> DataFrame:
             rows = [_parse(reply, allowed) for reply, allowed in zip(f["reply"], f["allowed"])]
             yield pd.DataFrame({"query_id": f["query_id"], "answer": [r[0] for r in rows], "citations": [r[1] for r in rows], "confidence": [r[2] for r in rows], "error": [r[3] for r in rows]})
 
-    return raw.select("query_id", "reply", "allowed").mapInPandas(run, "query_id long, answer string, citations array<long>, confidence double, error string")
+    made = raw.select("query_id", "reply", "allowed").mapInPandas(run, "query_id long, answer string, citations array<long>, confidence double, error string")
+    paths = raw.select("query_id", F.col("note_paths") if "note_paths" in raw.columns else F.lit(None).cast("map<bigint,string>").alias("note_paths"))
+    cited = F.transform("citations", lambda c: F.struct(c.alias("chunk_id"), F.col("note_paths")[c].alias("note_path")))
+    return made.join(paths, "query_id").select("query_id", "answer", cited.alias("citations"), "confidence", "error")
 
 
 def _parse(reply: str | None, allowed) -> tuple:

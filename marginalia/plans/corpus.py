@@ -80,7 +80,7 @@ def token_estimates(spark, sf_dir):
 
 @query(rf"SELECT doc_id, len({_WORDS.format(t='text')})::bigint AS natural_words, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))::bigint AS chunk_words FROM documents")
 def word_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("natural_words"), T.chunk_word_count(F.col("text")).alias("chunk_words"))
+    return _docs(spark, sf_dir).select("doc_id", T.natural_word_count(F.col("text")).alias("natural_words"), T.chunk_word_count(F.col("text")).alias("chunk_words"))
 
 
 @query(f"SELECT doc_id, sha256({_PLAIN}) AS plain_hash, length({_PLAIN})::bigint AS plain_chars FROM documents")

@@ -123,3 +123,42 @@ def replace_generation(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     new = d.where("lang NOT IN ('en', 'fr') AND doc_id % 2 = 0").withColumn("state", F.lit("new"))
     return G.replace_generation(d.withColumn("state", F.lit("old")), new, ["lang"]).groupBy("source", "lang", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _run(spark, sf_dir):
+    new, old = _snapshots(spark, sf_dir)
+    failed = F.col("parse_status") == "failed"
+    found = new.withColumns({"error_type": F.when(failed, "ValueError"), "error_message": F.when(failed, F.concat(F.lit("cannot parse "), F.col("relative_path")))})
+    number = F.regexp_extract("relative_path", r"/(\d+)\.md$", 1).cast("long")
+    stored = old.withColumns({"note_id": number, "source_directory": F.split_part("relative_path", F.lit("/"), F.lit(1)), "title": number.cast("string"), "parse_status": F.when(F.col("last_status") == "failed", "failed").otherwise("parsed")})
+    links = found.select("relative_path", F.concat("source_directory", F.lit("/"), (number + 2).cast("string")).alias("target"), F.lit(None).cast("string").alias("alias"), F.lit(1).alias("line"), F.lit(0).alias("place"))
+    return G.run(found, stored, links, 7, "all")
+
+
+_AFTER = _SNAP + """, after AS (SELECT coalesce(inc.relative_path, prev.relative_path) AS relative_path, CASE WHEN decision IN ('new', 'changed') OR prev.relative_path IS NULL THEN inc.content_hash ELSE prev.content_hash END AS content_hash, CASE WHEN decision IN ('new', 'changed') THEN 'parsed' WHEN prev.relative_path IS NULL THEN 'failed' WHEN prev.last_status = 'failed' THEN 'failed' ELSE 'parsed' END AS parse_status,
+ CASE WHEN decision IN ('new', 'changed') OR prev.relative_path IS NULL THEN 'p1' ELSE prev.parser_version END AS parser_version, prev.relative_path IS NOT NULL AS had_id FROM dec JOIN inc USING (relative_path) FULL JOIN prev USING (relative_path))"""
+
+
+@query(f"WITH {_AFTER} SELECT relative_path, content_hash, parse_status, parser_version, CASE WHEN had_id THEN regexp_extract(relative_path, '/([0-9]+)\\.md$', 1)::bigint ELSE -1 END AS old_id FROM after")
+def ingest_run_notes(spark, sf_dir):
+    """The notes after a whole run; ids of notes that are new are hashes, shown as -1."""
+    known = F.regexp_extract("relative_path", r"/(\d+)\.md$", 1).cast("long")
+    return _run(spark, sf_dir)["notes"].select("relative_path", "content_hash", "parse_status", "parser_version", F.when(F.col("note_id") == known, known).otherwise(F.lit(-1)).alias("old_id"))
+
+
+@query(f"WITH {_SNAP} SELECT relative_path, decision AS status, reason, coalesce(CASE WHEN decision = 'failed' THEN concat('ValueError: cannot parse ', relative_path) END, 'none') AS error, 7::bigint AS run_id FROM dec UNION ALL SELECT relative_path, 'stale', 'not_discovered', 'none', 7 FROM stale")
+def ingest_run_states(spark, sf_dir):
+    error = F.coalesce(F.concat("error_type", F.lit(": "), "error_message"), F.lit("none"))
+    return _run(spark, sf_dir)["states"].select("relative_path", "status", "reason", error.alias("error"), "run_id")
+
+
+@query(f"WITH {_AFTER}, l AS (SELECT inc.relative_path, regexp_extract(inc.relative_path, '/([0-9]+)\\.md$', 1)::bigint AS n, source FROM inc JOIN dec USING (relative_path) WHERE decision <> 'failed') SELECT l.relative_path, concat(l.source, '/', n + 2) AS target, (SELECT count(*) FROM after a WHERE a.relative_path = concat(l.source, '/', n + 2, '.md') OR regexp_extract(a.relative_path, '/([0-9]+)\\.md$', 1) = cast(n + 2 AS varchar)) = 1 AS resolved FROM l")
+def ingest_run_links(spark, sf_dir):
+    """Every parsed note links to the note two further on."""
+    made = _run(spark, sf_dir)
+    return made["links"].join(made["notes"].select("note_id", "relative_path"), "note_id").select("relative_path", "target", F.col("target_note_id").isNotNull().alias("resolved"))
+
+
+@query(f"WITH {_COUNTERS} SELECT 7::bigint AS run_id, 'all' AS corpus_scope, total, \"new\", changed, unchanged, failed, stale, round((\"new\" + changed + unchanged) / total, 6) AS success_rate, \"new\" + changed + unchanged AS succeeded, unchanged AS skipped, CASE WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status FROM c")
+def ingest_run(spark, sf_dir):
+    return _run(spark, sf_dir)["run"]

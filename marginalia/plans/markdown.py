@@ -108,3 +108,38 @@ def frontmatter(spark, sf_dir):
     headed = notes(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("note_id"), "lang"), "note_id")
     headed = headed.select("note_id", F.concat(F.lit("---\nsource: "), "source", F.lit("\nlang: "), "lang", F.lit("\n---\n"), "note").alias("note"))
     return M.frontmatter(headed).select("note_id", "status", F.col("values")["source"].alias("source_value"), F.col("values")["lang"].alias("lang_value"))
+
+
+_VIEWS = _SECTIONS + ", lw AS (SELECT note_id, line, level, len(" + _WORDS.format(t="text") + """)::bigint AS w FROM lines),
+full_end AS (SELECT a.note_id, a.section_no, a.level, a.start_line, a.end_line, coalesce((SELECT min(b.start_line) - 1 FROM s b WHERE b.note_id = a.note_id AND b.start_line > a.start_line AND b.level <= a.level), (SELECT max(b.end_line) FROM s b WHERE b.note_id = a.note_id)) AS last_line FROM s a),
+vw AS (SELECT f.note_id, f.level, 'direct_body' AS view, sum(CASE WHEN lw.level IS NULL THEN w ELSE 0 END)::bigint AS words FROM full_end f JOIN lw ON lw.note_id = f.note_id AND lw.line BETWEEN f.start_line AND f.end_line GROUP BY f.note_id, f.section_no, f.level
+ UNION ALL SELECT f.note_id, f.level, 'full_span', sum(w)::bigint FROM full_end f JOIN lw ON lw.note_id = f.note_id AND lw.line BETWEEN f.start_line AND CASE WHEN f.level IS NULL THEN f.end_line ELSE f.last_line END GROUP BY f.note_id, f.section_no, f.level),
+hs AS (SELECT note_id, view, level, count(*) AS sections, round(avg(words), 6) AS mean_words, round(median(words)::double, 6) AS median_words FROM vw GROUP BY ALL)"""
+
+
+@query(_VIEWS + " SELECT note_id, view, coalesce(level, 0) AS level, sections, mean_words, median_words FROM hs")
+def heading_statistics(spark, sf_dir):
+    return M.heading_statistics(M.sections(_lines(spark, sf_dir))).na.fill(0, ["level"])
+
+
+@query(_VIEWS + " SELECT coalesce(level, 0) AS level, view, count(*) AS documents, first(mean_words ORDER BY note_id) AS first_mean, first(median_words ORDER BY note_id) AS first_median, round(avg(mean_words), 6) AS average_mean FROM hs GROUP BY ALL")
+def section_rows(spark, sf_dir):
+    return M.section_rows(M.heading_statistics(M.sections(_lines(spark, sf_dir)))).na.fill(0, ["level"])
+
+
+_PAGE = "concat_ws(chr(10) || chr(10), CASE WHEN level IS NOT NULL THEN trim(concat(repeat('#', level), ' ', title)) END, CASE WHEN body <> '' THEN body END)"
+
+
+@query(_SECTIONS + f" SELECT note_id, section_no, sha256({_PAGE}) AS page_hash, length({_PAGE})::bigint AS characters FROM s")
+def section_documents(spark, sf_dir):
+    return M.section_documents(M.sections(_lines(spark, sf_dir))).select("note_id", "section_no", F.sha2("page", 256).alias("page_hash"), F.length("page").alias("characters"))
+
+
+@query(_SECTIONS + r""", k AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN trim(text) = '' THEN 'blank' WHEN regexp_matches(trim(text), '^([-*+] |[0-9]{2}\.)') THEN 'list' WHEN starts_with(trim(text), '|') AND ends_with(trim(text), '|') THEN 'table' ELSE 'paragraph' END AS kind FROM lines),
+g AS (SELECT *, (lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR kind IN ('list', 'table', 'heading'))::int AS new FROM k WINDOW w AS (PARTITION BY note_id ORDER BY line)), r AS (SELECT *, sum(new) OVER (PARTITION BY note_id ORDER BY line) AS run FROM g)
+SELECT count(DISTINCT note_id) AS documents_processed, count(*) AS sections_total, (SELECT count(DISTINCT (note_id, run)) FROM r WHERE kind <> 'blank') AS blocks_total, 2::bigint AS max_tree_depth, count_if(level IS NOT NULL AND title = '')::bigint AS empty_heading_count, count_if(level IS NULL)::bigint AS pre_heading_count,
+ 0::bigint AS invalid_offset_count, round(count(level) / count(*), 6)::double AS metadata_completeness FROM s""")
+def sectionization(spark, sf_dir):
+    """The level stands for a field that only some sections have."""
+    rows = _lines(spark, sf_dir)
+    return M.sectionization(M.sections(rows), M.line_blocks(rows), "level")

@@ -112,3 +112,9 @@ def store_consistency(spark, sf_dir):
     gone = F.col("chunk_id") % 97 == 0
     points = stored.select(F.when(gone, -1 - F.col("chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(~gone & (F.col("chunk_id") % 89 == 0), F.col("label") + 1).otherwise(F.col("label")).alias("label"))
     return consistency(stored, points, ["label"])
+
+
+@query(_HYBRID + """ SELECT 'dense' AS method, query_id, chunk_id, score, rank FROM de WHERE rank <= 5 UNION ALL SELECT 'bm25', query_id * 100, chunk_id, score, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, chunk_id, score, rank FROM fused WHERE rank <= 5""")
+def search_methods(spark, sf_dir):
+    parts = [R.search(m, 5, lambda k: dense(spark, sf_dir, k), lambda k: lexical(spark, sf_dir, k).withColumn("query_id", F.col("query_id") * 100)).select(F.lit(m).alias("method"), "query_id", "chunk_id", "score", "rank") for m in ("dense", "bm25", "hybrid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

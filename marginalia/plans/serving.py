@@ -96,11 +96,43 @@ def cache_ttl(spark, sf_dir):
     return S.cache_evict(rows, 1 << 30, F.col("now"), 86400).groupBy("version").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query("SELECT doc_id AS query_id, concat('x ', doc_id, ' \\approx') AS answer, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::bigint AS citations, least(doc_id / 500.0, 1)::double AS confidence FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE concat('x ', doc_id, ' \\approx') END AS answer, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 2 = 0 THEN concat(doc_id, ':', doc_id, '.md') ELSE '' END AS citations, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE least(doc_id / 500.0, 1) END::double AS confidence, doc_id % 3 = 0 AS failed FROM documents")
 def parse_generation_json(spark, sf_dir):
     """Replies made of the documents' ids: fenced, with a stray backslash, with unknown citations; every third is not JSON."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     reply = F.when(F.col("doc_id") % 3 == 0, "no json here").otherwise(F.concat(F.lit('Sure:\n```json\n{"answer": "x '), F.col("doc_id").cast("string"), F.lit(' \\approx", "citations": [{"chunk_id": 1}, {"chunk_id": '), F.col("doc_id").cast("string"), F.lit('}], "confidence": '), (F.col("doc_id") / 500).cast("string"), F.lit("}\n```")))
     allowed = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id"))).otherwise(F.array(F.lit(-1).cast("long")))
-    out = S.parse_answers(d.select(F.col("doc_id").alias("query_id"), reply.alias("reply"), allowed.alias("allowed")))
-    return out.where("error IS NULL").select("query_id", "answer", F.size("citations").alias("citations"), "confidence")
+    paths = F.map_from_arrays(allowed, F.transform(allowed, lambda x: F.concat(x.cast("string"), F.lit(".md"))))
+    out = S.parse_answers(d.select(F.col("doc_id").alias("query_id"), reply.alias("reply"), allowed.alias("allowed"), paths.alias("note_paths")))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["chunk_id"].cast("string"), c["note_path"])), ",")
+    return out.select("query_id", F.coalesce("answer", F.lit("none")).alias("answer"), cited.alias("citations"), F.coalesce("confidence", F.lit(-1.0)).alias("confidence"), F.col("error").isNotNull().alias("failed"))
+
+
+_GRID = _LEX + rf""", budgets AS (SELECT unnest([400, 1200, 3000])::bigint AS budget), c AS (SELECT bm.*, d.source, {_STRIP.format(t='d.text')} AS t FROM bm JOIN documents d ON d.doc_id = bm.chunk_id WHERE rank <= 10),
+cut AS (SELECT c.* REPLACE (CASE WHEN rank = 1 AND {_TOKENS.format(t='t')} > budget THEN regexp_replace(t[1:budget * 4], '\s+$', '') ELSE t END AS t), budget FROM c, budgets),
+u AS (SELECT *, {_TOKENS.format(t='t')} AS tokens, sum({_TOKENS.format(t='t')}) OVER (PARTITION BY query_id, budget ORDER BY rank)::bigint AS used FROM cut), packed AS (SELECT * FROM u WHERE used <= budget OR rank = 1),
+nt AS (SELECT query_id, budget, source AS key, min(rank) AS r FROM packed GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, budget ORDER BY r) AS rank FROM nt), gold AS (SELECT item_id AS query_id, concat('src', unnest([item_id % 20, (item_id + 1) % 20, (item_id + 2) % 20])) AS key FROM benchmark),
+ns AS (SELECT query_id, budget, sum(CASE WHEN gold.key IS NOT NULL AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN gold.key IS NOT NULL AND rank <= 5 THEN rank END) AS first FROM rk LEFT JOIN gold USING (query_id, key) GROUP BY ALL),
+sz AS (SELECT query_id, budget, count(*) AS packed_chunks, sum(tokens)::bigint AS est_tokens FROM packed GROUP BY ALL)"""
+
+
+@query(_GRID + " SELECT query_id, budget, packed_chunks, est_tokens, round(dcg / (1 + 1 / log2(3) + 1 / log2(4)), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr FROM ns JOIN sz USING (query_id, budget)")
+def budget_grid(spark, sf_dir):
+    """Three budgets for every question; a source stands for a note, three sources are a question's gold."""
+    from marginalia.operators.experiments import budget_grid as grid
+
+    i = F.col("item_id")
+    gold = table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.explode(F.array(*[F.concat(F.lit("src"), ((i + k) % 20).cast("string")) for k in range(3)])).alias("key"))
+    return grid(_hits(spark, sf_dir).withColumnRenamed("source", "key"), gold, [400, 1200, 3000], 5)
+
+
+@query("""WITH s AS (SELECT p.vec_id AS query_id, c.vec_id AS entry_id, round(list_sum(list_transform(range(1, 65), lambda i: p.embedding[i]::double * c.embedding[i]::double)), 6) AS similarity FROM embeddings p, embeddings c WHERE p.vec_id % 100 IN (1, 2, 3) AND c.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS n FROM s), h AS (SELECT * FROM r WHERE n = 1 AND similarity >= 0.2)
+SELECT vec_id // 100 AS group_id, vec_id AS query_id, 'canonical' AS pass, false AS hit, -1::bigint AS entry_id FROM embeddings WHERE vec_id % 100 = 0
+UNION ALL SELECT vec_id // 100, vec_id, 'paraphrase', h.entry_id IS NOT NULL, coalesce(h.entry_id, -1) FROM embeddings LEFT JOIN h ON h.query_id = vec_id WHERE vec_id % 100 IN (1, 2, 3)""")
+def cache_two_pass(spark, sf_dir):
+    """Vectors of the first of each hundred stand for canonical queries, of the next three for paraphrases."""
+    from marginalia.operators.experiments import two_pass
+
+    v = vectors(spark, sf_dir).select(F.floor(F.col("chunk_id") / 100).alias("group_id"), F.col("chunk_id").alias("query_id"), "vector")
+    return two_pass(v.where("query_id % 100 = 0"), v.where("query_id % 100 IN (1, 2, 3)"), 0.2).select("group_id", "query_id", "pass", "hit", F.coalesce("entry_id", F.lit(-1)).alias("entry_id"))

@@ -97,9 +97,9 @@ def test_pack_and_gate(spark):
 
 def test_answers(spark):
     replies = ['```json\n{"answer":"a","citations":[{"chunk_id":1},{"chunk_id":1},{"chunk_id":9}],"confidence":2}\n```', 'Sure {"answer": "x \\approx y", "confidence": 0.5} bye', "none", '{"answer": ""}', '{"answer": "a", "confidence": true}']
-    df = spark.createDataFrame([(i, r, [1]) for i, r in enumerate(replies)], "query_id long, reply string, allowed array<long>")
+    df = spark.createDataFrame([(i, r, [1]) for i, r in enumerate(replies)], "query_id long, reply string, allowed array<long>").withColumn("note_paths", F.create_map(F.lit(1).cast("long"), F.lit("a.md")))
     got = rows(S.parse_answers(df).orderBy("query_id"))
-    assert (got[0]["answer"], got[0]["citations"], got[0]["confidence"]) == ("a", [1], 1.0) and got[1]["answer"] == "x \\approx y"
+    assert (got[0]["answer"], got[0]["citations"], got[0]["confidence"]) == ("a", [{"chunk_id": 1, "note_path": "a.md"}], 1.0) and got[1]["answer"] == "x \\approx y"
     assert [g["error"] for g in got[2:]] == ["structured output is not valid JSON", "structured output is missing answer", "confidence must be a number"]
 
 
@@ -149,6 +149,76 @@ def test_chunks(spark):
     assert C.invalid(C.chunks(note(spark, text))).count() == 0
 
 
+def test_chunks_keep_blocks_whole_and_know_their_places(spark):
+    code = "```python\nresult = model.encode(text)\nprint(result)\n```"
+    table = "| a | b |\n|---|---|\n| 1 | 2 |"
+    text = f"lead in\n\n# Python\n\nIntroductory explanation before the example.\n\n{code}\n\nClosing explanation after the example.\n\n- one item of a list\n- other item\n\n{table}\n\n## Empty\n## Тест\n\n" + "слово " * 40
+    got = rows(C.chunks(note(spark, text), C.Policy(30, 0)).orderBy("chunk_index"))
+    assert any(code in r["text"] for r in got) and any(table in r["text"] for r in got) and any(r["text"] == "## Empty" for r in got)
+    for r in got:
+        span = text[r["start_offset"] : r["end_offset"]]
+        assert span == span.strip() and (r["text"] == span or r["text"].endswith(span)) and r["source_length"] == len(text)
+    last = [r for r in got if r["section_title"] == "Тест"]
+    assert len(last) > 1 and last[0]["text"] == "## Тест" and all(r["text"].startswith("## Тест\n\n") for r in last[1:])
+    assert max(len(C._TOKEN.findall(text[r["start_offset"] : r["end_offset"]])) for r in got) <= 30
+    cut = rows(C.chunks(note(spark, text), C.Policy(12, 4)).orderBy("chunk_index"))
+    assert not any(code in r["text"] for r in cut) and len(cut) > len(got)
+    assert C.split("one two three four five six seven", 3, 1) == ["one two three", "three four five", "five six seven"] and C.split("abcdef", 3, 0) == ["abcdef"] and C.split("", 3, 0) == []
+
+
+def test_policies_compared(spark):
+    notes = note(spark, "# A\n\n" + "word " * 100 + "\n\n# B\n\nshort")
+    got = {r["policy"]: r for r in rows(C.experiment(notes, {"small": C.Policy(20, 5), "large": C.Policy(500, 5)}))}
+    assert got["large"]["chunks_total"] == 2 and got["large"]["oversized_sections_total"] == 0 and got["large"]["overlap_enabled"] == 0
+    assert got["small"]["chunks_total"] > 5 and got["small"]["oversized_sections_total"] == 1 and got["small"]["overlap_enabled"] == 1 and got["small"]["metadata_completeness"] == 1.0
+    assert all(r["boundary_violation_count"] == 0 and r["duplicate_hash_count"] in (0, got["small"]["duplicate_hash_count"]) for r in got.values())
+
+
+def test_stored_generations(spark, tmp_path):
+    stored = spark.createDataFrame([(1, "v1", 0), (1, "v1", 1), (1, "v2", 0), (2, "v1", 0)], "note_id long, chunking_version string, chunk_index int")
+    assert rows(C.count_by_version(stored, "v1")) == [{"chunks": 3}]
+    assert [r["chunk_index"] for r in rows(C.generation(stored, "v1", 1))] == [0, 1]
+    left = rows(C.delete_generations(stored, spark.createDataFrame([(1, "v1")], "note_id long, chunking_version string")))
+    assert sorted((r["note_id"], r["chunking_version"]) for r in left) == [(1, "v2"), (2, "v1")]
+    with pytest.raises(ValueError):
+        C.count_by_version(stored, " ")
+    made = C.materialise(note(spark, "# A\n\ntext"), str(tmp_path / "chunks"), C.Policy(50, 0), "v3")
+    assert [r["chunking_version"] for r in rows(made)] == ["v3"]
+
+
+def test_headings_by_view(spark):
+    text = "before it\n# One\na b c\n## Two\nd e\n# Three\n\n### Deep\nf"
+    got = {(r["view"], r["level"]): (r["sections"], r["mean_words"], r["median_words"]) for r in rows(M.heading_statistics(M.sections(M.lines(note(spark, text)))))}
+    assert got[("direct_body", None)] == (1, 2.0, 2.0) and got[("direct_body", 1)] == (2, 1.5, 1.5) and got[("full_span", 1)] == (2, 5.0, 5.0)
+    assert got[("full_span", 2)] == (1, 3.0, 3.0) and got[("full_span", 3)] == (1, 2.0, 2.0)
+
+
+def test_ingestion_run(spark):
+    found = spark.createDataFrame([("a/new.md", "a", "new", "h1", "parsed", "p", None, None), ("a/same.md", "a", "same", "h2", "parsed", "p", None, None), ("a/bad.md", "a", "bad", "h3", "failed", "p", "ValueError", "no"), ("a/broken.md", "a", "broken", "h4", "failed", "p", "OSError", "gone")], "relative_path string, source_directory string, title string, content_hash string, parse_status string, parser_version string, error_type string, error_message string")
+    stored = spark.createDataFrame([(1, "a/same.md", "a", "same", "h2", "parsed", "p", "unchanged"), (2, "a/broken.md", "a", "broken", "old", "parsed", "p", "new"), (3, "b/gone.md", "b", "gone", "h", "parsed", "p", "new")], "note_id long, relative_path string, source_directory string, title string, content_hash string, parse_status string, parser_version string, last_status string")
+    links = spark.createDataFrame([("a/new.md", "same", None, 1, 0), ("a/bad.md", "same", None, 1, 0)], "relative_path string, target string, alias string, line int, place int")
+    out = G.run(found, stored, links, 4, "a,b")
+    notes = {r["relative_path"]: (r["note_id"], r["content_hash"], r["parse_status"]) for r in rows(out["notes"])}
+    assert notes["a/same.md"] == (1, "h2", "parsed") and notes["a/broken.md"] == (2, "old", "parsed") and notes["b/gone.md"][0] == 3
+    assert notes["a/bad.md"][1:] == ("h3", "failed") and notes["a/new.md"][1:] == ("h1", "parsed") and notes["a/new.md"][0] != notes["a/bad.md"][0]
+    states = {r["relative_path"]: (r["status"], r["error_message"]) for r in rows(out["states"])}
+    assert states == {"a/new.md": ("new", None), "a/same.md": ("unchanged", None), "a/bad.md": ("failed", "no"), "a/broken.md": ("failed", "gone"), "b/gone.md": ("stale", None)}
+    assert [r["target_note_id"] for r in rows(out["links"])] == [1] and rows(out["run"])[0]["status"] == "partial"
+    assert {r["relative_path"] for r in rows(G.run(found, stored, links, 5, "a", ["a"])["states"])} == set(states) - {"b/gone.md"}
+
+
+def test_search_dispatch_and_filters(spark):
+    asked = []
+    hits = lambda name: lambda k: asked.append((name, k)) or spark.createDataFrame([(1, i, i + 1, 1.0 / (i + 1)) for i in range(k)], "query_id long, chunk_id long, rank int, score double")
+    assert R.search("dense", 3, hits("d"), hits("l")).count() == 3 and R.search("hybrid", 30, hits("d"), hits("l")).count() == 30
+    assert asked == [("d", 3), ("d", 30), ("l", 30)]
+    with pytest.raises(ValueError):
+        R.search("other", 1, hits("d"), hits("l"))
+    assert R.query_filters({"lang": "ru"}, note_id=3, version="v1") == {"lang": "ru", "note_id": 3} and R.query_filters({}, "p", version="v1", lexical=True) == {"source_path": "p", "chunking_version": "v1"}
+    ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (1, 3, 6), (2, 1, None), (2, 2, 7)], "query_id long, rank int, note_id long")
+    assert [(r["note_id"], r["rank"]) for r in rows(R.collapse(ranked).orderBy("rank"))] == [(5, 1), (6, 2)] and [r["query_id"] for r in rows(R.without_note(ranked))] == [2]
+
+
 def test_embedding(spark):
     chunks = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "chunk_id long, text string").coalesce(1)
     good = E.embed(chunks, E.hashing_model(16), 16, batch=4)
