@@ -3,7 +3,7 @@
 A text is cut in windows of 256 bytes, the last one padded, so whole texts are read at a fixed cost a byte. Filters of widths 2, 3 and
 4 over the bytes' classes, the maximum of each over the window, and a softmax layer give the window's probabilities; a text's are the
 windows' mean log-probabilities, weighted by their letters. The network is trained in numpy, by Adam, on windows of
-a bounded sample of labelled rows (``SAMPLE`` documents in hash order); the bound is one of the fit alone.
+a bounded sample of labelled rows (``sample`` documents in hash order, ``sample_chars`` characters from a place of each); these are parameters and bound the fit alone.
 A filter of width 3 or 4 is applied as a sum over pairs of bytes from a table made of its weights.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; so is every text if no row is labelled. With one label only, every text with letters gets it.
@@ -139,13 +139,13 @@ class Network:
         return pa.StructArray.from_arrays([pa.array([UNKNOWN if k < 0 else self.langs[k] for k in langs.tolist()], pa.string()), pa.array(scores)], ["lang", "score"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, hold: int = 2, sample: int = SAMPLE) -> Network | None:
-    """Train on documents outside fold ``hold``: up to SAMPLE_CHARS characters from a hash-random place of each sampled text."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, hold: int = 2, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Network | None:
+    """Train on documents outside fold ``hold``: up to ``sample_chars`` characters from a hash-random place of each sampled text."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     rows = rows.where(F.coalesce(crc32_mod("id", folds), F.lit(0)) != hold)
     total = rows.count()
-    start = (F.pmod(F.xxhash64(F.lit(12), "id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1).cast("int")
-    parts = rows.where("length(text) > 0").select("id", "lang", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"))
+    start = (F.pmod(F.xxhash64(F.lit(12), "id"), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1).cast("int")
+    parts = rows.where("length(text) > 0").select("id", "lang", F.col("text").substr(start, F.lit(sample_chars)).alias("text"))
     found = hash_sample(parts, "id", sample, total).collect()
     langs = sorted({r["lang"] for r in found})
     if not langs:

@@ -5,8 +5,8 @@ pass over the words' hashes finds the keywords of all rules). Rules have an orde
 higher priority, or of the same priority and earlier in the order, is suppressed, so a longer, more specific signature hides the
 mention of a name inside it. The words of the three base phrases are counted apart, at all their places.
 
-Most rules are made from the table of licenses: for each license a tag rule (an SPDX identifier), a grant rule ("licensed under the ..."), a name
-rule and, where there is one, an address rule; phrases typical of license bodies follow.
+Rules are hand-written: phrases of license bodies and notices, each with its label and keyword, and the names, tags and addresses in the table of licenses: for each license a tag rule (an SPDX identifier), a grant rule ("licensed under the ..."), a name
+rule and, where there is one, an address rule.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows are scanned again; other columns are not read.
 """
@@ -14,6 +14,7 @@ Cases: null and empty texts have no words, no labels and score 0; repeated rows
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -126,6 +127,157 @@ PHRASES = [
     ("cc", "creative", "(?:this|the) (?:work|article|text|content) is licensed under (?:a|the) creative commons"),
     ("dual", "dual", "dual licensed under"),
     ("perl", "perl", "(?:same terms as perl itself|under the same terms as perl)"),
+    ("mit", "conditions", "subject to the following conditions the above copyright notice and this permission notice"),
+    ("mit", "deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", "furnished", "to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("x11", "consortium", "the name of the x consortium shall not be used in advertising"),
+    ("isc", "disclaims", "(?:the )?software is provided as is and (?:isc|the author) disclaims all warranties"),
+    ("isc", "disclaims", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("0bsd", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("hpnd", "supporting", "that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("bsd", "exemplary", "in no event shall the (?:copyright (?:holder|owner)|regents|author)s? or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", "procurement", "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd", "contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd-3-clause", "neither", "neither the name of (?:the )?(?:[a-z0-9]+ ){1,6}nor the names of its contributors may be used"),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "university", "this product includes software developed by the university of california berkeley and its contributors"),
+    ("bsd-4-clause", "includes", "this product includes software developed by"),
+    ("apache-1.1", "includes", "this product includes software developed by the apache software foundation"),
+    ("apache-2.0", "perpetual", "a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "contributor", "subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("apache-2.0", "prominent", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", "notice", "if the work includes a notice text file as part of its distribution"),
+    ("apache-2.0", "licensed", "licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", "appendix", "appendix how to apply the apache license to your work"),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser |library |affero )?general public license for more details"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license"),
+    ("gpl", "freedom", "the licenses for most software are designed to take away your freedom"),
+    ("gpl-2.0", "yoyodyne", "yoyodyne inc hereby disclaims all copyright interest in the program"),
+    ("gpl-2.0", "franklin", "51 franklin (?:street|st) fifth floor boston ma 02110 1301"),
+    ("gpl-2.0", "temple", "59 temple place suite 330 boston ma 02111 1307"),
+    ("gpl-2.0-only", "version", "gnu general public license version 2 only"),
+    ("gpl-3.0", "tivoization", "tivoization"),
+    ("gpl-3.0", "installation", "installation information for a user product"),
+    ("gpl-3.0", "propagate", "to propagate a work means to do anything with it that without permission"),
+    ("gpl-3.0", "convey", "you may convey verbatim copies of the program s source code as you receive it"),
+    ("gpl-classpath", "independent", "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gcc-exception", "runtime", "gcc runtime library exception"),
+    ("autoconf-exception", "autoconf", "as a special exception to the gnu general public license if you distribute this file as part of a program that contains a configuration script generated by autoconf"),
+    ("linking-exception", "special", "as a special exception (?:you|the copyright holders) (?:may|give (?:you )?permission to) (?:link|combine)"),
+    ("lgpl-2.1", "library", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl-2.0", "library", "under the terms of the gnu library general public license as published by the free software foundation"),
+    ("lgpl-3.0", "combined", "a combined work is a work produced by combining or linking an application with the library"),
+    ("agpl-3.0", "network", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("agpl-3.0", "affero", "under the terms of the gnu affero general public license"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("fsf-all-permissive", "medium", "copying and distribution of this file with or without modification are permitted in any medium without royalty"),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.1", "alternatively", "alternatively the contents of this file may be used under the terms of either the gnu general public license"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "incompatible", "this source code form is incompatible with secondary licenses"),
+    ("epl-1.0", "accompanies", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution"),
+    ("epl-2.0", "secondary", "this source code may also be made available under the following secondary licenses when the conditions"),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("edl-1.0", "eclipse", "under the terms of the eclipse distribution license v1 0"),
+    ("cddl-1.0", "development", "(?:subject to the terms of|governed by) the common development and distribution license"),
+    ("cddl-1.0", "cddl", "you can obtain a copy of the license at (?:http|https) (?:glassfish|www) (?:[a-z0-9]+ ){1,4}cddl"),
+    ("cpl-1.0", "agreement", "the accompanying program is provided under the terms of this common public license agreement"),
+    ("ipl-1.0", "ibm", "ibm public license version 1 0"),
+    ("artistic", "perl", "this is free software you can redistribute it and or modify it under the same terms as (?:the )?perl 5 (?:programming language )?(?:system )?itself"),
+    ("artistic-1.0", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "package", "distribution of modified versions of the package as source"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("libpng", "disclaim", "the contributing authors and group 42 inc disclaim all warranties"),
+    ("bsl-1.0", "obtaining", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "dedicate", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("beerware", "beer", "you can buy me a beer in return"),
+    ("cc0-1.0", "waived", "(?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "dedicated", "dedicated the work to the public domain by waiving all of (?:his or her|their) rights"),
+    ("cc0-1.0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc-by", "attribution", "this work is licensed under (?:a|the) creative commons attribution(?: [0-9] [0-9])?(?: international| unported| generic)? license"),
+    ("cc-by-sa", "sharealike", "this work is licensed under (?:a|the) creative commons attribution sharealike(?: [0-9] [0-9])?(?: international| unported| generic)? license"),
+    ("cc-by-nc", "noncommercial", "this work is licensed under (?:a|the) creative commons attribution noncommercial(?: [0-9] [0-9])?(?: international| unported| generic)? license"),
+    ("cc", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "remix", "if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nc", "commercial", "you may not use the material for commercial purposes"),
+    ("cc", "moral", "moral rights such as the right of integrity are not licensed under this public license"),
+    ("python-2.0", "psf", "this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("python-2.0", "beopen", "beopen python open source license agreement"),
+    ("cnri-python", "cnri", "cnri open source license agreement"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("ruby", "bsdl", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("postgresql", "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric", "this product includes cryptographic software written by eric young"),
+    ("curl", "stenberg", "copyright and permission notice copyright c (?:[0-9 ]+)?daniel stenberg"),
+    ("vim", "vim", "there are no restrictions on distributing unmodified copies of vim"),
+    ("icu", "icu", "icu license icu 1 8 1 and later"),
+    ("unicode-dfs", "unicode", "unicode data files and software"),
+    ("unicode-dfs", "unicode", "unicode inc license agreement data files and software"),
+    ("ofl-1.1", "font", "the font software may be sold as part of a larger software package but no copy"),
+    ("ofl-1.1", "reserved", "no modified version of the font software may use the reserved font name"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-eula", "microsoft", "microsoft software license terms"),
+    ("ncsa", "deal", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("eupl-1.2", "eupl", "licensed under the eupl(?: version)?(?: v)?(?: 1 [12])?"),
+    ("eupl-1.2", "european", "the european union public licence the eupl applies to the work"),
+    ("cecill-2.1", "cecill", "ce logiciel est (?:régi|regi) par la licence cecill"),
+    ("cecill-2.1", "cecill", "this software is governed by the cecill(?: [bc])? license under french law"),
+    ("osl-3.0", "licensed", "licensed under the open software license version 3 0"),
+    ("afl-3.0", "academic", "licensed under the academic free license version 3 0"),
+    ("upl-1.0", "larger", "the larger works to which the software is contributed"),
+    ("ecl-2.0", "educational", "educational community license version 2 0"),
+    ("odbl-1.0", "database", "(?:is )?made available under the open database license"),
+    ("odc-by", "attribution", "open data commons attribution license"),
+    ("pddl-1.0", "dedication", "open data commons public domain dedication and licen[cs]e"),
+    ("busl-1.1", "production", "make production use of the licensed work"),
+    ("busl-1.1", "anniversary", "the change date or the fourth anniversary of the first publicly available distribution"),
+    ("sspl-1.0", "service", "making the functionality of the program or modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted", "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "commons", "commons clause license condition v1 0"),
+    ("polyform", "polyform", "polyform (?:noncommercial|shield|strict|small business|perimeter) license"),
+    ("llama", "llama", "llama (?:2|3|3 1) community license"),
+    ("openrail", "restrictions", "use based restrictions as referenced in paragraph 5"),
+    ("nasa-1.3", "nasa", "nasa open source agreement version 1 3"),
+    ("apsl-2.0", "apple", "apple public source license"),
+    ("apple-sample", "apple", "this apple software is supplied to you by apple"),
+    ("intel", "intel", "intel (?:simplified software|open source) license"),
+    ("nvidia", "nvidia", "nvidia corporation and its licensors retain all intellectual property"),
+    ("w3c", "w3c", "w3c software notice and license"),
+    ("tcl", "grant", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", "portions of this software are copyright (?:c )?[0-9 ]*the freetype project"),
+    ("info-zip", "zip", "info zip (?:copyright and )?license"),
+    ("bzip2", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product"),
+    ("mulan-psl", "mulan", "mulan permissive software license v2"),
+    ("sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("qpl-1.0", "q", "the q public license version 1 0"),
+    ("lppl-1.3", "latex", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("proprietary", "disclosure", "subject to (?:a )?non disclosure agreement"),
+    ("proprietary", "copy", "you may not copy(?: or [a-z]+)? (?:this|the) (?:software|file|document|work)"),
+    ("proprietary", "redistribute", "you may not redistribute(?: or [a-z]+)? (?:this|the) (?:software|file|document|work)"),
+    ("proprietary", "resell", "you may not resell(?: or [a-z]+)? (?:this|the) (?:software|file|document|work)"),
+    ("proprietary", "sublicense", "you may not sublicense(?: or [a-z]+)? (?:this|the) (?:software|file|document|work)"),
+    ("proprietary", "modify", "you may not modify(?: or [a-z]+)? (?:this|the) (?:software|file|document|work)"),
+    ("proprietary", "reproduced", "(?:may not|no part of this [a-z]+ may) be reproduced"),
+    ("proprietary", "copied", "(?:may not|no part of this [a-z]+ may) be copied"),
+    ("proprietary", "distributed", "(?:may not|no part of this [a-z]+ may) be distributed"),
+    ("proprietary", "republished", "(?:may not|no part of this [a-z]+ may) be republished"),
+    ("proprietary", "trade", "contains (?:confidential information and )?trade secrets"),
+    ("proprietary", "engineer", "reverse engineer decompile or disassemble"),
+    ("proprietary", "evaluation", "for evaluation purposes only"),
+    ("proprietary", "licensed", "this software is licensed not sold"),
+    ("public-domain", "copyright", "no copyright is claimed"),
+    ("public-domain", "government", "(?:is|this is) a work of the (?:u s|us|united states) government"),
+    ("public-domain", "rights", "no rights reserved"),
+    ("freeware", "freeware", "this (?:software|program) is freeware"),
+    ("shareware", "shareware", "this (?:software|program) is shareware"),
 ]
 
 
@@ -194,15 +346,25 @@ def detect(text: str, keywords: set[str]) -> list[Detection]:
             continue
         for m in rule.pattern.finditer(text):
             if starts is None:
-                starts = np.concatenate(([0], np.flatnonzero(np.array(list(text)) == " ") + 1))
+                starts = np.concatenate(([0], np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32) + 1))
             a, b = np.searchsorted(starts, (m.start(), m.end()), "right")
             found.append(Detection(int(a) - 1, int(b), rule.label, rule.priority, order, rule.confidence))
-    found.sort(key=lambda d: (-d.priority, d.order, d.first_word))
-    kept: list[Detection] = []
-    for d in found:
-        if not any(k.first_word <= d.first_word and d.end_word <= k.end_word for k in kept):
-            kept.append(d)
-    return sorted(kept)
+    return sorted(unsuppressed(found))
+
+
+def unsuppressed(found: list[Detection]) -> list[Detection]:
+    """Detections that do not lie within one of higher priority, or of the same priority and earlier in the order.
+
+    Only the widest kept intervals are looked at: none holds another, so their ends rise with their begins and one search tells."""
+    kept, begins, ends = [], [], []
+    for d in sorted(found, key=lambda d: (-d.priority, d.order, d.first_word)):
+        at = bisect_right(begins, d.first_word)
+        if at and ends[at - 1] >= d.end_word:
+            continue
+        kept.append(d)
+        low, high = bisect_left(begins, d.first_word), bisect_right(ends, d.end_word)
+        begins[low : max(low, high)], ends[low : max(low, high)] = [d.first_word], [d.end_word]
+    return kept
 
 
 def _hash(word: str) -> np.uint64:

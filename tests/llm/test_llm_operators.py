@@ -352,6 +352,29 @@ def sample(tokens, r):
     return out
 
 
+def test_license_suppression_against_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        found = []
+        for k in range(r.randint(0, 40)):
+            a = r.randint(0, 30)
+            found.append(license_scan.Detection(a, a + r.randint(1, 12), "x", r.choice((40, 50, 70)), k % 7, 0.5))
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.order, d.first_word)):
+            if not any(k.first_word <= d.first_word and d.end_word <= k.end_word for k in kept):
+                kept.append(d)
+        assert sorted(license_scan.unsuppressed(found)) == sorted(kept)
+
+
+def test_license_rules_stand_in_texts_of_their_own_words():
+    """Every phrase of a license body without alternatives is found in itself, under its label or under a wider one that holds it."""
+    for label, keyword, pattern in license_scan.PHRASES:
+        if not any(c in pattern for c in "(|[?"):
+            assert keyword in pattern.split(), pattern
+            assert label in {d.label for d in license_scan.detect("before " + pattern + " after", set(pattern.split()) | {"spdx", "license", "licenses"})} or any(pattern in p for _, _, p in license_scan.PHRASES if p != pattern), pattern
+    assert len(license_scan.PHRASES) > 150
+
+
 def test_license_keyword_gate_loses_nothing():
     from re import _parser
 
@@ -373,6 +396,25 @@ def test_license_keyword_gate_loses_nothing():
 # language
 
 
+def test_language_network_against_a_naive_form():
+    rng = np.random.default_rng(4)
+    widths, n = language_id.WIDTHS, language_id.FILTERS
+    net = language_id.Network(["a", "b", "c"], [rng.normal(0, 1, (w, language_id.CLASSES, n)) for w in widths], rng.normal(0, 1, len(widths) * n).astype(np.float32), rng.normal(0, 1, (len(widths) * n, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    bodies = ["Hello, wörld 12", "x" * 256, prose(150, 2), "日本語 text"]
+    ((_, _, buf, offs),) = language_id.wd.text_slices(pa.array(bodies))
+    windows, doc, letters = language_id._windows(buf, offs)
+    got = net.log_probabilities(windows)
+    for x, row in zip(windows, got):
+        peaks = []
+        for w, filters in zip(widths, net.filters):
+            for f in range(n):
+                peaks.append(max(sum(filters[j][x[i + j]][f] for j in range(w)) for i in range(len(x) - w + 1)))
+        z = np.maximum(np.array(peaks) + net.bias, 0) @ net.top + net.top_bias
+        assert np.allclose(row, z - z.max() - np.log(np.exp(z - z.max()).sum()), atol=1e-3)
+    plain = [t.encode() for t in bodies]
+    assert doc.tolist() == [i for i, t in enumerate(plain) for _ in range(-(-len(t) // 256))] and letters.sum() == sum(sum(c >= 128 or chr(c).isalpha() for c in t) for t in plain)
+
+
 def test_language_identification(spark, hard, empty):
     r = random.Random(2)
     alphabets = {"aa": "abcdef ", "bb": "uvwxyz ", "cc": "éèàùç "}
