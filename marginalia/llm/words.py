@@ -1,7 +1,8 @@
 """Words and shingles of many texts at once, as numpy arrays over an Arrow buffer.
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters, with A-Z lower-cased. It is known by a
-64-bit hash: a polynomial in its bytes, got from prefix sums, so that no Python code runs per word.
+64-bit hash of two polynomials in its bytes, got from prefix sums, so that no Python code runs per word: one modulo 2**64, and, since that is the same for
+some long words of two letters whatever its base, one modulo the prime 2**31 - 1.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ import pyarrow as pa
 
 _SEGMENT = 1 << 16  # bytes hashed at a time, so that temporary arrays stay in cache
 _BASE = 0x9E3779B97F4A7C15
+_PRIME = np.uint64((1 << 31) - 1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
 _code = np.arange(256)
 _digit = (_code >= 48) & (_code <= 57)
 _upper = (_code >= 65) & (_code <= 90)
@@ -41,15 +45,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, int(_PRIME))) % _PRIME
+        have += more
+    return out
+
+
+def _tables(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of both bases and of their inverses."""
+    prime = int(_PRIME)
+    return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n), _prime_powers(_BASE % prime, n), _prime_powers(pow(_BASE, -1, prime), n)
+
+
 class _Tables:
-    power = _powers(_BASE, _SEGMENT)
-    inverse = _powers(pow(_BASE, -1, 1 << 64), _SEGMENT)
+    held = ()
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.power) < n:
-            return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        return cls.power, cls.inverse
+    def upto(cls, n: int) -> tuple[np.ndarray, ...]:
+        if n > _SEGMENT:
+            return _tables(n)
+        cls.held = cls.held or _tables(_SEGMENT)
+        return cls.held
 
 
 def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -111,17 +131,22 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold
                 break
             b = min(b + _SEGMENT, n)
         seg = buf[a:b]
-        power, inverse = _Tables.upto(len(seg))
+        power, inverse, prime_power, prime_inverse = _Tables.upto(len(seg))
         inside = is_word[seg]
         s, e = _edges(inside, offs[np.searchsorted(offs, a, "left") : np.searchsorted(offs, b, "left")] - a)
         value = (seg if fold is None else fold[seg]).astype(np.uint64)
         value += np.uint64(1)
+        second = value * prime_power[: len(seg)]
+        if len(seg) > 1 << 23:  # sums of smaller runs stay below 2**64
+            second %= _PRIME
+        np.cumsum(second, out=second)
         value *= power[: len(seg)]
         np.cumsum(value, out=value)
         h, base = value[e], np.where(s > 0, value[s - 1], np.uint64(0))
         h -= base
         h *= inverse[s]
-        hashes.append(mix(h))
+        second = (second[e] - np.where(s > 0, second[s - 1], np.uint64(0))) % _PRIME * prime_inverse[s] % _PRIME
+        hashes.append(mix(mix(h) + second * _STEP))
         for top, m in zip(tops, heads):
             head = (value[np.minimum(s + (m - 1), len(seg) - 1)] - base) * inverse[s]
             top.append(np.where(e - s >= m, mix(head + np.uint64(m)), np.uint64(0)))
@@ -135,9 +160,6 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold
     return np.concatenate(hashes), start, np.concatenate(stops), np.searchsorted(start, offs).astype(np.int64), *(np.concatenate(t) for t in tops)
 
 
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each place on (the last n-1 places hold no meaning)."""
     out = np.zeros(len(hashes), np.uint64)

@@ -164,6 +164,19 @@ def test_near_dedup_keeps_different_texts_of_one_id_and_of_no_id(spark):
     assert len(parts) == 2
 
 
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses(spark):
+    from marginalia.llm import words as wd
+
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(4096))
+    other = morse.translate({97: "b", 98: "a"})
+    bodies = [morse + " " + prose(30, 1), other + " " + prose(30, 1), "z " * 40_000 + morse, "y" * 70_000 + " " + other]
+    ((_, _, buf, offs),) = wd.text_slices(pa.array(bodies))
+    h, _, _, first = wd.words(buf, offs)
+    assert h[first[0]] == h[first[3] - 1] != h[first[1]] == h[first[4] - 1]
+    got = rows(near_dedup.groups(spark.createDataFrame([(1, morse + " one"), (2, other + " one")], "doc_id long, text string")))
+    assert sorted(g["group_id"] for g in got) == [1, 2]
+
+
 def test_components_of_a_long_chain_a_hub_and_pairs(spark):
     from marginalia.llm.graph import components
 
