@@ -257,8 +257,14 @@ def test_streams(spark):
     SI.drain(cache.serve(served, 1000, forget=False), work, lambda b, i: b.write.mode("append").parquet(out))
     got = {(r["query"], r["at"]): (r["hit"], r["answer"]) for r in rows(spark.read.parquet(out))}
     assert got == {("q", 0): (False, "a"), ("q", 500): (True, "a"), ("q", 5000): (False, "c"), ("r", 1): (False, "d")}
-    path = SI.ingest(spark.readStream.schema("version string, query string, at long, answer string").parquet(folder), new_folder(spark, "work"), ["version", "query"])
-    assert spark.read.parquet(path).count() == 2
+    schema, work = "version string, query string, at long, answer string", new_folder(spark, "work")
+    table = lambda: {(r["version"], r["query"]): (r["at"], r["answer"]) for r in rows(SI.ingest(spark.readStream.schema(schema).parquet(folder), work, ["version", "query"], "at"))}
+    first = {("v", "q"): (5000, "c"), ("v", "r"): (1, "d")}
+    assert table() == first and table() == first  # the second run finds nothing new
+    spark.createDataFrame([("v", "q", 7, "e"), ("w", "q", 9, "f")], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert table() == first | {("v", "q"): (7, "e"), ("w", "q"): (9, "f")}
+    SI.compact(spark, work, ["version", "query"], spark.read.parquet(folder).schema, new_folder(spark, "compact"))
+    assert SI.current(spark, new_folder(spark, "none"), ["version"], spark.read.parquet(folder).schema).count() == 0
     day = logs.windows(spark.createDataFrame([(1, "x", 2.0), (2, "x", 4.0)], "n int, event_type string, value double").withColumn("ts", F.timestamp_seconds("n")))
     assert rows(day)[0]["mean_latency"] == 3.0
 
