@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions import policies as P
-from marginalia.operators import metrics as X, serving as S
+from marginalia.operators import metrics as X, serving as S, statistics as Q
 
 
 def _r(c: Column) -> Column:
@@ -23,9 +23,10 @@ def cache_summary(rows: DataFrame) -> DataFrame:
     latency = F.col("latency_ms")
     out = rows.agg(
         F.count_distinct("group_id").alias("group_count"), F.count_if(canonical).alias("canonical_count"), F.count_if(paraphrase).alias("paraphrase_count"), F.count_if(paraphrase & F.col("hit")).alias("paraphrase_hits"),
-        _p(latency, 0.5).alias("latency_p50_ms"), _p(latency, 0.95).alias("latency_p95_ms"), _p(F.when(canonical, latency), 0.5).alias("canonical_latency_p50_ms"), F.sum(F.when(canonical, tokens).otherwise(0)).alias("pass1_tokens"), F.sum(F.when(paraphrase, tokens).otherwise(0)).alias("pass2_tokens"),
+        F.sum(F.when(canonical, tokens).otherwise(0)).alias("pass1_tokens"), F.sum(F.when(paraphrase, tokens).otherwise(0)).alias("pass2_tokens"),
         _r(F.avg(F.when(paraphrase & F.col("hit"), latency))).alias("hit_avg_latency_ms"), _r(F.avg(F.when(paraphrase & ~F.col("hit"), latency))).alias("miss_avg_latency_ms"),
     )
+    out = out.crossJoin(Q.quantiles(rows, latency, {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})).crossJoin(Q.quantiles(rows, F.when(canonical, latency), {"canonical_latency_p50_ms": 0.5}))  # one row each
     rate = F.when(F.col("paraphrase_count") == 0, 0.0).otherwise(F.col("paraphrase_hits") / F.col("paraphrase_count"))
     return out.withColumn("hit_rate", _r(rate)).withColumn("tokens_saved", F.greatest(F.col("pass1_tokens") - F.col("pass2_tokens"), F.lit(0)))
 
@@ -38,11 +39,12 @@ def budget_summary(rows: DataFrame) -> DataFrame:
     def of(name: str, which: Column = live) -> Column:
         return F.when(which, F.col(name))
 
-    return rows.groupBy("budget").agg(
+    latencies = Q.quantiles(rows, of("latency_ms"), {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}, "budget")
+    out = rows.groupBy("budget").agg(
         F.count(F.lit(1)).alias("question_count"), F.count_if(scored).alias("scored_count"), F.count_if("skipped").alias("skipped_count"), F.count_if(live & F.col("refused")).alias("refused_count"), _r(F.avg(of("prompt_tokens"))).alias("mean_prompt_tokens"),
-        _p(of("prompt_tokens"), 0.5).alias("median_prompt_tokens"), _p(of("prompt_tokens"), 0.95).alias("p95_prompt_tokens"), _r(F.avg(of("latency_ms"))).alias("mean_latency_ms"), _p(of("latency_ms"), 0.5).alias("p50_latency_ms"), _p(of("latency_ms"), 0.95).alias("p95_latency_ms"),
-        _r(F.avg(of("packed_chunks"))).alias("mean_packed_chunks"), _r(F.avg(of("ndcg", scored))).alias("mean_ndcg"), _r(F.count_if(live & F.col("refused")) / F.count(F.lit(1))).alias("refusal_rate"),
+        _p(of("prompt_tokens"), 0.5).alias("median_prompt_tokens"), _p(of("prompt_tokens"), 0.95).alias("p95_prompt_tokens"), _r(F.avg(of("latency_ms"))).alias("mean_latency_ms"), _r(F.avg(of("packed_chunks"))).alias("mean_packed_chunks"), _r(F.avg(of("ndcg", scored))).alias("mean_ndcg"), _r(F.count_if(live & F.col("refused")) / F.count(F.lit(1))).alias("refusal_rate"),
     )
+    return out.join(latencies, "budget", "left")
 
 
 def generation_summary(rows: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def skip_reasons(rows: DataFrame, most: int = 3) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame, by: str) -> DataFrame:
     v = F.col("latency_ms")
-    return rows.groupBy(by).agg(F.count(v).alias("requests"), _p(v, 0.5).alias("p50"), _p(v, 0.95).alias("p95"), _p(v, 0.99).alias("p99"), _r(F.avg(v)).alias("mean"))
+    return rows.groupBy(by).agg(F.count(v).alias("requests"), _r(F.avg(v)).alias("mean")).join(Q.quantiles(rows, v, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by), by, "left")
 
 
 def score_spread(rows: DataFrame, by: str, value: str) -> DataFrame:

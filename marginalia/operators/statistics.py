@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.storage import settle
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,7 +17,9 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def distribution(value: Column) -> list[Column]:
-    """count, min, max, mean, median, std and percentiles (linear) of a column, rounded to 6 digits."""
+    """count, min, max, mean, median, std and percentiles (linear) of a column of counts, rounded to 6 digits.
+
+    A percentile holds a count for each different value; sizes and numbers of words have few. For measured values see ``quantiles``."""
     v = value.cast("double")
     named = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": F.percentile(v, 0.5), "std": F.coalesce(F.stddev_samp(v), F.lit(0.0)), "p25": F.percentile(v, 0.25), "p75": F.percentile(v, 0.75), "p90": F.percentile(v, 0.9), "p95": F.percentile(v, 0.95)}
     return [F.count(v).alias("count")] + [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(k) for k, c in named.items()]
@@ -35,3 +38,33 @@ def summary(stats: DataFrame) -> DataFrame:
         F.round(F.avg("file_size_bytes"), 6).alias("mean_bytes"), F.round(F.percentile("file_size_bytes", 0.5), 6).alias("median_bytes"), F.round(F.avg(F.col("anomaly").isNotNull().cast("int")), 6).alias("anomaly_rate"),
     )
     return ok.crossJoin(copies)  # one row each
+
+
+def quantiles(rows: DataFrame, value: Column, named: dict[str, float], *by: str) -> DataFrame:
+    """Exact linear percentiles of any values by group, null where a group has none: the columns of ``by``, and ``named``.
+
+    Values are counted, dealt to tasks by ranges of group and value, and each range gets its offset from the ranges before it, so no task or
+    buffer holds a group."""
+    counts = rows.select(*by, value.cast("double").alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = settle(counts.repartitionByRange(*by, "v").withColumn("part", F.spark_partition_id()), "values")
+    parts = ranged.groupBy(*by, "part").agg(F.sum("n").alias("in_part"))
+    w = W.partitionBy(*by)
+    parts = parts.withColumn("before", F.sum("in_part").over(w.orderBy("part")) - F.col("in_part")).withColumn("all", F.sum("in_part").over(w))
+    placed = ranged.withColumn("inner", F.sum("n").over(W.partitionBy(*by, "part").orderBy("v"))).alias("x")
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in by], F.col("part").alias("p_part"), "before", "all")
+    same = F.col("part") == F.col("p_part")
+    for c in by:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"p_{c}"))
+    upto = placed.join(parts, same).withColumn("upto", F.col("before") + F.col("inner"))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("v")))
+
+    found = []
+    for name, q in named.items():
+        place = (F.col("all") - 1) * F.lit(float(q))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        found.append(F.round(low + share * (high - low), 6).alias(name))
+    keys = [F.col(f"x.{c}").alias(c) for c in by]
+    return upto.groupBy(*keys).agg(*found) if by else upto.agg(*found)
