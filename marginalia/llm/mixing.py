@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marginalia.llm.util import field, numbered, settle
+from marginalia.llm.util import discard, field, numbered, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2.0
@@ -80,7 +80,8 @@ def _ranges(sizes: DataFrame, range_rows: int) -> tuple[DataFrame, DataFrame]:
     return rows, sums
 
 
-def _plan(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs: float, range_rows: int) -> DataFrame:
+def _plan(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs: float, range_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The plan by row, and the settled tables that it is read from."""
     sizes = settle(sizes, "sizes")
     rows, sums = _ranges(sizes, range_rows)
     earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -94,13 +95,13 @@ def _plan(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs: fl
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - whole * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return joined.select("row", "doc_id", "size", "source_size", "target", (whole * F.col("size") + cut).cast("long").alias("taken"), "before", whole.alias("epochs"), rest.cast("long").alias("rest"))
+    return joined.select("row", "doc_id", "size", "source_size", "target", (whole * F.col("size") + cut).cast("long").alias("taken"), "before", whole.alias("epochs"), rest.cast("long").alias("rest")), [sizes, sums]
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, before (words of the source that precede it), epochs, rest."""
     packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[field(c).alias(c) for c in dict.fromkeys((id_col, text_col, source_col))]).alias("doc"))
-    return _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows).drop("row")
+    return _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows)[0].drop("row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -108,9 +109,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     in the mixture when at least half of it lies before the cut, so a source ends within half a document of its target. A
     document of no words stays once."""
     packed = numbered(docs)
-    counts = _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows)
+    counts, held = _plan(_sizes(packed, id_col, text_col, source_col, seed), weights, share, epochs, range_rows)
     half = (F.col("rest") - F.col("before")) * 2 >= F.col("size")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(half & (F.col("rest") > F.col("before")), 1).otherwise(0)).cast("int")
-    counts = settle(counts.select("row", copies.alias("copies")), "copies").where("copies > 0")
-    joined = packed.join(counts.hint("merge"), "row")  # alike at every size
+    counts = settle(counts.select("row", copies.alias("copies")), "copies")
+    discard(*held)
+    joined = packed.join(counts.where("copies > 0").hint("merge"), "row")  # alike at every size
     return joined.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

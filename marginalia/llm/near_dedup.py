@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm import words as wd
 from marginalia.llm.graph import components
-from marginalia.llm.util import numbered, settle, spread_join, texts
+from marginalia.llm.util import discard, fresh, field, settle, spread_join, texts
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 3
@@ -238,8 +238,8 @@ def _mark(doc_id, text):
     return F.xxhash64(doc_id.isNull(), text)
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The columns of ``groups``, and id (0 for none), mark and lone (no word) of each row.
+def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The columns of ``groups``, and mark and lone (no word) of each row; and the settled tables that they are read from.
 
     A class is numbered (``rep``) once, when the classes are written; its representative row is ``rep_id`` and ``rep_mark``."""
     rows = texts(docs, id_col, text_col)
@@ -267,21 +267,27 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         named = labels.select(F.col("node").alias(column), F.col("label").alias(name))
         return spread_join(table, named, column, by, "left").withColumn(name, F.coalesce(name, column))
 
+    done = [members, bodies]  # settled tables that the result does not read
     # one bucket for each class
     tried = settle(members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("a <> b"), "pairs")
     links = verified(tried)
     labels = components(links)
+    done += [tried, links]
     # every bucket whose least member is in another component
     pairs = labelled(labelled(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct(), "a", "b", labels, "la"), "b", "a", labels, "lb")
     pairs = settle(pairs.where("la <> lb").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
     more = verified(pairs)
+    done += [pairs, more]
     if not more.isEmpty():
+        done.append(labels)
         links = links.unionByName(more)
         labels = components(links)
     # what still shares a bucket across components: blocks of the members outside the bucket's largest component against all its blocks
     joint = settle(labelled(members, "rep", "bucket", labels, "label"), "members")
     mixed = joint.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    done.append(joint)
     joint = settle(spread_join(joint, mixed, "bucket", "rep").select("bucket", "rep", "label", "weight"), "mixed")
+    done.append(joint)
     if not joint.isEmpty():
         shares = joint.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
         largest = shares.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("g"), F.sum("n").alias("n"), F.sum("w").alias("w"))
@@ -298,8 +304,11 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         others = blocks.select("bucket", "is_giant", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
         opposite = rest.join(others, "bucket").where(F.col("is_giant") | (F.col("block_a") <= F.col("block_b"))).select("docs_a", "docs_b")
         more = settle(opposite.mapInArrow(_across(idf, similarity), "a long, b long"), "links")
+        done += [blocks, more]
         if not more.isEmpty():
+            done.append(labels)
             labels = components(links.select("a", "b").unionByName(more))
+    discard(*done)
 
     # a component is represented by the representative of least id among its classes, those without an id last
     linked = labels.join(reps.select(F.col("rep").alias("node"), "rep_id", "rep_mark"), "node")
@@ -313,24 +322,26 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         "doc_id", "mark", lone.alias("lone"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(lone, F.col("doc_id")).otherwise(F.col("head.rep_id")).alias("group_id"), F.when(lone, F.col("mark")).otherwise(F.col("head.rep_mark")).alias("group_mark"),
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("mark") == F.col("group_mark"))), [signed, reps, labels]
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (least id of equal word sequence), group_id (least id of the component), kept, group_mark.
 
     ``group_mark``, a hash of the representative's text, tells components of equal group_id apart: those of several texts of one id, or without an id."""
-    return _decided(docs, id_col, text_col, similarity).select("doc_id", "class_id", "group_id", "kept", "group_mark")
+    return _decided(docs, id_col, text_col, similarity)[0].select("doc_id", "class_id", "group_id", "kept", "group_mark")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all columns of ``docs``."""
-    packed = numbered(docs)
-    id_of, text_of = F.col("doc").getField(id_col).cast("long"), F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit(""))
-    known = packed.select("row", F.coalesce(id_of, F.lit(0)).alias("id"), _mark(id_of, text_of).alias("mark"), id_of.isNull().alias("free"))
-    stay = _decided(packed.select(id_of.alias("doc_id"), text_of.alias("text")), "doc_id", "text", similarity).where("kept")
-    stay = stay.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark").agg(F.max("lone").alias("lone"))
-    found = known.join(stay.hint("merge"), ["id", "mark"])
-    # of rows that are equal in id and text one stays; rows without an id and without a word all stay
-    rows = found.groupBy("id", "mark", F.when(F.col("free") & F.col("lone"), F.col("row")).alias("own")).agg(F.min("row").alias("row"))
-    return packed.join(rows.select("row").hint("merge"), "row").select("doc.*")
+    decided, held = _decided(docs, id_col, text_col, similarity)
+    stay = decided.where("kept").groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "mark").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id").isNull() & F.col("lone")).alias("free"))
+    stay = settle(stay, "kept")
+    discard(*held)
+    id_name, mark_name, n_name, free_name, row_name = fresh(docs, "id", "mark", "n", "free", "row")
+    doc_id, text = field(id_col).cast("long"), F.coalesce(field(text_col).cast("string"), F.lit(""))
+    named = stay.toDF(id_name, mark_name, n_name, free_name)
+    out = docs.withColumns({id_name: F.coalesce(doc_id, F.lit(0)), mark_name: _mark(doc_id, text)}).join(named.hint("merge"), [id_name, mark_name])
+    if not stay.where("n > 1 AND NOT free").isEmpty():  # of rows that are equal in id and text one stays; rows without an id and without a word all stay
+        out = out.withColumn(row_name, F.when(F.col(free_name), F.monotonically_increasing_id())).dropDuplicates([id_name, mark_name, row_name])
+    return out.select(*[field(c) for c in docs.columns])

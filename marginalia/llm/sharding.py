@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia.llm.util import field, numbered, settle
+from marginalia.llm.util import discard, field, numbered, settle
 
 LIMIT = 1 << 20
 BITS, ID_BITS, STRIDE = 60, 40, 8
@@ -99,7 +99,9 @@ def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     while name in taken:
         name += "_id"
     packed = numbered(docs)
-    placed = _assigned(settle(_places(packed, id_col, text_col), "places"), limit).select("row", _name().alias("shard"))
+    places = settle(_places(packed, id_col, text_col), "places")
+    placed = settle(_assigned(places, limit).select("row", _name().alias("shard")), "shards")
+    discard(places)
     return packed.join(placed.hint("merge"), "row").select("doc.*", F.col("shard").alias(name))
 
 

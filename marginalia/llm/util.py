@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.sources.storage import new_folder, settle, shared_folder  # noqa: F401
+from marginalia.sources.storage import discard, new_folder, settle, shared_folder  # noqa: F401
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,6 +17,14 @@ def field(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def numbered(docs: DataFrame, name: str = "rows") -> DataFrame:
     """(row, doc): a number for each row, and its columns in a struct, where no name can clash. It is written once, so a number stays with its row."""
     return settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[field(c) for c in docs.columns]).alias("doc")), name)
