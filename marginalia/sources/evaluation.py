@@ -68,6 +68,21 @@ def bind_gold(items: DataFrame, index: DataFrame) -> DataFrame:
     return items.select("item_id", clean.alias("path")).distinct().join(index, "path", "left").select("item_id", "path", "note_id")
 
 
+def evaluation_items(items: DataFrame, known: DataFrame) -> DataFrame:
+    """item_id and the id it is stored under: its own where it is known, else ``eval-<id>``. ``known``: item_id, stored_id."""
+    return items.join(known, "item_id", "left").withColumn("stored_id", F.coalesce("stored_id", F.concat(F.lit("eval-"), "item_id")))
+
+
+def missing_paths(bound: DataFrame, most: int = 20) -> list[str]:
+    """The first paths, in order, of gold that no note has: an empty list before a run may start."""
+    return [r["path"] for r in bound.where("note_id IS NULL").select("path").distinct().orderBy("path").limit(most).collect()]
+
+
+def write_review(rows: DataFrame, path: str) -> None:
+    """A review as JSON lines, fields in alphabetical order."""
+    rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
+
+
 def human_review(sample: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Sampled ids with what a run gave them; ``missing`` where it has none."""
     return sample.join(artifacts.withColumn("found", F.lit(True)), "id", "left").withColumn("missing", F.col("found").isNull()).drop("found")

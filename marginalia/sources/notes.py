@@ -14,9 +14,19 @@ def check_directory(name: str) -> str:
     return name
 
 
+def check_folder(spark: SparkSession, folder: str) -> str:
+    """A folder that is there, on whatever file system; ValueError before a job starts on one that is not."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path) or not files.getFileStatus(path).isDirectory():
+        raise ValueError(f"{folder} is not a folder")
+    return folder
+
+
 def notes(spark: SparkSession, root: str, directories: list[str]) -> DataFrame:
     """path, relative_path, note, bytes, modified of all ``.md`` files below the allowed directories, lines ending in one way."""
-    paths = [f"{root.rstrip('/')}/{check_directory(d)}" for d in directories]
+    check_folder(spark, root)
+    paths = [check_folder(spark, f"{root.rstrip('/')}/{check_directory(d)}") for d in directories]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(paths)
     relative = F.regexp_extract("path", f"{root.rstrip('/').split('/')[-1]}/(.*)$", 1)
     return files.select("path", relative.alias("relative_path"), T.unix_lines(F.decode("content", "UTF-8")).alias("note"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))

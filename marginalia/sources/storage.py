@@ -28,7 +28,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has settled, once its results are written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -40,4 +44,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.settled_in)

@@ -277,3 +277,42 @@ def test_r_precision_reads_ranks_up_to_the_gold(spark, tmp_path):
     got = {r["query_id"]: r["r_precision"] for r in queries.metrics_rprecision(spark, str(tmp_path)).collect()}
     assert got == {0: 1.0, 200: 1.0, 400: 1.0}
     assert queries.metrics_macro(spark, str(tmp_path)).first()["r_precision"] == 1.0
+
+
+def test_settings(tmp_path):
+    import json
+
+    from marginalia.sources import settings
+
+    assert settings.policy({"name": " small ", "chunk_size": 64, "chunk_overlap": 8, "separators": ["\n", ""]}) == ("small", C.Policy(64, 8, ("\n", "")))
+    for bad in ({"chunk_size": 3}, {"name": "x", "colour": 1}, {"name": "x", "chunk_size": True}, {"name": "x", "chunk_size": 4, "chunk_overlap": 4}):
+        with pytest.raises(ValueError):
+            settings.policy(bad)
+    path = tmp_path / "policy.json"
+    path.write_text(json.dumps({"name": "file", "chunk_size": 10, "chunk_overlap": 0}))
+    found, fraction = settings.protocol({"short_chunk_fraction": 0.5, "policies": [str(path), {"name": "own"}]})
+    assert list(found) == ["file", "own"] and fraction == 0.5 and found["file"].chunk_size == 10
+    for bad in ({"policies": []}, {"policies": [{"name": "a"}, {"name": "a"}]}, {"short_chunk_fraction": 1, "policies": [{"name": "a"}]}):
+        with pytest.raises(ValueError):
+            settings.protocol(bad)
+    assert settings.sample_ids({"items": ["b", {"id": "a"}]}) == ["b", "a"]
+    with pytest.raises(ValueError):
+        settings.sample_ids({"items": ["a", "a"]})
+
+
+def test_gold_that_is_not_bound(spark):
+    items = spark.createDataFrame([("q1", "a.md"), ("q1", "b.md"), ("q2", "c.md")], "item_id string, path string")
+    bound = evaluation.bind_gold(items, spark.createDataFrame([("a.md", 1)], "path string, note_id long"))
+    assert evaluation.missing_paths(bound) == ["b.md", "c.md"]
+    stored = rows(evaluation.evaluation_items(items.select("item_id").distinct(), spark.createDataFrame([("q1", "7")], "item_id string, stored_id string")).orderBy("item_id"))
+    assert [r["stored_id"] for r in stored] == ["7", "eval-q2"]
+
+
+def test_a_vault_that_is_not_there(spark, tmp_path):
+    from marginalia.sources import notes as N
+
+    with pytest.raises(ValueError):
+        N.notes(spark, str(tmp_path / "none"), ["a"])
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "n.md").write_bytes(b"# A\r\ntext")
+    assert [(r["relative_path"], r["note"]) for r in rows(N.notes(spark, str(tmp_path), ["a"]))] == [("a/n.md", "# A\ntext")]
