@@ -3,7 +3,7 @@
 A document's place is a 60-bit hash; the directory is indexed by its leading bits. A bucket that exceeds the byte limit splits
 on the next bit, other buckets keep their depth, until every shard fits. The directory grows by ``STRIDE`` bits a step: sizes are summed by the
 leading bits (in the tasks first, so one small row for each occupied cell and task), the least depth that fits is found for each cell, and only rows of buckets that are still too
-large go on to the next step. Rows of one id share the leading 40 bits, and the last 20 bits differ by row, so even a repeated id can split.
+large go on to the next step; steps end where most buckets fit, then take three bits. Rows of one id share the leading 40 bits, and the last 20 bits differ by row, so even a repeated id can split.
 
 Cases: a null text has 0 bytes; a document larger than the limit has a shard of its own; a null id is hashed as an empty string; an
 empty table gives an empty table; a limit that holds all bytes gives one shard of depth 0; rows that agree in all 60 bits stay together.
@@ -11,6 +11,7 @@ empty table gives an empty table; a limit that holds all bytes gives one shard o
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,9 +47,11 @@ def _split(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 def _grow(places: DataFrame, limit: int):
     """The steps of the directory: (rows that were still open, the cell of a row, the cells that this step has settled and their leaves)."""
+    total = places.agg(F.sum("bytes")).first()[0] or 0
+    enough = math.ceil(math.log2(max(1, total / limit))) + 2  # bits by which most buckets fit: about four cells a shard, however large the corpus
     low, rows = 0, places
     while True:
-        high = min(BITS, low + STRIDE)
+        high = min(BITS, low + STRIDE, enough if low <= enough else low + 2)
         cell = F.shiftright("hash", BITS - high)
         cells = settle(rows.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n_docs")), "cells")
         found = settle(_split(cells, low, high, limit), "directory")
