@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, sharding, token_store, toxicity
+from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, sharding, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +53,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.annotate(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.annotate(_table(spark, sf_dir, "pages"))
+
+
+def _rules_for_sql() -> str:
+    """The rules with regular expressions made here, as VALUES of (kind, rule, action, regex)."""
+    rows = []
+    for kind, rule, action in url_filter.DEFAULT:
+        if kind == "host":
+            regex = r"^([^/]*\.)?" + re.escape(rule)
+        else:
+            inner = "".join({"*": r"[\s\S]*", "^": r"([^0-9a-z_.%\-]|$)"}.get(c, re.escape(c)) for c in rule.strip("|").lower())
+            front = r"^[a-z][0-9a-z+.\-]*://([^/?#]*\.)?" if rule.startswith("||") else "^" if rule.startswith("|") else ""
+            regex = front + inner + ("$" if rule.endswith("|") else "")
+        rows.append("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (kind, rule, action, regex)) + ")")
+    return "(VALUES " + ",\n".join(rows) + ") v(kind, rule, action, regex)"
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text, op11_url_filter)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -83,5 +103,16 @@ p AS (SELECT doc_id, n_bytes, depth, hash >> (40 - depth)::int AS prefix FROM a)
 b AS (SELECT depth, prefix, sum(n_bytes)::bigint AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY ALL HAVING sum(n_bytes) <= 1048576 OR count(*) = 1),
 f AS (SELECT p.doc_id, p.n_bytes, p.prefix, p.depth, b.shard_bytes, b.shard_docs, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS place FROM p JOIN b USING (depth, prefix))
 SELECT doc_id, n_bytes, concat(depth, '-', prefix) AS shard, depth::int AS depth, shard_bytes, shard_docs FROM f WHERE place = 1
+""",
+    "op11_url_filter": r"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY kind = 'host', kind <> 'host' AND action = 'allow', length(rule), rule) AS rank FROM """
+    + _rules_for_sql()
+    + r"""),
+p AS (SELECT row_number() OVER () AS place, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+ translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT place, kind, max_by(rule, rank) AS rule, max_by(action, rank) AS action FROM p, r WHERE CASE kind WHEN 'host' THEN regexp_matches(host || path, regex) ELSE regexp_matches(low, regex) END GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.action, m.action, 'allow') AS verdict, m.rule AS pattern
+FROM p LEFT JOIN f h ON h.place = p.place AND h.kind = 'host' LEFT JOIN f m ON m.place = p.place AND m.kind = 'pattern'
 """,
 }
