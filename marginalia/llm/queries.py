@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, sharding, token_store, toxicity, url_filter
+from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, lexical_search, license_scan, mixing, near_dedup, sharding, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.annotate(_table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), 10)
+
+
 def _rules_for_sql() -> str:
     """The rules with regular expressions made here, as VALUES of (kind, rule, action, regex)."""
     rows = []
@@ -71,7 +75,7 @@ def _rules_for_sql() -> str:
     return "(VALUES " + ",\n".join(rows) + ") v(kind, rule, action, regex)"
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text, op11_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text, op11_url_filter, op12_lexical_search)}
 
 SQL = {
     "op4_exact_dedup": r"""
@@ -114,5 +118,17 @@ p AS (SELECT row_number() OVER () AS place, page_id, translate(coalesce(url, '')
 f AS (SELECT place, kind, max_by(rule, rank) AS rule, max_by(action, rank) AS action FROM p, r WHERE CASE kind WHEN 'host' THEN regexp_matches(host || path, regex) ELSE regexp_matches(low, regex) END GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.action, m.action, 'allow') AS verdict, m.rule AS pattern
 FROM p LEFT JOIN f h ON h.place = p.place AND h.kind = 'host' LEFT JOIN f m ON m.place = p.place AND m.kind = 'pattern'
+""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT place, doc_id, len(ts)::bigint AS n, unnest(ts) AS term FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*)::bigint AS docs, sum(len(ts))::bigint AS terms FROM d WHERE len(ts) > 0),
+f AS (SELECT place, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::bigint AS tf FROM t GROUP BY place, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM f, s GROUP BY term, docs),
+q AS (SELECT place, item_id, unnest(ts) AS term FROM (SELECT row_number() OVER () AS place, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark)),
+a AS (SELECT place, any_value(item_id) AS item_id, term, count(*)::bigint AS r FROM q GROUP BY place, term),
+c AS (SELECT a.place, any_value(a.item_id) AS item_id, f.doc_id, f.place AS doc, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))))::bigint AS score FROM a JOIN w USING (term) JOIN f USING (term), s GROUP BY a.place, f.place, f.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM o WHERE rank <= 10
 """,
 }
