@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, lexical_search, license_scan, mixing, near_dedup, sharding, token_store, toxicity, url_filter
+from marginalia.llm import decontaminate, exact_dedup, html_text, language_id, lexical_search, license_scan, mixing, near_dedup, sharding, spelling, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), 10)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), least_length=6, least=5, ratio=5, noise=199)
+
+
 def _rules_for_sql() -> str:
     """The rules with regular expressions made here, as VALUES of (kind, rule, action, regex)."""
     rows = []
@@ -75,7 +79,7 @@ def _rules_for_sql() -> str:
     return "(VALUES " + ",\n".join(rows) + ") v(kind, rule, action, regex)"
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text, op11_url_filter, op12_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_store, op3_decontaminate, op4_exact_dedup, op5_license_scan, op6_language_id, op7_toxicity, op8_mixing, op9_sharding, op10_html_text, op11_url_filter, op12_lexical_search, op13_spelling)}
 
 SQL = {
     "op4_exact_dedup": r"""
