@@ -118,3 +118,13 @@ def store_consistency(spark, sf_dir):
 def search_methods(spark, sf_dir):
     parts = [R.search(m, 5, lambda k: dense(spark, sf_dir, k), lambda k: lexical(spark, sf_dir, k).withColumn("query_id", F.col("query_id") * 100)).select(F.lit(m).alias("method"), "query_id", "chunk_id", "score", "rank") for m in ("dense", "bm25", "hybrid")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(_VEC + " SELECT query_id, chunk_id, score, rank FROM de WHERE rank <= 10")
+def dense_cells(spark, sf_dir):
+    """The hits of ``dense_topk`` from an index of cells, whatever they let the search skip."""
+    from marginalia.operators import cells
+
+    rows = vectors(spark, sf_dir)
+    queries = rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return cells.search(queries, cells.build(rows), 10)[0]
