@@ -128,3 +128,12 @@ def dense_cells(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     queries = rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
     return cells.search(queries, cells.build(rows), 10)[0]
+
+
+@query(_LEX + " SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10")
+def bm25_stored(spark, sf_dir):
+    """The hits of ``bm25_topk`` from a stored index, whatever its bounds let the search skip."""
+    from marginalia.operators import postings
+
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.search(queries, postings.build(table(spark, sf_dir, "documents"), id_col="doc_id"), 10)
