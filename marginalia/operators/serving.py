@@ -77,24 +77,32 @@ def _parse(reply: str | None, allowed) -> tuple:
     if value is None:  # double each backslash inside a string that starts no valid escape
         string = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
         value = load(string.sub(lambda m: re.sub(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])|\\', lambda e: e[0] if e[1] else "\\\\", m[0]), text))
-    fail = lambda why: (None, [], None, why)
-    if value is None:
-        return fail("structured output is not valid JSON")
-    if not isinstance(value, dict):
-        return fail("structured output must be a JSON object")
-    answer, confidence, given = value.get("answer"), value.get("confidence"), value.get("citations")
-    if not isinstance(answer, str) or not answer.strip():
-        return fail("structured output is missing answer")
-    if isinstance(confidence, bool) or not isinstance(confidence, (int, float, type(None))):
-        return fail("confidence must be a number")
-    if not isinstance(given, (list, type(None))):
-        return fail("citations must be a list")
+    error = _broken(value)
+    if error:
+        return None, [], None, error
+    answer, confidence, given = value["answer"], value.get("confidence"), value.get("citations")
     known = set(allowed if allowed is not None else [])
     ids = [c.get("chunk_id") for c in given or [] if isinstance(c, dict)]
     ids = [i for i in dict.fromkeys(i for i in ids if isinstance(i, int) and not isinstance(i, bool)) if i in known]
     return answer.strip(), ids, min(max(float(confidence or 0.0), 0.0), 1.0), None
 
 
+#: Fields of a reply: their types, and whether they have to be there
+REPLY = {"answer": (str, True), "confidence": ((int, float), False), "citations": (list, False)}
+
+
+def _broken(value) -> str | None:
+    """The first thing that is wrong with a parsed reply: what it is, or a field's name."""
+    if not isinstance(value, dict):
+        return "unreadable reply" if value is None else "reply is no object"
+    for name, (kind, needed) in REPLY.items():
+        field = value.get(name)
+        blank = field is None or isinstance(field, str) and not field.strip()
+        if needed and blank or field is not None and (isinstance(field, bool) or not isinstance(field, kind)):
+            return f"reply without a usable {name}"
+    return None
+
+
 def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, entry_id, similarity of the nearest entry, where near enough. ``queries``: query_id, vector; ``entries`` of one pipeline version: entry_id, vector."""
     from marginalia.operators.retrieval import dense

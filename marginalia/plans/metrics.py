@@ -9,7 +9,7 @@ from marginalia.plans.retrieval import _VEC, dense, vectors
 K = 10
 _Q = _VEC + f""", gold AS (SELECT q.vec_id AS query_id, g.vec_id AS key FROM embeddings q JOIN embeddings g USING (label) WHERE q.vec_id % 100 = 0 AND q.vec_id % 200 = 0),
 asked AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0), ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
-r AS (SELECT de.query_id, chunk_id AS key, rank, n_gold, gold.key IS NOT NULL AS rel FROM de JOIN ng USING (query_id) LEFT JOIN gold ON gold.query_id = de.query_id AND gold.key = de.chunk_id WHERE rank <= 100 AND rank <= greatest({K}, n_gold)),
+r AS (SELECT de.query_id, chunk_id AS key, rank, n_gold, gold.key IS NOT NULL AS rel FROM de JOIN ng USING (query_id) LEFT JOIN gold ON gold.query_id = de.query_id AND gold.key = de.chunk_id WHERE rank <= greatest({K}, n_gold)),
 s AS (SELECT *, sum(rel::int) OVER (PARTITION BY query_id ORDER BY rank) AS so_far, rel AND rank <= {K} AS hit FROM r),
 per AS (SELECT query_id, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN hit THEN rank END) AS first, count(DISTINCT CASE WHEN hit THEN key END) AS found, sum(CASE WHEN hit THEN so_far / rank ELSE 0 END) AS ap, count(DISTINCT CASE WHEN rel AND rank <= n_gold THEN key END) AS r_found FROM s GROUP BY query_id),
 m AS (SELECT query_id, n_gold IS NULL AS skipped, CASE WHEN n_gold IS NULL THEN 'empty_gold' END AS reason, round(dcg / list_sum(list_transform(range(1, least(n_gold, {K}) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, CASE WHEN n_gold IS NOT NULL THEN round(coalesce(1 / first, 0), 6) END AS mrr,
@@ -36,7 +36,7 @@ def _questions(spark, sf_dir):
 
 
 def _whole_questions(spark, sf_dir):
-    """Ranks up to the largest gold, which R-precision reads; its SQL stops at rank 100, so they agree up to 100 gold vectors a question."""
+    """Ranks up to the largest gold, which R-precision reads."""
     wanted = gold(spark, sf_dir)
     most = wanted.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     return M.questions(_ranked(spark, sf_dir, max(K, most)), wanted, asked(spark, sf_dir), K)

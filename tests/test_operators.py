@@ -100,7 +100,7 @@ def test_answers(spark):
     df = spark.createDataFrame([(i, r, [1]) for i, r in enumerate(replies)], "query_id long, reply string, allowed array<long>").withColumn("note_paths", F.create_map(F.lit(1).cast("long"), F.lit("a.md")))
     got = rows(S.parse_answers(df).orderBy("query_id"))
     assert (got[0]["answer"], got[0]["citations"], got[0]["confidence"]) == ("a", [{"chunk_id": 1, "note_path": "a.md"}], 1.0) and got[1]["answer"] == "x \\approx y"
-    assert [g["error"] for g in got[2:]] == ["structured output is not valid JSON", "structured output is missing answer", "confidence must be a number"]
+    assert [g["error"] for g in got[2:]] == ["unreadable reply", "reply without a usable answer", "reply without a usable confidence"]
 
 
 def test_cache_eviction_and_versions(spark):
@@ -242,7 +242,7 @@ def test_sources(spark, tmp_path):
     for bad in ("..", "a/b", ""):
         with pytest.raises(ValueError):
             N.check_directory(bad)
-    item = {"id": "q1", "question": "what", "relevant_note_paths": ["a\\b.md"]}
+    item = {"id": "q1", "question": "what", "source_directory": "a", "relevant_notes": ["a\\b.md"]}
     assert rows(evaluation.gold(spark, {"dataset_version": "v", "corpus_scope": "s", "items": [item]}))[0]["paths"] == ["a/b.md"]
     with pytest.raises(ValueError):
         evaluation.check_gold({"dataset_version": "v", "corpus_scope": "s", "items": [item, item]})
@@ -250,6 +250,57 @@ def test_sources(spark, tmp_path):
         evaluation.check_paraphrases({"groups": [{"id": "g", "canonical": " "}]})
 
 
+GOLD = """# authored by hand
+dataset_version: set_v0
+label_granularity: note
+corpus_scope: A+B
+relevant_chunk_ids: []
+items:
+  - id: q001
+    question: "What is it?"
+    source_directory: A
+    relevant_notes:
+      - A/One.md
+      - A/Two.md
+  - id: q002
+    question: "And why?"
+    source_directory: B
+    relevant_notes: ["B\\\\Three.md", A/One.md, A/One.md]
+"""
+
+
+def test_gold_files_in_their_own_form(spark, tmp_path):
+    from marginalia.sources import settings
+
+    pytest.importorskip("yaml")
+    (tmp_path / "gold.yaml").write_text(GOLD)
+    items = evaluation.gold(spark, settings.read_mapping(str(tmp_path / "gold.yaml")))
+    got = [r.asDict() for r in items.orderBy("item_id").collect()]
+    assert [r["paths"] for r in got] == [["A/One.md", "A/Two.md"], ["B/Three.md", "A/One.md", "A/One.md"]] and {r["dataset_version"] for r in got} == {"set_v0"} and [r["source_directory"] for r in got] == ["A", "B"]
+    index = spark.createDataFrame([("A/One.md", 7), ("A/Two.md", 3), ("B/Three.md", 9)], "path string, note_id long")
+    folder = str(tmp_path / "items")
+    for _ in range(2):  # a second load replaces the first
+        evaluation.replace_evaluation(items, index, folder)
+    stored = rows(evaluation.load_evaluation(spark, folder, "set_v0"))
+    assert [(r["eval_item_id"], r["question"], r["relevant_note_ids"]) for r in stored] == [(1, "What is it?", [7, 3]), (2, "And why?", [9, 7])]
+    assert evaluation.load_evaluation(spark, folder, "other").count() == 0
+    with pytest.raises(ValueError, match="B/Three.md"):
+        evaluation.replace_evaluation(items, index.where("note_id < 9"), folder)
+    evaluation.replace_evaluation(items, index.withColumn("note_id", F.col("note_id") - 3), folder)
+    for version in ("set_v0", " "):
+        with pytest.raises(ValueError):
+            evaluation.load_evaluation(spark, folder, version)
+    for wrong in ({"relevant_notes": []}, {"relevant_notes": [" "]}, {"relevant_notes": "A/One.md"}, {"source_directory": " "}, {"question": None}):
+        item = {"id": "q", "question": "what", "source_directory": "A", "relevant_notes": ["a.md"]} | wrong
+        with pytest.raises(ValueError):
+            evaluation.check_gold({"dataset_version": "v", "corpus_scope": "s", "items": [item]})
+    group = {"id": "g", "canonical": "c", "paraphrases": [" a ", "b"]}
+    assert evaluation.check_paraphrases({"dataset_version": "v", "groups": [group]}) == [("v", "g", "c", ["a", "b"])]
+    for wrong in ({"groups": [group]}, {"dataset_version": "v", "groups": [group, group]}, {"dataset_version": "v", "groups": [group | {"paraphrases": [""]}]}):
+        with pytest.raises(ValueError):
+            evaluation.check_paraphrases(wrong)
+
+
 def test_streams(spark):
     folder, work = new_folder(spark, "in"), new_folder(spark, "work")
     spark.createDataFrame([("v", "q", 0, "a"), ("v", "q", 500, "b"), ("v", "q", 5000, "c"), ("v", "r", 1, "d")], "version string, query string, at long, answer string").coalesce(1).write.parquet(folder)
