@@ -143,3 +143,35 @@ def sectionization(spark, sf_dir):
     """The level stands for a field that only some sections have."""
     rows = _lines(spark, sf_dir)
     return M.sectionization(M.sections(rows), M.line_blocks(rows), "level")
+
+
+# Sentences become lines; of ten lines one opens and one closes a fence, one is a table row, one an item, one is blank
+_MIXED = "list_transform(string_split(note, '. '), lambda x, i: CASE i % 10 WHEN 3 THEN '```' WHEN 6 THEN '~~~' WHEN 7 THEN '| ' || replace(x, chr(10), ' ') || ' |' WHEN 8 THEN '- ' || x WHEN 9 THEN '' ELSE x END)"
+_TYPED = _LINES.replace("SELECT note_id, string_split(note, chr(10)) AS ls FROM notes", f"SELECT note_id, string_split(array_to_string({_MIXED}, chr(10)), chr(10)) AS ls FROM notes") + r""",
+z AS (SELECT *, count(level) OVER w AS section_no, sum(is_fence::int) OVER w AS n, start + length(text) + (line < max(line) OVER (PARTITION BY note_id))::int AS upto FROM lines WINDOW w AS (PARTITION BY note_id ORDER BY line)),
+k AS (SELECT *, CASE WHEN NOT outside THEN 'code' WHEN level IS NOT NULL THEN 'heading' WHEN trim(text) = '' THEN 'blank' WHEN regexp_matches(trim(text), '^([-*+] |[0-9]{2}\.)') THEN 'list' WHEN starts_with(trim(text), '|') AND ends_with(trim(text), '|') THEN 'table' ELSE 'paragraph' END AS kind FROM z),
+g AS (SELECT *, (lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR kind IN ('list', 'table', 'heading'))::int AS new FROM k WINDOW w AS (PARTITION BY note_id ORDER BY line)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY note_id ORDER BY line) AS run FROM g),
+u AS (SELECT note_id, min(section_no) AS section_no, kind, max(level) AS level, min(line) AS first_line, max(line) AS last_line, min(start) AS start_offset, max(upto) AS end_offset FROM r WHERE kind NOT IN ('blank', 'code') GROUP BY note_id, run, kind
+ UNION ALL SELECT note_id, min(section_no), 'code', NULL, min(line), max(line), min(start), max(upto) FROM r WHERE kind = 'code' GROUP BY note_id, (n + 1) // 2 HAVING sum(is_fence::int) = 2),
+blocks AS (SELECT note_id, section_no, row_number() OVER (PARTITION BY note_id, section_no ORDER BY start_offset) - 1 AS block_no, kind, level, first_line, last_line, start_offset::bigint AS start_offset, end_offset::bigint AS end_offset FROM u)"""
+
+
+def _mixed(spark, sf_dir):
+    pieces = F.expr("""transform(split(note, '[.] ', -1), (x, i) -> CASE (i + 1) % 10 WHEN 3 THEN '```' WHEN 6 THEN '~~~' WHEN 7 THEN concat('| ', replace(x, chr(10), ' '), ' |') WHEN 8 THEN concat('- ', x) WHEN 9 THEN '' ELSE x END)""")
+    return notes(spark, sf_dir).select("note_id", F.array_join(pieces, "\n").alias("note"))
+
+
+@query(_TYPED + " SELECT * FROM blocks")
+def typed_blocks(spark, sf_dir):
+    """Every block of notes with fences, table rows, items and headings, in one walk."""
+    from marginalia.operators import blocks
+
+    return blocks.typed_blocks(_mixed(spark, sf_dir)).drop("text")
+
+
+@query(_TYPED + " SELECT kind, count(*) AS blocks, count(DISTINCT note_id) AS notes, count(DISTINCT (note_id, section_no)) AS sections, sum(end_offset - start_offset)::bigint AS characters, 0::bigint AS invalid_offset_count FROM blocks GROUP BY kind")
+def sectionization_by_type(spark, sf_dir):
+    from marginalia.operators import blocks
+
+    return blocks.by_type(blocks.typed_blocks(_mixed(spark, sf_dir)))
