@@ -55,3 +55,28 @@ def cache_stream(spark, sf_dir):
 
     ingest.drain(cache.serve(rows, 3_600_000, forget=False), work, each)
     return spark.read.parquet(*parts).groupBy("version", F.col("query").cast("long").alias("query")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS version, user_id % 4 AS slot, event_id AS id, epoch_ms(ts) AS ms, cos(user_id::double) AS x, sin(user_id::double) AS y, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+s(version, slot, n, id, hit, matched, expired, evicted, entries) AS (SELECT DISTINCT version, slot, 0::bigint, NULL::bigint, false, NULL::bigint, 0, 0, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, used BIGINT)[] FROM e
+ UNION ALL SELECT version, slot, n, id, best IS NOT NULL, best, expired, greatest(0, len(later) - 12)::int, later[greatest(0, len(later) - 12) + 1:] FROM (
+  SELECT *, CASE WHEN best IS NOT NULL THEN list_concat(list_filter(live, lambda z: z.id <> best), list_transform(list_filter(live, lambda z: z.id = best), lambda z: {'id': z.id, 'x': z.x, 'y': z.y, 'used': ms})) ELSE list_append(live, {'id': id, 'x': x, 'y': y, 'used': ms}) END AS later FROM (
+   SELECT *, (list_sort(list_transform(list_filter(live, lambda z: round(z.x * x + z.y * y, 9) >= 0.999), lambda z: {'s': -round(z.x * x + z.y * y, 9), 'id': z.id})))[1].id AS best FROM (
+    SELECT e.version, e.slot, e.n, e.id, e.ms, e.x, e.y, list_filter(s.entries, lambda z: e.ms - z.used <= 172800000) AS live, (len(s.entries) - len(list_filter(s.entries, lambda z: e.ms - z.used <= 172800000)))::int AS expired
+    FROM s JOIN e ON e.version = s.version AND e.slot = s.slot AND e.n = s.n + 1))))
+SELECT version, slot, id, hit, coalesce(matched, -1) AS matched, expired::bigint AS expired, evicted::bigint AS evicted FROM s WHERE n > 0""")
+def semantic_cache_stream(spark, sf_dir):
+    """Requests served from the state of a processor: hits, expiries after two days without use, evictions beyond twelve entries. A user's angle stands in for the vector of a question."""
+    from marginalia.streaming import semantic_cache
+
+    work, parts = new_folder(spark, "semantic_cache"), []
+    angle = F.col("user_id").cast("double")
+    rows = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("version"), (F.col("user_id") % 4).alias("slot"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.array(F.cos(angle), F.sin(angle)).alias("vector"), F.lit("").alias("answer"))
+
+    def each(batch, batch_id):
+        parts.append(f"{work}/{batch_id}")
+        batch.write.mode("overwrite").parquet(parts[-1])
+
+    with semantic_cache.state_store(spark):
+        ingest.drain(semantic_cache.serve(rows, 172_800_000, 12, 0.999, forget=False), work, each)
+    return spark.read.parquet(*parts).select("version", "slot", "id", "hit", F.coalesce("matched", F.lit(-1)).alias("matched"), "expired", "evicted")
