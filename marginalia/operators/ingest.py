@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from marginalia.functions import identity as I
+from marginalia.sources.storage import settle
 
 KEY = "relative_path"
 
@@ -118,7 +119,7 @@ def run(found: DataFrame, stored: DataFrame, links: DataFrame, run_id: int, corp
     Notes of the scope that were not found are stale and stay stored. Links of every parsed file are replaced and resolved against the notes after the run."""
     columns = [KEY, "source_directory", "title", "content_hash", "parse_status", "parser_version"]
     decided = decide(found, stored).join(stored.select(KEY, "note_id"), KEY, "left")
-    decided = decided.withColumn("known", F.col("note_id").isNotNull()).withColumn("note_id", F.coalesce("note_id", new_note_id(F.col(KEY))))
+    decided = settle(decided.withColumn("known", F.col("note_id").isNotNull()).withColumn("note_id", F.coalesce("note_id", new_note_id(F.col(KEY)))), "decided")
     written = decided.where(F.col("should_process") | ~F.col("known")).select("note_id", *columns)
     notes = upsert(stored.select("note_id", *columns), written, [KEY])
     gone = stale(found, stored, scope)
@@ -129,3 +130,18 @@ def run(found: DataFrame, stored: DataFrame, links: DataFrame, run_id: int, corp
         "notes": notes, "states": seen.unionByName(missed).withColumn("run_id", F.lit(run_id)), "links": resolve_links(own, notes),
         "run": counters(decided, gone).select(F.lit(run_id).alias("run_id"), F.lit(corpus_scope).alias("corpus_scope"), "*"),
     }
+
+
+RUN = "run_id long, corpus_scope string, total long, new long, changed long, unchanged long, failed long, stale long, success_rate double, succeeded long, skipped long, status string"
+
+
+def store_states(states: DataFrame, folder: str, run_id: int, corpus_scope: str) -> DataFrame:
+    """Write the states of a run in a folder of its own and return its row (RUN, as ``run`` has it): the write counts what it writes, so nothing is read a second time."""
+    seen = Observation("states")
+    kinds = ("new", "changed", "unchanged", "failed", "stale")
+    counted = states.observe(seen, *[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+    counted.drop("run_id").write.mode("overwrite").parquet(f"{folder}/run_id={run_id}")
+    n = {k: seen.get[k] for k in kinds}
+    good, total = n["new"] + n["changed"] + n["unchanged"], n["new"] + n["changed"] + n["unchanged"] + n["failed"]
+    status = "completed" if not n["failed"] else "partial" if good else "failed"
+    return states.sparkSession.createDataFrame([(run_id, corpus_scope, total, *(n[k] for k in kinds), round(good / total, 6) if total else 0.0, good, n["unchanged"], status)], RUN)

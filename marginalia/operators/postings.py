@@ -1,7 +1,7 @@
 """A stored lexical index: blocks of postings with impact bounds, and exact top-k search that skips blocks by them.
 
-A posting's impact is its BM25 weight without the IDF. Postings are dealt out by ranges of (bucket of the term, term, falling impact), so a term of any size is spread over tasks, and each task packs the
-postings of a term, best first, in blocks that carry their largest impact. Buckets are folders: a search reads those of its terms only, and no document.
+A posting's impact is its BM25 weight without the IDF. A task counts the terms of its chunks and packs each term's postings, best first, in blocks that carry their largest impact; blocks, not postings, are dealt out by ranges of
+(bucket of the term, term, falling impact), so a term of any size is spread over tasks, and small blocks of a term that meet are packed anew. Buckets are folders: a search reads those of its terms only, and no document.
 
 Search (for all queries at once):
 
@@ -12,11 +12,12 @@ Search (for all queries at once):
 
 Bounds are from above and the threshold from below, so the k best are those of a search of all postings.
 
-Cases: null and empty texts hold no term, but count as chunks. A chunk that stands twice is one chunk with the terms of both, as in ``retrieval.bm25``. An empty table gives an empty index.
+Cases: null and empty texts hold no term, but count as chunks. A chunk without an id is not found. Rows of one id have postings of their own, whose weights add up. An empty table gives an empty index.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,8 +51,50 @@ def _bucket(n: int):
     return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
 
 
-def _pack(size: int):
-    """Blocks of the sorted postings of a task."""
+SCHEMA = "bucket int, term string, impact double, n int, first boolean, ids array<long>, tf array<long>, n_terms array<int>"
+
+
+def _cut(terms: pa.Array, ids: pa.Array, tf: np.ndarray, n_terms: np.ndarray, average: float, size: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """Blocks of postings: the place of each block's first posting in the order (term by term as they come, best first), its impact, its lists, and its place in its term."""
+    coded = terms.dictionary_encode()
+    codes = np.asarray(coded.indices)
+    weight = tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * n_terms / average))
+    order = np.lexsort((-weight, codes))
+    codes, weight = codes[order], weight[order]
+    run = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    place = np.arange(len(codes)) - np.repeat(run, np.diff(np.concatenate((run, [len(codes)]))))
+    start = np.flatnonzero(place % size == 0)
+    offsets = pa.array(np.concatenate((start, [len(codes)])), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(order)), pa.array(tf[order], pa.int64()), pa.array(n_terms[order], pa.int32()))]
+    return order[start], weight[start], lists, place[start]
+
+
+def _counted(average: float, size: int):
+    """The postings of a batch of chunks, already in blocks: term, impact, ids, tf, n_terms."""
+    schema = pa.schema([("term", pa.string()), ("impact", pa.float64()), ("ids", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64())), ("n_terms", pa.list_(pa.int32()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, tf, ids, sizes, kinds = [], [], [], [], []
+            for i, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = words.as_py() or []
+                if own:
+                    found = Counter(own)
+                    terms.extend(found)
+                    tf.extend(found.values())
+                    ids.append(i)
+                    sizes.append(len(own))
+                    kinds.append(len(found))
+            if terms:
+                column = pa.array(terms, pa.string())
+                first, impact, lists, _ = _cut(column, pa.array(np.repeat(np.array(ids, np.int64), kinds)), np.array(tf, np.int64), np.repeat(np.array(sizes, np.int64), kinds), average, size)
+                yield pa.RecordBatch.from_arrays([column.take(pa.array(first)), pa.array(impact), *lists], schema=schema)
+
+    return count
+
+
+def _pack(average: float, size: int):
+    """Blocks of the sorted smaller blocks of a task."""
     schema = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("impact", pa.float64()), ("n", pa.int32()), ("first", pa.bool_()), ("ids", pa.list_(pa.int64())), ("tf", pa.list_(pa.int64())), ("n_terms", pa.list_(pa.int32()))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,21 +102,17 @@ def _pack(size: int):
         for batch in batches:
             if not len(batch):
                 continue
-            coded = batch.column("term").dictionary_encode()
-            codes = np.asarray(coded.indices)
-            new = np.concatenate(([True], codes[1:] != codes[:-1]))
-            run = np.flatnonzero(new)
-            place = np.arange(len(codes)) - np.repeat(run, np.diff(np.concatenate((run, [len(codes)]))))
-            start = np.flatnonzero(place % size == 0)
-            terms = batch.column("term").take(pa.array(start))
-            first = place[start] == 0
+            n = np.diff(np.asarray(batch.column("ids").offsets))
+            row = np.repeat(np.arange(len(batch)), n)
+            flat = [batch.column(c).flatten() for c in ("ids", "tf", "n_terms")]
+            posting_terms = batch.column("term").take(pa.array(row))
+            start, impact, lists, place = _cut(posting_terms, flat[0], np.asarray(flat[1]), np.asarray(flat[2]).astype(np.int64), average, size)
+            terms, first = posting_terms.take(pa.array(start)), place == 0
             if before is not None and terms[0].as_py() == before:
                 first[0] = False
-            before = batch.column("term")[len(codes) - 1].as_py()
-            offsets = pa.array(np.concatenate((start, [len(codes)])), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("chunk_id", "tf", "n_terms")]
-            n = np.diff(np.concatenate((start, [len(codes)])))
-            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(pa.array(start)), terms, batch.column("impact").take(pa.array(start)), pa.array(n, pa.int32()), pa.array(first), *lists], schema=schema)
+            before = batch.column("term")[len(batch) - 1].as_py()
+            sizes = np.diff(np.asarray(lists[0].offsets))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(pa.array(row[start])), terms, pa.array(impact), pa.array(sizes, pa.int32()), pa.array(first), *lists], schema=schema)
 
     return pack
 
@@ -81,9 +120,10 @@ def _pack(size: int):
 def build(chunks: DataFrame, folder: str | None = None, id_col: str = "chunk_id", text_col: str = "text", average: float = R.AVERAGE_WORDS, block: int = BLOCK, buckets: int = BUCKETS) -> StoredIndex:
     """Index the texts of chunks and store the index."""
     folder = folder or new_folder(chunks.sparkSession, "index")
-    rows = R.postings(chunks.where(F.col(id_col).isNotNull()), id_col, text_col).withColumns({"impact": _weight(average), "bucket": _bucket(buckets)})
-    dealt = rows.repartitionByRange("bucket", "term", F.col("impact").desc(), F.xxhash64("chunk_id")).sortWithinPartitions("bucket", "term", F.col("impact").desc())
-    blocks = dealt.select("bucket", "term", "impact", F.col("chunk_id").cast("long").alias("chunk_id"), "tf", "n_terms").mapInArrow(_pack(block), "bucket int, term string, impact double, n int, first boolean, ids array<long>, tf array<long>, n_terms array<int>")
+    words = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("chunk_id"), R.terms(F.col(text_col)).alias("words"))
+    parts = words.mapInArrow(_counted(average, block), "term string, impact double, ids array<long>, tf array<long>, n_terms array<int>").withColumn("bucket", _bucket(buckets))
+    dealt = parts.repartitionByRange("bucket", "term", F.col("impact").desc(), F.xxhash64(F.get("ids", F.lit(0)))).sortWithinPartitions("bucket", "term", F.col("impact").desc())
+    blocks = dealt.mapInArrow(_pack(average, block), SCHEMA)
     blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks")
     chunks.agg(F.count(F.lit(1)).alias("n"), F.lit(float(average)).alias("average"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/size")
     stored = _blocks(chunks.sparkSession, folder)

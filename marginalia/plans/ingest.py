@@ -162,3 +162,11 @@ def ingest_run_links(spark, sf_dir):
 @query(f"WITH {_COUNTERS} SELECT 7::bigint AS run_id, 'all' AS corpus_scope, total, \"new\", changed, unchanged, failed, stale, round((\"new\" + changed + unchanged) / total, 6) AS success_rate, \"new\" + changed + unchanged AS succeeded, unchanged AS skipped, CASE WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status FROM c")
 def ingest_run(spark, sf_dir):
     return _run(spark, sf_dir)["run"]
+
+
+@query(f"WITH {_COUNTERS} SELECT 7::bigint AS run_id, 'all' AS corpus_scope, total, \"new\", changed, unchanged, failed, stale, round((\"new\" + changed + unchanged) / total, 6) AS success_rate, \"new\" + changed + unchanged AS succeeded, unchanged AS skipped, CASE WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status FROM c")
+def ingest_run_observed(spark, sf_dir):
+    """The row of ``ingest_run`` from counters of the write of its states."""
+    from marginalia.sources.storage import new_folder
+
+    return G.store_states(_run(spark, sf_dir)["states"], new_folder(spark, "states"), 7, "all")

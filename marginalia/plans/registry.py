@@ -42,5 +42,5 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NOTES_SQL = f"notes AS (SELECT doc_id AS note_id, source, {NOTE.format(string='varchar')} AS note FROM documents)"
 
-for _name in ("corpus", "markdown", "retrieval", "metrics", "ingest", "serving", "experiments", "streams"):
+for _name in ("corpus", "markdown", "retrieval", "metrics", "ingest", "serving", "experiments", "streams", "stores"):
     import_module(f"marginalia.plans.{_name}")
