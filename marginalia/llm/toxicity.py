@@ -3,7 +3,7 @@
 Terms are words and their beginnings of 4, 5 and 6 bytes, hashed to 28 bits. The machine scores the terms present in a text: a weight
 for each, and for each pair the product of their factors, so that two terms can mean more together than apart. It is trained on a
 bounded sample of labelled documents (``sample`` rows, in hash order). Its terms are the ``features`` terms that tell the classes apart best by a likelihood-ratio test, and
-those of the ``pairs`` pairs, among the ``candidates`` terms of most documents, that tell them apart best beyond what each term does alone. These are parameters and bound the fit alone:
+those of the ``pairs`` pairs, among the ``candidates`` terms of most documents (of terms that stand in the same documents, one), that tell them apart best beyond what each term does alone. These are parameters and bound the fit alone:
 terms are counted by Spark, only the chosen ones of each sampled document reach the driver, and every whole text is scored.
 
 Cases: a null or empty text gets the score of a text without terms; documents without a label are scored like others; labels
@@ -25,7 +25,7 @@ from marginalia.llm.util import crc32_mod, hash_sample, settle
 
 HEADS = (4, 5, 6)
 TERM_BITS, FACTORS = 28, 4
-SAMPLE, FEATURES, CANDIDATES, PAIRS = 6_000, 400, 1_000, 100
+SAMPLE, FEATURES, CANDIDATES, PAIRS = 6_000, 400, 4_000, 100
 LEAST_RATIO, LEAST_DOCS = 15.0, 4  # a term's or pair's likelihood ratio (a pair's beyond the chance of its being one of many), and its documents
 REJECT = 0.7
 
@@ -62,6 +62,16 @@ def _ratio(k, k1, n: int, n1: int):
     return 2 * (k1 * log(p1 / p) + (n1 - k1) * log((1 - p1) / (1 - p)) + k0 * log(p0 / p) + (n - n1 - k0) * log((1 - p0) / (1 - p)))
 
 
+def _different(docs: list[np.ndarray], term: np.ndarray) -> np.ndarray:
+    """The first of the terms (sorted) of each set that stand in the same documents, by sums of random numbers of documents: a word and its beginnings are often one such set."""
+    of_doc = np.random.default_rng(3).integers(0, 1 << 62, len(docs), np.uint64)
+    sums = np.zeros(len(term), np.uint64)
+    for d, x in zip(docs, of_doc):
+        at = np.minimum(np.searchsorted(term, d), len(term) - 1)
+        sums[at[term[at] == d]] += x
+    return np.unique(sums, return_index=True)[1]
+
+
 def _paired(x: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
     """Terms (columns of x) of the pairs that tell the labels apart best beyond what each term does alone."""
     n, n1, m = len(labels), labels.sum(), x.shape[1]
@@ -125,7 +135,8 @@ class Machine:
         ratio = _ratio(k, k1, n, n1)
         best = np.lexsort((term, -ratio))[:features]
         best = best[ratio[best] >= LEAST_RATIO]
-        often = np.sort(np.lexsort((term, -k))[:candidates])
+        one = _different(docs, term)
+        often = np.sort(one[np.lexsort((term[one], -k[one]))[:candidates]])
         best = np.union1d(best, often[_paired(present(term[often]), labels, pairs)] if n > 1 else best).astype(np.int64)
         if not len(best):
             return constant
@@ -187,13 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = rows.join(F.broadcast(known), "id").select("label", "text").mapInArrow(_features, "label int, terms array<int>, mark long")
     found = settle(found.groupBy("mark").agg(F.max("label").alias("label"), F.first("terms").alias("terms")), "terms")
     n, n1 = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counts = settle(found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("k1")).where(F.col("k") >= LEAST_DOCS), "counts")
-    chosen = counts.orderBy(F.desc(_ratio(F.col("k"), F.col("k1"), n, n1)), "term").limit(features).select("term").unionByName(counts.orderBy(F.desc("k"), "term").limit(candidates).select("term")).distinct()
+    stands = F.bit_xor(F.xxhash64("mark")).alias("stands")  # in the same documents: the same number
+    counts = settle(found.select("label", "mark", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("k1"), stands).where(F.col("k") >= LEAST_DOCS), "counts")
+    often = counts.groupBy("k", "stands").agg(F.min("term").alias("term"))
+    chosen = counts.orderBy(F.desc(_ratio(F.col("k"), F.col("k1"), n, n1)), "term").limit(features).select("term").unionByName(often.orderBy(F.desc("k"), "term").limit(candidates).select("term")).distinct()
     chosen = docs.sparkSession.sparkContext.broadcast(np.array([r["term"] for r in chosen.collect()], np.int32))  # at most features + candidates
     found = found.select("label", "terms").mapInArrow(_only(chosen), "label int, terms array<int>").toArrow()  # at most sample rows of these terms
-    kinds, terms = found.column("label").to_numpy(), found.column("terms").to_pylist()
-    order = sorted(range(len(kinds)), key=lambda i: (kinds[i], terms[i]))  # the fit is the same in whatever order rows come
-    return Machine.fit(kinds[order].astype(np.float64), [np.array(terms[i], np.int32) for i in order], features, candidates, pairs)
+    kinds, lists = found.column("label").to_numpy(), pa.concat_arrays(found.column("terms").chunks) if len(found) else pa.array([], pa.list_(pa.int32()))
+    flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+    terms = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    order = sorted(range(len(kinds)), key=lambda i: (kinds[i], terms[i].astype(">i4").tobytes()))  # the fit is the same in whatever order rows come
+    return Machine.fit(kinds[order].astype(np.float64), [terms[i] for i in order], features, candidates, pairs)
 
 
 def scorer(machine: Machine, spark):

@@ -497,6 +497,18 @@ def test_terms_that_tell_only_in_pairs_are_learned(spark):
     assert {g["doc_id"]: g["score"] for g in again} == {g["doc_id"]: g["score"] for g in got}
 
 
+def test_pairs_below_many_more_frequent_terms_are_learned():
+    """Label 1 where exactly one of two terms stands, among 2,000 more frequent ones and as many that stand where these do."""
+    rng = np.random.default_rng(4)
+    n, m = 2500, 2000
+    a, b, often = rng.random(n) < 0.5, rng.random(n) < 0.5, rng.random((n, m)) < 0.6
+    docs = [np.sort(np.concatenate((10 + np.flatnonzero(o), 10_000 + np.flatnonzero(o), [1] * int(x) + [2] * int(y)))).astype(np.int64) for o, x, y in zip(often, a, b)]
+    machine = toxicity.Machine.fit((a ^ b).astype(float), docs)
+    assert {1, 2} <= set(machine.terms.tolist())
+    sets = [np.array([1, 3, 4]), np.array([2]), np.array([1, 2, 3])]
+    assert sorted(toxicity._different(sets, np.array([1, 2, 3, 4]))) == [0, 1, 3]
+
+
 def test_toxicity_scores_against_a_naive_form(spark):
     import math
 
