@@ -30,6 +30,12 @@ def duplicate_groups(stats: DataFrame) -> DataFrame:
     return stats.groupBy("content_hash").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("documents > 1")
 
 
+def duplicate_members(stats: DataFrame) -> DataFrame:
+    """content_hash, documents, doc_id: every document of a group of equal ones; a group of any size is rows, not a list."""
+    groups = stats.groupBy("content_hash").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
+    return stats.select("content_hash", "doc_id").join(groups, "content_hash").select("content_hash", "documents", "doc_id")
+
+
 def summary(stats: DataFrame) -> DataFrame:
     """One row over the inventory."""
     copies = duplicate_groups(stats).agg(F.count(F.lit(1)).alias("duplicate_groups"), F.coalesce(F.sum("documents"), F.lit(0)).alias("duplicate_documents"))

@@ -46,6 +46,11 @@ def duplicate_groups(spark, sf_dir):
     return S.duplicate_groups(S.documents(_docs(spark, sf_dir)))
 
 
+@query("WITH h AS (SELECT doc_id, sha256(text) AS content_hash FROM documents) SELECT content_hash, count(*) OVER (PARTITION BY content_hash) AS documents, doc_id FROM h QUALIFY documents > 1")
+def duplicate_members(spark, sf_dir):
+    return S.duplicate_members(S.documents(_docs(spark, sf_dir)))
+
+
 @query(f"WITH {STATS} SELECT coalesce(anomaly, 'none') AS anomaly, count(*) AS documents, round(count(*) / sum(count(*)) OVER (), 6)::double AS share FROM stats GROUP BY 1")
 def anomalies(spark, sf_dir):
     rows = S.documents(_docs(spark, sf_dir)).groupBy(F.coalesce("anomaly", F.lit("none")).alias("anomaly")).agg(F.count(F.lit(1)).alias("documents"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import chunking as C, experiments as E
-from marginalia.plans.markdown import _SECTIONS
+from marginalia.plans.markdown import _LINES, _SECTIONS
 from marginalia.plans.registry import notes, query, table
 
 
@@ -14,6 +14,23 @@ def chunk_recursive(spark, sf_dir):
     return rows.select("note_id", "chunk_index", "section_no", "section_level", "start_offset", "end_offset", "word_count", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
+_CUT = _LINES.replace("WITH ", "WITH RECURSIVE ", 1) + r""", n AS (SELECT *, count(level) OVER (PARTITION BY note_id ORDER BY line) AS section_no, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::bigint AS tokens FROM lines),
+p AS (SELECT *, row_number() OVER (PARTITION BY note_id, section_no ORDER BY line) AS i FROM n),
+g(note_id, section_no, i, line, chunk, used) AS (SELECT note_id, section_no, i, line, 0::bigint, tokens FROM p WHERE i = 1
+ UNION ALL SELECT p.note_id, p.section_no, p.i, p.line, CASE WHEN g.used + p.tokens > 40 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN g.used + p.tokens > 40 THEN p.tokens ELSE g.used + p.tokens END FROM g JOIN p ON p.note_id = g.note_id AND p.section_no = g.section_no AND p.i = g.i + 1),
+c AS (SELECT p.note_id, p.section_no, chunk, min(p.start) AS begin, string_agg(p.text, chr(10) ORDER BY p.line) AS raw, string_agg(CASE WHEN level IS NULL THEN p.text END, chr(10) ORDER BY p.line) AS own FROM g JOIN p USING (note_id, section_no, i) GROUP BY ALL),
+h AS (SELECT note_id, section_no, max(level) AS level, max(title) AS title FROM n GROUP BY ALL),
+d AS (SELECT c.*, trim(concat(repeat('#', level::int), ' ', title)) AS heading, level, regexp_replace(raw, '^\s+', '') AS front, regexp_replace(coalesce(own, ''), '^\s+|\s+$', '', 'g') AS inner_text FROM c JOIN h USING (note_id, section_no) WHERE regexp_matches(raw, '\S')),
+e AS (SELECT *, begin + length(raw) - length(front) AS start_offset, begin + length(raw) - length(front) + length(regexp_replace(front, '\s+$', '')) AS end_offset, CASE WHEN level IS NULL THEN inner_text WHEN inner_text = '' THEN heading ELSE concat(heading, chr(10), chr(10), inner_text) END AS text FROM d)"""
+
+
+@query(_CUT + r""" SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY section_no, chunk) - 1 AS chunk_index, section_no, start_offset::bigint AS start_offset, end_offset::bigint AS end_offset, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::bigint AS token_count, sha256(text) AS text_hash FROM e""")
+def chunk_lines(spark, sf_dir):
+    """Sections split at line breaks into chunks of at most 40 tokens where lines allow it."""
+    rows = C.chunks(notes(spark, sf_dir).select("note_id", "note"), C.Policy(40, 0, ("\n",), False, False, False))
+    return rows.select("note_id", "chunk_index", "section_no", "start_offset", "end_offset", "token_count", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("SELECT 0::bigint AS invalid")
 def chunk_validity(spark, sf_dir):
     return C.invalid(C.chunks(notes(spark, sf_dir).select("note_id", "note"), C.Policy(256, 32))).agg(F.count(F.lit(1)).alias("invalid"))

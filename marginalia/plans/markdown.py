@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
 from marginalia.operators import markdown as M, statistics as S
 from marginalia.plans.corpus import _COUNTS, _WORDS, stats_sql
 from marginalia.plans.registry import NOTES_SQL, notes, query
@@ -87,6 +88,18 @@ def paragraph_stats_rollup(spark, sf_dir):
     return out.select(name.alias("level_name"), *[c for c in out.columns if c not in ("level", "all")])
 
 
+@query(_BLOCKS + """ SELECT coalesce('level_' || level, CASE WHEN grouping(level) = 1 THEN 'all_levels' ELSE 'pre_heading' END) AS level_name, round(avg((word_count > 512)::int), 6)::double AS over_512,
+ round(coalesce(sum(russian_word_count) / nullif(sum(word_count), 0), 0), 6)::double AS russian_ratio, round(coalesce(sum(english_word_count) / nullif(sum(word_count), 0), 0), 6)::double AS english_ratio,
+ round(coalesce(sum(mixed_or_other_word_count) / nullif(sum(word_count), 0), 0), 6)::double AS mixed_or_other_ratio, round(coalesce(sum(unknown_word_count) / nullif(sum(word_count), 0), 0), 6)::double AS unknown_ratio FROM blocks GROUP BY ROLLUP (level)""")
+def paragraph_rates(spark, sf_dir):
+    rows = M.paragraphs(M.sections(_lines(spark, sf_dir)))
+    name = F.coalesce(F.concat(F.lit("level_"), F.col("level").cast("string")), F.when(F.col("all") == 1, "all_levels").otherwise("pre_heading"))
+    words = F.sum("word_count")
+    ratios = [F.round(F.when(words == 0, 0.0).otherwise(F.sum(f"{k}_word_count") / words), 6).alias(f"{k}_ratio") for k in T.LANGUAGES]
+    out = rows.rollup("level").agg(F.grouping("level").alias("all"), F.round(F.avg((F.col("word_count") > 512).cast("int")), 6).alias("over_512"), *ratios)
+    return out.select(name.alias("level_name"), *[c for c in out.columns if c not in ("level", "all")])
+
+
 @query(_LINES + r""", k AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN trim(text) = '' THEN 'blank' WHEN regexp_matches(trim(text), '^([-*+] |[0-9]{2}\.)') THEN 'list' WHEN starts_with(trim(text), '|') AND ends_with(trim(text), '|') THEN 'table' ELSE 'paragraph' END AS kind FROM lines),
 g AS (SELECT *, (lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR kind IN ('list', 'table', 'heading'))::int AS new FROM k WINDOW w AS (PARTITION BY note_id ORDER BY line)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY note_id ORDER BY line) AS run FROM g)
