@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,14 +37,14 @@ def consistency(stored: DataFrame, points: DataFrame, fields: list[str], key: st
 
 
 def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], dimension: int, batch: int = 32, retries: int = 2, prefix: str = "passage: ") -> DataFrame:
-    """chunk_id, vector, status (ok or failed), attempts, error. A batch is tried 1 + retries times and fails as a whole.
+    """chunk_id, vector, status (ok or failed), attempts, error, batch, seconds. A batch is tried 1 + retries times and fails as a whole; ``batch`` tells batches apart, and the first row of one has its seconds.
 
     ``model`` maps texts to vectors; it runs in the tasks, once for each batch of rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), batch):
-                part, vectors, error, attempt = frame.iloc[lo : lo + batch], None, None, 0
+                part, vectors, error, attempt, began = frame.iloc[lo : lo + batch], None, None, 0, time.monotonic()
                 while vectors is None and attempt <= retries:
                     attempt += 1
                     try:
@@ -51,9 +53,9 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], di
                         vectors, error = (None, "invalid vectors") if bad else (got, None)
                     except Exception as e:  # a failing model is a status, not a failed job
                         error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": vectors or [None] * len(part), "status": "failed" if vectors is None else "ok", "attempts": attempt, "error": error})
+                yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": vectors or [None] * len(part), "status": "failed" if vectors is None else "ok", "attempts": attempt, "error": error, "batch": uuid.uuid4().hex, "seconds": [time.monotonic() - began] + [0.0] * (len(part) - 1)})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id long, vector array<double>, status string, attempts int, error string")
+    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id long, vector array<double>, status string, attempts int, error string, batch string, seconds double")
 
 
 def hashing_model(dimension: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -78,5 +80,13 @@ def hashing_model(dimension: int = 64) -> Callable[[list[str]], list[list[float]
 
 
 def batch_result(embedded: DataFrame) -> DataFrame:
-    """Totals of an embedding run."""
-    return embedded.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("status") == "ok").alias("embedded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("attempts") > 1).alias("retried"))
+    """Totals of an embedding run: chunks, batches, attempts (of batches), failures, seconds spent in batches, and vectors a second of them."""
+    batches = embedded.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("status").alias("status"), F.max("attempts").alias("attempts"), F.sum("seconds").alias("seconds"))
+    good = F.col("status") == "ok"
+    n = batches.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.when(good, F.col("n"))), F.lit(0)).alias("embedded"), F.coalesce(F.sum(F.when(~good, F.col("n"))), F.lit(0)).alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("attempts") > 1, F.col("n"))), F.lit(0)).alias("retried"), F.count(F.lit(1)).alias("batches"), F.count_if(good).alias("batches_succeeded"), F.count_if(~good).alias("batches_failed"),
+        F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"),
+    )
+    rate = F.when(F.col("seconds") > 0, F.col("embedded") / F.col("seconds")).otherwise(0.0)
+    return n.withColumns({"vectors_per_second": rate, "failure_rate": F.when(F.col("chunks") > 0, F.col("failed") / F.col("chunks")).otherwise(0.0)})

@@ -74,6 +74,30 @@ def generate_graph_trace(spark, sf_dir):
     return S.answer_graph(q.select("query_id", "query"), retrieve, generate, 0.0, cached).select("query_id", "path", "retries")
 
 
+@query(_PACK + rf""", best_of AS (SELECT query_id, max(score) AS best FROM bm GROUP BY query_id), context_of AS (SELECT query_id, string_agg(chunk_id::varchar, ' ' ORDER BY rank) AS context, count(*) AS n FROM packed GROUP BY query_id)
+SELECT item_id AS query_id, CASE WHEN length({_STRIP.format(t='text')}) < 3 OR NOT regexp_matches(text, '\p{{L}}') THEN 'semantic_cache_lookup>classify>refuse' WHEN coalesce(best, 0) < 60 THEN 'semantic_cache_lookup>classify>retrieve>rerank>gate>refuse'
+ ELSE 'semantic_cache_lookup>classify>retrieve>rerank>gate>generate>self_check>semantic_cache_write' END AS path, CASE WHEN coalesce(best, 0) >= 60 THEN concat(n, ' chunks: ', context) ELSE 'none' END AS answer FROM benchmark LEFT JOIN best_of ON best_of.query_id = item_id LEFT JOIN context_of ON context_of.query_id = item_id""")
+def generate_graph_bm25(spark, sf_dir):
+    """The graph over real retrieval and packing: an answer names the chunks that were packed for it."""
+    from marginalia.operators import retrieval as R
+
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("chunk_id"), "text")
+
+    def retrieve(asked):
+        hits = R.top_k(R.bm25(asked.select("query_id", F.col("query").alias("text")), R.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n"))), 10).join(texts, "chunk_id")
+        packed = S.pack(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
+        best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
+        return best.join(packed.select("query_id", F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), " ").alias("context")), "query_id")
+
+    def generate(found):
+        n = F.size(F.split("context", " "))
+        return found.select("query_id", F.concat(n.cast("string"), F.lit(" chunks: "), "context").alias("answer"), F.lit(0.9).alias("confidence"), n.alias("n_citations"))
+
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return S.answer_graph(asked, retrieve, generate, 60.0).select("query_id", "path", F.coalesce("answer", F.lit("none")).alias("answer"))
+
+
 _SIM = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::double * e.embedding[i]::double)), 6) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0 {more}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS n FROM s)"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions import text as T
@@ -53,3 +56,19 @@ def log_run(df: DataFrame, run_id: str, kind: str, path: str) -> None:
     numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers])).alias("m"))
     rows.where("m.value IS NOT NULL").select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("kind"), "m.metric", "m.value").write.mode("append").parquet(path)
+
+
+def log_settings(spark: SparkSession, run_id: str, kind: str, path: str, params: dict, tags: dict | None = None) -> None:
+    """Append what a run was made with as (run_id, kind, role, name, value) rows, roles being param and tag; values as JSON text."""
+    rows = [(run_id, kind, role, name, json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)) for role, own in (("param", params), ("tag", tags or {})) for name, value in sorted(own.items())]
+    spark.createDataFrame(rows, "run_id string, kind string, role string, name string, value string").write.mode("append").parquet(path)
+
+
+def write_matrix(result: DataFrame, policies: dict, folder: str) -> None:
+    """The results of an experiment (a row for each ``policy``) with a copy of what each policy was, and a manifest: policies in their order, their settings, and the columns that are measured."""
+    spark = result.sparkSession
+    write_artifacts(result, folder)
+    copies = [(name, json.dumps(dataclasses.asdict(own), sort_keys=True)) for name, own in policies.items()]
+    spark.createDataFrame(copies, "policy string, value string").coalesce(1).write.mode("overwrite").partitionBy("policy").text(f"{folder}/config")
+    manifest = {"policies": [{"name": name, "config": f"config/policy={name}", **json.loads(value)} for name, value in copies], "metrics": [c for c in result.columns if c != "policy"]}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")

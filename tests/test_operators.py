@@ -222,7 +222,9 @@ def test_search_dispatch_and_filters(spark):
 def test_embedding(spark):
     chunks = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "chunk_id long, text string").coalesce(1)
     good = E.embed(chunks, E.hashing_model(16), 16, batch=4)
-    assert rows(E.batch_result(good))[0] == {"chunks": 10, "embedded": 10, "failed": 0, "retried": 0}
+    whole = rows(E.batch_result(E.embed(chunks.coalesce(1), E.hashing_model(16), 16, batch=4)))[0]
+    assert whole["seconds"] > 0 and whole["vectors_per_second"] > 0 and {k: v for k, v in whole.items() if "second" not in k} == {"chunks": 10, "embedded": 10, "failed": 0, "retried": 0, "batches": 3, "batches_succeeded": 3, "batches_failed": 0, "attempts": 3, "failure_rate": 0.0}
+    assert rows(E.batch_result(good.limit(0)))[0]["vectors_per_second"] == 0.0
 
     def broken(texts):
         raise OSError("down")
@@ -367,3 +369,21 @@ def test_a_vault_that_is_not_there(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "n.md").write_bytes(b"# A\r\ntext")
     assert [(r["relative_path"], r["note"]) for r in rows(N.notes(spark, str(tmp_path), ["a"]))] == [("a/n.md", "# A\ntext")]
+
+
+def test_settings_of_runs_and_the_manifest_of_a_matrix(spark, tmp_path):
+    import json
+
+    from marginalia.sources import notes as N
+
+    for step in (1, 2):
+        N.log_settings(spark, f"r{step}", "chunking", str(tmp_path / "runs"), {"size": 64 * step, "separators": ["\n"]}, {"scope": "all"})
+    got = {(r["run_id"], r["role"], r["name"]): json.loads(r["value"]) for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    assert got[("r2", "param", "size")] == 128 and got[("r1", "param", "separators")] == ["\n"] and got[("r1", "tag", "scope")] == "all" and len(got) == 6
+    policies, notes = {"small": C.Policy(16, 2), "large": C.Policy(64, 8)}, spark.createDataFrame([(1, "# A\n\n" + "word " * 100)], "note_id long, note string")
+    N.write_matrix(C.experiment(notes, policies), policies, str(tmp_path / "matrix"))
+    manifest = json.loads(spark.read.text(str(tmp_path / "matrix" / "manifest")).first()["value"])
+    assert [(p["name"], p["chunk_size"]) for p in manifest["policies"]] == [("small", 16), ("large", 64)] and "chunks_total" in manifest["metrics"]
+    config = json.loads(spark.read.text(str(tmp_path / "matrix" / manifest["policies"][1]["config"])).first()["value"])
+    assert config["chunk_size"] == 64 and config["separators"] == list(C.SEPARATORS)
+    assert {r["policy"]: r["chunks_total"] > 1 for r in spark.read.json(str(tmp_path / "matrix" / "json")).collect()} == {"small": True, "large": True}
