@@ -12,8 +12,8 @@ five-word shingles (an item of fewer words is one shingle). A shingle weighs log
 A SimHash of the words within radius 19 (``Items.candidates``, in 20 Hamming blocks) does not decide: it counts all words alike, and windows that hold 0.8 of
 the weight can be farther away.
 
-Benchmarks are read in blocks of at most about 8 MB of text, each broadcast to one pass over all documents, so no item table
-grows without bound. The decision for a document needs only its own text: there is no shuffle of documents.
+Benchmarks are read in blocks of at most about 8 MB of text. A block is broadcast to one pass over all documents, whose matches are written before the next block is read, so memory does not grow with the
+number of blocks. The decision for a document needs only its own text: a benchmark of one block shuffles nothing, several blocks shuffle matches.
 
 Cases: null and empty texts and texts without words are clean; null, empty or wordless items match nothing; repeated documents get
 the same result, repeated items each their own id; an item of null id is not matched. Other columns are not read.
@@ -21,7 +21,7 @@ the same result, repeated items each their own id; an item of null id is not mat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.llm import words as wd
-from marginalia.llm.util import settle
+from marginalia.llm.util import numbered, settle
 
 SIMILARITY, SHINGLE, RADIUS = 0.8, 5, 19
 BLOCK_BYTES = 8 << 20
@@ -209,40 +209,50 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(n + 1, blocks[a + i])), "shingle": pa.array([*s.tolist(), None], pa.int64()), "items": pa.array([0] * n + [1], pa.int64())})
 
 
-def finder(items: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES):
-    """A function from a text column to the column of its matches (RESULT)."""
+def _blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Callable[[Column], Column]]]:
+    """How many blocks of items there are, and of one after the other a function from a text column to the column of its matches (RESULT)."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND length(text) > 0")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = size // block_bytes + 1
     sc = items.sparkSession.sparkContext
-    functions = []
-    n_items = counts = None
-    if n_blocks > 1:  # weights are counted once, over all items; a shingle of one item alone needs no row
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
-        every = settle(rows.select("block", "text").mapInArrow(_shingles, "block long, shingle long, items long"), "item_shingles")
-        n_items = every.agg(F.sum("items")).first()[0] or 0
-        df = every.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        counts = settle(every.join(df, "shingle").select("block", "shingle", "n").distinct(), "item_counts")
-    for block in range(n_blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id").collect()  # about block_bytes
-        if part:
+
+    def each() -> Iterator[Callable[[Column], Column]]:
+        n_items = counts = None
+        if n_blocks > 1:  # weights are counted once, over all items; a shingle of one item alone needs no row
+            dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
+            every = settle(dealt.select("block", "text").mapInArrow(_shingles, "block long, shingle long, items long"), "item_shingles")
+            n_items = every.agg(F.sum("items")).first()[0] or 0
+            df = every.where("shingle IS NOT NULL").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            counts = settle(every.join(df, "shingle").select("block", "shingle", "n").distinct(), "item_counts")
+        for block in range(n_blocks):
+            part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id").collect()  # about block_bytes
             common = None
             if counts is not None:
                 found = counts.where(F.col("block") == block).collect()  # at most the shingles of the block
                 common = np.array([r["shingle"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
                 order = np.argsort(common[0])
                 common = common[0][order], common[1][order]
-            shared = sc.broadcast(Items([r["item_id"] for r in part], [r["text"] for r in part], similarity, n_items, common))
-            functions.append(_search(shared))
+            if part:
+                shared = sc.broadcast(Items([r["item_id"] for r in part], [r["text"] for r in part], similarity, n_items, common))
+                search = _search(shared)
+                yield lambda text, search=search: search(F.coalesce(text.cast("string"), F.lit("")))
+                if n_blocks > 1:
+                    shared.unpersist()
+
+    return n_blocks, each()
 
-    def matches(text: Column) -> Column:
-        found = [f(F.coalesce(text.cast("string"), F.lit(""))) for f in functions]
-        none = F.lit(None).cast(RESULT)
-        if len(found) < 2:
-            return found[0] if found else none
-        return F.struct(*[F.concat(*[x[name] for x in found]).alias(name) for name in ("item_ids", "similarities", "first_words")])
 
-    return matches
+def _found(rows: DataFrame, blocks: Iterator[Callable[[Column], Column]]) -> DataFrame | None:
+    """row, m (RESULT, by item id) of rows (row, text) that have a match: a pass for each block."""
+    every = None
+    for search in blocks:
+        matched = rows.select("row", search(F.col("text")).alias("m")).where(F.size("m.item_ids") > 0)
+        one = settle(matched.select("row", F.explode(F.arrays_zip("m.item_ids", "m.similarities", "m.first_words")).alias("x")), "matches")
+        every = one if every is None else every.unionByName(one)
+    if every is None:
+        return None
+    lists = every.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lists.select("row", F.struct(*[F.col("x").getField(n).alias(n) for n in ("item_ids", "similarities", "first_words")]).alias("m"))
 
 
 def _search(shared):
@@ -255,12 +265,25 @@ def _search(shared):
 
 def annotate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids, similarities, first_words (parallel arrays, by item id)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), finder(items, **options)(F.col(text_col)).alias("m"))
+    n_blocks, blocks = _blocks(items, **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if n_blocks == 1:
+        search = next(blocks, None)
+        rows = rows.select("doc_id", search(F.col("text")).alias("m") if search else F.lit(None).cast(RESULT).alias("m"))
+    else:
+        rows = settle(rows.withColumn("row", F.monotonically_increasing_id()), "documents")  # a row keeps its number in every pass
+        found = _found(rows, blocks)
+        rows = rows.drop("text").join(found, "row", "left") if found is not None else rows.withColumn("m", F.lit(None).cast(RESULT))
     none = F.array().cast("array<long>")
     return rows.select("doc_id", F.coalesce(F.size("m.item_ids") > 0, F.lit(False)).alias("contaminated"), F.coalesce("m.item_ids", none).alias("item_ids"), F.coalesce("m.similarities", F.array().cast("array<double>")).alias("similarities"), F.coalesce("m.first_words", none).alias("first_words"))
 
 
 def keep(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The clean rows of ``docs``, with all their columns."""
-    found = finder(items, **options)(docs[text_col])
-    return docs.where(F.coalesce(F.size(found["item_ids"]), F.lit(0)) < 1)
+    n_blocks, blocks = _blocks(items, **options)
+    if n_blocks == 1:
+        search = next(blocks, None)
+        return docs.where(F.coalesce(F.size(search(docs[text_col])["item_ids"]), F.lit(0)) < 1) if search else docs
+    packed = numbered(docs, "documents")
+    found = _found(packed.select("row", F.col("doc").getField(text_col).cast("string").alias("text")), blocks)
+    return (packed if found is None else packed.join(found.select("row"), "row", "left_anti")).select("doc.*")

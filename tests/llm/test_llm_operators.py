@@ -270,7 +270,10 @@ def test_decontamination(spark, items, hard, empty):
     assert not any(got[i]["contaminated"] for i in (2, 5, 7, 8))
     blocks = {r["doc_id"]: sorted(r["item_ids"]) for r in rows(decontaminate.annotate(docs, items, block_bytes=100))}
     assert blocks == {i: sorted(r["item_ids"]) for i, r in got.items()}
-    assert sorted(r["doc_id"] for r in rows(decontaminate.keep(docs, items))) == [2, 5, 7, 8]
+    for size in (8 << 20, 100):
+        assert sorted(r["doc_id"] for r in rows(decontaminate.keep(docs, items, block_bytes=size))) == [2, 5, 7, 8]
+    plan = decontaminate.annotate(docs, items, block_bytes=100)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan  # each block had a pass of its own
     assert decontaminate.annotate(hard, items).count() == len(HARD) and decontaminate.annotate(empty, items).count() == 0
     assert decontaminate.keep(docs, items.where("false")).count() == 8
 
