@@ -63,7 +63,7 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> Dat
     """Exact search: query_id, chunk_id, score, rank. ``queries``: query_id, vector; ``chunks``: chunk_id, vector.
 
     A block of queries is a set of a checked size, held against every chunk in a Python batch by matrix product; each task keeps its own
-    k best per query, so what is shuffled is k rows per query and task."""
+    k best per query, so what is shuffled is k rows per query and task. Search over stored cells (``cells``) need not read every chunk."""
     import numpy as np
 
     size = queries.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
@@ -87,13 +87,14 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> Dat
                     best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
             yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "chunk_id": best_id.ravel(), "score": best.ravel()})
 
-        parts.append(chunks.select("chunk_id", "vector").mapInPandas(search, "query_id long, chunk_id long, score double"))
+        best = top_k(chunks.select("chunk_id", "vector").mapInPandas(search, "query_id long, chunk_id long, score double"), k)
+        parts.append(best if n_blocks == 1 else settle(best, "hits"))  # a block's hits are written before the next one is read
     if not parts:
         return chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where("false")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return top_k(out, k)
+    return out
 
 
 def payload_filter(chunks: DataFrame, equal: dict) -> DataFrame:

@@ -57,3 +57,12 @@ def test_hard_rows(spark):
     assert got == [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0), (2, 3, 2, 0.0), (5, 1, 44, 2.0), (5, 2, 44, 2.0), (5, 3, 40, 0.0)]
     assert cells.search(queries, cells.build(df.limit(0)), 3)[0].count() == 0
     assert cells.search(queries.limit(0), cells.build(df), 3)[0].count() == 0
+
+
+def test_brute_search_in_blocks(spark, monkeypatch):
+    rows = vectors(spark, clustered(300))
+    queries = rows.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    want = hits(R.dense(queries, rows, 4))
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 700)
+    found = R.dense(queries, rows, 4)
+    assert hits(found) == want and "MapInPandas" not in found._jdf.queryExecution().toString()  # each block was written before the next
