@@ -44,7 +44,7 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _blocks(fingerprint: int) -> list[int]:
+def _bit_blocks(fingerprint: int) -> list[int]:
     return [(fingerprint >> int(s)) & ((1 << w) - 1) for s, w in zip(_STARTS, _WIDTHS)]
 
 
@@ -105,7 +105,7 @@ class Items:
     def tables(self) -> list[np.ndarray]:
         tables = [np.zeros((1 << w, len(self.ids)), bool) for w in _WIDTHS]
         for i, f in enumerate(self.fingerprints.tolist()):
-            for table, value in zip(tables, _blocks(f)):
+            for table, value in zip(tables, _bit_blocks(f)):
                 table[value, i] = True
         return tables
 
@@ -115,7 +115,7 @@ class Items:
     def candidates(self, fingerprint: int) -> np.ndarray:
         """Items whose fingerprint is within RADIUS: those that share a block, then by distance."""
         near = np.zeros(len(self.ids), bool)
-        for table, value in zip(self.tables, _blocks(fingerprint)):
+        for table, value in zip(self.tables, _bit_blocks(fingerprint)):
             near |= table[value]
         near = np.flatnonzero(near)
         return near[np.bitwise_count(self.fingerprints[near] ^ np.uint64(fingerprint)) <= RADIUS]
