@@ -46,7 +46,7 @@ def _split(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 
 def _grow(places: DataFrame, limit: int):
-    """The steps of the directory: (rows that were still open, the cell of a row, the cells that this step has settled and their leaves)."""
+    """The steps of the directory: (rows that were still open, the cell of a row, the cells that this step has settled and their leaves, whether these are broadcast)."""
     total = places.agg(F.sum("bytes")).first()[0] or 0
     enough = math.ceil(math.log2(max(1, total / limit))) + 2  # bits by which most buckets fit: about four cells a shard, however large the corpus
     low, rows = 0, places
@@ -57,7 +57,7 @@ def _grow(places: DataFrame, limit: int):
         found = settle(_split(cells, low, high, limit), "directory")
         small = cells.count() <= SMALL
         if found.count():
-            yield rows, cell, F.broadcast(found) if small else found
+            yield rows, cell, F.broadcast(found) if small else found, small
         left = settle(cells.join(found, "cell", "left_anti").select("cell"), "crowded")
         if left.isEmpty():
             return
@@ -65,9 +65,9 @@ def _grow(places: DataFrame, limit: int):
         low = high + 1
 
 
-def _assigned(places: DataFrame, limit: int) -> DataFrame:
-    """``places`` (settled) with the leaf of each row: LEAF."""
-    parts = [rows.withColumn("cell", cell).join(found, "cell").drop("cell") for rows, cell, found in _grow(places, limit)]
+def _assigned(places: DataFrame, steps: list) -> DataFrame:
+    """``places`` (settled) with the leaf of each row (LEAF), by the steps of their directory."""
+    parts = [rows.withColumn("cell", cell).join(found, "cell").drop("cell") for rows, cell, found, _ in steps]
     return reduce(DataFrame.unionByName, parts) if parts else places.select("*", F.lit(0).alias("depth"), *[F.lit(0).cast("long").alias(c) for c in LEAF[1:]])
 
 
@@ -82,30 +82,41 @@ def _numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def directory(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per shard: shard, depth, prefix (its leading bits), shard_bytes, shard_docs."""
-    leaves = [found.select(*LEAF).distinct() for _, _, found in _grow(_numbers(docs, id_col, text_col), limit)]
+    leaves = [found.select(*LEAF).distinct() for _, _, found, _ in _grow(_numbers(docs, id_col, text_col), limit)]
     none = docs.sparkSession.createDataFrame([], "depth int, prefix long, shard_bytes long, shard_docs long")
     return reduce(DataFrame.unionByName, leaves, none).select(_name().alias("shard"), *LEAF)
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, shard (depth and prefix bits, as text), depth, shard_bytes, shard_docs."""
-    placed = _assigned(_numbers(docs, id_col, text_col), limit)
+    places = _numbers(docs, id_col, text_col)
+    placed = _assigned(places, list(_grow(places, limit)))
     return placed.select("doc_id", F.col("bytes").alias("n_bytes"), _name().alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their shard in a column ``shard`` (``shard_id`` where docs has one of that name).
 
-    Each row is written once with its number and gets the shard of its own place, so rows of one id part where the limit asks for it."""
+    Each row is written once with its number and gets the shard of its own place, so rows of one id part where the limit asks for it. The directory is broadcast to the
+    rows, which are not shuffled; one of more cells than SMALL is joined to the rows' numbers first."""
     taken = {c.lower() for c in docs.columns}
     name = "shard"
     while name in taken:
         name += "_id"
     packed = numbered(docs)
     places = settle(_places(packed, id_col, text_col), "places")
-    placed = settle(_assigned(places, limit).select("row", _name().alias("shard")), "shards")
-    discard(places)
-    return packed.join(placed.hint("merge"), "row").select("doc.*", F.col("shard").alias(name))
+    steps = list(_grow(places, limit))
+    if not all(small for *_, small in steps):
+        placed = settle(_assigned(places, steps).select("row", _name().alias("shard")), "shards")
+        discard(places)
+        return packed.join(placed.hint("merge"), "row").select("doc.*", F.col("shard").alias(name))
+    discard(places, *[rows for rows, *_ in steps if rows is not places])
+    out = packed.withColumn("hash", _place(F.col("doc").getField(id_col), F.col("row")))
+    shards = []
+    for k, (_, cell, found, _) in enumerate(steps):  # a row has its cell in one step: cells of later steps lie in what earlier ones left open
+        out = out.withColumn(f"cell{k}", cell).join(found.select(F.col("cell").alias(f"cell{k}"), _name().alias(f"shard{k}")), f"cell{k}", "left")
+        shards.append(F.col(f"shard{k}"))
+    return out.select("doc.*", (F.coalesce(*shards) if shards else F.lit("0-0")).alias(name))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, **options) -> None:

@@ -632,6 +632,26 @@ def test_shard_keeps_the_limit_for_rows_of_repeated_and_missing_ids(spark):
     assert all(sum(x) <= 1000 or len(x) == 1 for x in sums.values())
 
 
+def test_shard_moves_no_document_and_a_large_directory_gives_the_same_shards(spark, monkeypatch):
+    docs = [(i // 2, "x" * (1 + i * 37 % 700)) for i in range(300)] + [(None, "y" * (300 + i)) for i in range(30)] + [(99, "z" * 100)] * 30
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(sharding, "STRIDE", 2)
+    for limit in (1000, 1 << 30):
+        out = sharding.shard(df, limit)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        got = sorted((r["shard"], r["text"]) for r in rows(out))
+        with monkeypatch.context() as few:
+            few.setattr(sharding, "SMALL", 0)
+            large = sharding.shard(df, limit)
+            assert sorted((r["shard"], r["text"]) for r in rows(large)) == got
+        sums = {r["shard"]: (r["shard_bytes"], r["shard_docs"]) for r in rows(sharding.directory(df, limit))}
+        for shard, (n_bytes, n_docs) in sums.items():
+            texts = [t for s, t in got if s == shard]
+            assert (sum(map(len, texts)), len(texts)) == (n_bytes, n_docs)
+        assert {s for s, _ in got} == set(sums) and len(got) == len(docs)
+
+
 def test_shards_are_written_and_the_directory_names_them(spark, monkeypatch):
     from marginalia.sources.storage import new_folder
 
