@@ -25,6 +25,7 @@ LANES = 2048
 CLASSES, SHARED = 512, 64  # classes of order 0, and how many of them are shared by rare ids
 _CONTEXT, _WEIGHT, _COUNT, _WITHIN = 8, 12, 18, 22  # bits: slots of a context table, mixture weights, class frequencies, frequencies within a class
 _STEP, _PRIOR = 32, 16_000  # what an id adds to its class, and the sum of the counts that a block begins with
+_COARSE, _PART = 16, 128  # classes to a place of the coarse table, lanes whose counts are summed at a time
 _TURN, _LEAST, _MOST = 5, 64, 64_000  # pace and bounds of the mixture's weights, in 1/65536
 _L, _TOP = np.uint64, np.uint64(1 << 32)
 
@@ -99,27 +100,36 @@ class _Models:
         grid = np.arange(64)
         self.trust = [np.tile(start[k], n).astype(np.int32) for k in (grid >> 3, grid & 7)]
         self.slots, self.weights, self.classes = (np.arange(n) << bits for bits in (_CONTEXT, 6, CLASSES.bit_length() - 1))
+        self.coarse, self.places, self.counted = np.zeros(n * (CLASSES // _COARSE), np.int32), np.arange(n) * (CLASSES // _COARSE), 0
         self.lane = self.lanes = (np.arange(n) << _COUNT).astype(np.int32)
         self.counts = np.tile(vocabulary.prior.astype(np.int32), (n, 1))
-        self.flat_counts = self.counts.reshape(-1)
         self.cum = np.zeros(n * CLASSES + 1, np.int32)
         self.cum[-1] = n << _COUNT
         self.before = [np.zeros(n, np.uint32)] * 2
         self.m = n
-
-    def begin(self, step: int, m: int) -> None:
-        if step % 256 == 0 or step in (32, 64, 128):
-            sums = np.cumsum(self.counts, axis=1, dtype=np.int64)
-            pace = ((1 << _COUNT) - CLASSES << 24) // sums[:, -1:]
-            sums *= pace
-            sums >>= 24
-            sums += np.arange(1, CLASSES + 1)
-            table = self.cum[:-1].reshape(self.n, CLASSES)
-            table[:, 0] = self.lanes
-            table[:, 1:] = sums[:, :-1] + self.lanes[:, None]
+        self.all_classes, self.ranks = self.classes, np.arange(1, CLASSES + 1)
+
+    def begin(self, step: int, m: int, grid: np.ndarray) -> None:
+        """``grid``: the ranks of all steps before this one."""
+        if step % 256 == 0 or step in (32, 64, 128):  # frequencies stand still between these steps, so counts need not be kept at each
+            done, table = grid[self.counted : step], self.cum[:-1].reshape(self.n, CLASSES)
+            for a in range(0, self.n, _PART):
+                lanes, counts = self.lanes[a : a + _PART], self.counts[a : a + _PART]
+                if step:
+                    kinds = self.class_of.take(done[:, a : a + _PART].T)
+                    kinds += self.all_classes[: len(lanes), None]
+                    counts += _STEP * np.bincount(kinds.reshape(-1), minlength=counts.size).reshape(counts.shape)
+                sums = np.cumsum(counts, axis=1, dtype=np.int64)
+                sums *= ((1 << _COUNT) - CLASSES << 24) // sums[:, -1:]
+                sums >>= 24
+                sums += self.ranks
+                table[a : a + _PART, 0] = lanes
+                table[a : a + _PART, 1:] = sums[:, :-1] + lanes[:, None]
+            self.coarse[:] = table[:, ::_COARSE].reshape(-1)
+            self.counted = step
         if m < self.m:
             self.before = [x[:m] for x in self.before]
-            self.slots, self.weights, self.classes, self.lane = self.slots[:m], self.weights[:m], self.classes[:m], self.lane[:m]
+            self.slots, self.weights, self.classes, self.places, self.lane = self.slots[:m], self.weights[:m], self.classes[:m], self.places[:m], self.lane[:m]
             self.m = m
 
     def predict(self) -> None:
@@ -138,13 +148,17 @@ class _Models:
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """Where in ``cum`` the part begins that holds the target."""
-        at, half = self.classes, CLASSES // 2
+        at, half = self.places, CLASSES // _COARSE // 2
+        while half:  # in a small table first
+            at = at + half * (self.coarse[half:].take(at) <= target)
+            half //= 2
+        at, half = at * _COARSE, _COARSE // 2
         while half:
             at = at + half * (self.cum[half:].take(at) <= target)
             half //= 2
         return at
 
-    def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray, at: np.ndarray) -> None:
+    def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
         """``right2`` and ``right1``: 1 where order 2 is right, and where order 1 is and order 2 is not; 0 elsewhere."""
         p2, p1 = self.p  # that of order 1 is for ids that order 2 has not guessed
         self.trust[0][self.context] = p2 + ((right2 * (_MOST - _LEAST) + _LEAST - p2) >> _TURN)
@@ -152,7 +166,6 @@ class _Models:
         slots = rank << 3
         for table, slot, guess, times in zip(self.seen, self.at, self.guess, self.times):
             table[slot] = slots + np.minimum(times + 1, 7) * (rank == guess)
-        self.flat_counts[at] = self.flat_counts.take(at) + _STEP
         self.before = [rank.view(np.uint32), self.before[0]]
 
     def span(self, right2: np.ndarray, right1: np.ndarray, miss: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +273,7 @@ def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocab
         if step % 16 == 0:
             coder.make_room(64)
         rank = grid[step, :m]
-        models.begin(step, m)
+        models.begin(step, m, grid)
         models.predict()
         kind = models.class_of.take(rank)
         at = models.classes + kind
@@ -274,7 +287,7 @@ def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocab
         if len(rare):
             own = rank[rare]
             coder.narrow(rare, (vocabulary.cum[own] - (kind[rare] << _WITHIN)).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
-        models.learn(rank, right2, right1, at)
+        models.learn(rank, right2, right1)
     return coder.codes()
 
 
@@ -287,7 +300,7 @@ def _decode(codes: list[bytes], length: int, sizes: np.ndarray, vocabulary: Voca
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
-        models.begin(step, m)
+        models.begin(step, m, grid)
         models.predict()
         target = coder.target(slice(0, m), _WEIGHT + _COUNT).astype(np.int32)
         right2 = (target < models.w2 << _COUNT).astype(np.int32)
@@ -306,7 +319,7 @@ def _decode(codes: list[bytes], length: int, sizes: np.ndarray, vocabulary: Voca
             own = np.minimum(own, last)
             coder.narrow(rare, (vocabulary.cum[own] - base).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
             rank[rare] = own
-        models.learn(rank, right2, right1, models.classes + models.class_of.take(rank))
+        models.learn(rank, right2, right1)
         grid[step, :m] = rank
     return np.ascontiguousarray(grid.T).reshape(-1)
 

@@ -32,7 +32,7 @@ from marginalia.llm.util import new_folder, texts
 MAGIC, HEAD = b"MTS2", struct.Struct("<IQIII")
 SEGMENT_IDS, RANGE_BYTES = 4 << 20, 10 << 20
 NULL_ID = -(1 << 63)
-_MARKS = np.isin(np.arange(256), list(b",.;:!?"))
+_MARKS = np.isin(np.arange(256), list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{}~'))  # not the apostrophe of 's, nor the bar of <|endoftext|>
 SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_ids long, data binary"
 
 
@@ -45,7 +45,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of many texts, word by word, with the words seen so far. Words are told apart by their bytes, less the case of A-Z, which this tokenizer folds.
 
-    Words are cut where it always cuts them, between a letter and one of ``,.;:!?``. Many new words go to the library as one line; the bytes of the
+    Words are cut where it always cuts them, between an ASCII letter and one of ``_MARKS``. Many new words go to the library as one line; the bytes of the
     tokens tell where each word ends, and a line where they do not (words that the library normalises) is encoded word by word."""
 
     MOST, LINE = 1_000_000, 64  # words kept, words in a line

@@ -242,6 +242,22 @@ def test_token_ids_are_those_of_the_library(spark):
     assert got[0] != got[1] and 49407 in got[2]
 
 
+def test_words_are_known_without_the_punctuation_that_follows_them():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marginalia.llm import words as wd
+
+    path = token_store.tokenizer_path()
+    encoder, t = token_store.Encoder(path), Tokenizer.from_file(path)
+    bodies = [" ".join("stone" + x for x in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"), "don't stone's$ we'LL*", "x<|endoftext|>y) <|ENDOFTEXT|> e\u0301)) a<\u0338b k=\u0338 ''s|t"]
+    (_, _, buf, offs), *_ = wd.text_slices(pa.array(bodies, pa.large_string()))
+    ids, counts = encoder(buf, offs, 1)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in parts] == [t.encode(x, add_special_tokens=False).ids + [1] for x in bodies]
+    assert [w for w in encoder.known if w.startswith(b"stone") and not w.startswith(b"stone'")] == [b"stone"]
+
+
 def test_token_ids_and_damage(spark):
     from marginalia.sources.storage import new_folder
 

@@ -77,3 +77,14 @@ def test_checksum():
         rc.decode(codes, [checks[0], checks[1] ^ 1], 500, 250, vocabulary)
     with pytest.raises(ValueError):
         rc.decode([codes[0], codes[1][:4] + b"xyz" + codes[1][7:]], checks, 500, 250, vocabulary)
+
+
+def test_counts_are_taken_at_refreshes_and_the_format_is_as_before():
+    """The codes of the form that counted at each step; lanes of more than one part, a short last block."""
+    ids = (np.arange(90_000, dtype=np.uint64) ** np.uint64(2) % np.uint64(7919) % np.uint64(1500)).astype(np.uint32)
+    ids[::3] = 5
+    codes, checks, vocabulary = coded(ids, 600)
+    assert (len(codes), sum(map(len, codes)), zlib.crc32(b"".join(codes))) == (150, 96813, 3673745665)
+    short, checks, vocabulary = coded(ids[:89_650], 600)
+    assert (rc.decode(short, checks, 89_650, 600, vocabulary) == ids[:89_650]).all()
+    assert not hasattr(rc._Models(4, vocabulary), "flat_counts")
