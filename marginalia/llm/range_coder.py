@@ -193,12 +193,12 @@ class _Writer:
         low, r = self.low[lanes], self.range[lanes] >> _L(bits)
         after = low + r * cum
         r *= freq
-        over, short = after < low, r < _TOP
+        over, short = np.flatnonzero(after < low), np.flatnonzero(r < _TOP)
         self.low[lanes], self.range[lanes] = after, r
-        if over.any():
-            self._carry(np.flatnonzero(over) if isinstance(lanes, slice) else lanes[over])
-        if short.any():
-            at = np.flatnonzero(short) if isinstance(lanes, slice) else lanes[short]
+        if len(over):
+            self._carry(over if isinstance(lanes, slice) else lanes[over])
+        if len(short):
+            at = short if isinstance(lanes, slice) else lanes[short]
             self.out[at, self.used[at]] = self.low[at] >> _L(32)
             self.used[at] += 1
             self.low[at] <<= _L(32)
@@ -237,10 +237,10 @@ class _Reader:
         r = self.range[lanes] >> _L(bits)
         self.code[lanes] -= r * cum
         r *= freq
-        short = r < _TOP
+        short = np.flatnonzero(r < _TOP)
         self.range[lanes] = r
-        if short.any():
-            at = np.flatnonzero(short) if isinstance(lanes, slice) else lanes[short]
+        if len(short):
+            at = short if isinstance(lanes, slice) else lanes[short]
             used = self.used[at]
             self.code[at] = (self.code[at] << _L(32)) | self.data[np.minimum(used, len(self.data) - 1)]
             self.range[at] <<= _L(32)

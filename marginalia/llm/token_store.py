@@ -93,14 +93,17 @@ class Encoder:
         """The number of each word, with new ones encoded."""
         if len(self.known) > self.MOST:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            new.sort(key=bytes.isascii)  # words that the library may normalise share their lines
+        places = np.array([self.known.get(w, -1) for w in words], np.int64)
+        at = np.flatnonzero(places < 0)
+        if len(at):
+            at = at[np.argsort([words[i].isascii() for i in at.tolist()], kind="stable")]  # words that the library may normalise share their lines
+            new = [words[i] for i in at.tolist()]
             ids, length = self._encode(new)
+            places[at] = np.arange(len(self.length), len(self.length) + len(new))
             self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
             self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(length) - length))
             self.length, self.pool = np.concatenate((self.length, length)), np.concatenate((self.pool, *ids))
-        return np.array([self.known[w] for w in words], np.int64)
+        return places
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of texts, each with the end id, and their counts."""
