@@ -9,7 +9,8 @@
 3. Buckets are not expanded into pairs. Each class is verified against the least member of a bucket, and the links give
    components: first with one bucket for each class, then with every bucket whose least member is in another component.
    In buckets that still hold several components, blocks of the members outside the bucket's largest component are compared with all blocks of
-   the bucket, so no cap is needed, and a group of near copies is never compared within itself.
+   the bucket, so no cap is needed. A task writes a link only if it joins two components that its links before have not joined, and compares
+   no texts of joined ones, so its links are fewer than its components, and a group of near copies is not compared within itself.
 
 Cases: null and empty texts, and texts without a word, have no shingles and are in no group. A text of fewer than five words
 is one shingle. A row without an id is grouped but never represents others that have one. Rows are known by id and a hash of the text, so two texts of one
@@ -199,34 +200,72 @@ def _similar(idf, least: float):
     return run
 
 
+class Joined:
+    """Which labels the links of a task have joined so far. Forgetting them costs links that say nothing new, and loses none."""
+
+    MOST = 1_000_000
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def roots(self, labels: list[int]) -> np.ndarray:
+        out = []
+        for x in labels:
+            root = x
+            while root in self.above:
+                root = self.above[root]
+            while x != root:
+                self.above[x], x = root, self.above[x]
+            out.append(root)
+        return np.array(out, np.int64)
+
+    def join(self, a: int, b: int) -> None:
+        self.above[a] = b
+
+
 def _across(idf, least: float):
-    """Rows of two blocks of texts to links between texts of different labels, one for each text of the first block and label of the second."""
+    """Rows of two blocks of texts to links between texts of different labels: those that join labels which the task's links before have not joined,
+    so a task has fewer links than labels. Texts of joined labels are not compared."""
 
-    def block(column: pa.ListArray, i: int):
-        part = column[i].values
+    def shingles(part: pa.StructArray):
         s, c, n = [], [], []
         for *_, own, count, at in _sorted_shingles(part.field("text")):
             s.append(own)
             c.append(count)
             n.append(np.diff(at))
-        return part.field("rep").to_numpy(), part.field("label").to_numpy(), np.concatenate(s), np.concatenate(c), np.concatenate(n)
+        return np.concatenate(s), np.concatenate(c), np.concatenate(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value.table
+        table, joined = idf.value.table, Joined()
         for batch in batches:
             for row in range(batch.num_rows):
-                reps, labels, s, c, n = block(batch.column(0), row)
-                reps_b, labels_b, t, d, m = block(batch.column(1), row)
-                begin_b, weight_b = np.cumsum(m) - m, table[_cell(t)]
-                total_b = np.add.reduceat(d * weight_b, begin_b)
+                if len(joined.above) > Joined.MOST:
+                    joined = Joined()
+                part_a, part_b = (batch.column(k)[row].values for k in (0, 1))
+                roots, roots_b = (joined.roots(x.field("label").to_pylist()) for x in (part_a, part_b))
+                if (roots == roots[0]).all() and (roots_b == roots[0]).all():
+                    continue
+                (s, c, n), (t, d, m) = shingles(part_a), shingles(part_b)
+                reps, reps_b = (x.field("rep").to_pylist() for x in (part_a, part_b))
+                weight_b = table[_cell(t)]
+                total_b = np.add.reduceat(d * weight_b, np.cumsum(m) - m)
                 links = []
-                for rep, label, i, j in zip(reps.tolist(), labels.tolist(), (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
-                    own, count = s[i:j], c[i:j]
+                for i, (begin, end) in enumerate(zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist())):
+                    open_b = np.flatnonzero(roots_b != roots[i])
+                    if not len(open_b):
+                        continue
+                    own, count = s[begin:end], c[begin:end]
                     total = float((count * table[_cell(own)]).sum())
-                    at = np.minimum(np.searchsorted(own, t), len(own) - 1)
-                    both = np.add.reduceat(np.where(own[at] == t, np.minimum(count[at], d) * weight_b, 0.0), begin_b)
-                    hit = np.flatnonzero((both >= (least - 1e-9) * (total + total_b - both)) & (labels_b != label))
-                    links += [(rep, int(reps_b[hit[k]])) for k in np.unique(labels_b[hit], return_index=True)[1]]
+                    inside = np.repeat(roots_b != roots[i], m)
+                    other, size = t[inside], m[open_b]
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = np.add.reduceat(np.where(own[at] == other, np.minimum(count[at], d[inside]) * weight_b[inside], 0.0), np.cumsum(size) - size)
+                    for k in open_b[both >= (least - 1e-9) * (total + total_b[open_b] - both)].tolist():
+                        mine, its = int(roots[i]), int(roots_b[k])
+                        if mine != its:
+                            joined.join(mine, its)
+                            roots[roots == mine], roots_b[roots_b == mine] = its, its
+                            links.append((reps[i], reps_b[k]))
                 if links:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 

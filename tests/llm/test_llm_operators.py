@@ -142,6 +142,41 @@ def test_near_dedup_large_group_of_copies_with_outliers(spark):
     assert all(got[i] == got[find(i)] for i in sets)
 
 
+def test_near_dedup_links_of_a_bucket_are_fewer_than_its_labels(monkeypatch):
+    base, least = prose(60, 3), 0.8
+    docs = [(i, edit(base, i % 3, i)) for i in range(60)] + [(60 + i, prose(60, 900 + i)) for i in range(4)]
+    docs = [{"rep": i, "label": i, "text": t} for i, t in docs]
+    kind = pa.list_(pa.struct({"rep": pa.int64(), "label": pa.int64(), "text": pa.string()}))
+    blocks = [docs[k::8] for k in range(8)]
+    pairs = [(a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs[x : x + 5]], kind) for k in (0, 1)], ["docs_a", "docs_b"]) for x in range(0, len(pairs), 5)]
+
+    class Even:
+        class value:
+            table = np.ones(near_dedup.CELLS)
+
+    def found():
+        return [(r["a"], r["b"]) for x in near_dedup._across(Even, least)(iter(batches)) for r in x.to_pylist()]
+
+    def parts(links):
+        label = list(range(len(docs)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    def similarity(a, b):
+        x, y = shingle_set(a), shingle_set(b)
+        return len(x & y) / len(x | y)
+
+    every = [(x["rep"], y["rep"]) for x in docs for y in docs if x["rep"] < y["rep"] and similarity(x["text"], y["text"]) >= least]
+    links = found()
+    assert len(every) > 500 and parts(links) == parts(every)
+    assert len(links) == len(docs) - len(parts(every))
+    assert all(similarity(docs[a]["text"], docs[b]["text"]) >= least for a, b in links)
+    monkeypatch.setattr(near_dedup.Joined, "MOST", 0)  # labels forgotten with each pair of blocks
+    assert parts(found()) == parts(every)
+
+
 def test_near_dedup_edge_cases(hard, empty):
     got = rows(near_dedup.groups(hard))
     assert len(got) == len(HARD)
