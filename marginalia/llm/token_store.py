@@ -112,16 +112,20 @@ class Encoder:
         if not len(sizes):
             return np.full(n_docs, end_id, np.uint32), np.ones(n_docs, np.int64)
         ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-        plain, body = body, wd.LOWER[body]
+        plain, body = body, wd.LOWER.take(body)
         for a, b in self.added:  # an added token is told by case
             at = np.searchsorted(ends, np.flatnonzero((body[:-1] == a) & (body[1:] == b)), "right") - 1
             for i, j in zip(ends[at].tolist(), ends[at + 1].tolist()):
                 body[i:j] = plain[i:j]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
-        at = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        begin, length = self.begin[at], self.length[at]
-        ends = np.cumsum(length)
-        plain = self.pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
+        places, at = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
+        length = self.length[places].astype(np.int32).take(at)
+        ends = np.cumsum(length, dtype=np.int64)
+        shift = self.begin[places].take(at)
+        shift[1:] -= ends[:-1]
+        source = np.repeat(shift, length)
+        source += np.arange(ends[-1])
+        plain = self.pool.take(source)
         counts = np.diff(np.concatenate(([0], ends))[first]) + 1
         out = np.empty(len(plain) + n_docs, np.uint32)
         last = np.cumsum(counts) - 1

@@ -106,9 +106,9 @@ def spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, left
     Words are cut between a byte of ``left`` and one of ``right``."""
     if not len(buf):
         return buf, np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside, edges = is_word[buf], offs[offs < len(buf)]
+    inside, edges = is_word.take(buf), offs[offs < len(buf)]
     if left is not None:
-        edges = np.concatenate((edges, np.flatnonzero(left[buf[:-1]] & right[buf[1:]]) + 1))
+        edges = np.concatenate((edges, np.flatnonzero(left.take(buf[:-1]) & right.take(buf[1:])) + 1))
     start, last = _edges(inside, edges)
     return buf[inside], last - start + 1, np.searchsorted(start, offs).astype(np.int64)
 
