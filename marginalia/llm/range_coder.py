@@ -27,6 +27,7 @@ _CONTEXT, _WEIGHT, _COUNT, _WITHIN = 8, 12, 18, 22  # bits: slots of a context t
 _STEP, _PRIOR = 32, 16_000  # what an id adds to its class, and the sum of the counts that a block begins with
 _COARSE, _PART = 16, 128  # classes to a place of the coarse table, lanes whose counts are summed at a time
 _TURN, _LEAST, _MOST = 5, 64, 64_000  # pace and bounds of the mixture's weights, in 1/65536
+_H = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]  # factors of the contexts' hashes
 _L, _TOP = np.uint64, np.uint64(1 << 32)
 
 
@@ -58,6 +59,7 @@ class Vocabulary:
         after = np.append(self.cum[1:], self.cum[-1:])[:n]
         last = np.append(self.of_rank[1:] != self.of_rank[:-1], True)[:n]
         self.freq = np.where(last, (self.of_rank + 1) << _WITHIN, after) - self.cum[:-1]
+        self.within, self.share = (self.cum[:-1] - (self.of_rank << _WITHIN)).astype(_L), self.freq.astype(_L)
         self.shared_from = own if n > own else CLASSES
 
     @classmethod
@@ -90,89 +92,155 @@ class Vocabulary:
 
 
 class _Models:
-    """Models of n blocks, side by side."""
+    """Models of n blocks, side by side. Steps write in arrays made once, and operations do not mix types: at this size a new array or a cast costs more
+    than the operation.
+
+    What is right is told by masks, all bits or none: ``right[0]`` where order 2 is right, ``right[1]`` where order 1 is and order 2 is not, ``miss``
+    where neither is."""
 
     def __init__(self, n: int, vocabulary: Vocabulary):
         self.n = n
-        self.class_of = vocabulary.of_rank
-        self.seen = [np.zeros(n << _CONTEXT, np.int32) for _ in range(2)]  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
+        self.class_of = vocabulary.of_rank.astype(np.int32)
+        self.seen = np.zeros(2 * (n << _CONTEXT), np.int32)  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
         start = np.array([1_500, 20_000, 30_000, 36_000, 42_000, 46_000, 50_000, 54_000])
         grid = np.arange(64)
-        self.trust = [np.tile(start[k], n).astype(np.int32) for k in (grid >> 3, grid & 7)]
-        self.slots, self.weights, self.classes = (np.arange(n) << bits for bits in (_CONTEXT, 6, CLASSES.bit_length() - 1))
-        self.coarse, self.places, self.counted = np.zeros(n * (CLASSES // _COARSE), np.int32), np.arange(n) * (CLASSES // _COARSE), 0
-        self.lane = self.lanes = (np.arange(n) << _COUNT).astype(np.int32)
-        self.counts = np.tile(vocabulary.prior.astype(np.int32), (n, 1))
-        self.cum = np.zeros(n * CLASSES + 1, np.int32)
-        self.cum[-1] = n << _COUNT
+        self.trust = np.tile(start[grid >> 3] << 16 | start[grid & 7], n).astype(np.uint32)  # of order 2 in the upper half, of order 1 in the lower
+        lanes = np.arange(n, dtype=np.int32)
+        self.all_lanes, self.all_weights, self.counted = lanes, lanes << 6, 0
+        self.all_slots = np.array([lanes << _CONTEXT, (lanes + n) << _CONTEXT])
+        self.counts = np.repeat(vocabulary.prior.astype(np.int32)[:, None], n, axis=1)  # by class and block, so that sums over classes are of whole rows
+        self.row = n + 32  # so that rows whose classes are a power of two apart do not share their places in cache
+        table = np.zeros((CLASSES + 1, self.row), np.int32)
+        table[-1] = 1 << _COUNT
+        self.cum, self.table, self.coarse = table.reshape(-1), table[:, :n], np.zeros((CLASSES // _COARSE, n), np.int32)
+        self.ranks = np.arange(1, CLASSES, dtype=np.int32)[:, None]
         self.before = [np.zeros(n, np.uint32)] * 2
-        self.m = n
-        self.all_classes, self.ranks = self.classes, np.arange(1, CLASSES + 1)
+        self._view(n)
+
+    def _view(self, m: int) -> None:
+        """Go on with the first m lanes."""
+        self.m, self.before = m, [x[:m] for x in self.before]
+        self.lane, self.weights, self.slots = self.all_lanes[:m], self.all_weights[:m], np.ascontiguousarray(self.all_slots[:, :m])
+        self.held, self.guess, self.times, self.p, self.right, self.pair = np.empty((6, 2, m), np.int32)
+        self.w2, self.both, self.rest, self.miss, self.low, self.size, self.at, self.kind, self.a, self.b, self.c = np.empty((11, m), np.int32)
+        self.hash, self.packed, self.index, self.context, self.wide = np.empty((2, m), np.uint32), np.empty(m, np.uint32), np.empty((2, m), np.int64), np.empty(m, np.int64), np.empty((2, m), _L)
+        self.flag, self.reached = np.empty(m, bool), np.empty((len(self.coarse), m), bool)
 
     def begin(self, step: int, m: int, grid: np.ndarray) -> None:
         """``grid``: the ranks of all steps before this one."""
         if step % 256 == 0 or step in (32, 64, 128):  # frequencies stand still between these steps, so counts need not be kept at each
-            done, table = grid[self.counted : step], self.cum[:-1].reshape(self.n, CLASSES)
-            for a in range(0, self.n, _PART):
-                lanes, counts = self.lanes[a : a + _PART], self.counts[a : a + _PART]
-                if step:
-                    kinds = self.class_of.take(done[:, a : a + _PART].T)
-                    kinds += self.all_classes[: len(lanes), None]
-                    counts += _STEP * np.bincount(kinds.reshape(-1), minlength=counts.size).reshape(counts.shape)
-                sums = np.cumsum(counts, axis=1, dtype=np.int64)
-                sums *= ((1 << _COUNT) - CLASSES << 24) // sums[:, -1:]
-                sums >>= 24
-                sums += self.ranks
-                table[a : a + _PART, 0] = lanes
-                table[a : a + _PART, 1:] = sums[:, :-1] + lanes[:, None]
-            self.coarse[:] = table[:, ::_COARSE].reshape(-1)
+            done, sums = grid[self.counted : step], self.table[1:-1]
+            for a in range(0, self.n, _PART) if step else ():
+                lanes, counts = self.all_lanes[: min(_PART, self.n - a)], self.counts[:, a : a + _PART]
+                kinds = self.class_of.take(done[:, a : a + _PART])
+                kinds *= len(lanes)
+                kinds += lanes
+                counts += _STEP * np.bincount(kinds.reshape(-1), minlength=counts.size).reshape(counts.shape)
+            np.copyto(sums[0], self.counts[0])
+            for above, counts, row in zip(sums, self.counts[1:-1], sums[1:]):
+                np.add(above, counts, out=row)
+            scale = (((1 << _COUNT) - CLASSES << 24) // (sums[-1] + self.counts[-1].astype(np.int64))) / (1 << 24)
+            for a in range(0, CLASSES - 1, _COARSE):
+                part = sums[a : a + _COARSE]
+                np.copyto(part, part * scale, casting="unsafe")  # whole numbers below 2**53, then a power of two: exact
+                part += self.ranks[a : a + _COARSE]
+            np.copyto(self.coarse, self.table[:-1:_COARSE])
             self.counted = step
         if m < self.m:
-            self.before = [x[:m] for x in self.before]
-            self.slots, self.weights, self.classes, self.places, self.lane = self.slots[:m], self.weights[:m], self.classes[:m], self.places[:m], self.lane[:m]
-            self.m = m
+            self._view(m)
 
     def predict(self) -> None:
         """Guesses of order 2 and order 1, and the mixture's weights."""
-        one, two = self.before
-        h = one * np.uint32(0x9E3779B1)
-        h2 = (h ^ (two * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-        self.at = [self.slots + (h2 >> (32 - _CONTEXT)), self.slots + (h >> (32 - _CONTEXT))]
-        held = [table.take(at) for table, at in zip(self.seen, self.at)]
-        self.guess, self.times = [x >> 3 for x in held], [x & 7 for x in held]
-        self.context = self.weights + ((self.times[0] << 3) | self.times[1])
-        self.p = [table.take(self.context) for table in self.trust]
-        self.w2 = self.p[0] >> (16 - _WEIGHT)
-        self.both = self.w2 + 1 + ((((1 << _WEIGHT) - self.w2) * self.p[1]) >> 16)
-        self.rest = (1 << _WEIGHT) - self.both
+        w2, both, a, (h2, h1) = self.w2, self.both, self.a, self.hash
+        np.multiply(self.before[0], _H[0], out=h1)
+        np.multiply(self.before[1], _H[1], out=h2)
+        np.bitwise_xor(h2, h1, out=h2)
+        np.multiply(h2, _H[2], out=h2)
+        np.right_shift(self.hash, 32 - _CONTEXT, out=self.hash)
+        np.add(self.slots, self.hash.view(np.int32), out=self.held)
+        np.copyto(self.index, self.held)
+        self.seen.take(self.index, out=self.held, mode="clip")
+        np.bitwise_and(self.held, 7, out=self.times)
+        np.right_shift(self.held, 3, out=self.guess)
+        np.left_shift(self.times[0], 3, out=a)
+        np.bitwise_or(a, self.times[1], out=a)
+        np.add(self.weights, a, out=a)
+        np.copyto(self.context, a)
+        packed, (p2, p1) = self.trust.take(self.context, out=self.packed, mode="clip"), self.p
+        np.right_shift(packed, 16, out=p2.view(np.uint32))
+        np.bitwise_and(packed, 0xFFFF, out=p1.view(np.uint32))
+        np.right_shift(p2, 16 - _WEIGHT, out=w2)
+        np.subtract(1 << _WEIGHT, w2, out=a)
+        np.multiply(a, p1, out=a)
+        np.right_shift(a, 16, out=a)
+        np.add(a, w2, out=both)
+        np.add(both, 1, out=both)
+        np.subtract(1 << _WEIGHT, both, out=self.rest)
+
+    def equal(self, rank: np.ndarray) -> np.ndarray:
+        """Masks of the orders whose guess is this rank."""
+        np.bitwise_xor(self.guess, rank, out=self.pair)
+        np.subtract(self.pair, 1, out=self.pair)
+        return np.right_shift(self.pair, 31, out=self.pair)
 
     def find(self, target: np.ndarray) -> np.ndarray:
-        """Where in ``cum`` the part begins that holds the target."""
-        at, half = self.places, CLASSES // _COARSE // 2
-        while half:  # in a small table first
-            at = at + half * (self.coarse[half:].take(at) <= target)
-            half //= 2
-        at, half = at * _COARSE, _COARSE // 2
-        while half:
-            at = at + half * (self.cum[half:].take(at) <= target)
-            half //= 2
+        """Where in ``cum`` the part begins that holds the target, which is used up."""
+        at, a, above, k = self.at, self.a, target, _COARSE // 2
+        np.less_equal(self.coarse[:, : self.m], target, out=self.reached)  # all places of a small table first
+        np.copyto(at, np.add.reduce(self.reached.view(np.int8), axis=0, dtype=np.int8))
+        np.subtract(at, 1, out=at)
+        np.multiply(at, _COARSE * self.row, out=at)
+        np.add(at, self.lane, out=at)
+        np.add(target, 1, out=above)
+        while k:
+            self.cum[k * self.row :].take(at, out=a, mode="clip")
+            np.subtract(a, above, out=a)
+            np.right_shift(a, 31, out=a)
+            np.bitwise_and(a, k * self.row, out=a)
+            np.add(at, a, out=at)
+            k //= 2
         return at
 
-    def learn(self, rank: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
-        """``right2`` and ``right1``: 1 where order 2 is right, and where order 1 is and order 2 is not; 0 elsewhere."""
-        p2, p1 = self.p  # that of order 1 is for ids that order 2 has not guessed
-        self.trust[0][self.context] = p2 + ((right2 * (_MOST - _LEAST) + _LEAST - p2) >> _TURN)
-        self.trust[1][self.context] = p1 + ((right1 * (_MOST - _LEAST) + _LEAST - p1) >> _TURN) * (right2 ^ 1)
-        slots = rank << 3
-        for table, slot, guess, times in zip(self.seen, self.at, self.guess, self.times):
-            table[slot] = slots + np.minimum(times + 1, 7) * (rank == guess)
+    def part(self, at: np.ndarray) -> None:
+        """The frequencies below and of the class at a place of ``cum``."""
+        self.cum.take(at, out=self.low, mode="clip")
+        self.cum[self.row :].take(at, out=self.size, mode="clip")
+        np.subtract(self.size, self.low, out=self.size)
+
+    def learn(self, rank: np.ndarray, equal: np.ndarray) -> None:
+        held, p, times, packed = self.held, self.p, self.times, self.packed
+        np.bitwise_and(self.right, _MOST - _LEAST, out=held)
+        np.add(held, _LEAST, out=held)
+        np.subtract(held, p, out=held)
+        np.right_shift(held, _TURN, out=held)
+        np.bitwise_and(held[1], np.invert(self.right[0], out=self.a), out=held[1])  # the trust in order 1 is for ids that order 2 has not guessed
+        np.add(p, held, out=p)
+        np.left_shift(p[0].view(np.uint32), 16, out=packed)
+        np.bitwise_or(packed, p[1].view(np.uint32), out=packed)
+        self.trust[self.context] = packed
+        np.add(times, 1, out=times)
+        np.minimum(times, 7, out=times)
+        np.bitwise_and(times, equal, out=times)
+        np.add(times, np.left_shift(rank, 3, out=self.a), out=times)
+        self.seen[self.index] = times
         self.before = [rank.view(np.uint32), self.before[0]]
 
-    def span(self, right2: np.ndarray, right1: np.ndarray, miss: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def span(self) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the mixture's part, in 2**-(_WEIGHT + _COUNT)."""
-        rest = self.rest * miss  # all parts are below 2**(_WEIGHT + _COUNT)
-        cum = rest * low + ((self.w2 * right1 + self.both * miss) << _COUNT)
-        return cum.astype(_L), (rest * size + ((self.w2 * right2 + (self.both - self.w2) * right1) << _COUNT)).astype(_L)
+        a, b, low, size, (right2, right1) = self.a, self.b, self.low, self.size, self.right
+        np.bitwise_and(self.rest, self.miss, out=a)  # all parts are below 2**(_WEIGHT + _COUNT)
+        np.multiply(low, a, out=low)
+        np.multiply(size, a, out=size)
+        np.bitwise_and(self.w2, right1, out=a)
+        np.bitwise_or(a, np.bitwise_and(self.both, self.miss, out=b), out=a)
+        np.add(low, np.left_shift(a, _COUNT, out=a), out=low)
+        np.subtract(self.both, self.w2, out=a)
+        np.bitwise_and(a, right1, out=a)
+        np.bitwise_or(a, np.bitwise_and(self.w2, right2, out=b), out=a)
+        np.add(size, np.left_shift(a, _COUNT, out=a), out=size)
+        for wide, x in zip(self.wide, (low, size)):
+            np.copyto(wide, x, casting="unsafe")
+        return self.wide[0], self.wide[1]
 
 
 class _Writer:
@@ -180,33 +248,66 @@ class _Writer:
 
     def __init__(self, n: int, room: int):
         self.low, self.range = np.zeros(n, _L), np.full(n, (1 << 64) - 1, _L)
-        self.out, self.used = np.zeros((n, room), np.uint32), np.zeros(n, np.int64)
+        self.out, self.room = np.zeros(n * room, np.uint32), room
+        self.begins = np.arange(n) * room
+        self.used = self.begins.copy()
+        self.r, self.flag, self.carries = np.zeros(n, _L), np.zeros(n, bool), []
 
     def _carry(self, lanes: np.ndarray) -> None:
-        at = self.used[lanes] - 1
-        while len(lanes):
-            self.out[lanes, at] += np.uint32(1)
-            more = self.out[lanes, at] == 0
-            lanes, at = lanes[more], at[more] - 1
-
-    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        low, r = self.low[lanes], self.range[lanes] >> _L(bits)
-        after = low + r * cum
+        self.carries.append(self.used[lanes] - 1)
+
+    def _settle(self) -> None:
+        """Add the carries to the words written."""
+        at, self.carries = np.concatenate([np.zeros(0, np.int64), *self.carries]), []
+        while len(at):
+            at, times = np.unique(at, return_counts=True)
+            words = self.out[at] + times.astype(np.uint32)
+            self.out[at] = words
+            at = at[words < times] - 1
+
+    def _shift(self, lanes: np.ndarray) -> None:
+        low, at = self.low[lanes], self.used[lanes]
+        self.out[at] = low >> _L(32)
+        self.used[lanes] = at + 1
+        self.low[lanes] = low << _L(32)
+        self.range[lanes] = self.range[lanes] << _L(32)
+
+    def narrow(self, lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        r = self.range[lanes] >> _L(bits)
+        more = r * cum
+        low = self.low[lanes] + more
         r *= freq
-        over, short = np.flatnonzero(after < low), np.flatnonzero(r < _TOP)
-        self.low[lanes], self.range[lanes] = after, r
+        self.low[lanes], self.range[lanes] = low, r
+        over, short = np.flatnonzero(low < more), np.flatnonzero(r < _TOP)
         if len(over):
-            self._carry(over if isinstance(lanes, slice) else lanes[over])
+            self._carry(lanes[over])
         if len(short):
-            at = short if isinstance(lanes, slice) else lanes[short]
-            self.out[at, self.used[at]] = self.low[at] >> _L(32)
-            self.used[at] += 1
-            self.low[at] <<= _L(32)
-            self.range[at] <<= _L(32)
+            self._shift(lanes[short])
+
+    def narrow_all(self, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        """``narrow`` of the first lanes, as many as ``cum`` has; ``cum`` is used up."""
+        m = len(cum)
+        r, low, span, flag = self.r[:m], self.low[:m], self.range[:m], self.flag[:m]
+        np.right_shift(span, bits, out=r)
+        np.multiply(cum, r, out=cum)
+        np.add(low, cum, out=low)
+        np.less(low, cum, out=flag)
+        np.multiply(r, freq, out=span)
+        over = np.flatnonzero(flag)
+        if len(over):
+            self._carry(over)
+        short = np.flatnonzero(np.less(span, _TOP, out=flag))
+        if len(short):
+            self._shift(short)
 
     def make_room(self, most: int) -> None:
-        if self.used.max() + most > self.out.shape[1]:
-            self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
+        used = self.used - self.begins
+        if used.max() + most > self.room:
+            self._settle()
+            out = self.out.reshape(-1, self.room)
+            self.out, self.room = np.concatenate((out, np.zeros_like(out)), axis=1).reshape(-1), 2 * self.room
+            self.begins = np.arange(len(used)) * self.room
+            self.used = self.begins + used
 
     def codes(self) -> list[bytes]:
         """The words written and as many bytes of a value within the last range as tell it from others."""
@@ -214,37 +315,61 @@ class _Writer:
         over = np.flatnonzero(whole < self.low)
         if len(over):
             self._carry(over)
+        self._settle()
         plain = self.out.astype(">u4")
-        return [(plain[i, :u].tobytes() + int(x).to_bytes(8, "big")[:5]).rstrip(b"\0") for i, (u, x) in enumerate(zip(self.used.tolist(), whole.tolist()))]
+        return [(plain[a:b].tobytes() + int(x).to_bytes(8, "big")[:5]).rstrip(b"\0") for a, b, x in zip(self.begins.tolist(), self.used.tolist(), whole.tolist())]
 
 
 class _Reader:
     """The codes' distance from the lower bound, and the ranges."""
 
     def __init__(self, codes: list[bytes]):
-        size = [len(c) // 4 * 4 + 16 for c in codes]
+        n, size = len(codes), [len(c) // 4 * 4 + 16 for c in codes]
         begins = np.concatenate(([0], np.cumsum(size)))[:-1] // 4
         self.data = np.frombuffer(b"".join(c.ljust(s, b"\0") for c, s in zip(codes, size)), ">u4").astype(_L)
-        self.range = np.full(len(codes), (1 << 64) - 1, _L)
+        self.range = np.full(n, (1 << 64) - 1, _L)
         self.code = (self.data[begins] << _L(32)) | self.data[begins + 1]
         self.used = begins + 2
+        self.r, self.found, self.flag, self.place = np.zeros(n, _L), np.zeros(n, _L), np.zeros(n, bool), np.zeros(n, np.int32)
 
-    def target(self, lanes, bits: int) -> np.ndarray:
+    def target(self, lanes: np.ndarray, bits: int) -> np.ndarray:
         r = self.range[lanes] >> _L(bits)
         return np.minimum(self.code[lanes] // r, _L((1 << bits) - 1)).view(np.int64)
 
-    def narrow(self, lanes, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
+    def _shift(self, lanes: np.ndarray) -> None:
+        used = self.used[lanes]
+        self.code[lanes] = (self.code[lanes] << _L(32)) | self.data.take(used, mode="clip")
+        self.range[lanes] = self.range[lanes] << _L(32)
+        self.used[lanes] = used + 1
+
+    def narrow(self, lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range[lanes] >> _L(bits)
         self.code[lanes] -= r * cum
         r *= freq
-        short = np.flatnonzero(r < _TOP)
         self.range[lanes] = r
+        short = np.flatnonzero(r < _TOP)
+        if len(short):
+            self._shift(lanes[short])
+
+    def target_all(self, m: int, bits: int) -> np.ndarray:
+        """``target`` of the first m lanes."""
+        found = self.found[:m]
+        np.right_shift(self.range[:m], bits, out=self.r[:m])
+        np.floor_divide(self.code[:m], self.r[:m], out=found)
+        np.minimum(found, _L((1 << bits) - 1), out=found)
+        np.copyto(self.place[:m], found, casting="unsafe")
+        return self.place[:m]
+
+    def narrow_all(self, cum: np.ndarray, freq: np.ndarray) -> None:
+        """``narrow`` after ``target_all``; ``cum`` is used up."""
+        m = len(cum)
+        code, r, span = self.code[:m], self.r[:m], self.range[:m]
+        np.multiply(cum, r, out=cum)
+        np.subtract(code, cum, out=code)
+        np.multiply(r, freq, out=span)
+        short = np.flatnonzero(np.less(span, _TOP, out=self.flag[:m]))
         if len(short):
-            at = short if isinstance(lanes, slice) else lanes[short]
-            used = self.used[at]
-            self.code[at] = (self.code[at] << _L(32)) | self.data[np.minimum(used, len(self.data) - 1)]
-            self.range[at] <<= _L(32)
-            self.used[at] = used + 1
+            self._shift(short)
 
 
 def _sizes(n_ids: int, length: int) -> np.ndarray:
@@ -260,11 +385,19 @@ def block_length(n_ids: int) -> int:
     return int(max(256, -(-n_ids // (LANES * max(1, rounds)))))
 
 
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """The transposed array, made in strips that stay in cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for a in range(0, len(grid), 32):
+        out[:, a : a + 32] = grid[a : a + 32].T
+    return out
+
+
 def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocabulary) -> list[bytes]:
     n = len(sizes)
     grid = np.zeros(n * length, np.int32)
     grid[: len(ranks)] = ranks
-    grid = np.ascontiguousarray(grid.reshape(n, length).T)
+    grid = _turned(grid.reshape(n, length))
     models, coder = _Models(n, vocabulary), _Writer(n, length // 2 + 64)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
@@ -275,19 +408,22 @@ def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocab
         rank = grid[step, :m]
         models.begin(step, m, grid)
         models.predict()
-        kind = models.class_of.take(rank)
-        at = models.classes + kind
-        low = models.cum.take(at)
-        size = models.cum[1:].take(at) - low
-        right2 = (rank == models.guess[0]).astype(np.int32)
-        right1 = (rank == models.guess[1]) & (right2 ^ 1)
-        miss = (right2 | right1) ^ 1
-        coder.narrow(slice(0, m), *models.span(right2, right1, miss, low - models.lane, size), _WEIGHT + _COUNT)
-        rare = np.flatnonzero((kind >= vocabulary.shared_from) & miss) if vocabulary.shared_from < CLASSES else ()
-        if len(rare):
-            own = rank[rare]
-            coder.narrow(rare, (vocabulary.cum[own] - (kind[rare] << _WITHIN)).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
-        models.learn(rank, right2, right1)
+        kind, (right2, right1), miss, equal = models.kind, models.right, models.miss, models.equal(rank)
+        models.class_of.take(rank, out=kind, mode="clip")
+        np.copyto(right2, equal[0])
+        np.bitwise_or(equal[0], equal[1], out=miss)
+        np.bitwise_xor(miss, right2, out=right1)
+        np.invert(miss, out=miss)
+        np.multiply(kind, models.row, out=models.at)
+        models.part(np.add(models.at, models.lane, out=models.at))
+        coder.narrow_all(*models.span(), _WEIGHT + _COUNT)
+        if vocabulary.shared_from < CLASSES:
+            np.bitwise_and(kind, miss, out=models.a)
+            rare = np.flatnonzero(np.greater_equal(models.a, vocabulary.shared_from, out=models.flag))
+            if len(rare):
+                own = rank[rare]
+                coder.narrow(rare, vocabulary.within.take(own), vocabulary.share.take(own), _WITHIN)
+        models.learn(rank, equal)
     return coder.codes()
 
 
@@ -302,26 +438,37 @@ def _decode(codes: list[bytes], length: int, sizes: np.ndarray, vocabulary: Voca
             break
         models.begin(step, m, grid)
         models.predict()
-        target = coder.target(slice(0, m), _WEIGHT + _COUNT).astype(np.int32)
-        right2 = (target < models.w2 << _COUNT).astype(np.int32)
-        beyond = target - (models.both << _COUNT)
-        miss = (beyond >= 0).astype(np.int32)
-        right1 = (right2 | miss) ^ 1
-        at = models.find(models.lane + beyond * miss // models.rest)
-        kind = at - models.classes
-        rank = first.take(kind) * miss + models.guess[0] * right2 + models.guess[1] * right1
-        low = models.cum.take(at)
-        coder.narrow(slice(0, m), *models.span(right2, right1, miss, low - models.lane, models.cum[1:].take(at) - low), _WEIGHT + _COUNT)
-        rare = np.flatnonzero((kind >= vocabulary.shared_from) & miss) if vocabulary.shared_from < CLASSES else ()
+        target, rank = coder.target_all(m, _WEIGHT + _COUNT), grid[step, :m]
+        kind, (right2, right1), miss, a, b = models.kind, models.right, models.miss, models.a, models.b
+        np.left_shift(models.w2, _COUNT, out=a)
+        np.subtract(target, a, out=right2)
+        np.right_shift(right2, 31, out=right2)
+        np.left_shift(models.both, _COUNT, out=a)
+        np.subtract(target, a, out=b)
+        np.right_shift(b, 31, out=miss)
+        np.bitwise_xor(miss, right2, out=right1)
+        np.invert(miss, out=miss)
+        np.bitwise_and(b, miss, out=b)
+        np.floor_divide(b, models.rest, out=b)
+        at = models.find(b)
+        np.subtract(at, models.lane, out=kind)
+        np.floor_divide(kind, models.row, out=kind)
+        first.take(kind, out=rank, mode="clip")
+        np.bitwise_and(rank, miss, out=rank)
+        for guess, right in zip(models.guess, models.right):
+            np.bitwise_and(guess, right, out=a)
+            np.bitwise_or(rank, a, out=rank)
+        models.part(at)
+        coder.narrow_all(*models.span())
+        rare = np.flatnonzero(np.greater_equal(kind, vocabulary.shared_from, out=models.flag)) if vocabulary.shared_from < CLASSES else ()  # none where a guess is right: the target is then in the first class
         if len(rare):
-            base = kind[rare] << _WITHIN
+            base = kind[rare].astype(np.int64) << _WITHIN
             own = vocabulary.cum.searchsorted(base + coder.target(rare, _WITHIN), "right") - 1
             own = np.minimum(own, last)
-            coder.narrow(rare, (vocabulary.cum[own] - base).astype(_L), vocabulary.freq[own].astype(_L), _WITHIN)
+            coder.narrow(rare, vocabulary.within.take(own), vocabulary.share.take(own), _WITHIN)
             rank[rare] = own
-        models.learn(rank, right2, right1)
-        grid[step, :m] = rank
-    return np.ascontiguousarray(grid.T).reshape(-1)
+        models.learn(rank, models.equal(rank))
+    return _turned(grid).reshape(-1)
 
 
 def encode(ids: np.ndarray, length: int, vocabulary: Vocabulary) -> tuple[list[bytes], list[int]]:

@@ -20,7 +20,9 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from marginalia.llm import range_coder, words as wd
 from marginalia.llm.util import new_folder, texts
 
 MAGIC, HEAD = b"MTS2", struct.Struct("<IQIII")
-SEGMENT_IDS, RANGE_BYTES = 4 << 20, 10 << 20
+SEGMENT_IDS, RANGE_BYTES, SLICE_BYTES = 4 << 20, 10 << 20, 12 << 20  # words are told apart a slice: mostly a whole range
 NULL_ID = -(1 << 63)
 _MARKS = np.isin(np.arange(256), list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{}~'))  # not the apostrophe of 's, nor the bar of <|endoftext|>
 SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_ids long, data binary"
@@ -46,15 +48,18 @@ class Encoder:
     """Ids of many texts, word by word, with the words seen so far. Words are told apart by their bytes, less the case of A-Z, which this tokenizer folds.
 
     Words are cut where it always cuts them, between an ASCII letter and one of ``_MARKS``. Many new words go to the library as one line; the bytes of the
-    tokens tell where each word ends, and a line where they do not (words that the library normalises) is encoded word by word."""
+    tokens tell where each word ends, and a line where they do not (words that the library normalises) is encoded word by word. Lines of ASCII, which hold
+    neither A-Z nor white space but single blanks, are as the library would normalise them, so it need not."""
 
-    MOST, LINE = 1_000_000, 64  # words kept, words in a line
+    MOST, LINE = 1_000_000, 256  # words kept, words in a line
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)  # the same model, without the normalizer
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # a character of a token stands for a byte
@@ -67,21 +72,24 @@ class Encoder:
         self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, lines: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in lines], add_special_tokens=False)]
+        known = all(x.isascii() and not any(a in x for a in self.added) for x in lines)  # in lower case and normal form
+        return [np.frombuffer(array("I", e.ids), np.uint32) for e in (self.plain if known else self.tokenizer).encode_batch_fast([x.decode("utf-8", "replace") for x in lines], add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids, and how many each word has."""
         ids, counts = [], np.zeros(len(words), np.int64)
         lines = [slice(k, k + self.LINE) for k in range(0, len(words), self.LINE)]
-        for k in range(0, len(lines), 16):  # the library's results are large
-            some = lines[k : k + 16]
+        for k in range(0, len(lines), 4):  # the library's results are large
+            some = lines[k : k + 4]
             bodies = [b" ".join(words[x]) for x in some]
             for part, body, found in zip(some, bodies, self._ids(bodies)):
                 own = words[part]
                 upto, ends = np.cumsum(self.n_bytes[found]), np.cumsum([len(w) for w in own])
                 last = np.searchsorted(upto, ends)
                 if len(found) and last[-1] == len(found) - 1 and (upto[last] == ends).all() and not any(x in body for x in self.added):
-                    counts[part] = np.diff(last, prepend=-1)
+                    last[1:] -= last[:-1].copy()
+                    last[0] += 1
+                    counts[part] = last
                     ids.append(found)
                 else:
                     single = self._ids(own)
@@ -93,7 +101,7 @@ class Encoder:
         """The number of each word, with new ones encoded."""
         if len(self.known) > self.MOST:
             self._forget()
-        places = np.array([self.known.get(w, -1) for w in words], np.int64)
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(places < 0)
         if len(at):
             at = at[np.argsort([words[i].isascii() for i in at.tolist()], kind="stable")]  # words that the library may normalise share their lines
@@ -112,27 +120,22 @@ class Encoder:
         if not len(sizes):
             return np.full(n_docs, end_id, np.uint32), np.ones(n_docs, np.int64)
         ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-        plain, body = body, wd.LOWER.take(body)
+        plain, body = body, wd.look(wd.LOWER, body)
         for a, b in self.added:  # an added token is told by case
             at = np.searchsorted(ends, np.flatnonzero((body[:-1] == a) & (body[1:] == b)), "right") - 1
+            body = body.copy() if len(at) else body
             for i, j in zip(ends[at].tolist(), ends[at + 1].tolist()):
                 body[i:j] = plain[i:j]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
-        places, at = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
-        length = self.length[places].astype(np.int32).take(at)
-        ends = np.cumsum(length, dtype=np.int64)
-        shift = self.begin[places].take(at)
-        shift[1:] -= ends[:-1]
-        source = np.repeat(shift, length)
-        source += np.arange(ends[-1])
-        plain = self.pool.take(source)
-        counts = np.diff(np.concatenate(([0], ends))[first]) + 1
-        out = np.empty(len(plain) + n_docs, np.uint32)
-        last = np.cumsum(counts) - 1
-        inner = np.ones(len(out), bool)
-        inner[last] = False
-        out[inner], out[last] = plain, end_id
-        return out, counts
+        places = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = self.length[places]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(length), np.zeros(1, np.int64)))
+        ends[-1] = ends[-2] + 1  # after the different words, the end id
+        pool = np.append(self.pool.take(np.repeat(self.begin[places] - ends[:-2], length) + np.arange(ends[-2])), np.uint32(end_id))
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) + 1, [None, pa.py_buffer(4 * ends), pa.py_buffer(pool)])
+        found = table.take(pa.array(np.insert(words.indices.to_numpy(), first[1:], len(places))))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[first[1:] + np.arange(1, n_docs + 1)] // 4
+        return np.frombuffer(found.buffers()[2], np.uint32, ends[-1]), np.diff(ends, prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -190,7 +193,7 @@ def _segments(path: str, end_id: int):
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else 0
             doc_ids = batch.column(1).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            for a, b, buf, offs in wd.text_slices(batch.column(2)):
+            for a, b, buf, offs in wd.text_slices(batch.column(2), SLICE_BYTES):
                 ids, counts = encoder(buf, offs, end_id)
                 held.append((doc_ids[a:b], counts, ids))
                 n += len(ids)

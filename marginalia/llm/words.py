@@ -90,6 +90,11 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         first = end
 
 
+def look(table: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """``table.take(buf)`` of a table of 256 bytes, read-only."""
+    return np.frombuffer(buf.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def _edges(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of the runs of ``inside``; a text that begins at one of ``edges`` begins a new run."""
     before, after = np.empty_like(inside), np.empty_like(inside)
@@ -106,9 +111,9 @@ def spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, left
     Words are cut between a byte of ``left`` and one of ``right``."""
     if not len(buf):
         return buf, np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside, edges = is_word.take(buf), offs[offs < len(buf)]
+    inside, edges = look(is_word, buf), offs[offs < len(buf)]
     if left is not None:
-        edges = np.concatenate((edges, np.flatnonzero(left.take(buf[:-1]) & right.take(buf[1:])) + 1))
+        edges = np.concatenate((edges, np.flatnonzero(look(left, buf[:-1]) & look(right, buf[1:])) + 1))
     start, last = _edges(inside, edges)
     return buf[inside], last - start + 1, np.searchsorted(start, offs).astype(np.int64)
 

@@ -293,6 +293,24 @@ def test_words_are_known_without_the_punctuation_that_follows_them():
     assert [w for w in encoder.known if w.startswith(b"stone") and not w.startswith(b"stone'")] == [b"stone"]
 
 
+def test_words_in_normal_form_are_not_normalised_again():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marginalia.llm import words as wd
+
+    path = token_store.tokenizer_path()
+    encoder, t = token_store.Encoder(path), Tokenizer.from_file(path)
+    bodies = ["", prose(400, 7).title(), "I'm, WE'LL; a1.b2 1,000.5 x\x1cy <tag>|", " \t\r\n", "".join(map(chr, range(128)))]
+    encoder.tokenizer = None  # all is ASCII, so only the tokenizer without a normalizer is asked
+    for most in (4, 1 << 20):
+        got = []
+        for _, _, buf, offs in wd.text_slices(pa.array(bodies), most):
+            ids, counts = encoder(buf, offs, 1)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [t.encode(x, add_special_tokens=False).ids + [1] for x in bodies]
+
+
 def test_token_ids_and_damage(spark):
     from marginalia.sources.storage import new_folder
 

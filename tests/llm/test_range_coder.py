@@ -88,3 +88,35 @@ def test_counts_are_taken_at_refreshes_and_the_format_is_as_before():
     short, checks, vocabulary = coded(ids[:89_650], 600)
     assert (rc.decode(short, checks, 89_650, 600, vocabulary) == ids[:89_650]).all()
     assert not hasattr(rc._Models(4, vocabulary), "flat_counts")
+
+
+def test_steps_make_no_new_arrays():
+    ids = np.random.default_rng(3).integers(0, 900, 4096).astype(np.uint32)
+    vocabulary = rc.Vocabulary.of(ids)
+    models, grid = rc._Models(4, vocabulary), vocabulary.ranks(ids).reshape(-1, 4)
+    held = []
+    for step in range(40):
+        models.begin(step, 4, grid)
+        models.predict()
+        models.learn(grid[step], models.equal(grid[step]))
+        held.append((models.w2, models.both, models.rest, models.guess, models.times, models.cum))
+    assert all(x is y for row in held for x, y in zip(row, held[0]))
+
+
+def test_carries_are_added_afterwards():
+    """Against whole numbers of any length; symbols at the top of the range, so that carries run through many words, and more words than there is room for."""
+    rng, n = np.random.default_rng(4), 5
+    coder, want = rc._Writer(n, 80), [[0, (1 << 64) - 1, 0] for _ in range(n)]
+    for step in range(600):
+        if step % 16 == 0:
+            coder.make_room(64)
+        freq = rng.integers(1, 1 << 20, n)
+        cum = np.where(rng.random(n) < 0.9, (1 << 30) - freq, rng.integers(0, 1 << 29, n))
+        for w, c, f in zip(want, cum.tolist(), freq.tolist()):
+            r = w[1] >> 30
+            w[0], w[1] = w[0] + r * c, r * f
+            if w[1] < 1 << 32:
+                w[:] = w[0] << 32, w[1] << 32, w[2] + 1
+        coder.narrow_all(cum.astype(np.uint64), freq.astype(np.uint64), 30)
+    assert coder.room > 80
+    assert coder.codes() == [((low + (r >> 1)) >> 24).to_bytes(4 * k + 5, "big").rstrip(b"\0") for low, r, k in want]
