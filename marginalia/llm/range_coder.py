@@ -27,8 +27,11 @@ _CONTEXT, _WEIGHT, _COUNT, _WITHIN = 8, 12, 18, 22  # bits: slots of a context t
 _STEP, _PRIOR = 32, 16_000  # what an id adds to its class, and the sum of the counts that a block begins with
 _COARSE, _PART = 16, 128  # classes to a place of the coarse table, lanes whose counts are summed at a time
 _TURN, _LEAST, _MOST = 5, 64, 64_000  # pace and bounds of the mixture's weights, in 1/65536
-_H = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]  # factors of the contexts' hashes
-_L, _TOP = np.uint64, np.uint64(1 << 32)
+_I, _U = ([np.array(k, kind) for k in range(33)] for kind in (np.int32, np.uint32))  # small numbers for steps: a Python number would be turned into such an array each time
+_FULL, _LOW_HALF, _GAIN, _FLOOR = np.array(1 << _WEIGHT, np.int32), np.array(0xFFFF, np.uint32), np.array(_MOST - _LEAST, np.int32), np.array(_LEAST, np.int32)
+_H = [np.array(x, np.uint32) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]  # factors of the contexts' hashes
+_L, _TOP = np.uint64, np.array(1 << 32, np.uint64)
+_BITS, _BEYOND = np.array(_WEIGHT + _COUNT, _L), np.array((1 << (_WEIGHT + _COUNT)) - 1, _L)
 
 
 class Vocabulary:
@@ -101,18 +104,19 @@ class _Models:
     def __init__(self, n: int, vocabulary: Vocabulary):
         self.n = n
         self.class_of = vocabulary.of_rank.astype(np.int32)
-        self.seen = np.zeros(2 * (n << _CONTEXT), np.int32)  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
+        self.row = n + 32  # of all tables: so that rows a power of two apart do not share their places in cache
+        self.seen = np.zeros(2 * (self.row << _CONTEXT), np.int32)  # of order 2 and 1: an id's rank and, in three bits, how often in a row it was right
         start = np.array([1_500, 20_000, 30_000, 36_000, 42_000, 46_000, 50_000, 54_000])
         grid = np.arange(64)
-        self.trust = np.tile(start[grid >> 3] << 16 | start[grid & 7], n).astype(np.uint32)  # of order 2 in the upper half, of order 1 in the lower
+        self.trust = np.repeat(start[grid >> 3] << 16 | start[grid & 7], self.row).astype(np.uint32)  # of order 2 in the upper half, of order 1 in the lower
         lanes = np.arange(n, dtype=np.int32)
-        self.all_lanes, self.all_weights, self.counted = lanes, lanes << 6, 0
-        self.all_slots = np.array([lanes << _CONTEXT, (lanes + n) << _CONTEXT])
+        self.all_lanes, self.all_slots, self.counted = lanes, np.array([lanes, lanes + (self.row << _CONTEXT)]), 0
         self.counts = np.repeat(vocabulary.prior.astype(np.int32)[:, None], n, axis=1)  # by class and block, so that sums over classes are of whole rows
-        self.row = n + 32  # so that rows whose classes are a power of two apart do not share their places in cache
         table = np.zeros((CLASSES + 1, self.row), np.int32)
         table[-1] = 1 << _COUNT
         self.cum, self.table, self.coarse = table.reshape(-1), table[:, :n], np.zeros((CLASSES // _COARSE, n), np.int32)
+        self.after, self.rows, self.stride = self.cum[self.row :], np.array(self.row, np.int32), np.array(_COARSE * self.row, np.int32)
+        self.jumps = [(np.array(k * self.row, np.int32), self.cum[k * self.row :]) for k in (1 << x for x in reversed(range(_COARSE.bit_length() - 1)))]
         self.ranks = np.arange(1, CLASSES, dtype=np.int32)[:, None]
         self.before = [np.zeros(n, np.uint32)] * 2
         self._view(n)
@@ -120,7 +124,7 @@ class _Models:
     def _view(self, m: int) -> None:
         """Go on with the first m lanes."""
         self.m, self.before = m, [x[:m] for x in self.before]
-        self.lane, self.weights, self.slots = self.all_lanes[:m], self.all_weights[:m], np.ascontiguousarray(self.all_slots[:, :m])
+        self.lane, self.slots = self.all_lanes[:m], np.ascontiguousarray(self.all_slots[:, :m])
         self.held, self.guess, self.times, self.p, self.right, self.pair = np.empty((6, 2, m), np.int32)
         self.w2, self.both, self.rest, self.miss, self.low, self.size, self.at, self.kind, self.a, self.b, self.c = np.empty((11, m), np.int32)
         self.hash, self.packed, self.index, self.context, self.wide = np.empty((2, m), np.uint32), np.empty(m, np.uint32), np.empty((2, m), np.int64), np.empty(m, np.int64), np.empty((2, m), _L)
@@ -138,7 +142,7 @@ class _Models:
                 counts += _STEP * np.bincount(kinds.reshape(-1), minlength=counts.size).reshape(counts.shape)
             np.copyto(sums[0], self.counts[0])
             for above, counts, row in zip(sums, self.counts[1:-1], sums[1:]):
-                np.add(above, counts, out=row)
+                np.add(above, counts, row)
             scale = (((1 << _COUNT) - CLASSES << 24) // (sums[-1] + self.counts[-1].astype(np.int64))) / (1 << 24)
             for a in range(0, CLASSES - 1, _COARSE):
                 part = sums[a : a + _COARSE]
@@ -152,92 +156,93 @@ class _Models:
     def predict(self) -> None:
         """Guesses of order 2 and order 1, and the mixture's weights."""
         w2, both, a, (h2, h1) = self.w2, self.both, self.a, self.hash
-        np.multiply(self.before[0], _H[0], out=h1)
-        np.multiply(self.before[1], _H[1], out=h2)
-        np.bitwise_xor(h2, h1, out=h2)
-        np.multiply(h2, _H[2], out=h2)
-        np.right_shift(self.hash, 32 - _CONTEXT, out=self.hash)
-        np.add(self.slots, self.hash.view(np.int32), out=self.held)
+        np.multiply(self.before[0], _H[0], h1)
+        np.multiply(self.before[1], _H[1], h2)
+        np.bitwise_xor(h2, h1, h2)
+        np.multiply(h2, _H[2], h2)
+        np.right_shift(self.hash, _U[32 - _CONTEXT], self.hash)
+        np.multiply(self.hash.view(np.int32), self.rows, self.held)
+        np.add(self.slots, self.held, self.held)
         np.copyto(self.index, self.held)
         self.seen.take(self.index, out=self.held, mode="clip")
-        np.bitwise_and(self.held, 7, out=self.times)
-        np.right_shift(self.held, 3, out=self.guess)
-        np.left_shift(self.times[0], 3, out=a)
-        np.bitwise_or(a, self.times[1], out=a)
-        np.add(self.weights, a, out=a)
+        np.bitwise_and(self.held, _I[7], self.times)
+        np.right_shift(self.held, _I[3], self.guess)
+        np.left_shift(self.times[0], _I[3], a)
+        np.bitwise_or(a, self.times[1], a)
+        np.multiply(a, self.rows, a)
+        np.add(self.lane, a, a)
         np.copyto(self.context, a)
         packed, (p2, p1) = self.trust.take(self.context, out=self.packed, mode="clip"), self.p
-        np.right_shift(packed, 16, out=p2.view(np.uint32))
-        np.bitwise_and(packed, 0xFFFF, out=p1.view(np.uint32))
-        np.right_shift(p2, 16 - _WEIGHT, out=w2)
-        np.subtract(1 << _WEIGHT, w2, out=a)
-        np.multiply(a, p1, out=a)
-        np.right_shift(a, 16, out=a)
-        np.add(a, w2, out=both)
-        np.add(both, 1, out=both)
-        np.subtract(1 << _WEIGHT, both, out=self.rest)
+        np.right_shift(packed, _U[16], p2.view(np.uint32))
+        np.bitwise_and(packed, _LOW_HALF, p1.view(np.uint32))
+        np.right_shift(p2, _I[16 - _WEIGHT], w2)
+        np.subtract(_FULL, w2, a)
+        np.multiply(a, p1, a)
+        np.right_shift(a, _I[16], a)
+        np.add(a, w2, both)
+        np.add(both, _I[1], both)
+        np.subtract(_FULL, both, self.rest)
 
     def equal(self, rank: np.ndarray) -> np.ndarray:
         """Masks of the orders whose guess is this rank."""
-        np.bitwise_xor(self.guess, rank, out=self.pair)
-        np.subtract(self.pair, 1, out=self.pair)
-        return np.right_shift(self.pair, 31, out=self.pair)
+        np.bitwise_xor(self.guess, rank, self.pair)
+        np.subtract(self.pair, _I[1], self.pair)
+        return np.right_shift(self.pair, _I[31], self.pair)
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """Where in ``cum`` the part begins that holds the target, which is used up."""
-        at, a, above, k = self.at, self.a, target, _COARSE // 2
-        np.less_equal(self.coarse[:, : self.m], target, out=self.reached)  # all places of a small table first
+        at, a, above = self.at, self.a, target
+        np.less_equal(self.coarse[:, : self.m], target, self.reached)  # all places of a small table first
         np.copyto(at, np.add.reduce(self.reached.view(np.int8), axis=0, dtype=np.int8))
-        np.subtract(at, 1, out=at)
-        np.multiply(at, _COARSE * self.row, out=at)
-        np.add(at, self.lane, out=at)
-        np.add(target, 1, out=above)
-        while k:
-            self.cum[k * self.row :].take(at, out=a, mode="clip")
-            np.subtract(a, above, out=a)
-            np.right_shift(a, 31, out=a)
-            np.bitwise_and(a, k * self.row, out=a)
-            np.add(at, a, out=at)
-            k //= 2
+        np.subtract(at, _I[1], at)
+        np.multiply(at, self.stride, at)
+        np.add(at, self.lane, at)
+        np.add(target, _I[1], above)
+        for jump, beyond in self.jumps:
+            beyond.take(at, out=a, mode="clip")
+            np.subtract(a, above, a)
+            np.right_shift(a, _I[31], a)
+            np.bitwise_and(a, jump, a)
+            np.add(at, a, at)
         return at
 
     def part(self, at: np.ndarray) -> None:
         """The frequencies below and of the class at a place of ``cum``."""
         self.cum.take(at, out=self.low, mode="clip")
-        self.cum[self.row :].take(at, out=self.size, mode="clip")
-        np.subtract(self.size, self.low, out=self.size)
+        self.after.take(at, out=self.size, mode="clip")
+        np.subtract(self.size, self.low, self.size)
 
     def learn(self, rank: np.ndarray, equal: np.ndarray) -> None:
         held, p, times, packed = self.held, self.p, self.times, self.packed
-        np.bitwise_and(self.right, _MOST - _LEAST, out=held)
-        np.add(held, _LEAST, out=held)
-        np.subtract(held, p, out=held)
-        np.right_shift(held, _TURN, out=held)
-        np.bitwise_and(held[1], np.invert(self.right[0], out=self.a), out=held[1])  # the trust in order 1 is for ids that order 2 has not guessed
-        np.add(p, held, out=p)
-        np.left_shift(p[0].view(np.uint32), 16, out=packed)
-        np.bitwise_or(packed, p[1].view(np.uint32), out=packed)
+        np.bitwise_and(self.right, _GAIN, held)
+        np.add(held, _FLOOR, held)
+        np.subtract(held, p, held)
+        np.right_shift(held, _I[_TURN], held)
+        np.bitwise_and(held[1], np.invert(self.right[0], self.a), held[1])  # the trust in order 1 is for ids that order 2 has not guessed
+        np.add(p, held, p)
+        np.left_shift(p[0].view(np.uint32), _U[16], packed)
+        np.bitwise_or(packed, p[1].view(np.uint32), packed)
         self.trust[self.context] = packed
-        np.add(times, 1, out=times)
-        np.minimum(times, 7, out=times)
-        np.bitwise_and(times, equal, out=times)
-        np.add(times, np.left_shift(rank, 3, out=self.a), out=times)
+        np.add(times, _I[1], times)
+        np.minimum(times, _I[7], times)
+        np.bitwise_and(times, equal, times)
+        np.add(times, np.left_shift(rank, _I[3], self.a), times)
         self.seen[self.index] = times
         self.before = [rank.view(np.uint32), self.before[0]]
 
     def span(self) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the mixture's part, in 2**-(_WEIGHT + _COUNT)."""
         a, b, low, size, (right2, right1) = self.a, self.b, self.low, self.size, self.right
-        np.bitwise_and(self.rest, self.miss, out=a)  # all parts are below 2**(_WEIGHT + _COUNT)
-        np.multiply(low, a, out=low)
-        np.multiply(size, a, out=size)
-        np.bitwise_and(self.w2, right1, out=a)
-        np.bitwise_or(a, np.bitwise_and(self.both, self.miss, out=b), out=a)
-        np.add(low, np.left_shift(a, _COUNT, out=a), out=low)
-        np.subtract(self.both, self.w2, out=a)
-        np.bitwise_and(a, right1, out=a)
-        np.bitwise_or(a, np.bitwise_and(self.w2, right2, out=b), out=a)
-        np.add(size, np.left_shift(a, _COUNT, out=a), out=size)
+        np.bitwise_and(self.rest, self.miss, a)  # all parts are below 2**(_WEIGHT + _COUNT)
+        np.multiply(low, a, low)
+        np.multiply(size, a, size)
+        np.bitwise_and(self.w2, right1, a)
+        np.bitwise_or(a, np.bitwise_and(self.both, self.miss, b), a)
+        np.add(low, np.left_shift(a, _I[_COUNT], a), low)
+        np.subtract(self.both, self.w2, a)
+        np.bitwise_and(a, right1, a)
+        np.bitwise_or(a, np.bitwise_and(self.w2, right2, b), a)
+        np.add(size, np.left_shift(a, _I[_COUNT], a), size)
         for wide, x in zip(self.wide, (low, size)):
             np.copyto(wide, x, casting="unsafe")
         return self.wide[0], self.wide[1]
@@ -284,19 +289,19 @@ class _Writer:
         if len(short):
             self._shift(lanes[short])
 
-    def narrow_all(self, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        """``narrow`` of the first lanes, as many as ``cum`` has; ``cum`` is used up."""
+    def narrow_all(self, cum: np.ndarray, freq: np.ndarray) -> None:
+        """``narrow`` by the mixture of the first lanes, as many as ``cum`` has; ``cum`` is used up."""
         m = len(cum)
         r, low, span, flag = self.r[:m], self.low[:m], self.range[:m], self.flag[:m]
-        np.right_shift(span, bits, out=r)
-        np.multiply(cum, r, out=cum)
-        np.add(low, cum, out=low)
-        np.less(low, cum, out=flag)
-        np.multiply(r, freq, out=span)
+        np.right_shift(span, _BITS, r)
+        np.multiply(cum, r, cum)
+        np.add(low, cum, low)
+        np.less(low, cum, flag)
+        np.multiply(r, freq, span)
         over = np.flatnonzero(flag)
         if len(over):
             self._carry(over)
-        short = np.flatnonzero(np.less(span, _TOP, out=flag))
+        short = np.flatnonzero(np.less(span, _TOP, flag))
         if len(short):
             self._shift(short)
 
@@ -351,12 +356,12 @@ class _Reader:
         if len(short):
             self._shift(lanes[short])
 
-    def target_all(self, m: int, bits: int) -> np.ndarray:
-        """``target`` of the first m lanes."""
+    def target_all(self, m: int) -> np.ndarray:
+        """``target`` in the mixture of the first m lanes."""
         found = self.found[:m]
-        np.right_shift(self.range[:m], bits, out=self.r[:m])
-        np.floor_divide(self.code[:m], self.r[:m], out=found)
-        np.minimum(found, _L((1 << bits) - 1), out=found)
+        np.right_shift(self.range[:m], _BITS, self.r[:m])
+        np.floor_divide(self.code[:m], self.r[:m], found)
+        np.minimum(found, _BEYOND, found)
         np.copyto(self.place[:m], found, casting="unsafe")
         return self.place[:m]
 
@@ -364,10 +369,10 @@ class _Reader:
         """``narrow`` after ``target_all``; ``cum`` is used up."""
         m = len(cum)
         code, r, span = self.code[:m], self.r[:m], self.range[:m]
-        np.multiply(cum, r, out=cum)
-        np.subtract(code, cum, out=code)
-        np.multiply(r, freq, out=span)
-        short = np.flatnonzero(np.less(span, _TOP, out=self.flag[:m]))
+        np.multiply(cum, r, cum)
+        np.subtract(code, cum, code)
+        np.multiply(r, freq, span)
+        short = np.flatnonzero(np.less(span, _TOP, self.flag[:m]))
         if len(short):
             self._shift(short)
 
@@ -398,7 +403,7 @@ def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocab
     grid = np.zeros(n * length, np.int32)
     grid[: len(ranks)] = ranks
     grid = _turned(grid.reshape(n, length))
-    models, coder = _Models(n, vocabulary), _Writer(n, length // 2 + 64)
+    models, coder, shared = _Models(n, vocabulary), _Writer(n, length // 2 + 64), np.array(vocabulary.shared_from, np.int32)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
@@ -411,15 +416,15 @@ def _encode(ranks: np.ndarray, length: int, sizes: np.ndarray, vocabulary: Vocab
         kind, (right2, right1), miss, equal = models.kind, models.right, models.miss, models.equal(rank)
         models.class_of.take(rank, out=kind, mode="clip")
         np.copyto(right2, equal[0])
-        np.bitwise_or(equal[0], equal[1], out=miss)
-        np.bitwise_xor(miss, right2, out=right1)
-        np.invert(miss, out=miss)
-        np.multiply(kind, models.row, out=models.at)
-        models.part(np.add(models.at, models.lane, out=models.at))
-        coder.narrow_all(*models.span(), _WEIGHT + _COUNT)
+        np.bitwise_or(equal[0], equal[1], miss)
+        np.bitwise_xor(miss, right2, right1)
+        np.invert(miss, miss)
+        np.multiply(kind, models.rows, models.at)
+        models.part(np.add(models.at, models.lane, models.at))
+        coder.narrow_all(*models.span())
         if vocabulary.shared_from < CLASSES:
-            np.bitwise_and(kind, miss, out=models.a)
-            rare = np.flatnonzero(np.greater_equal(models.a, vocabulary.shared_from, out=models.flag))
+            np.bitwise_and(kind, miss, models.a)
+            rare = np.flatnonzero(np.greater_equal(models.a, shared, models.flag))
             if len(rare):
                 own = rank[rare]
                 coder.narrow(rare, vocabulary.within.take(own), vocabulary.share.take(own), _WITHIN)
@@ -431,36 +436,36 @@ def _decode(codes: list[bytes], length: int, sizes: np.ndarray, vocabulary: Voca
     n, last = len(sizes), len(vocabulary.ids) - 1
     first = np.minimum(vocabulary.first, last).astype(np.int32)
     grid = np.zeros((length, n), np.int32)
-    models, coder = _Models(n, vocabulary), _Reader(codes)
+    models, coder, shared = _Models(n, vocabulary), _Reader(codes), np.array(vocabulary.shared_from, np.int32)
     for step in range(length):
         m = n if step < sizes[-1] else n - 1
         if not m:
             break
         models.begin(step, m, grid)
         models.predict()
-        target, rank = coder.target_all(m, _WEIGHT + _COUNT), grid[step, :m]
+        target, rank = coder.target_all(m), grid[step, :m]
         kind, (right2, right1), miss, a, b = models.kind, models.right, models.miss, models.a, models.b
-        np.left_shift(models.w2, _COUNT, out=a)
-        np.subtract(target, a, out=right2)
-        np.right_shift(right2, 31, out=right2)
-        np.left_shift(models.both, _COUNT, out=a)
-        np.subtract(target, a, out=b)
-        np.right_shift(b, 31, out=miss)
-        np.bitwise_xor(miss, right2, out=right1)
-        np.invert(miss, out=miss)
-        np.bitwise_and(b, miss, out=b)
-        np.floor_divide(b, models.rest, out=b)
+        np.left_shift(models.w2, _I[_COUNT], a)
+        np.subtract(target, a, right2)
+        np.right_shift(right2, _I[31], right2)
+        np.left_shift(models.both, _I[_COUNT], a)
+        np.subtract(target, a, b)
+        np.right_shift(b, _I[31], miss)
+        np.bitwise_xor(miss, right2, right1)
+        np.invert(miss, miss)
+        np.bitwise_and(b, miss, b)
+        np.floor_divide(b, models.rest, b)
         at = models.find(b)
-        np.subtract(at, models.lane, out=kind)
-        np.floor_divide(kind, models.row, out=kind)
+        np.subtract(at, models.lane, kind)
+        np.floor_divide(kind, models.rows, kind)
         first.take(kind, out=rank, mode="clip")
-        np.bitwise_and(rank, miss, out=rank)
+        np.bitwise_and(rank, miss, rank)
         for guess, right in zip(models.guess, models.right):
-            np.bitwise_and(guess, right, out=a)
-            np.bitwise_or(rank, a, out=rank)
+            np.bitwise_and(guess, right, a)
+            np.bitwise_or(rank, a, rank)
         models.part(at)
         coder.narrow_all(*models.span())
-        rare = np.flatnonzero(np.greater_equal(kind, vocabulary.shared_from, out=models.flag)) if vocabulary.shared_from < CLASSES else ()  # none where a guess is right: the target is then in the first class
+        rare = np.flatnonzero(np.greater_equal(kind, shared, models.flag)) if vocabulary.shared_from < CLASSES else ()  # none where a guess is right: the target is then in the first class
         if len(rare):
             base = kind[rare].astype(np.int64) << _WITHIN
             own = vocabulary.cum.searchsorted(base + coder.target(rare, _WITHIN), "right") - 1

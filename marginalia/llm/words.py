@@ -111,11 +111,15 @@ def spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, left
     Words are cut between a byte of ``left`` and one of ``right``."""
     if not len(buf):
         return buf, np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside, edges = look(is_word, buf), offs[offs < len(buf)]
-    if left is not None:
-        edges = np.concatenate((edges, np.flatnonzero(look(left, buf[:-1]) & look(right, buf[1:])) + 1))
+    edges = offs[offs < len(buf)]
+    if left is None:
+        inside = look(is_word, buf)
+    else:  # all three tables in one
+        kinds = look((is_word | left * 2 | right * 4).astype(np.uint8), buf)
+        inside = (kinds & 1).view(bool)
+        edges = np.concatenate((edges, np.flatnonzero(((kinds[:-1] >> 1) & (kinds[1:] >> 2) & 1).view(bool)) + 1))
     start, last = _edges(inside, edges)
-    return buf[inside], last - start + 1, np.searchsorted(start, offs).astype(np.int64)
+    return np.frombuffer(buf.tobytes().translate(None, np.flatnonzero(~is_word).astype(np.uint8).tobytes()), np.uint8), last - start + 1, np.searchsorted(start, offs).astype(np.int64)
 
 
 def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER, heads: tuple[int, ...] = ()):

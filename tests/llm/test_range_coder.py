@@ -117,6 +117,6 @@ def test_carries_are_added_afterwards():
             w[0], w[1] = w[0] + r * c, r * f
             if w[1] < 1 << 32:
                 w[:] = w[0] << 32, w[1] << 32, w[2] + 1
-        coder.narrow_all(cum.astype(np.uint64), freq.astype(np.uint64), 30)
+        coder.narrow_all(cum.astype(np.uint64), freq.astype(np.uint64))
     assert coder.room > 80
     assert coder.codes() == [((low + (r >> 1)) >> 24).to_bytes(4 * k + 5, "big").rstrip(b"\0") for low, r, k in want]
