@@ -66,17 +66,21 @@ s(version, slot, n, id, hit, matched, expired, evicted, entries) AS (SELECT DIST
     FROM s JOIN e ON e.version = s.version AND e.slot = s.slot AND e.n = s.n + 1))))
 SELECT version, slot, id, hit, coalesce(matched, -1) AS matched, expired::bigint AS expired, evicted::bigint AS evicted FROM s WHERE n > 0""")
 def semantic_cache_stream(spark, sf_dir):
-    """Requests served from the state of a processor: hits, expiries after two days without use, evictions beyond twelve entries. A user's angle stands in for the vector of a question."""
+    """Requests served from the state of a processor: hits, expiries after two days without use, evictions beyond twelve entries. A user's angle stands in for the vector of a question.
+
+    The log comes to the stream's folder in slices, in order of time; the state goes on from one to the next."""
     from marginalia.streaming import semantic_cache
 
-    work, parts = new_folder(spark, "semantic_cache"), []
+    work, inbox, parts = new_folder(spark, "semantic_cache"), new_folder(spark, "inbox"), []
     angle = F.col("user_id").cast("double")
-    rows = _stream(spark, sf_dir, "events").select(F.col("event_type").alias("version"), (F.col("user_id") % 4).alias("slot"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.array(F.cos(angle), F.sin(angle)).alias("vector"), F.lit("").alias("answer"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("version"), (F.col("user_id") % 4).alias("slot"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.array(F.cos(angle), F.sin(angle)).alias("vector"), F.lit("").alias("answer"))
 
     def each(batch, batch_id):
         parts.append(f"{work}/{batch_id}")
         batch.write.mode("overwrite").parquet(parts[-1])
 
     with semantic_cache.state_store(spark):
-        ingest.drain(semantic_cache.serve(rows, 172_800_000, 12, 0.999, forget=False), work, each)
+        for arrived in semantic_cache.arrivals(rows):
+            arrived.write.mode("append").parquet(inbox)
+            ingest.drain(semantic_cache.serve(spark.readStream.schema(rows.schema).parquet(inbox), 172_800_000, 12, 0.999, forget=False), work, each)
     return spark.read.parquet(*parts).select("version", "slot", "id", "hit", F.coalesce("matched", F.lit(-1)).alias("matched"), "expired", "evicted")

@@ -85,3 +85,31 @@ def test_idle_keys_are_forgotten_by_a_timer(spark):
         stream.stop()  # timers keep it from ever being idle
     got = {r["id"]: (r["hit"], r["answer"]) for r in spark.read.parquet(out).where(F.col("id").isNotNull()).collect()}
     assert got == {1: (False, "a"), 2: (False, "b")}  # the same vector at the same time: only the timer took the entry
+
+
+def test_requests_in_no_order_in_frames_and_slices(spark):
+    """Many requests share a time; frames hold a few rows of a key, in no order; the state goes from slice to slice."""
+    rows = [(v, slot, i, at // 40 * 40, vector, answer) for v, slot, i, at, vector, answer in made(300, 5)]
+    mixed, inbox, work, out = rows[:], new_folder(spark, "in"), new_folder(spark, "work"), new_folder(spark, "out")
+    random.Random(3).shuffle(mixed)
+    asked, times, before = spark.createDataFrame(mixed, SCHEMA), [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        with S.state_store(spark):
+            for part in S.arrivals(asked, 100):
+                times.append(part.agg(F.min("at"), F.max("at"), F.count("id")).first())
+                part.write.mode("append").parquet(inbox)
+                ingest.drain(S.serve(spark.readStream.schema(SCHEMA).parquet(inbox), 250, 4, 0.99, forget=False), work, lambda b, i: b.write.mode("append").parquet(out))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(times) >= 2 and all(a[1] < b[0] for a, b in zip(times, times[1:])) and sum(t[2] for t in times) == len(rows)
+    got = {r["id"]: (r["hit"], r["matched"], r["answer"], r["expired"], r["evicted"]) for r in spark.read.parquet(out).collect()}
+    assert got == plain(sorted(rows, key=lambda r: (r[3], r[2])), 250, 4, 0.99)
+
+
+def test_entries_of_one_time_are_loaded_by_their_use():
+    cache = S.Cache({}, 0, 100, 3, 0.9)
+    for i, j in enumerate((0, 1, 0)):
+        cache.request(i, 5, [float(j == n) for n in range(4)], "x")  # the last uses the first again
+    again = S.Cache(dict(sorted(cache.entries.items())), cache.clock, 100, 2, 0.9)
+    assert list(again.entries) == [1, 0] and again.request(9, 5, [0.0, 0.0, 1.0, 0.0], "y")[5] == 1 and list(again.entries) == [0, 9]
