@@ -387,3 +387,74 @@ def test_settings_of_runs_and_the_manifest_of_a_matrix(spark, tmp_path):
     config = json.loads(spark.read.text(str(tmp_path / "matrix" / manifest["policies"][1]["config"])).first()["value"])
     assert config["chunk_size"] == 64 and config["separators"] == list(C.SEPARATORS)
     assert {r["policy"]: r["chunks_total"] > 1 for r in spark.read.json(str(tmp_path / "matrix" / "json")).collect()} == {"small": True, "large": True}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_dense_search_in_small_tiles_against_a_full_sort(spark, parts, monkeypatch):
+    """Many ties, more places than a tile has vectors, vectors of another length and none."""
+    monkeypatch.setattr(R, "TILE_QUERIES", 2)
+    monkeypatch.setattr(R, "TILE_CHUNKS", 5)
+    vectors = [(i, [float(i % 4), float(i % 3), 1.0]) for i in range(60)]
+    v = spark.createDataFrame([*vectors, (100, [9.0, 9.0]), (101, None), (102, [])], "chunk_id long, vector array<float>").repartition(parts)
+    q = v.where("chunk_id < 7").withColumnRenamed("chunk_id", "query_id")
+    for k in (1, 3, 9, 80):
+        got = [(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in rows(R.dense(q, v, k).orderBy("query_id", "rank"))]
+        want = []
+        for i, x in vectors[:7]:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in vectors)[:k]
+            want += [(i, j, -s, n) for n, (s, j) in enumerate(best, 1)]
+        assert got == want
+
+
+def test_a_task_of_dense_search_holds_no_scores_of_all_its_vectors():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    matrix, x = rng.normal(size=(2000, 8)), rng.normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.FixedSizeListArray.from_arrays(x.ravel(), 8).cast(pa.list_(pa.float64()))], names=["chunk_id", "vector"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(R._nearest(np.arange(2000), matrix, 5, 6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 10_000 and peak < 60 << 20  # all scores are 160 MB
+    assert set(got.slice(0, 5)["chunk_id"].to_pylist()) == set(np.argsort(-(x @ matrix[0]))[:5].tolist())
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_relevant_within_a_depth_against_a_full_sort(spark, few):
+    """Ties over many ids, ids below zero, rows without a label or a vector, depths from 0 to beyond all."""
+    import random
+
+    from marginalia.operators.depth import relevant_within
+
+    rng = random.Random(4)
+    made = [(i * 10_000_019 * (-1) ** i, [1.0, 2.0] if i % 2 else [round(rng.uniform(-2, 2), 3), rng.uniform(-1, 1)], None if i % 17 == 0 else i % 3) for i in range(400)]
+    v = spark.createDataFrame([*made, (7, None, 1), (8, [1.0], 1)], "chunk_id long, vector array<double>, label int").repartition(3)
+    asked = [(n, made[n][1], n % 3, depth) for n, depth in ((1, 0), (2, 1), (3, 57), (4, 133), (5, 133), (7, 250), (8, 400), (10, 999))]
+    got = {r["query_id"]: r["found"] for r in relevant_within(spark.createDataFrame(asked, "query_id long, vector array<double>, label int, depth long"), v, few_rows=few).collect()}
+    want = {}
+    for n, q, label, depth in asked:
+        order = sorted(made, key=lambda r: (-round(q[0] * r[1][0] + q[1] * r[1][1], 6), r[0]))
+        want[n] = sum(r[2] == label for r in order[:depth])
+    assert got == want
+
+
+def test_metrics_from_judged_hits_agree_with_those_from_listed_gold(spark):
+    import random
+
+    rng = random.Random(6)
+    ranked = spark.createDataFrame([(q, key, i) for q in range(6) for i, key in enumerate(rng.sample(range(40), 12), 1)], "query_id long, key long, rank int")
+    gold = spark.createDataFrame([(q, key) for q in range(1, 8) for key in rng.sample(range(40), 1 + 4 * (q % 4))], "query_id long, key long")
+    asked = spark.createDataFrame([(q,) for q in range(9)], "query_id long")
+    sizes = gold.groupBy("query_id").agg(F.count("key").alias("n_gold"))
+    judged = ranked.join(gold.withColumn("relevant", F.lit(True)), ["query_id", "key"], "left").na.fill(False, ["relevant"])
+    within = judged.join(sizes, "query_id").groupBy("query_id").agg(F.count_if(F.col("relevant") & (F.col("rank") <= F.col("n_gold"))).alias("found"))
+    for k in (1, 5):
+        want = {r["query_id"]: r for r in rows(X.questions(ranked, gold, asked, k))}
+        assert {r["query_id"]: r for r in rows(X.judged_questions(judged.where(F.col("rank") <= k), sizes, asked, k, within))} == want
+        lists = {r["query_id"]: (len(r["hits"]), len(r["misses"]), sum(r["ranks"])) for r in rows(X.item_artifact(ranked, gold, k)) if r["query_id"] < 6}
+        assert {r["query_id"]: tuple(r)[1:] for r in rows(X.item_totals(judged, sizes, k))} == lists
+    assert sorted(rows(X.judged_context(judged, sizes))) == sorted(rows(X.context(ranked, gold)))
