@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.functions import policies as P
-from marginalia.operators import serving as S
+from marginalia.operators import retrieval as R, serving as S
 from marginalia.plans.registry import query, table
 from marginalia.plans.retrieval import _LEX, lexical, vectors
 
@@ -16,7 +16,7 @@ u AS (SELECT *, {_TOKENS.format(t='t')} AS tokens, sum({_TOKENS.format(t='t')})
 
 def _hits(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "text")
-    return lexical(spark, sf_dir, 10).join(texts, "chunk_id")
+    return R.with_payload(lexical(spark, sf_dir, 10), texts)
 
 
 @query(_PACK + " SELECT query_id, chunk_id, rank, tokens, used, length(t)::bigint AS chars FROM packed")
@@ -79,13 +79,11 @@ SELECT item_id AS query_id, CASE WHEN length({_STRIP.format(t='text')}) < 3 OR N
  ELSE 'semantic_cache_lookup>classify>retrieve>rerank>gate>generate>self_check>semantic_cache_write' END AS path, CASE WHEN coalesce(best, 0) >= 60 THEN concat(n, ' chunks: ', context) ELSE 'none' END AS answer FROM benchmark LEFT JOIN best_of ON best_of.query_id = item_id LEFT JOIN context_of ON context_of.query_id = item_id""")
 def generate_graph_bm25(spark, sf_dir):
     """The graph over real retrieval and packing: an answer names the chunks that were packed for it."""
-    from marginalia.operators import retrieval as R
-
     docs = table(spark, sf_dir, "documents")
     texts = docs.select(F.col("doc_id").alias("chunk_id"), "text")
 
     def retrieve(asked):
-        hits = R.top_k(R.bm25(asked.select("query_id", F.col("query").alias("text")), R.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n"))), 10).join(texts, "chunk_id")
+        hits = R.with_payload(R.top_k(R.bm25(asked.select("query_id", F.col("query").alias("text")), R.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n"))), 10), texts)
         packed = S.pack(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
         best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
         return best.join(packed.select("query_id", F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), " ").alias("context")), "query_id")
