@@ -135,7 +135,9 @@ def answer_graph(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame
 
     ``questions``: query_id, query. ``retrieve`` maps (query_id, query) to (query_id, best, context); ``generate`` maps (query_id, query, context) to
     (query_id, answer, confidence, n_citations). A failed answer is tried once more with a rewritten query: the second attempt is a branch for the
-    failed rows, so there is no loop."""
+    failed rows, so there is no loop. Each attempt is written, a row a question, so retrieval and generation run once for it; without failed rows there is no second one."""
+    from marginalia.sources.storage import settle
+
     rows = questions
     hit = F.lit(False)
     if cached is not None:  # query_id, cached_answer
@@ -146,18 +148,20 @@ def answer_graph(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame
     rows = rows.withColumn("hit", hit).withColumn("label", P.query_label(F.col("query")))
 
     def attempt(some: DataFrame, steps: str) -> DataFrame:
-        found = some.join(retrieve(some.select("query_id", "query")), "query_id", "left")
+        found = settle(some.join(retrieve(some.select("query_id", "query")), "query_id", "left"), "retrieved")
         made = generate(found.where(F.col("best") >= least_score).select("query_id", "query", "context"))
         joined = found.select("query_id", "query", "best").join(made, "query_id", "left")
         refused = F.col("best").isNull() | (F.col("best") < least_score)
         ok = P.self_check_ok(F.col("answer"), F.coalesce("confidence", F.lit(0.0)), F.col("n_citations"), refused)
         path = F.when(refused, f"{steps}retrieve>rerank>gate>refuse").otherwise(f"{steps}retrieve>rerank>gate>generate>self_check")
-        return joined.select("query_id", "query", path.alias("path"), F.when(~refused, F.col("answer")).alias("answer"), refused.alias("refused"), ok.alias("ok"))
+        return settle(joined.select("query_id", "query", path.alias("path"), F.when(~refused, F.col("answer")).alias("answer"), refused.alias("refused"), ok.alias("ok")), "attempt")
 
     ends = rows.where(F.col("hit")).select("query_id", F.lit("semantic_cache_lookup").alias("path"), F.col("cached_answer").alias("answer"), F.lit(False).alias("refused"), F.lit(0).alias("retries"))
     turned_away = rows.where(~F.col("hit") & (F.col("label") == "refuse")).select("query_id", F.lit("semantic_cache_lookup>classify>refuse").alias("path"), F.lit(None).cast("string").alias("answer"), F.lit(True).alias("refused"), F.lit(0).alias("retries"))
     first = attempt(rows.where(~F.col("hit") & (F.col("label") == "rag_qa")).select("query_id", "query"), "semantic_cache_lookup>classify>")
     good = first.where("ok").select("query_id", F.when(F.col("refused"), F.col("path")).otherwise(F.concat("path", F.lit(">semantic_cache_write"))).alias("path"), "answer", "refused", F.lit(0).alias("retries"))
+    if first.where("NOT ok").isEmpty():
+        return ends.unionByName(turned_away).unionByName(good)
     again = first.where("NOT ok").select("query_id", P.rewritten(F.col("query"), F.lit(0)).alias("query"), F.col("path").alias("before"))
     second = attempt(again.select("query_id", "query"), ">rewrite>").join(again.select("query_id", "before"), "query_id")
     written = F.when(F.col("refused"), F.concat("before", "path")).otherwise(F.concat("before", "path", F.lit(">semantic_cache_write")))

@@ -83,7 +83,7 @@ def generate_graph_bm25(spark, sf_dir):
     texts = docs.select(F.col("doc_id").alias("chunk_id"), "text")
 
     def retrieve(asked):
-        hits = R.with_payload(R.top_k(R.bm25(asked.select("query_id", F.col("query").alias("text")), R.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n"))), 10), texts)
+        hits = R.with_payload(R.bm25_top(asked.select("query_id", F.col("query").alias("text")), R.postings(docs, "doc_id"), docs.agg(F.count(F.lit(1)).alias("n")), 10), texts)
         packed = S.pack(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c"))
         best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
         return best.join(packed.select("query_id", F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), " ").alias("context")), "query_id")

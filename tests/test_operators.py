@@ -458,3 +458,39 @@ def test_metrics_from_judged_hits_agree_with_those_from_listed_gold(spark):
         lists = {r["query_id"]: (len(r["hits"]), len(r["misses"]), sum(r["ranks"])) for r in rows(X.item_artifact(ranked, gold, k)) if r["query_id"] < 6}
         assert {r["query_id"]: (r["hits"], r["misses"], r["rank_sum"]) for r in rows(X.item_totals(judged, sizes, k))} == lists
     assert sorted(map(str, rows(X.judged_context(judged, sizes)))) == sorted(map(str, rows(X.context(ranked, gold))))
+
+
+def test_bm25_top_agrees_with_all_scores(spark, monkeypatch):
+    """Sums of one chunk at a time, of a few, of all; a query of unknown words, one without words, a chunk without words."""
+    import random
+
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 30)))) for i in range(-20, 60)]
+    chunks = spark.createDataFrame([*texts, (99, None)], "chunk_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "a b c"), (2, "h h zz"), (3, "zz"), (4, ""), (5, "a b c d e f g h")], "query_id long, text string")
+    index, n = R.postings(chunks), chunks.agg(F.count("*").alias("n"))
+    for k in (1, 7, 200):
+        want = sorted(map(str, rows(R.top_k(R.bm25(queries, index, n), k).select("query_id", "chunk_id", "score", "rank"))))
+        for size in (8, 800, 1 << 20):
+            monkeypatch.setattr(R, "SUMS_BYTES", size)
+            assert sorted(map(str, rows(R.bm25_top(queries, index, n, k).select("query_id", "chunk_id", "score", "rank")))) == want
+    monkeypatch.setattr(R, "BROADCAST_TERMS", 3)
+    assert sorted(map(str, rows(R.bm25_top(queries, index, n, 200).select("query_id", "chunk_id", "score", "rank")))) == want
+    assert R.bm25_top(queries.where("query_id = 3"), index, n, 5).count() == 0
+
+
+def test_the_graph_retrieves_once_for_each_attempt(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def retrieve(asked):
+        def count(frames):
+            for f in frames:
+                counted.add(len(f))
+                yield f
+
+        return asked.select("query_id").mapInPandas(count, "query_id long").select("query_id", F.lit(1.0).alias("best"), F.lit("text").alias("context"))
+
+    generate = lambda found: found.select("query_id", F.lit("made").alias("answer"), F.when(F.col("query_id") == 2, 0.1).otherwise(0.9).alias("confidence"), F.lit(1).alias("n_citations"))
+    asked = spark.createDataFrame([(1, "what is this"), (2, "what is that")], "query_id long, query string")
+    got = {r["query_id"]: r["retries"] for r in rows(S.answer_graph(asked, retrieve, generate))}
+    assert got == {1: 0, 2: 1} and counted.value == 3
