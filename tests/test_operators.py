@@ -494,3 +494,13 @@ def test_the_graph_retrieves_once_for_each_attempt(spark):
     asked = spark.createDataFrame([(1, "what is this"), (2, "what is that")], "query_id long, query string")
     got = {r["query_id"]: r["retries"] for r in rows(S.answer_graph(asked, retrieve, generate))}
     assert got == {1: 0, 2: 1} and counted.value == 3
+
+
+def test_search_methods_search_once_by_vectors_and_once_by_words(spark, monkeypatch):
+    from marginalia.plans import registry, retrieval as queries
+
+    asked = []
+    for name in ("dense", "lexical"):
+        monkeypatch.setattr(queries, name, lambda spark, sf_dir, k, name=name: asked.append((name, k)) or spark.createDataFrame([(1, i, 1.0 / (i + 1), i + 1) for i in range(k)], "query_id long, chunk_id long, score double, rank int"))
+    got = rows(registry.QUERIES["search_methods"](spark, "none"))
+    assert sorted(asked) == [("dense", 20), ("lexical", 20)] and len(got) == 20 and {r["method"] for r in got} == {"dense", "bm25", "hybrid"}
